@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .exact_dedup import exact_dedup
+from .quality_rules import quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +20,22 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules(common.documents(spark, sf_dir), common.labels(spark, sf_dir))
+    return out.select(
+        "doc_id",
+        "n_words",
+        F.col("n_word_chars").alias("word_chars"),
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        "rule",
+    )
+
+
 @query
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
