@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .exact_dedup import exact_dedup
+from .language_id import predict_languages, train_filters
 from .near_dedup import near_classes
 from .quality_rules import quality_rules
 
@@ -55,3 +56,10 @@ g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP B
 SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.norm) AS text_sha256
 FROM t JOIN g ON t.norm = g.norm
 """
+
+
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    out = predict_languages(docs, train_filters(docs))
+    return out.select("doc_id", (common.fold_of("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
