@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .bpe_words import encode_texts
 from .exact_dedup import exact_dedup
 from .language_id import predict_languages, train_filters
 from .near_dedup import near_classes
@@ -63,3 +65,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     out = predict_languages(docs, train_filters(docs))
     return out.select("doc_id", (common.fold_of("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    out = encode_texts(docs, public_tokenizers.path("byte_bpe_50k.json"), decode=True)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op6_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(common.documents(spark, sf_dir))
