@@ -12,6 +12,7 @@ from . import common
 from .bpe_words import encode_texts
 from .exact_dedup import exact_dedup
 from .language_id import predict_languages, train_filters
+from .mixing import mix_plan
 from .near_dedup import near_classes
 from .quality_rules import quality_rules
 
@@ -75,3 +76,8 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
 @query
 def op6_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(common.documents(spark, sf_dir))
+
+
+@query
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_plan(common.documents(spark, sf_dir))
