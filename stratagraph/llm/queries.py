@@ -15,6 +15,7 @@ from .language_id import predict_languages, train_filters
 from .mixing import mix_plan
 from .near_dedup import near_classes
 from .quality_rules import quality_rules
+from .repair_store import read_token_blocks, write_token_blocks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +82,9 @@ def op6_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(common.documents(spark, sf_dir))
+
+
+@query
+def op7_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = write_token_blocks(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return read_token_blocks(blocks).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
