@@ -16,6 +16,7 @@ from .mixing import mix_plan
 from .near_dedup import near_classes
 from .quality_rules import quality_rules
 from .repair_store import read_token_blocks, write_token_blocks
+from .toxicity import learn_lexicon, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +89,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = write_token_blocks(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
     return read_token_blocks(blocks).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    out = score_toxicity(docs, learn_lexicon(docs, common.labels(spark, sf_dir)))
+    return out.select("doc_id", (common.fold_of("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
