@@ -16,6 +16,7 @@ from .mixing import mix_plan
 from .near_dedup import near_classes
 from .quality_rules import quality_rules
 from .repair_store import read_token_blocks, write_token_blocks
+from .suffix_lm import score_texts
 from .toxicity import learn_lexicon, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +97,9 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     out = score_toxicity(docs, learn_lexicon(docs, common.labels(spark, sf_dir)))
     return out.select("doc_id", (common.fold_of("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query
+def op5_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = score_texts(common.documents(spark, sf_dir))
+    return out.select("doc_id", (common.fold_of("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
