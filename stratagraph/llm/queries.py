@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, pii
 from .bpe_words import encode_texts
 from .exact_dedup import exact_dedup
 from .language_id import predict_languages, train_filters
@@ -103,3 +103,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score_texts(common.documents(spark, sf_dir))
     return out.select("doc_id", (common.fold_of("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    found = pii.find_spans(docs, pii.fit(docs))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"))
