@@ -112,6 +112,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 if by_id is not None:
                     out.append(pa.array([decode_ids(b, by_id.value) for b in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(out, names=[id_col, "n_tokens", "ids", "decoded"][: len(out)])
+        encoder.own.clear()  # what follows in this worker may be another stage
 
     base = docs.select(F.col(id_col), text_of(text_col).alias("__text"))
     return base.mapInArrow(encode, f"`{id_col}` {dict(base.dtypes)[id_col]}, n_tokens long, ids binary" + ", decoded string" * decode)

@@ -9,7 +9,7 @@ import pyarrow as pa
 
 SHINGLE = 5
 #: Bytes of text that are hashed in one go; a longer text is taken alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _U = np.uint64
 _B1, _B2 = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
