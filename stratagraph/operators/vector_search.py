@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stratagraph.functions.vectors import cosine
 
 DIRECT_RANKS = 3
-TIER_DIRECT, TIER_RELATED, TIER_FILE, TIER_SEMANTIC, TIER_DOCUMENTATION, TIER_DEPENDENCY = range(6)
+TIER_DIRECT, TIER_RELATED, TIER_DEPENDENCY, TIER_FILE, TIER_DOCUMENTATION, TIER_CONTEXT = range(6)
 #: Query vectors that are broadcast at most (4096 of 1024 doubles are 32 MB).
 MAX_QUERIES = 4096
 
@@ -39,9 +39,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", ve
 
 
 def with_tier(hits: DataFrame, entity_type=None) -> DataFrame:
-    """V7: documentation sections get their own tier, ranks up to 3 are direct, the rest semantic."""
+    """V7: documentation sections get their own tier, ranks up to 3 are direct, the rest count as file context."""
     doc = F.lit(False) if entity_type is None else F.col(entity_type) == "doc_section"
-    return hits.withColumn("tier", F.when(doc, TIER_DOCUMENTATION).when(F.col("rank") <= DIRECT_RANKS, TIER_DIRECT).otherwise(TIER_SEMANTIC)).withColumn(
+    return hits.withColumn("tier", F.when(doc, TIER_DOCUMENTATION).when(F.col("rank") <= DIRECT_RANKS, TIER_DIRECT).otherwise(TIER_FILE)).withColumn(
         "reason", F.format_string("semantic match, rank %d", "rank")
     )
 
