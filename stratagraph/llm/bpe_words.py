@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_of
+from .shingles import release_memory, small_batches
 from .word_cache import WordEncoder, byte_alphabet, text_runs
 
 TABLE_WORDS = 200_000
@@ -63,6 +64,9 @@ def word_table(docs: DataFrame, path: str, text_col: str = "text", words: int =
                     yield _rows(counter)
                     counter.clear()
         yield _rows(counter)
+        _encoders.clear()
+        counter.clear()
+        release_memory()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
@@ -105,14 +109,15 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, key, shared.value)
-        for batch in batches:
+        for batch in small_batches(batches):
             for first, texts in text_runs(batch.column(1)):
                 ids = encoder.encode_all(texts)
                 out = [batch.column(0).slice(first, len(texts)), pa.array([len(b) // 4 for b in ids], pa.int64()), pa.array(ids, pa.binary())]
                 if by_id is not None:
                     out.append(pa.array([decode_ids(b, by_id.value) for b in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(out, names=[id_col, "n_tokens", "ids", "decoded"][: len(out)])
-        encoder.own.clear()  # what follows in this worker may be another stage
+        _encoders.clear()  # what follows in this worker may be another stage
+        release_memory()
 
     base = docs.select(F.col(id_col), text_of(text_col).alias("__text"))
     return base.mapInArrow(encode, f"`{id_col}` {dict(base.dtypes)[id_col]}, n_tokens long, ids binary" + ", decoded string" * decode)

@@ -82,7 +82,7 @@ def _slots_of(grams: np.ndarray) -> list[np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in S.small_batches(batches):
         langs = batch.column(0).to_pylist()
         for i, j, grams, bounds in _grams(batch.column(1)):
             by: dict[str, list[np.ndarray]] = {}
@@ -150,7 +150,7 @@ def predict_languages(docs: DataFrame, filters: LanguageFilters, id_col: str = "
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = shared.value
         names = np.array([*f.languages, UNDETERMINED], dtype=object)
-        for batch in batches:
+        for batch in S.small_batches(batches):
             texts = batch.column(1)
             for i, j, grams, bounds in _grams(texts):
                 n = np.diff(bounds)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +40,22 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of few rows (no copies), so that copies made of a run are small; frees memory at the end."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+    release_memory()
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: the worker stays for other tasks, of other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets of the rows in them); null texts are empty."""
     column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
