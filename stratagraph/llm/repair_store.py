@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_of
-from .word_cache import WordEncoder, text_runs
+from .shingles import small_batches
+from .word_cache import HashedWords, WordEncoder, text_runs
 
 BLOCK_IDS = 1 << 20
 #: Rule symbols begin here; every supported vocabulary is smaller.
@@ -185,7 +186,7 @@ def read_document(payload: bytes, nth: int) -> np.ndarray:
     return _levels(wide[i:j], left, right)[skip : skip + end - begin]
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, HashedWords] = {}
 
 
 def write_token_blocks(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end: int = END, shard_documents: int = SHARD_DOCUMENTS) -> DataFrame:
@@ -195,9 +196,11 @@ def write_token_blocks(docs: DataFrame, path: str, id_col: str = "doc_id", text_
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.setdefault(path, WordEncoder(path, False, "<u2"))
+        if path not in _encoders:
+            _encoders[path] = HashedWords(WordEncoder(path, False, "<u2"))
+        encoder = _encoders[path]
         tail = np.array([end], "<u2").tobytes()
-        for batch in batches:
+        for batch in small_batches(batches):
             for first, texts in text_runs(batch.column(2)):
                 ids = pa.array([b + tail for b in encoder.encode_all(texts)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), batch.column(1).slice(first, len(texts)), ids], names=["shard", "id", "ids"])

@@ -71,10 +71,10 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         i = j
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of each word in order, and where each text's words begin (one more entry at the end)."""
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and end byte of each word in order, and where each text's words begin (one more entry at the end)."""
     if not len(data):
-        return np.zeros(0, _U), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
@@ -85,12 +85,23 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     after = np.empty_like(inside)
     after[-1] = False
     after[:-1] = inside[1:]
-    ends = np.flatnonzero(inside & (~after | edge[1:]))
+    ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
+    return starts, ends, np.searchsorted(starts, offsets).astype(np.int64)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each stretch of bytes."""
+    if not len(starts):
+        return np.zeros(0, _U)
     total = np.cumsum((data.astype(_U) + _U(1)) * _power(_B1, len(data)), dtype=_U)
-    upto = total[ends] - np.where(starts > 0, total[starts - 1], _U(0))
-    inverse = pow(_B1, -1, 2**64)
-    hashed = mix(upto * _power(inverse, len(data))[starts] + (ends - starts).astype(_U))
-    return hashed, np.searchsorted(starts, offsets).astype(np.int64)
+    upto = total[ends - 1] - np.where(starts > 0, total[starts - 1], _U(0))
+    return mix(upto * _power(pow(_B1, -1, 2**64), len(data))[starts] + (ends - starts).astype(_U))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of each word in order, and where each text's words begin."""
+    starts, ends, bounds = word_spans(data, offsets)
+    return span_hashes(data, starts, ends), bounds
 
 
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -17,6 +17,8 @@ import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
 
+from . import shingles as S
+
 #: Characters on whose class (letter, digit, space, other) and case all Unicode versions agree.
 _OTHER = re.compile(r"[^\t\n\r\x20-\x7e¡-¨«-±´¶-¸»¿-įĲ-ňŊ-ž]|<\|")
 #: White space that no single space between two words is.
@@ -109,6 +111,96 @@ class WordEncoder:
         return out
 
 
+class HashedWords:
+    """Ids of lower-cased, white-space separated words in flat arrays, keyed by 64-bit word hashes.
+
+    For tokenizers that drop white space. A worker keeps up to MOST words (about 70 MB) and encodes the rest each
+    time they come; whole runs of texts are looked up and put together at once.
+    """
+
+    BITS = 22
+    MOST = 1 << 21
+
+    def __init__(self, encoder: WordEncoder):
+        self.encoder = encoder
+        self.keys = np.zeros(1 << self.BITS, np.uint64)
+        self.at = np.zeros(1 << self.BITS, np.int32)
+        self.size = np.zeros(1 << self.BITS, np.uint16)
+        self.ids = np.zeros(1 << 16, encoder.dtype)
+        self.used = self.filled = 0
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Slots of keys, -1 for those that are not held."""
+        slot = self._slot(keys)
+        held = self.keys[slot]
+        out = np.where(held == keys, slot, -1)
+        todo = np.flatnonzero((held != keys) & (held != 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & (len(self.keys) - 1)
+            held = self.keys[slot[todo]]
+            hit = held == keys[todo]
+            out[todo[hit]] = slot[todo[hit]]
+            todo = todo[~hit & (held != 0)]
+        return out
+
+    def add(self, keys: np.ndarray, words: list[bytes]) -> None:
+        """Distinct new keys with their ids as bytes."""
+        n = np.array([len(w) for w in words], np.int64) // self.encoder.dtype.itemsize
+        new = np.frombuffer(b"".join(words), self.encoder.dtype)
+        if self.filled + len(new) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(new)), self.encoder.dtype)])
+        self.ids[self.filled : self.filled + len(new)] = new
+        at = self.filled + np.cumsum(n) - n
+        self.filled += len(new)
+        self.used += len(keys)
+        slot, todo = self._slot(keys), np.arange(len(keys))
+        while len(todo):
+            free = self.keys[slot[todo]] == 0
+            _, one = np.unique(np.where(free, slot[todo], -1 - np.arange(len(todo))), return_index=True)
+            one = one[free[one]]
+            put = todo[one]
+            self.keys[slot[put]], self.at[slot[put]], self.size[slot[put]] = keys[put], at[put], n[put]
+            todo = np.delete(todo, one)
+            slot[todo] = (slot[todo] + 1) & (len(self.keys) - 1)
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        plain = [k for k, t in enumerate(texts) if not _OTHER.search(t)]
+        out: list[bytes] = [b""] * len(texts)
+        for k in set(range(len(texts))) - set(plain):
+            out[k] = self.encoder.whole(texts[k])
+        low = pa.array([texts[k].lower() for k in plain], pa.large_string())
+        for i, j, data, offsets in S.text_slices(low):
+            for k, ids in zip(plain[i:j], self._encode(data, offsets)):
+                out[k] = ids
+        return out
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        starts, ends, bounds = S.word_spans(data, offsets)
+        keys = S.span_hashes(data, starts, ends) | np.uint64(1)  # 0 marks an empty slot
+        slot = self.find(keys)
+        lack = np.flatnonzero(slot < 0)
+        ids, at, size = self.ids, self.at[slot], self.size[slot].astype(np.int64)
+        if len(lack):
+            distinct, first, where = np.unique(keys[lack], return_index=True, return_inverse=True)
+            raw = data.tobytes()
+            a, b = starts[lack[first]].tolist(), ends[lack[first]].tolist()
+            words = self.encoder.encode_words([raw[x:y].decode() for x, y in zip(a, b)])
+            n = np.array([len(w) for w in words], np.int64) // self.encoder.dtype.itemsize
+            # This run reads the new ids from behind the held ones, whether or not they are kept.
+            ids = np.concatenate([self.ids[: self.filled], np.frombuffer(b"".join(words), self.encoder.dtype)])
+            at[lack], size[lack] = (self.filled + np.cumsum(n) - n)[where], n[where]
+            room = self.MOST - self.used
+            if room > 0:
+                self.add(distinct[:room], words[:room])
+        upto = np.concatenate([[0], np.cumsum(size)])
+        flat = ids[np.repeat(at - upto[:-1], size) + np.arange(int(upto[-1]))].tobytes()
+        cut = (upto[bounds] * self.encoder.dtype.itemsize).tolist()
+        return [flat[x:y] for x, y in zip(cut[:-1], cut[1:])]
+
+
 def text_runs(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) in runs of at most `limit` characters, one text at least."""
     run: list[str] = []
