@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import bound_batches, materialize, text_of
 from .shingles import release_memory, small_batches
 from .word_cache import WordEncoder, byte_alphabet, text_runs
 
@@ -74,6 +74,7 @@ def word_table(docs: DataFrame, path: str, text_col: str = "text", words: int =
             ids = pa.array(encoder.encode_words(batch.column(0).to_pylist()), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], names=["word", "n", "ids"])
 
+    bound_batches(docs.sparkSession)
     counts = materialize(docs.select(text_of(text_col).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word_counts")
     # The smallest count whose words still fit; its histogram has one row a distinct count at most.
     room, least = words, 1 << 62

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import fold_of, text_of
+from .common import bound_batches, fold_of, text_of
 
 SLOTS_LOG2 = 20
 HASHES = 3
@@ -145,6 +145,7 @@ def _scores(grams: np.ndarray, bounds: np.ndarray, f: LanguageFilters) -> np.nda
 
 def predict_languages(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, lang_pred and score for every row."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

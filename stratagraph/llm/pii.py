@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import bound_batches, text_of
 from .word_cache import text_runs
 
 KINDS = ("email", "ip", "card", "phone")
@@ -374,6 +374,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_t
 
 def find_spans(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, base and spans (arrays of kind, start, end) of every row."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 

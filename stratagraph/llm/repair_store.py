@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import bound_batches, materialize, text_of
 from .shingles import small_batches
 from .word_cache import HashedWords, WordEncoder, text_runs
 
@@ -236,6 +236,7 @@ def write_token_blocks(docs: DataFrame, path: str, id_col: str = "doc_id", text_
         if parts:
             yield flush()
 
+    bound_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     n = base.count()
     shards = max(1, -(-n // shard_documents))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, fold_of, materialize, text_of
+from .common import BROADCAST_ROWS, bound_batches, fold_of, materialize, text_of
 from .word_cache import text_runs
 
 TRAIN_ROWS = 20_000
@@ -214,6 +214,7 @@ def _learn_exceptions(sample: DataFrame, entries: dict[str, float], least: int =
 
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, score (0 to 1) and predicted of every row."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,6 @@ with white space side by side goes to the library whole. Either way the ids are
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,15 +75,25 @@ class WordEncoder:
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of each word, from the library's model over the word's pre-tokens."""
-        tokenize, kind, out = self.model.tokenize, self.dtype, []
+        flat, ends = self.flat_words(words)
+        raw, size = flat.tobytes(), self.dtype.itemsize
+        return [raw[size * x : size * y] for x, y in zip([0, *ends[:-1]], ends)]
+
+    def flat_words(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
+        """The same ids in one array, and where each word's end."""
+        tokenize, cut, front = self.model.tokenize, self.cut, _LETTERS[32] if self.spaces else ""
+        ids: list[int] = []
+        ends: list[int] = []
         for w in words:
-            ids: list[int] = []
-            for piece in self.cut(f" {w}") if self.spaces else self.cut(w):
-                if not piece.isascii() or " " in piece or not piece.isprintable():
-                    piece = "".join([_LETTERS[b] for b in piece.encode()])
-                ids += [t.id for t in tokenize(piece)]
-            out.append(array(kind.char, ids).tobytes())
-        return out
+            if w.isalpha() and w.isascii():  # one pre-token
+                ids += [t.id for t in tokenize(front + w)]
+            else:
+                for piece in cut(f" {w}") if self.spaces else cut(w):
+                    if not piece.isascii() or " " in piece or not piece.isprintable():
+                        piece = "".join([_LETTERS[b] for b in piece.encode()])
+                    ids += [t.id for t in tokenize(piece)]
+            ends.append(len(ids))
+        return np.array(ids, self.dtype), ends
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; what the table and the memory lack is encoded together, each word once."""
@@ -114,12 +123,12 @@ class WordEncoder:
 class HashedWords:
     """Ids of lower-cased, white-space separated words in flat arrays, keyed by 64-bit word hashes.
 
-    For tokenizers that drop white space. A worker keeps up to MOST words (about 70 MB) and encodes the rest each
+    For tokenizers that drop white space. A worker keeps up to MOST words (about 35 MB) and encodes the rest each
     time they come; whole runs of texts are looked up and put together at once.
     """
 
-    BITS = 22
-    MOST = 1 << 21
+    BITS = 21
+    MOST = 1 << 20
 
     def __init__(self, encoder: WordEncoder):
         self.encoder = encoder
@@ -146,10 +155,8 @@ class HashedWords:
             todo = todo[~hit & (held != 0)]
         return out
 
-    def add(self, keys: np.ndarray, words: list[bytes]) -> None:
-        """Distinct new keys with their ids as bytes."""
-        n = np.array([len(w) for w in words], np.int64) // self.encoder.dtype.itemsize
-        new = np.frombuffer(b"".join(words), self.encoder.dtype)
+    def add(self, keys: np.ndarray, new: np.ndarray, n: np.ndarray) -> None:
+        """Distinct new keys with their ids in a row, and how many each has."""
         if self.filled + len(new) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(new)), self.encoder.dtype)])
         self.ids[self.filled : self.filled + len(new)] = new
@@ -187,14 +194,14 @@ class HashedWords:
             distinct, first, where = np.unique(keys[lack], return_index=True, return_inverse=True)
             raw = data.tobytes()
             a, b = starts[lack[first]].tolist(), ends[lack[first]].tolist()
-            words = self.encoder.encode_words([raw[x:y].decode() for x, y in zip(a, b)])
-            n = np.array([len(w) for w in words], np.int64) // self.encoder.dtype.itemsize
+            new, word_ends = self.encoder.flat_words([raw[x:y].decode() for x, y in zip(a, b)])
+            n = np.diff(word_ends, prepend=0)
             # This run reads the new ids from behind the held ones, whether or not they are kept.
-            ids = np.concatenate([self.ids[: self.filled], np.frombuffer(b"".join(words), self.encoder.dtype)])
+            ids = np.concatenate([self.ids[: self.filled], new])
             at[lack], size[lack] = (self.filled + np.cumsum(n) - n)[where], n[where]
-            room = self.MOST - self.used
+            room = min(self.MOST - self.used, len(distinct))
             if room > 0:
-                self.add(distinct[:room], words[:room])
+                self.add(distinct[:room], new[: word_ends[room - 1]], n[:room])
         upto = np.concatenate([[0], np.cumsum(size)])
         flat = ids[np.repeat(at - upto[:-1], size) + np.arange(int(upto[-1]))].tobytes()
         cut = (upto[bounds] * self.encoder.dtype.itemsize).tolist()
