@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, materialize, text_of
-from .shingles import small_batches
+from .shingles import release_memory, small_batches
 from .word_cache import HashedWords, WordEncoder, text_runs
 
 BLOCK_IDS = 1 << 20
@@ -206,6 +206,8 @@ def write_token_blocks(docs: DataFrame, path: str, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), batch.column(1).slice(first, len(texts)), ids], names=["shard", "id", "ids"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _encoders.clear()  # all texts are encoded by now
+        release_memory()
         shard, block, start = None, 0, 0
         ids: list[int] = []
         parts: list[bytes] = []
@@ -260,7 +262,7 @@ def read_token_blocks(blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
     offset = blocks.sparkSession.createDataFrame(offsets, "shard int, offset long")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             for begin, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
                 docs, sizes, ids = unpack_block(payload.as_py())
                 ends = np.cumsum(sizes, dtype=np.int64)
