@@ -26,7 +26,7 @@ QUESTIONS = [
     (4, "What is the architecture of the shop?"),
     (5, "Explain how does MemoryStore.put() work"),
     (6, "what is in shop/prices.py"),
-    (7, "What does main call?"),
+    (7, "What does `main` call?"),
     (8, "why are notes sent"),
 ]
 REPOSITORY = "shop"
@@ -37,5 +37,5 @@ def files(spark: SparkSession) -> DataFrame:
 
     from stratagraph.functions.paths import language
 
-    rows = spark.createDataFrame([(REPOSITORY, p, len(t.encode()), t) for p, t in FILES.items()], "repository_id string, file_path string, length long, text string")
+    rows = spark.createDataFrame([(REPOSITORY, p, len(t.encode()), t) for p, t in FILES.items()], "repository_id string, file_path string, length long, text string").coalesce(1)
     return rows.select("repository_id", "file_path", language(F.col("file_path")).alias("language"), "length", "text")

@@ -222,12 +222,12 @@ def _parsed(spark: SparkSession) -> tuple[Parsed, G.Graph]:
 
 @query()
 def python_entities(spark: SparkSession, d: str) -> DataFrame:
-    return _parsed(spark)[0].entities.where("language = 'python'")
+    return parse_repository(fixture.files(spark)).entities.where("language = 'python'")
 
 
 @query()
 def js_entities(spark: SparkSession, d: str) -> DataFrame:
-    return _parsed(spark)[0].entities.where("language in ('javascript', 'typescript')")
+    return parse_repository(fixture.files(spark)).entities.where("language in ('javascript', 'typescript')")
 
 
 @query()

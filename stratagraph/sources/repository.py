@@ -23,21 +23,68 @@ def is_binary(content: Column) -> Column:
     return F.coalesce(F.instr(F.substring(content, 1, SNIFF_BYTES).cast("string"), "\x00") > 0, F.lit(True))
 
 
+def _hidden(spark: SparkSession, root: str) -> list[tuple[str, int]]:
+    """(path, length) of files that Spark's listing leaves out: names or folders that begin with _ or a dot, and empty files.
+
+    Paths are listed through Hadoop's file systems; only these files, such as `__init__.py`, come to the driver by name.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(conf)
+    base = fs.makeQualified(path).toString().rstrip("/") + "/"
+    found, todo = [], [(path, False)]
+    while todo:
+        folder, inside = todo.pop()
+        for s in fs.listStatus(folder):
+            name = s.getPath().getName()
+            odd = inside or name[0] in "._"
+            if s.isDirectory():
+                if name not in P.IGNORED_FOLDERS:
+                    todo.append((s.getPath(), odd))
+            elif not s.isSymlink() and (odd or s.getLen() == 0) and s.getLen() <= MAX_FILE_BYTES:
+                found.append((s.getPath().toString().removeprefix(base), s.getLen()))
+    return found
+
+
+def _read_hidden(spark: SparkSession, root: str, names: list[tuple[str, int]]) -> DataFrame:
+    """(path, length, content) of named files under root, read by the executors through Arrow's file systems."""
+
+    def read(batches):
+        import pandas as pd
+        import pyarrow.fs as afs
+
+        fs, base = afs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (afs.LocalFileSystem(), root)
+        for batch in batches:
+            content = []
+            for name, length in zip(batch["path"], batch["length"]):
+                if length:
+                    with fs.open_input_stream(f"{base.rstrip('/')}/{name}") as f:
+                        content.append(f.read())
+                else:
+                    content.append(b"")
+            yield pd.DataFrame({"path": batch["path"], "length": batch["length"], "content": content})
+
+    rows = spark.createDataFrame(names, "path string, length long").repartition(max(1, len(names) // 500))
+    return rows.mapInPandas(read, "path string, length long, content binary")
+
+
 def scan(spark: SparkSession, root: str, repository_id: str, respect_gitignore: bool = True) -> DataFrame:
     """files(repository_id, file_path, language, length, text) of a folder as if it were cloned.
 
     The size limit reaches the file listing, ignored paths go before any content is decoded, and each file is one row.
+    Symbolic links that Hadoop's file system reports as such are left out.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = P.relative(F.col("path"), root)
+    rows = files.select(P.relative(F.col("path"), root).alias("path"), "length", "content")
+    names = _hidden(spark, root)
     extra: list[str] = []
-    if respect_gitignore:
-        found = files.where(P.base_name(F.col("path")) == ".gitignore").withColumn("__p", path).where("__p = '.gitignore'").select(F.decode("content", "utf-8")).first()
-        extra = P.gitignore_globs(found[0]) if found and found[0] else []
-    kept = files.where(F.col("length") <= MAX_FILE_BYTES).withColumn("file_path", path).where(~P.ignored(F.col("file_path"), extra)).where(~is_binary(F.col("content")))
-    return kept.select(F.lit(repository_id).alias("repository_id"), "file_path", P.language(F.col("file_path")).alias("language"), "length", F.try_validate_utf8(F.col("content").cast("string")).alias("__t"), "content").select(
-        "repository_id", "file_path", "language", "length", F.coalesce("__t", F.make_valid_utf8(F.col("content").cast("string"))).alias("text")
-    )
+    if names:
+        odd = _read_hidden(spark, root, names)
+        if respect_gitignore and any(n == ".gitignore" for n, _ in names):
+            extra = P.gitignore_globs(odd.where("path = '.gitignore'").select(F.decode("content", "utf-8")).first()[0])
+        rows = rows.unionByName(odd)
+    kept = rows.where(F.col("length") <= MAX_FILE_BYTES).withColumnRenamed("path", "file_path").where(~P.ignored(F.col("file_path"), extra)).where(~is_binary(F.col("content")))
+    return kept.select(F.lit(repository_id).alias("repository_id"), "file_path", P.language(F.col("file_path")).alias("language"), "length", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def source_files(files: DataFrame) -> DataFrame:
