@@ -23,7 +23,7 @@ _OTHER = re.compile(r"[^\t\n\r\x20-\x7e¡-¨«-±´¶-¸»¿-įĲ-ňŊ-ž]|<\|")
 #: White space that no single space between two words is.
 _ODD_SPACE = re.compile(r"[ \t\n\r][ \t\r\n]|^[ \t\n\r]|[ \t\n\r]$")
 #: Words that a worker remembers besides the table; it forgets them all when full.
-REMEMBER = 600_000
+REMEMBER = 200_000
 #: Fixed patterns of the two supported pre-tokenizers.
 _BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _LOWER_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
