@@ -214,11 +214,14 @@ def _as_items(df: DataFrame, order: Column, **given: Column) -> DataFrame:
 def hybrid(questions: DataFrame, chunks: DataFrame, g: G.Graph, files: DataFrame | None = None, embed=None, limit: int = R.CONTEXT_LIMIT) -> tuple[DataFrame, DataFrame]:
     """H1: (ranked items, distinct facts) of questions(question_id, repository_id, question)."""
     from stratagraph.functions.vectors import hashing_embedding
+    from stratagraph.plans.scratch import materialize
     from stratagraph.sources.repository import read_lines
 
-    asked = analyse(questions).persist()
-    hits = vector_items(asked.where("use_vector"), chunks, embed or hashing_embedding)
+    # Written once each: both feed several branches, whose plans would multiply.
+    asked = materialize(analyse(questions), "asked")
+    hits = materialize(vector_items(asked.where("use_vector"), chunks, embed or hashing_embedding), "hits")
     found = graph_context(asked, g).unionByName(expansion(hits.join(asked.where("wants_graph").select("question_id"), "question_id", "left_semi"), g)).join(asked.select("question_id", "repository_id"), "question_id")
+    found = materialize(found, "found")
     order = lambda k, *c: F.struct(F.lit(k).alias("k"), *[F.coalesce(x, F.lit(0)).cast("long").alias(f"o{n}") for n, x in enumerate(c)])
     vector = _as_items(hits, order(0, F.col("position"), F.lit(0), F.lit(0)), source=F.lit("vector"))
     graph = _as_items(found.where("file_path <> ''"), order(1, F.col("step"), F.col("name_pos"), F.col("row_pos")), source=F.lit("graph"))

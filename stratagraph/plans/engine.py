@@ -16,6 +16,7 @@ from stratagraph.operators import grounding as C
 from stratagraph.operators import ranking as R
 from stratagraph.operators.chunking import build_chunks, embedding_text
 from stratagraph.operators.parsing import parse_repository
+from stratagraph.plans.scratch import materialize
 from stratagraph.sources import repository as S
 from stratagraph.sources.store import Store
 
@@ -84,7 +85,9 @@ class Engine:
             ranked = H.vector_only(asked, chunks, self.embed, limit)
             facts = asked.select("question_id", F.array().cast("array<string>").alias("facts"))
         facts = asked.select("question_id").join(facts, "question_id", "left").withColumn("facts", F.coalesce("facts", F.array().cast("array<string>")))
-        contexts = R.context_text(ranked, facts)
+        # The answers read both several times.
+        ranked = materialize(ranked, "ranked")
+        contexts = materialize(R.context_text(ranked, facts), "contexts")
         return C.answers_for(contexts, ranked, self.answer) if generate else contexts
 
     def evaluate(self, repository_id: str, benchmark: DataFrame, limit: int = R.CONTEXT_LIMIT) -> DataFrame:
@@ -94,6 +97,7 @@ class Engine:
         chunks = self.store.read("chunks", repository_id)
         hybrid = H.hybrid(asked, chunks, self.graph(repository_id), None, self.embed, limit)[0]
         vector = H.vector_only(asked, chunks, self.embed, limit)
+        hybrid = materialize(hybrid, "ranked")
         rows = lambda df, name: df.select(F.lit(name).alias("system"), "question_id", "position", "file_path")
         return E.question_metrics(rows(hybrid, "hybrid").unionByName(rows(vector, "vector")), benchmark)
 
