@@ -40,7 +40,7 @@ def test_engine(spark, tree, tmp_path):
     answers = e.ask(rid, ["What calls `total`?", "why are notes sent"]).collect()
     assert len(answers) == 2 and all(a.grounded for a in answers) and "shop/run.py" in answers[0].answer
     e.delete(rid)
-    assert e.store.get(rid) is None and e.store.read("nodes").count() == 0
+    assert e.store.get(rid) is None and e.store.read("nodes", schema="node_id string").count() == 0
 
 
 def test_upsert(spark, tmp_path):
