@@ -9,9 +9,11 @@ symbols (Witten-Bell): (count + k x parent) / (total + k), down to a uniform one
 retained suffix of what stands before it. As every word sequence spells one symbol string, the sum of
 the symbols' log10 probabilities is the text's.
 
-The base is an add-0.1 unigram over words. Counts of words and of symbol runs cover all training texts and
-stay in Spark. What is broadcast has fixed bounds: at most ENTRIES tree entries, HOT_RUNS scored runs and
-HOT_WORDS word counts; words beyond those are joined by a shuffle on their 64-bit hash.
+The base is an add-0.1 unigram over words. Counts of words and of symbol runs, and the tree, cover all training
+texts and stay in Spark; every context that passes the test is kept, so the tree grows with the text (up to what DEPTH
+symbols can spell). What is broadcast has fixed bounds: the ENTRIES tree entries of the most frequent states, HOT_RUNS
+scored runs, HOT_WORDS word counts, and a bitmap of the states that are not broadcast. Words beyond those, and
+runs that may end in such a state, are joined by a shuffle; a bit set by accident only costs a lookup.
 
 Defined results
 - Null and empty texts: one token (the end). Empty training set: base and score from uniform
@@ -40,7 +42,10 @@ ADD = 0.1
 LEAST = 8
 #: Bits that describing one next symbol costs, times log2 of the context's count.
 COST = 0.25
+#: Tree entries that are broadcast; the others are joined.
 ENTRIES = 1_000_000
+#: Bits of the bitmap of states that are not broadcast (8 MB).
+COLD_BITS = 26
 HOT_RUNS = 1 << 20
 HOT_WORDS = 1_000_000
 #: Distinct keys that a task holds before it passes them on.
@@ -51,6 +56,15 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _END, _SPACE = 0xFF, 0x20
 _MASK = [_U((1 << (8 * k)) - 1) for k in range(9)]
+_MASKS = np.array(_MASK[:8], _U)
+
+
+def _state_key(level: np.ndarray, context: np.ndarray) -> np.ndarray:
+    return (level.astype(_U) + _U(1)) << _U(56) | context
+
+
+def _cold_bit(state: np.ndarray) -> np.ndarray:
+    return (mix(state) >> _U(64 - COLD_BITS)).astype(np.int64)
 
 
 def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,6 +198,8 @@ class SuffixTree:
     entries: Lookup
     escapes: Lookup
     hot: Lookup
+    #: Bitmap of the states that are not held here (None: all are).
+    cold: np.ndarray | None = None
 
     def log10_runs(self, code: np.ndarray) -> np.ndarray:
         out = self.hot.get(code).astype(np.float64)
@@ -192,7 +208,26 @@ class SuffixTree:
             out[todo] = self._walk(code[todo])
         return out
 
-    def _walk(self, code: np.ndarray) -> np.ndarray:
+    def known_runs(self, code: np.ndarray) -> np.ndarray:
+        """log10_runs, NaN where the longest state may be one that is not held."""
+        out = self.hot.get(code).astype(np.float64)
+        todo = np.flatnonzero(np.isnan(out))
+        if len(todo):
+            depth = np.full(len(todo), -1)
+            value = self._walk(code[todo], depth)
+            if self.cold is not None:
+                value[self._beyond(code[todo], depth)] = np.nan
+            out[todo] = value
+        return out
+
+    def _beyond(self, code: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        """Whether the context one symbol longer than the longest held one may be a state: ancestors of states are states."""
+        longer = np.minimum(depth + 1, DEPTH)
+        bit = _cold_bit(_state_key(longer, (code >> _U(8)) & _MASKS[longer]))
+        return (depth < DEPTH) & ((self.cold[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
+
+    def _walk(self, code: np.ndarray, depth: np.ndarray | None = None) -> np.ndarray:
+        """log10 P of the runs by the held states; depth takes the length of the longest one."""
         out = np.zeros(len(code))
         todo = np.arange(len(code))
         for k in range(DEPTH, -1, -1):
@@ -201,8 +236,13 @@ class SuffixTree:
             value = self.entries.get(level | (c & _MASK[k + 1])).astype(np.float64)
             left = np.isnan(value)
             out[todo[~left]] += value[~left]
+            if depth is not None:
+                depth[todo[~left]] = np.maximum(depth[todo[~left]], k)
             todo, c = todo[left], c[left]
             escape = self.escapes.get(level | ((c >> _U(8)) & _MASK[k])).astype(np.float64)
+            if depth is not None:
+                here = todo[~np.isnan(escape)]
+                depth[here] = np.maximum(depth[here], k)
             out[todo] += np.where(np.isnan(escape), 0.0, escape)
         out[todo] -= math.log10(257)
         return out
@@ -210,9 +250,9 @@ class SuffixTree:
 
 def _tree(kept: pa.Table, hot: np.ndarray) -> SuffixTree:
     """kept(level, context, symbol, n, total, kinds): the retained states' counts."""
-    level = kept.column("level").to_numpy().astype(np.int64)
-    context = kept.column("context").to_numpy().astype(np.int64).view(_U)
-    symbol = kept.column("symbol").to_numpy().astype(np.int64).view(_U)
+    level = kept.column("level").to_numpy()
+    context = kept.column("context").to_numpy().view(_U)
+    symbol = kept.column("symbol").to_numpy().astype(_U)
     n, total = kept.column("n").to_numpy().astype(float), kept.column("total").to_numpy().astype(float)
     kinds = kept.column("kinds").to_numpy().astype(float)
     key = (level.astype(_U) + _U(1)) << _U(56) | context << _U(8) | symbol
@@ -227,7 +267,8 @@ def _tree(kept: pa.Table, hot: np.ndarray) -> SuffixTree:
         p = np.log10((n[at] + kinds[at] * parent) / (total[at] + kinds[at]))
         keys, values = np.concatenate([keys, key[at]]), np.concatenate([values, p])
         tree.entries = Lookup(keys, values)
-    tree.hot = Lookup(hot, tree._walk(hot))
+    if len(hot):
+        tree.hot = Lookup(hot, tree._walk(hot))
     return tree
 
 
@@ -247,8 +288,8 @@ def _below(tree: SuffixTree, code: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _retained(grams: DataFrame, entries: int) -> DataFrame:
-    """(level, context, symbol, n, total, kinds) of the retained states, at most about `entries` rows."""
+def _retained(grams: DataFrame, entries: int | None = None) -> DataFrame:
+    """(level, context, symbol, n, total, kinds) of the retained states: all, or the most frequent ones of at most `entries` rows."""
     level = F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("level")
     run = F.expr("key & (shiftleft(1L, 8 * (level + 1)) - 1)").alias("run")
     counts = (
@@ -267,17 +308,91 @@ def _retained(grams: DataFrame, entries: int) -> DataFrame:
         .agg(F.sum(F.col("n") * F.log2((F.col("n") / F.col("total")) / (F.col("pn") / F.col("pt")))).alias("bits"))
         .select("level", "context", "parent", "kinds", (F.col("bits") - COST * F.col("kinds") * F.log2(F.col("total") + 1)).alias("gain"))
     )
-    tests = materialize(tests.where("gain > 0"), "suffix_tests")
-    least = 0.0
-    for _ in range(60):
-        if (tests.where(F.col("gain") > least).agg(F.sum("kinds")).first()[0] or 0) <= entries:
-            break
-        least = 2 * least + 64
-    states = tests.where(F.col("gain") > least).select("level", "context")
+    states = tests.where("gain > 0").select("level", "context")
     # Ancestors: every retained context's shorter suffixes.
     shorter = states.select(F.explode(F.sequence(F.lit(0), F.col("level"))).alias("level"), "context").select("level", F.expr("context & (shiftleft(1L, 8 * level) - 1)").alias("context"))
     root = full.where("level = 0").select("level", "context").distinct()
-    return full.join(shorter.unionByName(root).distinct(), ["level", "context"]).select("level", "context", "symbol", "n", "total", "kinds")
+    kept = full.join(shorter.unionByName(root).distinct(), ["level", "context"]).select("level", "context", "symbol", "n", "total", "kinds")
+    if entries is None:
+        return kept
+    kept = materialize(kept, "suffix_kept")
+    return kept.where(F.col("total") >= _least_total(kept, entries))
+
+
+def _least_total(kept: DataFrame, entries: int) -> int:
+    """The least count of the states that fit in `entries` rows. An ancestor's count is no smaller, so it is among them."""
+    room, least = entries, 1 << 62
+    for r in kept.groupBy("total").agg(F.count("*").alias("rows")).orderBy(F.desc("total")).limit(entries).toLocalIterator():
+        room -= r["rows"]
+        if room < 0:
+            break
+        least = r["total"]
+    return least
+
+
+def _cold_tables(kept: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(key, value) of entries and (state, escape) of states below the count `least`, in log10."""
+    level, parent = F.col("level").cast("long"), F.expr("context & (shiftleft(1L, 8 * (level - 1)) - 1)")
+    smooth = (F.col("n") + F.col("kinds") * F.col("above")) / (F.col("total") + F.col("kinds"))
+    state = F.shiftleft(level + 1, 56).bitwiseOR(F.col("context"))
+    key = F.shiftleft(level + 1, 56).bitwiseOR(F.shiftleft("context", 8)).bitwiseOR(F.col("symbol"))
+    known, cold = None, []
+    # Shorter states first: a state's smoothing reads its parent's finished values.
+    for k in range(DEPTH + 1):
+        here = kept.where(F.col("level") == k)
+        if known is None:
+            here = here.withColumn("above", F.lit(1 / 257))
+        else:
+            here = here.withColumn("parent", parent).join(known, ["parent", "symbol"])
+        done = materialize(here.select("context", "symbol", "total", smooth.alias("p"), key.alias("key")), "suffix_values")
+        known = done.select(F.col("context").alias("parent"), "symbol", F.col("p").alias("above"))
+        cold.append(done.where(F.col("total") < least).select("key", F.log10("p").alias("value")))
+    entries = cold[0]
+    for c in cold[1:]:
+        entries = entries.unionByName(c)
+    states = kept.where(F.col("total") < least).select(state.alias("state"), F.log10(F.col("kinds") / (F.col("total") + F.col("kinds"))).alias("escape")).distinct()
+    return entries, materialize(states, "suffix_cold")
+
+
+def _cold_bitmap(states: DataFrame) -> np.ndarray:
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_cold_bit(batch.column(0).to_numpy().view(_U)) + 1)], names=["slot"])
+
+    rows = (
+        states.select("state").mapInArrow(slots, "slot long")
+        .groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    )
+    out = np.zeros(1 << (COLD_BITS - 3), np.uint8)
+    for r in rows.toLocalIterator():  # at most 8 MB
+        out[4096 * (r["bucket"] - 1) : 4096 * r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _cold_scores(codes: DataFrame, shared, entries: DataFrame, states: DataFrame) -> DataFrame:
+    """(key, lm) of codes(key), distinct runs whose longest state may not be broadcast: log10 P by the whole tree."""
+
+    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = shared.value[0]
+        for batch in batches:
+            code = batch.column(0).to_numpy().view(_U)
+            depth = np.full(len(code), -1)
+            base = tree._walk(code, depth)
+            for k in range(1, DEPTH + 1):
+                at = np.flatnonzero(depth < k)
+                level, c = np.full(len(at), k), code[at]
+                state = _state_key(level, (c >> _U(8)) & _MASK[k])
+                key = (_U(k + 1) << _U(56)) | (c & _MASK[k + 1])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c.view(np.int64)), pa.array(level.astype(np.int32)), pa.array(state.view(np.int64)), pa.array(key.view(np.int64)), pa.array(base[at])], names=["code", "level", "state", "key", "base"]
+                )
+
+    # Where a state has no entry for the symbol, no longer one has; its escape leads to the shorter one.
+    asked = codes.mapInArrow(probes, "code long, level int, state long, key long, base double").join(states, "state", "left")
+    found = asked.where("escape is not null").join(entries, "key", "left").groupBy("code").agg(
+        F.max_by("value", F.when(F.col("value").isNotNull(), F.col("level"))).alias("value"), F.max("base").alias("base"), F.sum(F.when(F.col("value").isNull(), F.col("escape")).otherwise(0.0)).alias("escape")
+    )
+    return found.select(F.col("code").alias("key"), (F.coalesce("value", "base") + F.col("escape")).alias("lm"))
 
 
 def _top(counts: DataFrame, most: int) -> DataFrame:
@@ -304,7 +419,31 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     below = N + ADD * (V + 1)
     log_of = lambda c: math.log10((c + ADD) / below)
 
-    tree = _tree(_retained(grams, ENTRIES).toArrow(), _top(grams, HOT_RUNS).select("key").toArrow().column("key").to_numpy().astype(np.int64).view(_U))
+    kept = materialize(_retained(grams), "suffix_kept")
+    least = _least_total(kept, ENTRIES)
+    narrow = [F.col("level").cast("byte"), "context", F.col("symbol").cast("short"), "n", "total", F.col("kinds").cast("short")]
+    tree = _tree(kept.where(F.col("total") >= least).select(*narrow).toArrow(), np.zeros(0, _U))
+    S.release_memory()
+    hot_runs = _top(grams, HOT_RUNS).select("key").toArrow().column("key").to_numpy().astype(np.int64).view(_U)
+    cold = None
+    if kept.where(F.col("total") < least).limit(1).count():
+        cold = _cold_tables(kept, least)
+        tree.cold = _cold_bitmap(cold[1])
+    # In parts: the driver's memory is small.
+    values = np.concatenate([tree.known_runs(hot_runs[k : k + 100_000]) for k in range(0, max(1, len(hot_runs)), 100_000)])
+    far = np.isnan(values)
+    if far.any():
+        spark, alone = docs.sparkSession, docs.sparkSession.sparkContext.broadcast((tree, None))
+        asked = spark.createDataFrame(pa.table({"key": hot_runs[far].view(np.int64)}))
+        answers = _cold_scores(asked, alone, *cold).toArrow()
+        exact = Lookup(answers.column("key").to_numpy().astype(np.int64).view(_U), answers.column("lm").to_numpy())
+        # No answer: a bit set by accident.
+        got = exact.get(hot_runs[far]).astype(np.float64)
+        values[far] = np.where(np.isnan(got), tree._walk(hot_runs[far]), got)
+        alone.destroy()
+        del asked, answers, exact, got
+    S.release_memory()
+    tree.hot = Lookup(hot_runs, values)
     top = _top(words, hot_words).toArrow()
     hot = Lookup(top.column("key").to_numpy().astype(np.int64).view(_U), np.log10((top.column("n").to_numpy() + ADD) / below))
     shared = docs.sparkSession.sparkContext.broadcast((tree, hot))
@@ -322,7 +461,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 known_upto = np.concatenate([[0], np.cumsum(known)])
                 hot_upto = np.concatenate([[0.0], np.cumsum(np.where(known, found, 0.0))])
                 code, at = runs(*symbols(data, offsets))
-                lm_upto = np.concatenate([[0.0], np.cumsum(lm.log10_runs(code))])
+                logs = lm.known_runs(code)
+                far = np.isnan(logs)
+                lm_upto = np.concatenate([[0.0], np.cumsum(np.where(far, 0.0, logs))])
+                far_at = np.concatenate([[0], np.cumsum(far)])[at].astype(np.int32)
                 cut = lambda x, b: x[b[1:]] - x[b[:-1]]
                 rare = [words[a:b][~known[a:b]].view(np.int64) for a, b in zip(bounds[:-1], bounds[1:])]
                 rare_at = np.concatenate([[0], np.cumsum([len(r) for r in rare])]).astype(np.int32)
@@ -332,20 +474,32 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         pa.array(np.diff(bounds) + 1), pa.array(cut(known_upto, bounds) + (ends > 0)),
                         pa.array(cut(hot_upto, bounds) + end_score), pa.array(cut(lm_upto, at)),
                         pa.ListArray.from_arrays(rare_at, pa.array(np.concatenate(rare) if rare else np.zeros(0, np.int64))),
+                        pa.ListArray.from_arrays(far_at, pa.array(code[far].view(np.int64))),
                     ],
-                    names=["id", "row", "n_tokens", "n_hot", "hot_score", "score", "rare"],
+                    names=["id", "row", "n_tokens", "n_hot", "hot_score", "score", "rare", "far"],
                 )
 
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value[0]._walk(batch.column(0).to_numpy().view(_U)))], names=["key", "base"])
+
     kind = dict(docs.select(F.col(id_col)).dtypes)[id_col]
     rows = base.withColumn("row", F.monotonically_increasing_id()).select("id", "row", "text")
-    scored = materialize(rows.mapInArrow(score, f"id {kind}, row long, n_tokens long, n_hot long, hot_score double, score double, rare array<long>"), "lm_scored")
+    scored = materialize(rows.mapInArrow(score, f"id {kind}, row long, n_tokens long, n_hot long, hot_score double, score double, rare array<long>, far array<long>"), "lm_scored")
     tail = (
         scored.where(F.size("rare") > 0).select("row", F.explode("rare").alias("key"))
         .join(words, "key", "left")
         .groupBy("row")
         .agg(F.count("n").alias("n_rare"), F.sum(F.log10((F.coalesce("n", F.lit(0)) + ADD) / below)).alias("rare_score"))
     )
-    return scored.drop("rare").join(tail, "row", "left").select(
+    lm = F.col("score")
+    if cold:
+        runs_of = scored.where(F.size("far") > 0).select("row", F.explode("far").alias("key"))
+        asked = materialize(runs_of.select("key").distinct().mapInArrow(held, "key long, base double"), "lm_far")
+        answers = asked.join(_cold_scores(asked.select("key"), shared, *cold), "key", "left").select("key", F.coalesce("lm", "base").alias("lm"))
+        tail = tail.join(runs_of.join(answers, "key").groupBy("row").agg(F.sum("lm").alias("far_score")), "row", "full")
+        lm = F.col("score") + F.coalesce("far_score", F.lit(0.0))
+    return scored.drop("rare", "far").join(tail, "row", "left").select(
         F.col("id").alias(id_col), "n_tokens", (F.col("n_hot") + F.coalesce("n_rare", F.lit(0))).alias("n_known"), F.lit(N).cast("long").alias("train_tokens"),
-        (F.col("hot_score") + F.coalesce("rare_score", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("hot_score") + F.coalesce("rare_score", F.lit(0.0))).alias("base_score"), lm.alias("score"),
     )

@@ -251,3 +251,13 @@ def test_toxicity_held_out(spark):
 def test_shingles_are_five_words():
     a = S.shingle_set("a b c d e f")
     assert len(a) == 2 and len(S.shingle_set("a b")) == 1 and len(S.shingle_set("")) == 0 and S.jaccard(a, S.shingle_set("a  b\tc d e f")) == 1.0
+
+
+def test_broadcast_bounds_do_not_change_the_suffix_tree(spark, monkeypatch):
+    df, _ = corpus(spark, 150, near=0)
+    whole = {r.doc_id: r.score for r in suffix_lm.score_texts(df).collect()}
+    for entries, hot_runs in ((60, 0), (400, 50)):
+        monkeypatch.setattr(suffix_lm, "ENTRIES", entries)
+        monkeypatch.setattr(suffix_lm, "HOT_RUNS", hot_runs)
+        got = {r.doc_id: r.score for r in suffix_lm.score_texts(df).collect()}
+        assert got.keys() == whole.keys() and max(abs(got[k] - whole[k]) for k in whole) < 1e-3
