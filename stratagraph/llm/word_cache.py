@@ -124,11 +124,13 @@ class HashedWords:
     """Ids of lower-cased, white-space separated words in flat arrays, keyed by 64-bit word hashes.
 
     For tokenizers that drop white space. A worker keeps up to MOST words (about 35 MB) and encodes the rest each
-    time they come; whole runs of texts are looked up and put together at once.
+    time they come, as words of over LONGEST ids; whole runs of texts are looked up and put together at once.
     """
 
     BITS = 21
     MOST = 1 << 20
+    #: Ids of a word that `size` can hold.
+    LONGEST = np.iinfo(np.uint16).max
 
     def __init__(self, encoder: WordEncoder):
         self.encoder = encoder
@@ -201,7 +203,8 @@ class HashedWords:
             at[lack], size[lack] = (self.filled + np.cumsum(n) - n)[where], n[where]
             room = min(self.MOST - self.used, len(distinct))
             if room > 0:
-                self.add(distinct[:room], new[: word_ends[room - 1]], n[:room])
+                fits = n[:room] <= self.LONGEST
+                self.add(distinct[:room][fits], new[: word_ends[room - 1]][np.repeat(fits, n[:room])], n[:room][fits])
         upto = np.concatenate([[0], np.cumsum(size)])
         flat = ids[np.repeat(at - upto[:-1], size) + np.arange(int(upto[-1]))].tobytes()
         cut = (upto[bounds] * self.encoder.dtype.itemsize).tolist()

@@ -156,3 +156,15 @@ def test_words_of_contract():
     from stratagraph.llm.shingles import word_hashes
 
     assert len(word_hashes(data, np.array([0, len(data)]))[0]) == len(re.findall(r"[^\x20\x09-\x0D]+", "a\x0bb\x0c é  c"))
+
+
+def test_a_word_of_very_many_ids_met_twice():
+    from stratagraph.llm.word_cache import HashedWords, WordEncoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = HashedWords(WordEncoder(path, False, "<u2"))
+    text = "some words " + "7" * 70_000 + " and more"
+    want = encoder.encoder.whole(text)
+    assert len(want) > 2 * 65_536
+    for _ in range(3):
+        assert encoder.encode_all([text, "some words and more"]) == [want, encoder.encoder.whole("some words and more")]
