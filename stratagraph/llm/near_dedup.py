@@ -8,10 +8,13 @@
    rows. Those that fail choose a new leader among themselves. After LEADS rounds, where at most BLOCK
    remain under a key, one task compares their signatures and emits only pairs that agree; where
    more remain they go on choosing leaders. No bucket is capped.
-4. A pair whose signatures agree in under 0.64 of the coordinates is refused (a pair of
+4. What rounds of leaders leave out is tested then: pairs of rows of one bucket that are in different
+   components of the links so far, in blocks of about BLOCK signatures. The agreeing pairs of two components are
+   decided best first, more each time, until one links them or none is left.
+5. A pair whose signatures agree in under 0.64 of the coordinates is refused (a pair of
    similarity 0.8 falls below with probability about 1e-5), one that agrees in 0.98 is taken,
    and all others are decided by the exact similarity of the whole texts' shingle sets.
-5. Connected components of the links; the smallest id names the class.
+6. Connected components of the links; the smallest id names the class.
 
 Defined results
 - Null and empty texts: one class. A text under five words is one shingle of its words.
@@ -41,6 +44,8 @@ REFUSE, TAKE = 0.64, 0.98
 BLOCK = 1024
 #: Rounds of leaders before blocks are compared.
 LEADS = 2
+#: Pairs of two components that a block hands on in the first turn, and how many times more in each later one.
+FIRST_PAIRS, MORE = 8, 16
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,6 +94,37 @@ def _block(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array(cols[0], pa.int64()), "lead": pa.array(cols[1], pa.int64()), "agree": pa.array(cols[2], pa.float64())})
 
 
+def _cross(key: tuple, table: pa.Table) -> pa.Table:
+    """The next agreeing pairs of each two components that meet in one pair of blocks; components are those of the first turn."""
+    side = table.column("side").to_numpy()
+    ids, comp, now = (table.column(c).to_numpy() for c in ("id", "comp", "now"))
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(ids), -1)
+    begin, end = table.column("begin")[0].as_py(), table.column("end")[0].as_py()
+    a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    alone = not len(b)  # a block with itself
+    b = a if alone else b
+    left, right, share = [], [], []
+    for i in a:
+        js = b[(comp[b] != comp[i]) & ((ids[b] > ids[i]) | (not alone))]
+        if len(js):
+            agree = (sig[js] == sig[i]).mean(axis=1)
+            hit = agree >= REFUSE
+            left.append(np.full(int(hit.sum()), i))
+            right.append(js[hit])
+            share.append(agree[hit])
+    x, y, agree = (np.concatenate(p) if p else np.zeros(0, t) for p, t in ((left, np.int64), (right, np.int64), (share, float)))
+    low, high = np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])
+    order = np.lexsort((ids[y], ids[x], -agree, high, low))
+    x, y, agree, low, high = x[order], y[order], agree[order], low[order], high[order]
+    if len(x):
+        fresh = np.concatenate([[True], (np.diff(low) != 0) | (np.diff(high) != 0)])
+        rank = np.arange(len(x)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+        take = (rank >= begin) & (rank < end) & (now[x] != now[y])
+        x, y, agree = x[take], y[take], agree[take]
+    names = [pa.array(np.full(len(x), k.as_py(), np.int64)) for k in key]
+    return pa.table([*names, pa.array(np.maximum(ids[x], ids[y])), pa.array(np.minimum(ids[x], ids[y])), pa.array(agree)], names=["key", "p", "q", "id", "lead", "agree"])
+
+
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in S.small_batches(batches):
         near = [S.jaccard(S.shingle_set(x), S.shingle_set(y)) for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist())]
@@ -115,18 +151,58 @@ def _decided(agree: DataFrame, docs: DataFrame) -> DataFrame:
     return taken.unionByName(exact.select("id", "lead"))
 
 
+def _cross_links(buckets: DataFrame, sigs: DataFrame, links: DataFrame, docs: DataFrame) -> DataFrame:
+    """links and those between rows of one bucket(key, id) that links leave in different components."""
+
+    def with_component(rows: DataFrame, name: str) -> DataFrame:
+        comp = connected_components(links.select(F.col("id").alias("a"), F.col("lead").alias("b"))).select(F.col("node").alias("id"), F.col("component").alias(name))
+        return rows.join(comp, "id", "left").withColumn(name, F.coalesce(name, "id"))
+
+    def open_keys(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("key").agg(F.min(name).alias("lo"), F.max(name).alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
+
+    rows = materialize(with_component(buckets, "comp"), "cross_components")
+    # Both rows of a bucket of two were compared.
+    rows = rows.join(open_keys(rows, "comp").where("n > 2"), "key")
+    # A component of over BLOCK rows has blocks of its own; the others share blocks.
+    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("m"))
+    small = sizes.groupBy("key").agg(F.sum(F.when(F.col("m") <= BLOCK, F.col("m")).otherwise(0)).alias("shared"))
+    salt = lambda c, n: F.pmod(F.xxhash64(c), F.ceil(F.col(n) / BLOCK))
+    rows = rows.join(sizes, ["key", "comp"]).join(small, "key").withColumn("own", F.when(F.col("m") > BLOCK, F.col("comp")))
+    block = F.when(F.col("own").isNotNull(), F.xxhash64("own", salt("id", "m"))).otherwise(salt("comp", "shared"))
+    rows = materialize(rows.select("key", "id", "comp", "own", block.alias("p")), "cross_rows")
+    blocks = rows.select("key", "p", "own").distinct()
+    other = blocks.select("key", F.col("p").alias("q"), F.col("own").alias("own_q"))
+    todo = materialize(blocks.join(other, "key").where("p <= q and not (own <=> own_q and own is not null)").select("key", "p", "q"), "cross_todo")
+    begin, size = 0, FIRST_PAIRS
+    while todo.limit(1).count():
+        now = materialize(with_component(rows, "now"), "cross_now")
+        open_rows = now.join(open_keys(now, "now").select("key"), "key", "left_semi").join(sigs, "id")
+        sides = open_rows.join(todo, ["key", "p"]).select("key", "p", "q", F.lit(0).alias("side"), "id", "comp", "now", "sig").unionByName(
+            open_rows.withColumnRenamed("p", "q").join(todo.where("p <> q"), ["key", "q"]).select("key", "p", "q", F.lit(1).alias("side"), "id", "comp", "now", "sig")
+        ).withColumns({"begin": F.lit(begin).cast("long"), "end": F.lit(begin + size).cast("long")})
+        found = materialize(sides.groupBy("key", "p", "q").applyInArrow(_cross, "key long, p long, q long, id long, lead long, agree double"), "cross_pairs")
+        agree = materialize(found.groupBy("id", "lead").agg(F.max("agree").alias("agree")), "cross_agree")
+        links = links.unionByName(materialize(_decided(agree, docs), "links_cross"))
+        todo = materialize(found.select("key", "p", "q").distinct(), "cross_todo")
+        begin, size = begin + size, MORE * size
+    return links
+
+
 def near_links(sketch: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """Verified links (a, b) between representatives."""
     sigs = sketch.select("id", "sig").join(reps, "id", "left_semi").dropDuplicates(["id"])
     members = sketch.select("id", "bands").join(reps, "id", "left_semi").dropDuplicates(["id"]).select("id", F.explode("bands").alias("key")).distinct()
     sigs = materialize(sigs, "signatures")
     links = sigs.select("id", F.col("id").alias("lead")).where(F.lit(False))
-    turn = 0
+    turn, buckets = 0, None
     while True:
         turn += 1
         counts = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         multi = materialize(members.join(counts, "key"), "buckets")
+        buckets = buckets or multi.select("key", "id")
         if not multi.limit(1).count():
+            links = _cross_links(buckets, sigs, links, docs)
             return links.select(F.col("id").alias("a"), F.col("lead").alias("b"))
         if turn > LEADS:
             few = multi.where(F.col("n") <= BLOCK).join(sigs, "id").select("key", "id", "sig")

@@ -261,3 +261,15 @@ def test_broadcast_bounds_do_not_change_the_suffix_tree(spark, monkeypatch):
         monkeypatch.setattr(suffix_lm, "HOT_RUNS", hot_runs)
         got = {r.doc_id: r.score for r in suffix_lm.score_texts(df).collect()}
         assert got.keys() == whole.keys() and max(abs(got[k] - whole[k]) for k in whole) < 1e-3
+
+
+def test_a_row_that_matched_its_leader_links_others(spark):
+    """1 leads its only bucket, 2 is like 1 and 3, and 3 is not like 1."""
+    from pyspark.sql import functions as F
+
+    w = [f"w{k}" for k in range(100)]
+    texts = [w, [*w[:-6], *[f"x{k}" for k in range(6)]], [*[f"y{k}" for k in range(6)], *w[6:-6], *[f"x{k}" for k in range(6)]], [f"z{k}" for k in range(50)]]
+    docs = spark.createDataFrame([(k + 1, " ".join(t)) for k, t in enumerate(texts)], "id long, text string")
+    sketch = docs.mapInArrow(near_dedup._sketch, "id long, h1 long, h2 long, sig binary, bands array<long>").withColumn("bands", F.array(F.lit(7).cast("long")))
+    got = connected_components(near_dedup.near_links(sketch, docs.select("id"), docs)).collect()
+    assert {(r.node, r.component) for r in got} == {(1, 1), (2, 1), (3, 1)}
