@@ -1,14 +1,14 @@
 """Personal data: fixed patterns, and a semi-Markov conditional random field that adds spans they miss.
 
 The base finds emails, IP addresses, payment cards and phone numbers by pattern and check. The field
-segments the text around digits and @ signs: a segment is one atom (a run of letters or of digits, or one other
+segments the text around digits and marks of an email (`@`, the word `at` in any case): a segment is one atom (a run of letters or of digits, or one other
 character) outside, or an entity of at most MAX_ATOMS atoms of one kind. An entity is scored by features
 of the whole span (its digits, groups, separators, shape, checks, neighbours), labels by a transition matrix;
 dynamic programming over (end, kind) picks boundaries and kinds together. Elsewhere a text
 has no candidate, so all of it is outside and need not be walked.
 
-It is trained on base spans as given labels, in windows of a bounded sample of texts (about TRAIN_TEXTS, chosen by a
-hash of the id), half of them again with their marks weakened (a plus dropped, `@` and dots written out), so
+It is trained on base spans as given labels, in windows of a bounded sample of texts (about TRAIN_TEXTS, and half as
+many with the word at, chosen by a hash of the id), half of them again with their marks weakened (a plus dropped, `@` written out), so
 that it learns shapes rather than one mark. Predicted spans that touch no base span are added.
 
 Defined results
@@ -44,7 +44,9 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9]+|@|\((?:at|AT)\)")
+#: Whatever `candidates` takes for a digit or an at: the word is a whole atom.
+_TRIGGER = re.compile(r"[0-9]+|@|(?<![^\W\d_])(?:at|At|aT|AT)(?![^\W\d_])")
+_AT = re.compile(r"@|(?<![^\W\d_])(?:at|At|aT|AT)(?![^\W\d_])")
 _ATOM = re.compile(r"[0-9]+|[^\W\d_]+|.", re.S)
 
 Span = tuple[int, int, str]
@@ -135,8 +137,8 @@ def span_features(text: str, start: int, end: int, atoms: int) -> list[str]:
         f"luhn={14 <= len(d) <= 19 and luhn(d)}",
         f"octets={len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups) and seps == '.'}",
     ]
-    if "@" in s:
-        out.append(f"domain={bool(_DOMAIN.fullmatch(s.rpartition('@')[2]))}")
+    if ats := [m.end() for m in _AT.finditer(s)]:
+        out.append(f"domain={bool(_DOMAIN.fullmatch(s[ats[-1]:].lstrip(' )')))}")
     return out
 
 
@@ -158,7 +160,7 @@ def candidates(text: str, atoms: list[tuple[int, int]]) -> list[tuple[int, int]]
                     break
                 spaces += 1
             digits += c == "d"
-            ats += c == "@" or text[atoms[j][0] : atoms[j][1]] == "at"
+            ats += c == "@" or text[atoms[j][0] : atoms[j][1]].lower() == "at"
             words += c == "w"
             if spaces > 4 or c in '"<>;,:|\\{}[]':
                 break
@@ -369,7 +371,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_t
     order = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30))
     near = with_trigger.where(order < int(share * (1 << 30)) + (share == 1))
     pick = near.select("id", F.explode(F.expr(r"regexp_extract_all(text, '(?s).{0,60}[0-9@].{0,90}', 0)")).alias("text")).orderBy("id", "text").limit(2 * train_texts)
-    return train_field([r["text"] for r in pick.collect()])
+    # Plain uses of the word at, so that the field learns where it is no mark.
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike(r"\b[aA][tT]\b"))
+    n = plain.count()
+    words = plain.where(order < int(min(1.0, train_texts / 2 / max(1, n)) * (1 << 30)) + (n <= train_texts / 2)).select("id", F.regexp_extract("text", r"(?s).{0,60}\b[aA][tT]\b.{0,90}", 0).alias("text")).orderBy("id", "text").limit(train_texts // 2)
+    return train_field([r["text"] for r in [*words.collect(), *pick.collect()]])
 
 
 def find_spans(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

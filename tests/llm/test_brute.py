@@ -263,6 +263,16 @@ def test_broadcast_bounds_do_not_change_the_suffix_tree(spark, monkeypatch):
         assert got.keys() == whole.keys() and max(abs(got[k] - whole[k]) for k in whole) < 1e-3
 
 
+def test_field_reads_an_email_without_digits_or_sign():
+    names = [a + b for a, b in zip(WORDS, reversed(WORDS))]
+    model = pii.train_field([f"please write to {a}.{b} @{k} or {a}.{b}@{b}{a}.com today" if k % 5 == 0 else f"please write to {a}.{b}@{b}{a}.com today" for k, (a, b) in enumerate(zip(names, WORDS))] + [f"we met at {a} and {b} at home" for a, b in zip(names, WORDS)])
+    for at in ("at", "AT", "At"):
+        text = f"please write to joe.smith {at} example.com today"
+        base, spans = pii.all_spans(text, model)
+        assert base == [] and [(text[a:b], kind) for a, b, kind in spans] == [(f"joe.smith {at} example.com", "email")]
+    assert pii.all_spans("we met at noon and sat at home", model) == ([], [])
+
+
 def test_a_row_that_matched_its_leader_links_others(spark):
     """1 leads its only bucket, 2 is like 1 and 3, and 3 is not like 1."""
     from pyspark.sql import functions as F
