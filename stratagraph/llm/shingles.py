@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +16,10 @@ SHINGLE = 5
 SLICE_BYTES = 1 << 19
 
 _U = np.uint64
-_B1, _B2 = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
-_powers: dict[int, np.ndarray] = {}
+#: Masks of the first 0 to 8 bytes of a little-endian integer.
+_FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], _U)
+#: Stretches of more bytes than this are hashed by BLAKE2.
+MIXED_BYTES = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,18 +31,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, SLICE_BYTES + 1), base & (2**64 - 1), dtype=_U)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if n <= SLICE_BYTES + 1:
-            _powers[base] = have
-    return have[:n]
-
-
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches in runs of few rows (no copies), so that copies made of a run are small; frees memory at the end."""
     for batch in batches:
@@ -89,13 +80,32 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets).astype(np.int64)
 
 
+def eight_bytes(data: np.ndarray) -> np.ndarray:
+    """The little-endian integer of the eight bytes from each position on; zeros follow the data."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def span_part(view: np.ndarray, starts: np.ndarray, n: np.ndarray, part: int) -> np.ndarray:
+    """Bytes 8 * part to 8 * part + 7 of stretches of n bytes that reach that far, as integers."""
+    return view[starts + 8 * part] & _FIRST_BYTES[np.minimum(n - 8 * part, 8)]
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each stretch of bytes."""
-    if not len(starts):
-        return np.zeros(0, _U)
-    total = np.cumsum((data.astype(_U) + _U(1)) * _power(_B1, len(data)), dtype=_U)
-    upto = total[ends - 1] - np.where(starts > 0, total[starts - 1], _U(0))
-    return mix(upto * _power(pow(_B1, -1, 2**64), len(data))[starts] + (ends - starts).astype(_U))
+    """64-bit hash of each stretch of bytes: a mix after every eight of them. Stretches of up to eight bytes never share one with another of their length."""
+    n = ends - starts
+    h = mix(n.astype(_U) + _U(0x9E3779B97F4A7C15))
+    if not len(n):
+        return h
+    view = eight_bytes(data)
+    at = np.flatnonzero(n > 0)
+    for part in range(-(-min(int(n.max()), MIXED_BYTES) // 8)):
+        at = at[n[at] > 8 * part]
+        h[at] = mix(h[at] ^ span_part(view, starts[at], n[at], part))
+    for k in np.flatnonzero(n > MIXED_BYTES).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    return h
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,16 +139,18 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, n
     return mix(s), owner
 
 
-def sequence_hashes(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each text's word sequence; 0 for a text without words."""
-    n = np.diff(bounds)
-    place = np.arange(len(words)) - np.repeat(bounds[:-1], n)
-    out = []
-    for base in (_B1, _B2):
-        power = _power(base, int(n.max(initial=0)) + 1)
-        total = np.concatenate([np.zeros(1, _U), np.cumsum(words * power[place + 1], dtype=_U)]) if len(words) else np.zeros(1, _U)
-        out.append(np.where(n > 0, mix(total[bounds[1:]] - total[bounds[:-1]] + n.astype(_U)), _U(0)))
-    return out[0], out[1]
+def sequence_digests(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """128-bit BLAKE2 digest of each text's words, joined by single spaces, as two int64."""
+    starts, ends, bounds = word_spans(data, offsets)
+    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    between = np.ones(len(starts), bool)
+    between[bounds[1:][np.diff(bounds) > 0] - 1] = False  # the last word of each text
+    keep = inside.copy()
+    keep[ends[between]] = True
+    kept = np.where(inside, data, np.uint8(32))[keep]
+    cut = np.concatenate([[0], np.cumsum(keep)])[offsets]
+    out = [hashlib.blake2b(kept[a:b], digest_size=16).digest() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+    return np.frombuffer(b"".join(out), "<i8").reshape(len(out), 2)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
