@@ -72,8 +72,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
-    out = encode_texts(docs, public_tokenizers.path("byte_bpe_50k.json"), decode=True)
-    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return encode_texts(docs, public_tokenizers.path("byte_bpe_50k.json"), decode=True, digests=True)
 
 
 @query
@@ -89,7 +88,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = write_token_blocks(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
-    return read_token_blocks(blocks).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_token_blocks(blocks, with_ids=False)
 
 
 @query
