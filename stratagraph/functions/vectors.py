@@ -22,9 +22,13 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def length(a: Column) -> Column:
+    """The norm to divide by; a zero vector counts as length 1."""
+    return F.coalesce(F.nullif(norm(a), F.lit(0.0)), F.lit(1.0))
+
+
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity; a zero vector counts as length 1."""
-    length = lambda v: F.when(norm(v) == 0, 1.0).otherwise(norm(v))
+    """Cosine similarity. Where pairs are many, keep the vectors' lengths and divide dot products by them."""
     return dot(a, b) / (length(a) * length(b))
 
 

@@ -157,8 +157,8 @@ def architecture(questions: DataFrame, g: G.Graph) -> DataFrame:
         return one.withColumn("start_line", F.lit(0)).withColumn("end_line", F.lit(0)).select(*_item(8, F.col("fact"), V.TIER_DEPENDENCY, rel, 0.6, path="path", kind=F.lit("file"), name="path"))
 
     times = F.concat(F.col("path"), F.lit(" ("), F.col("n").cast("string"), F.lit(" importers)"))
-    a = rows(central, "Most depended-on files: ", times, F.concat(F.lit("imported by "), F.col("n").cast("string"), F.lit(" files")), CENTRAL_ITEMS, 0)
-    b = rows(entry, "Files that nothing else imports (likely entry points): ", F.col("path"), F.lit("likely entry point"), ENTRY_ITEMS, 100)
+    a = rows(central, "Files imported most: ", times, F.concat(F.lit("imported by "), F.col("n").cast("string"), F.lit(" files")), CENTRAL_ITEMS, 0)
+    b = rows(entry, "Files that import and are never imported: ", F.col("path"), F.lit("entry point"), ENTRY_ITEMS, 100)
     return a.unionByName(b)
 
 

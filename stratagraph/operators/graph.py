@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratagraph.plans.scratch import small
+
 #: Label order of name lookups.
 LABELS = ("Class", "Function", "Method")
 
@@ -119,16 +121,22 @@ def overview(files: DataFrame, classes: DataFrame, functions: DataFrame, key: st
     )
 
 
-def contents(nodes: DataFrame, file_path: str) -> DataFrame:
-    """Q4: a file's classes, functions and methods as ordered struct lists; no row when the file is absent."""
-    here = nodes.where(F.col("file_path") == file_path)
+def contents(nodes: DataFrame, file_path: str | None = None) -> DataFrame:
+    """Q4: a file's classes, functions and methods as ordered struct lists, or those of every file; no row for a path without a file."""
+    here = nodes.where(F.col("file_path").isNotNull() if file_path is None else F.col("file_path") == file_path)
     pick = lambda kind: F.array_sort(F.collect_list(F.when(F.col("node_type") == kind, F.struct("start_line", "name", "class_name", "signature"))))
     return here.groupBy("repository_id", "file_path").agg(pick("Class").alias("classes"), pick("Function").alias("functions"), pick("Method").alias("methods"), F.max((F.col("node_type") == "File").cast("int")).alias("__f")).where("__f = 1").drop("__f")
 
 
-def class_info(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
-    """Q5: for each class of that name its methods, bases and subclasses (edge-exact)."""
-    classes = nodes.where((F.col("node_type") == "Class") & (F.col("name") == name)).select("repository_id", "node_id", "file_path", "name", "start_line", "end_line")
+def files_of(nodes: DataFrame, repository_id: str | None = None) -> DataFrame:
+    """Q3: (repository_id, file_path, language) of the files, by path."""
+    files = nodes.where("node_type = 'File'").select("repository_id", "file_path", "language")
+    return (files if repository_id is None else files.where(F.col("repository_id") == repository_id)).orderBy("repository_id", "file_path")
+
+
+def class_info(nodes: DataFrame, edges: DataFrame, name: str | None = None) -> DataFrame:
+    """Q5: for each class of that name, or each class, its methods, bases and subclasses (edge-exact)."""
+    classes = nodes.where(F.col("node_type") == "Class").where(F.lit(True) if name is None else F.col("name") == name).select("repository_id", "node_id", "file_path", "name", "start_line", "end_line")
     label = nodes.select("repository_id", F.col("node_id").alias("other"), F.struct(F.col("name").alias("name"), F.col("file_path").alias("file_path")).alias("item"))
 
     def side(rel: str, here: str, there: str, out: str) -> DataFrame:
@@ -140,12 +148,12 @@ def class_info(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
 
 def sources_of(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """Q6, Q8: distinct (target, id) with an edge id -> target."""
-    return edges.select(F.col("dst").alias("target"), F.col("src").alias("id")).join(F.broadcast(targets), "target", "left_semi").distinct()
+    return edges.select(F.col("dst").alias("target"), F.col("src").alias("id")).join(small(targets.distinct()), "target", "left_semi").distinct()
 
 
 def targets_of(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """Q7, Q9: distinct (source, id) with an edge source -> id."""
-    return edges.select(F.col("src").alias("source"), F.col("dst").alias("id")).join(F.broadcast(sources), "source", "left_semi").distinct()
+    return edges.select(F.col("src").alias("source"), F.col("dst").alias("id")).join(small(sources.distinct()), "source", "left_semi").distinct()
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -184,7 +192,7 @@ def network(edges: DataFrame, definitions: DataFrame, k: int) -> tuple[DataFrame
 def find_entities(nodes: DataFrame, names: DataFrame, limit: int, labels: tuple[str, ...] = LABELS) -> DataFrame:
     """Q12: exact names among the labels; by label priority, then file, line and id; `limit` rows a name."""
     priority = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("node_type"))
-    hits = nodes.where(F.col("node_type").isin(*labels)).join(F.broadcast(names), "name", "left_semi")
+    hits = nodes.where(F.col("node_type").isin(*labels)).join(small(names.distinct()), "name", "left_semi")
     order = Window.partitionBy("name").orderBy(priority, *[c for c in ("file_path", "start_line", "node_id") if c in nodes.columns])
     return hits.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)
 
@@ -193,6 +201,6 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
     """Q13: distinct one-hop neighbours in both directions with relation and direction; `limit` rows a seed, by direction, relation and id."""
     out = edges.select(F.col("src").alias("seed"), F.col("dst").alias("id"), "rel_type", F.lit("out").alias("direction"))
     into = edges.select(F.col("dst").alias("seed"), F.col("src").alias("id"), "rel_type", F.lit("in").alias("direction"))
-    near = out.unionByName(into).join(F.broadcast(seeds), "seed", "left_semi").distinct()
+    near = out.unionByName(into).join(small(seeds.distinct()), "seed", "left_semi").distinct()
     order = Window.partitionBy("seed").orderBy("direction", "rel_type", "id")
     return near.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Fixed values.
+from stratagraph.plans.scratch import materialize
+
+# How an answer names a place, and how far from a retrieved range its lines may be.
 CITATION = r"`?([\w./\-]+\.[A-Za-z0-9]+):(\d+)(?:\s*-\s*(\d+))?`?"
 TOLERANCE = 5
+UNVERIFIED = " (lines not confirmed)"
+SOURCES = "Evidence found for this question:"
 MAX_SOURCES = 6
 MAX_LOCATIONS = 10
 
@@ -29,36 +33,36 @@ def verify(citations: DataFrame, retrieved: DataFrame, tolerance: int = TOLERANC
     return judged.agg(F.coalesce(F.max(meets), F.lit(False)).alias("verified"))
 
 
-def _quoted(text: Column) -> Column:
-    return F.regexp_replace(text, r"([^A-Za-z0-9_/])", r"\\$1")
-
-
 def strip_unverified(answers: DataFrame, verified: DataFrame) -> DataFrame:
-    """Answers with unsupported line references replaced by a marker, in order of appearance."""
-    bad = verified.where("not verified").groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("seq", "file_path", "start_line", "end_line"))).alias("bad"))
+    """Answers with each unsupported reference replaced by its path and a marker.
+
+    One pass over the references as `extract` finds them, so a reference is replaced whole or not at all.
+    """
+    bad = verified.where("not verified").groupBy("question_id").agg(F.collect_set(F.struct("file_path", "start_line", "end_line")).alias("bad"))
+    part = lambda g: F.regexp_extract_all("answer", F.lit(CITATION), F.lit(g))
 
-    def replaced(text: Column, c: Column) -> Column:
-        marker = F.concat(F.regexp_replace(c["file_path"], r"([\\$])", r"\\$1"), F.lit(" (line reference unverified)"))
-        full = F.concat(F.lit("`?"), _quoted(c["file_path"]), F.lit(":"), c["start_line"].cast("string"), F.lit("-"), c["end_line"].cast("string"), F.lit("`?"))
-        bare = F.concat(F.lit("`?"), _quoted(c["file_path"]), F.lit(":"), c["start_line"].cast("string"), F.lit("`?"))
-        return F.regexp_replace(F.regexp_replace(text, full, marker), bare, marker)
+    def shown(c: Column) -> Column:
+        start = c["s"].cast("int")
+        key = F.struct(c["p"].alias("file_path"), start.alias("start_line"), F.when(c["e"] == "", start).otherwise(c["e"].cast("int")).alias("end_line"))
+        return F.when(F.array_contains("bad", key), F.concat(c["p"], F.lit(UNVERIFIED))).otherwise(c["t"])
 
-    return answers.join(bad, "question_id", "left").select(
-        "question_id", F.when(F.col("bad").isNull(), F.col("answer")).otherwise(F.aggregate("bad", F.col("answer"), replaced)).alias("answer")
-    )
+    found = F.transform(F.arrays_zip(part(0).alias("t"), part(1).alias("p"), part(2).alias("s"), part(3).alias("e")), shown)
+    between = F.split("answer", CITATION, -1)
+    text = F.array_join(F.flatten(F.zip_with(between, found, lambda x, y: F.array(x, F.coalesce(y, F.lit(""))))), "")
+    return answers.join(bad, "question_id", "left").select("question_id", F.when(F.col("bad").isNull(), F.col("answer")).otherwise(text).alias("answer"))
 
 
 def append_sources(answers: DataFrame, ranked: DataFrame, limit: int = MAX_SOURCES) -> DataFrame:
     """Answers followed by the first located items; unchanged where there is none."""
     located = ranked.where("file_path <> '' and start_line > 0").withColumn("__n", F.row_number().over(Window.partitionBy("question_id").orderBy("position"))).where(F.col("__n") <= limit)
     lines = located.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__n", F.format_string("- %s:%d-%d", "file_path", "start_line", "end_line").alias("t")))), lambda x: x["t"]), "\n").alias("lines"))
-    text = F.concat(F.rtrim(F.col("answer")), F.lit("\n\nSources (retrieved context for this answer):\n"), F.col("lines"))
+    text = F.concat(F.rtrim(F.col("answer")), F.lit(f"\n\n{SOURCES}\n"), F.col("lines"))
     return answers.join(lines, "question_id", "left").select("question_id", F.when(F.col("lines").isNull(), F.col("answer")).otherwise(text).alias("answer"))
 
 
 def extractive_answers(contexts: DataFrame, limit: int = MAX_LOCATIONS) -> DataFrame:
     """contexts(question_id, context) -> the distinct locations named in them, or an abstention."""
-    found = F.slice(F.array_distinct(F.regexp_extract_all("context", F.lit(r"Location:\s*(\S+:\d+-\d+)"), F.lit(1))), 1, limit)
+    found = F.slice(F.array_distinct(F.regexp_extract_all("context", F.lit(r"Place:\s*(\S+:\d+-\d+)"), F.lit(1))), 1, limit)
     listed = F.concat(F.lit("No language model is set up. Locations that matched the question:\n"), F.array_join(F.transform("__l", lambda x: F.concat(F.lit("- "), x)), "\n"))
     return contexts.withColumn("__l", found).select("question_id", F.when(F.size("__l") == 0, "There is not enough evidence in the index to answer this.").otherwise(listed).alias("answer"), (F.size("__l") == 0).alias("abstained"))
 
@@ -66,14 +70,14 @@ def extractive_answers(contexts: DataFrame, limit: int = MAX_LOCATIONS) -> DataF
 def answers_for(contexts: DataFrame, ranked: DataFrame, provider=extractive_answers) -> DataFrame:
     """Generate, verify, strip, and append sources where nothing was verified.
 
-    provider: DataFrame(question_id, context) -> DataFrame(question_id, answer, abstained); any callable that
-    raises is replaced by the extractive one. Returns (question_id, answer, verified, unverified, grounded, abstained).
+    provider: DataFrame(question_id, context) -> DataFrame(question_id, answer, abstained). Its answers are written before
+    they are read, so that one that fails, be it while it runs, is replaced by the extractive one. Returns (question_id, answer, verified, unverified, grounded, abstained).
     """
     try:
-        raw = provider(contexts)
+        raw = materialize(provider(contexts).select("question_id", "answer", "abstained"), "answers")
     except Exception:  # a provider that fails must not fail the batch
-        raw = extractive_answers(contexts)
-    judged = verify(extract(raw), ranked)
+        raw = materialize(extractive_answers(contexts), "answers")
+    judged = materialize(verify(extract(raw), ranked), "judged")
     counts = judged.groupBy("question_id").agg(F.count_if(F.col("verified")).alias("verified"), F.count_if(~F.col("verified")).alias("unverified"))
     clean = strip_unverified(raw, judged)
     listed = append_sources(clean, ranked).withColumnRenamed("answer", "listed")

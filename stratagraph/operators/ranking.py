@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratagraph.plans.scratch import materialize
+
 # Weight by tier, boost for both sources, score floor.
 TIER_WEIGHTS = [1.0, 0.8, 0.65, 0.5, 0.45, 0.3]
 BOTH_BOOST, SCORE_FLOOR = 1.15, 0.01
@@ -58,9 +60,10 @@ def remove_contained(ranked: DataFrame) -> DataFrame:
     As containment is transitive, better-ranked items need not be kept ones themselves: an anti join on
     (question, file) gives what the greedy loop gives.
     """
+    ranked = materialize(ranked, "ordered")  # both sides of the join read it
     a, b = ranked.alias("a"), ranked.select("question_id", "file_path", "start_line", "end_line", "rnk").alias("b")
     inside = (
-        (F.col("a.question_id") == F.col("b.question_id")) & (F.col("a.file_path") == F.col("b.file_path")) & (F.col("b.rnk") < F.col("a.rnk"))
+        (F.col("a.question_id") == F.col("b.question_id")) & overlaps("a", "b") & (F.col("b.rnk") < F.col("a.rnk"))
         & (F.col("b.start_line") <= F.col("a.start_line")) & (F.col("b.end_line") >= F.col("a.end_line"))
     )
     return a.join(b, inside, "left_anti")
@@ -97,8 +100,8 @@ def context_blocks(ranked: DataFrame, facts: DataFrame | None = None, budget: in
 
     The first block that overflows is cut if at least 400 characters remain, and nothing follows it.
     """
-    head = F.concat(F.format_string("### [%d] %s %s\nLocation: ", "position", "entity_type", "entity_name"), citation(F.col("file_path"), F.col("start_line"), F.col("end_line")))
-    head = F.concat(head, F.when(F.coalesce("relationship", F.lit("")) != "", F.concat(F.lit("\nRelationship: "), "relationship")).otherwise(""))
+    head = F.concat(F.format_string("[%d] %s %s\nPlace: ", "position", "entity_type", "entity_name"), citation(F.col("file_path"), F.col("start_line"), F.col("end_line")))
+    head = F.concat(head, F.when(F.coalesce("relationship", F.lit("")) != "", F.concat(F.lit("\nLink: "), "relationship")).otherwise(""))
     body = F.trim(F.coalesce("content", F.lit("")), F.lit(" \t\n\r\x0b\x0c"))
     block = F.when(body == "", head).otherwise(F.concat(head, F.lit("\n```"), F.coalesce("language", F.lit("")), F.lit("\n"), body, F.lit("\n```")))
     rows = ranked.withColumn("block", block)
@@ -110,17 +113,17 @@ def context_blocks(ranked: DataFrame, facts: DataFrame | None = None, budget: in
     before = Window.partitionBy("question_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
     left = rows.withColumn("__left", F.lit(budget) - F.col("__facts") - F.coalesce(F.sum(F.length("block")).over(before), F.lit(0)))
     fits = F.length("block") <= F.col("__left")
-    cut = F.concat(F.expr("substring(block, 1, cast(__left as int))"), F.lit("\n... (truncated)\n```"))
+    cut = F.concat(F.expr("substring(block, 1, cast(__left as int))"), F.lit("\n... (cut)\n```"))
     return left.where(fits | (F.col("__left") >= LEAST_PARTIAL)).select("question_id", "position", F.when(fits, F.col("block")).otherwise(cut).alias("block"))
 
 
 def facts_block(facts: str) -> Column:
-    return F.concat(F.lit("## Structural facts from the code graph\n"), F.array_join(F.transform(facts, lambda f: F.concat(F.lit("- "), f)), "\n"))
+    return F.concat(F.lit("Known from the graph:\n"), F.array_join(F.transform(facts, lambda f: F.concat(F.lit("- "), f)), "\n"))
 
 
 def context_text(ranked: DataFrame, facts: DataFrame, budget: int = CONTEXT_CHARS) -> DataFrame:
     """(question_id, context) with facts and evidence joined."""
     blocks = context_blocks(ranked, facts, budget).groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "block"))), lambda x: x["block"]), "\n\n").alias("code"))
     both = facts.select("question_id", F.when(F.size("facts") > 0, facts_block("facts")).alias("head")).join(blocks, "question_id", "full")
-    text = F.concat_ws("\n\n", "head", F.when(F.col("code").isNotNull(), F.concat(F.lit("## Retrieved code\n\n"), "code")))
-    return both.select("question_id", F.when(text == "", "No evidence was retrieved.").otherwise(text).alias("context"))
+    text = F.concat_ws("\n\n", "head", F.when(F.col("code").isNotNull(), F.concat(F.lit("Code that was found:\n\n"), "code")))
+    return both.select("question_id", F.when(text == "", "Nothing was found.").otherwise(text).alias("context"))

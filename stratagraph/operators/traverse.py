@@ -1,34 +1,43 @@
-"""Bounded traversals: k-hop balls (Q11) and shortest dependency chains (Q14)."""
+"""Bounded traversals: k-hop balls (Q11) and shortest dependency chains (Q14).
+
+A level is written before the next one reads it, so that a plan holds one step, and a traversal ends with the
+first empty frontier. A level is one join of the frontier with the links, which are written once too.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratagraph.plans.scratch import materialize
+
 MAX_BALL_DEPTH = 3
 MAX_CHAIN = 6
 
 
+def _empty(df: DataFrame) -> bool:
+    return df.limit(1).count() == 0
+
+
 def ball(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """(start, id, hops) within `depth` (1..3) undirected hops; the start itself has hops 0, also when it has no edge.
 
-    Unrolled frontier joins: a frontier keeps only nodes that are new to its start.
+    A frontier keeps only nodes that are new to their start.
     """
     depth = max(1, min(MAX_BALL_DEPTH, depth))
-    links = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    reached = starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("hops"))
-    frontier = reached
+    links = materialize(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "links")
+    reached = frontier = materialize(starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("hops")).distinct(), "ball_0")
     for h in range(1, depth + 1):
         step = frontier.select("start", F.col("id").alias("src")).join(links, "src").select("start", F.col("dst").alias("id")).distinct()
-        frontier = step.join(reached.select("start", "id"), ["start", "id"], "left_anti").withColumn("hops", F.lit(h))
+        frontier = materialize(step.join(reached.select("start", "id"), ["start", "id"], "left_anti").withColumn("hops", F.lit(h)), f"ball_{h}")
+        if _empty(frontier):
+            break
         reached = reached.unionByName(frontier)
     return reached
 
 
 def ball_network(edges: DataFrame, starts: DataFrame, depth: int, limit: int) -> tuple[DataFrame, DataFrame]:
     """Q11: (nodes with hops and focus flag; induced edges, at most `limit` a start by id order, with truncated)."""
-    from pyspark.sql import Window
-
     nodes = ball(edges, starts, depth)
     ends = nodes.select("start", "id")
     inside = edges.select("src", "dst").distinct().join(ends.withColumnRenamed("id", "src"), "src").join(ends.withColumnRenamed("id", "dst"), ["start", "dst"]).select("start", "src", "dst")
@@ -37,20 +46,28 @@ def ball_network(edges: DataFrame, starts: DataFrame, depth: int, limit: int) ->
     return nodes.withColumn("focus", F.col("hops") == 0), cut.select("start", "src", "dst", (F.col("__n") > limit).alias("truncated"))
 
 
-def shortest_chains(edges: DataFrame, pairs: DataFrame, depth: int = MAX_CHAIN) -> DataFrame:
-    """Q14: (source, target, length, path) of the shortest directed chain of at most `depth` edges; no row when there is none.
+def chains_from(edges: DataFrame, sources: DataFrame, depth: int = MAX_CHAIN) -> DataFrame:
+    """(source, target, length, path) of a shortest directed chain of at most `depth` edges to every node that each of sources(source) reaches.
 
     Among equally short chains the lexicographically smallest path. Each level keeps one path for each (source, node),
     so a level has at most sources x nodes rows, whatever the number of paths.
     """
-    links = edges.select("src", "dst").distinct()
-    frontier = pairs.select("source").distinct().select("source", F.col("source").alias("node"), F.array("source").alias("path"))
-    seen = frontier.select("source", "node")
-    found = None
+    links = materialize(edges.select(F.col("src").alias("node"), "dst").distinct(), "links")
+    start = sources.select("source").distinct().select("source", F.col("source").alias("node"), F.array("source").alias("path"))
+    frontier = materialize(start, "chains_0")
+    seen, found = frontier.select("source", "node"), None
     for h in range(1, depth + 1):
-        step = frontier.join(links, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        frontier = step.join(seen, ["source", "node"], "left_anti").groupBy("source", "node").agg(F.min("path").alias("path"))
+        step = frontier.join(links, "node").select("source", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+        level = step.groupBy("source", "node").agg(F.min("path").alias("path")).join(seen, ["source", "node"], "left_anti")
+        frontier = materialize(level, f"chains_{h}")
+        if found is not None and _empty(frontier):
+            break
         seen = seen.unionByName(frontier.select("source", "node"))
-        hit = frontier.join(pairs.select("source", F.col("target").alias("node")), ["source", "node"]).select("source", F.col("node").alias("target"), F.lit(h).alias("length"), "path")
+        hit = frontier.select("source", F.col("node").alias("target"), F.lit(h).alias("length"), "path")
         found = hit if found is None else found.unionByName(hit)
     return found
+
+
+def shortest_chains(edges: DataFrame, pairs: DataFrame, depth: int = MAX_CHAIN) -> DataFrame:
+    """Q14: the chains of pairs(source, target); no row where there is none."""
+    return chains_from(edges, pairs.select("source"), depth).join(pairs.select("source", "target").distinct(), ["source", "target"], "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratagraph.functions.vectors import cosine
+from stratagraph.functions.vectors import dot, length
 
 DIRECT_RANKS = 3
 TIER_DIRECT, TIER_RELATED, TIER_DEPENDENCY, TIER_FILE, TIER_DOCUMENTATION, TIER_CONTEXT = range(6)
@@ -21,7 +21,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", ve
     sends at most k rows a query. Scores are rounded to 6 places; ties go to the smaller id.
     """
     rows = vectors if where is None else vectors.where(where)
-    rows = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("__v"))
+    rows = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("__v"), length(F.col(vector_col)).alias("__n"))
+    queries = queries.withColumn("__qn", length(F.col("query_vector")))
     n = queries.limit(MAX_QUERIES + 1).count()
     if n <= MAX_QUERIES:
         blocks = [queries]
@@ -32,7 +33,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", ve
     out = None
     for block in blocks:
         pairs = rows.join(F.broadcast(block), F.lit(True) if not exclude_self else F.col("id") != F.col("query_id"), "inner")
-        scored = pairs.select("query_id", "id", F.round(cosine(F.col("query_vector"), F.col("__v")), 6).alias("score"))
+        scored = pairs.select("query_id", "id", F.round(dot(F.col("query_vector"), F.col("__v")) / (F.col("__qn") * F.col("__n")), 6).alias("score"))
         best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         out = best if out is None else out.unionByName(best)
     return out.select("query_id", "id", "rank", "score")

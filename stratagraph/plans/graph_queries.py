@@ -9,28 +9,29 @@ from stratagraph.operators import graph as G
 from stratagraph.operators import traverse as T
 from stratagraph.operators import vector_search as V
 from stratagraph.plans.registry import query
-from stratagraph.plans.tables import DEP_SQL, EDGES_FK_SQL, NODES_FK_SQL, dep, edges_fk, nodes_fk, table
+from stratagraph.plans.tables import CODE_SQL, DEP_SQL, EDGES_FK_SQL, NODES_FK_SQL, code_graph, dep, edges_fk, nodes_fk, table
 
 _SIM = "list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))"
 
 
-def _vectors(spark: SparkSession, d: str, n: int) -> tuple[DataFrame, DataFrame]:
+def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and every hundredth as a query."""
     vectors = table(spark, d, "embeddings")
-    return vectors, vectors.where(f"vec_id < {n}").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return vectors, vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
-@query(f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round({_SIM}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 5 AND e.vec_id <> q.vec_id),
+@query(f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round({_SIM}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
 SELECT query_id, id, CAST(rank AS INT) AS rank, score, CASE WHEN rank <= 3 THEN 0 ELSE 3 END AS tier, 'semantic match, rank ' || rank AS reason FROM r WHERE rank <= 5""")
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
-    vectors, queries = _vectors(spark, d, 5)
+    vectors, queries = _vectors(spark, d)
     return V.with_tier(V.top_k(vectors, queries, 5, "vec_id", exclude_self=True))
 
 
-@query(f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round({_SIM}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 5 AND e.label IN (1, 3)),
+@query(f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round({_SIM}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND e.label IN (1, 3)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, CAST(rank AS INT) AS rank, score FROM r WHERE rank <= 8""")
 def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
-    vectors, queries = _vectors(spark, d, 5)
+    vectors, queries = _vectors(spark, d)
     return V.top_k(vectors, queries, 8, "vec_id", where=F.col("label").isin(1, 3))
 
 
@@ -39,14 +40,25 @@ def vector_count(spark: SparkSession, d: str) -> DataFrame:
     return V.count_vectors(table(spark, d, "embeddings"), "label")
 
 
-@query(f"WITH {NODES_FK_SQL} SELECT * FROM nodes_fk")
+@query(f"WITH {CODE_SQL} SELECT * FROM code_nodes")
 def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return nodes_fk(spark, d)
+    return code_graph(spark, d).nodes
 
 
-@query(f"WITH {EDGES_FK_SQL} SELECT * FROM edges_fk")
+@query(f"WITH {CODE_SQL} SELECT * FROM code_edges")
 def graph_edges(spark: SparkSession, d: str) -> DataFrame:
-    return edges_fk(spark, d)
+    return code_graph(spark, d).edges
+
+
+@query(f"WITH {CODE_SQL} SELECT repository_id, file_path, language FROM code_nodes WHERE node_type = 'File'")
+def graph_files(spark: SparkSession, d: str) -> DataFrame:
+    return G.files_of(code_graph(spark, d).nodes)
+
+
+@query(f"""WITH {CODE_SQL}, c AS (SELECT * FROM code_nodes WHERE node_type IN ('Function', 'Method'))
+SELECT repository_id, file_path, name, arg_min(node_id, (CASE node_type WHEN 'Function' THEN 0 ELSE 1 END, start_line, node_id)) AS node_id, min(node_type) AS node_type FROM c GROUP BY 1, 2, 3""")
+def callable_index(spark: SparkSession, d: str) -> DataFrame:
+    return G.callable_index(code_graph(spark, d).nodes)
 
 
 @query(f"""WITH {NODES_FK_SQL}, {EDGES_FK_SQL}
@@ -65,57 +77,51 @@ def graph_overview(spark: SparkSession, d: str) -> DataFrame:
     return G.overview(nations, names("customer", "c_nationkey", "c_name"), names("supplier", "s_nationkey", "s_name"), "nation")
 
 
-@query("""SELECT n_name AS file_path, list_sort(list(c_name)) AS classes, (SELECT list_sort(list(s_name)) FROM supplier WHERE s_nationkey = 3) AS functions
-FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_nationkey = 3 GROUP BY n_name""")
+@query(f"""WITH {CODE_SQL} SELECT repository_id, file_path, coalesce(string_agg(name, ',' ORDER BY start_line, name) FILTER (node_type = 'Class'), '') AS classes,
+coalesce(string_agg(name, ',' ORDER BY start_line, name) FILTER (node_type = 'Function'), '') AS functions, coalesce(string_agg(class_name || '.' || name, ',' ORDER BY start_line, name, class_name) FILTER (node_type = 'Method'), '') AS methods
+FROM code_nodes WHERE file_path IS NOT NULL GROUP BY 1, 2 HAVING count(*) FILTER (node_type = 'File') > 0""")
 def container_contents(spark: SparkSession, d: str) -> DataFrame:
-    nation = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("file_path"))
-    line = F.lit(1).alias("start_line")
-    none = F.lit(None).cast("string")
-    node = lambda kind, key, name: [F.lit("r").alias("repository_id"), F.col(key).alias("k"), F.lit(kind).alias("node_type"), F.col(name).alias("name"), none.alias("class_name"), none.alias("signature"), line]
-    rows = (
-        table(spark, d, "customer").select(*node("Class", "c_nationkey", "c_name")).unionByName(table(spark, d, "supplier").select(*node("Function", "s_nationkey", "s_name")))
-        .unionByName(nation.select(*node("File", "k", "file_path")))
-    )
-    path = nation.where("k = 3").select("file_path").first()[0]
-    found = G.contents(rows.join(F.broadcast(nation), "k"), path)
-    return found.select("file_path", F.transform("classes", lambda x: x["name"]).alias("classes"), F.transform("functions", lambda x: x["name"]).alias("functions"))
-
-
-@query(f"""WITH {DEP_SQL}, p AS (SELECT p_partkey, p_name FROM part),
-t AS (SELECT min(src) AS id FROM (SELECT src FROM dep INTERSECT SELECT dst FROM dep))
-SELECT t.id, p.p_name AS name, (SELECT string_agg(x, ', ' ORDER BY x) FROM (SELECT DISTINCT b.p_name AS x FROM dep JOIN p b ON b.p_partkey = dst WHERE src = t.id)) AS bases,
-(SELECT string_agg(x, ', ' ORDER BY x) FROM (SELECT DISTINCT b.p_name AS x FROM dep JOIN p b ON b.p_partkey = src WHERE dst = t.id)) AS subclasses FROM t JOIN p ON p_partkey = t.id""")
+    names = lambda c: F.array_join(F.transform(c, lambda x: x["name"]), ",")
+    methods = F.array_join(F.transform("methods", lambda x: F.concat_ws(".", x["class_name"], x["name"])), ",")
+    return G.contents(code_graph(spark, d).nodes).select("repository_id", "file_path", names("classes").alias("classes"), names("functions").alias("functions"), methods.alias("methods"))
+
+
+def _side(rel: str, here: str, there: str) -> str:
+    return f"""(SELECT string_agg(DISTINCT n.name || '@' || n.file_path, ',' ORDER BY n.name || '@' || n.file_path) FROM code_edges e JOIN code_nodes n ON n.repository_id = e.repository_id AND n.node_id = e.{there}
+WHERE e.rel_type = '{rel}' AND e.repository_id = c.repository_id AND e.{here} = c.node_id)"""
+
+
+@query(f"""WITH {CODE_SQL} SELECT repository_id, node_id, file_path, name, start_line, end_line, {_side("CLASS_CONTAINS_METHOD", "src", "dst")} AS methods, {_side("CLASS_INHERITS_CLASS", "src", "dst")} AS bases, {_side("CLASS_INHERITS_CLASS", "dst", "src")} AS subclasses
+FROM code_nodes c WHERE node_type = 'Class'""")
 def class_info(spark: SparkSession, d: str) -> DataFrame:
-    edges, parts = dep(spark, d), table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    chosen = edges.select(F.col("src").alias("id")).intersect(edges.select("dst")).agg(F.min("id").alias("id"))
-    names = parts.withColumnRenamed("name", "other").withColumnRenamed("id", "o")
-    side = lambda here, there, out: edges.select(F.col(here).alias("id"), F.col(there).alias("o")).join(chosen, "id", "left_semi").join(names, "o").groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("other")), ", ").alias(out))
-    return chosen.join(parts, "id").join(side("src", "dst", "bases"), "id", "left").join(side("dst", "src", "subclasses"), "id", "left")
+    g = code_graph(spark, d)
+    text = lambda c: F.array_join(F.array_sort(F.transform(c, lambda x: F.concat_ws("@", x["name"], x["file_path"]))), ",").alias(c)
+    return G.class_info(g.nodes, g.edges).select("repository_id", "node_id", "file_path", "name", "start_line", "end_line", *[text(c) for c in ("methods", "bases", "subclasses")])
 
 
-def _first_parts(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return table(spark, d, "part").where("p_partkey <= 40").select(F.col("p_partkey").alias(name))
+def _parts(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return table(spark, d, "part").select(F.col("p_partkey").alias(name))
 
 
-@query(f"WITH {DEP_SQL} SELECT DISTINCT dst AS target, src AS id FROM dep WHERE dst <= 40")
+@query(f"WITH {DEP_SQL} SELECT DISTINCT dst AS target, src AS id FROM dep JOIN part ON p_partkey = dst")
 def callers(spark: SparkSession, d: str) -> DataFrame:
-    return G.sources_of(dep(spark, d), _first_parts(spark, d, "target"))
+    return G.sources_of(dep(spark, d), _parts(spark, d, "target"))
 
 
-@query(f"WITH {DEP_SQL} SELECT DISTINCT src AS source, dst AS id FROM dep WHERE src <= 40")
+@query(f"WITH {DEP_SQL} SELECT DISTINCT src AS source, dst AS id FROM dep JOIN part ON p_partkey = src")
 def callees(spark: SparkSession, d: str) -> DataFrame:
-    return G.targets_of(dep(spark, d), _first_parts(spark, d, "source"))
+    return G.targets_of(dep(spark, d), _parts(spark, d, "source"))
 
 
-@query(f"WITH {EDGES_FK_SQL} SELECT DISTINCT dst AS target, src AS id FROM edges_fk WHERE rel_type = 'SUPPLIES' AND dst IN ('Part:1', 'Part:2', 'Part:3')")
+@query(f"WITH {EDGES_FK_SQL} SELECT DISTINCT dst AS target, src AS id FROM edges_fk WHERE rel_type = 'SUPPLIES'")
 def importers(spark: SparkSession, d: str) -> DataFrame:
-    wanted = spark.createDataFrame([(f"Part:{k}",) for k in (1, 2, 3)], "target string")
+    wanted = table(spark, d, "part").select(F.concat(F.lit("Part:"), F.col("p_partkey").cast("string")).alias("target"))
     return G.sources_of(edges_fk(spark, d).where("rel_type = 'SUPPLIES'"), wanted)
 
 
-@query(f"WITH {EDGES_FK_SQL} SELECT DISTINCT src AS source, dst AS id FROM edges_fk WHERE rel_type = 'SUPPLIES' AND src IN ('Supplier:1', 'Supplier:2')")
+@query(f"WITH {EDGES_FK_SQL} SELECT DISTINCT src AS source, dst AS id FROM edges_fk WHERE rel_type = 'SUPPLIES'")
 def imported_files(spark: SparkSession, d: str) -> DataFrame:
-    wanted = spark.createDataFrame([(f"Supplier:{k}",) for k in (1, 2)], "source string")
+    wanted = table(spark, d, "supplier").select(F.concat(F.lit("Supplier:"), F.col("s_suppkey").cast("string")).alias("source"))
     return G.targets_of(edges_fk(spark, d).where("rel_type = 'SUPPLIES'"), wanted)
 
 
@@ -158,32 +164,40 @@ def find_entities(spark: SparkSession, d: str) -> DataFrame:
     return G.find_entities(nodes_fk(spark, d), names, 5, ("Region", "Nation", "Order")).select("name", "node_type", "node_id", "position")
 
 
-@query(f"""WITH {EDGES_FK_SQL}, b AS (SELECT src AS seed, dst AS id, rel_type, 'out' AS direction FROM edges_fk UNION SELECT dst, src, rel_type, 'in' FROM edges_fk),
-r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY direction, rel_type, id) AS position FROM b WHERE seed IN ('Nation:3', 'Part:7', 'Supplier:2')) SELECT seed, id, rel_type, direction, CAST(position AS INT) AS position FROM r WHERE position <= 8""")
+@query(f"""WITH {NODES_FK_SQL}, {EDGES_FK_SQL}, b AS (SELECT src AS seed, dst AS id, rel_type, 'out' AS direction FROM edges_fk UNION SELECT dst, src, rel_type, 'in' FROM edges_fk),
+r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY direction, rel_type, id) AS position FROM b WHERE seed IN (SELECT node_id FROM nodes_fk WHERE node_type IN ('Nation', 'Part', 'Supplier'))) SELECT seed, id, rel_type, direction, CAST(position AS INT) AS position FROM r WHERE position <= 8""")
 def neighbourhood(spark: SparkSession, d: str) -> DataFrame:
-    seeds = spark.createDataFrame([("Nation:3",), ("Part:7",), ("Supplier:2",)], "seed string")
+    seeds = nodes_fk(spark, d).where("node_type in ('Nation', 'Part', 'Supplier')").select(F.col("node_id").alias("seed"))
     return G.neighbourhood(edges_fk(spark, d), seeds, 8)
 
 
-@query(f"""WITH RECURSIVE {DEP_SQL}, u AS (SELECT src, dst FROM dep UNION SELECT dst, src FROM dep), w(start, id, hops) AS (SELECT s, s, 0 FROM (SELECT unnest([5, 11, 23]) AS s)
+@query(f"""WITH RECURSIVE {DEP_SQL}, u AS (SELECT src, dst FROM dep UNION SELECT dst, src FROM dep), w(start, id, hops) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey % 100 = 0
 UNION SELECT w.start, u.dst, w.hops + 1 FROM w JOIN u ON u.src = w.id WHERE w.hops < 3) SELECT CAST(start AS BIGINT) AS start, CAST(id AS BIGINT) AS id, CAST(min(hops) AS INT) AS hops, min(hops) = 0 AS focus FROM w GROUP BY 1, 2""")
 def k_hop(spark: SparkSession, d: str) -> DataFrame:
-    starts = spark.createDataFrame([(5,), (11,), (23,)], "id long")
+    starts = table(spark, d, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").cast("long").alias("id"))
     return T.ball_network(dep(spark, d), starts, 3, 1000)[0]
 
 
-@query(f"""WITH RECURSIVE {DEP_SQL}, u AS (SELECT src, dst FROM dep UNION SELECT dst, src FROM dep), w(start, id, hops) AS (SELECT s, s, 0 FROM (SELECT unnest([5, 11, 23]) AS s)
+@query(f"""WITH RECURSIVE {DEP_SQL}, u AS (SELECT src, dst FROM dep UNION SELECT dst, src FROM dep), w(start, id, hops) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey % 100 = 0
 UNION SELECT w.start, u.dst, w.hops + 1 FROM w JOIN u ON u.src = w.id WHERE w.hops < 2), b AS (SELECT DISTINCT start, id FROM w),
 i AS (SELECT b.start, src, dst, row_number() OVER (PARTITION BY b.start ORDER BY src, dst) AS k, count(*) OVER (PARTITION BY b.start) AS n FROM dep JOIN b ON b.id = src JOIN b c ON c.id = dst AND c.start = b.start)
 SELECT CAST(start AS BIGINT) AS start, src, dst, n > 10 AS truncated FROM i WHERE k <= 10""")
 def k_hop_edges(spark: SparkSession, d: str) -> DataFrame:
-    starts = spark.createDataFrame([(5,), (11,), (23,)], "id long")
+    starts = table(spark, d, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").cast("long").alias("id"))
     return T.ball_network(dep(spark, d), starts, 2, 10)[1]
 
 
-@query(f"""WITH RECURSIVE {DEP_SQL}, w(source, node, length) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey <= 20 UNION SELECT w.source, dst, w.length + 1 FROM w JOIN dep ON src = w.node WHERE w.length < 6),
-m AS (SELECT source, node, min(length) AS length FROM w GROUP BY 1, 2) SELECT source, node AS target, CAST(length AS INT) AS length FROM m WHERE length > 0 AND node > 20 AND node <= 200""")
+def _levels(depth: int) -> str:
+    """SQL of shortest chains, a level a table: l0 are the sources, each next one the nodes that no earlier level has."""
+    out = ["l0 AS (SELECT CAST(p_partkey AS BIGINT) AS source, CAST(p_partkey AS BIGINT) AS node, [CAST(p_partkey AS BIGINT)] AS path FROM part WHERE p_partkey % 100 = 0)"]
+    for h in range(1, depth + 1):
+        before = " AND ".join(f"NOT EXISTS (SELECT 1 FROM l{k} WHERE l{k}.source = f.source AND l{k}.node = dep.dst)" for k in range(h))
+        out.append(f"l{h} AS MATERIALIZED (SELECT f.source, CAST(dep.dst AS BIGINT) AS node, min(list_append(f.path, CAST(dep.dst AS BIGINT))) AS path FROM l{h - 1} f JOIN dep ON dep.src = f.node WHERE {before} GROUP BY 1, 2)")
+    return ", ".join(out)
+
+
+@query(f"WITH {DEP_SQL}, {_levels(6)} " + " UNION ALL ".join(f"SELECT source, node AS target, {h} AS length, array_to_string(path, '>') AS path FROM l{h}" for h in range(1, 7)))
 def shortest_path_len(spark: SparkSession, d: str) -> DataFrame:
-    parts = table(spark, d, "part").select("p_partkey")
-    pairs = parts.where("p_partkey <= 20").select(F.col("p_partkey").alias("source")).crossJoin(F.broadcast(parts.where("p_partkey > 20 and p_partkey <= 200").select(F.col("p_partkey").alias("target"))))
-    return T.shortest_chains(dep(spark, d), pairs).select("source", "target", "length")
+    sources = table(spark, d, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").cast("long").alias("source"))
+    edges = dep(spark, d).select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+    return T.chains_from(edges, sources).withColumn("path", F.array_join("path", ">"))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratagraph.functions.vectors import cosine
 from stratagraph.operators import evaluation as E
 from stratagraph.operators import grounding as C
 from stratagraph.operators import questions as Q
 from stratagraph.operators import ranking as R
+from stratagraph.operators import vector_search as V
 from stratagraph.plans.registry import query
 from stratagraph.plans.tables import table
 
@@ -122,10 +122,10 @@ def rank_soft_cap(spark: SparkSession, d: str) -> DataFrame:
     return R.rank(items(spark, d)).select("question_id", "file_path", "entity_name", "start_line", "end_line", "weighted", "position")
 
 
-@query(f"""WITH {_ITEMS}, h AS (SELECT question_id, position, '### [' || position || '] function ' || entity_name || chr(10) || 'Location: ' || CASE WHEN start_line <= 0 THEN file_path ELSE file_path || ':' || start_line || '-' || end_line END
-|| CASE WHEN relationship <> '' THEN chr(10) || 'Relationship: ' || relationship ELSE '' END || CASE WHEN content <> '' THEN chr(10) || '```python' || chr(10) || content || chr(10) || '```' ELSE '' END AS b FROM final WHERE position <= 12),
+@query(f"""WITH {_ITEMS}, h AS (SELECT question_id, position, '[' || position || '] function ' || entity_name || chr(10) || 'Place: ' || CASE WHEN start_line <= 0 THEN file_path ELSE file_path || ':' || start_line || '-' || end_line END
+|| CASE WHEN relationship <> '' THEN chr(10) || 'Link: ' || relationship ELSE '' END || CASE WHEN content <> '' THEN chr(10) || '```python' || chr(10) || content || chr(10) || '```' ELSE '' END AS b FROM final WHERE position <= 12),
 l AS (SELECT *, 900 - coalesce(sum(length(b)) OVER (PARTITION BY question_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS r FROM h)
-SELECT question_id, CAST(position AS INT) AS position, CASE WHEN length(b) <= r THEN b ELSE substring(b, 1, CAST(r AS INT)) || chr(10) || '... (truncated)' || chr(10) || '```' END AS block FROM l WHERE length(b) <= r OR r >= 400""")
+SELECT question_id, CAST(position AS INT) AS position, CASE WHEN length(b) <= r THEN b ELSE substring(b, 1, CAST(r AS INT)) || chr(10) || '... (cut)' || chr(10) || '```' END AS block FROM l WHERE length(b) <= r OR r >= 400""")
 def context_prefix(spark: SparkSession, d: str) -> DataFrame:
     return R.context_blocks(R.rank(items(spark, d)), budget=900)
 
@@ -145,8 +145,9 @@ ANSWERS = [
     (2, "No citation at all.  "),
     (3, "Wrong: lib/base.ts:900-910 and lib/none.ts:1-2, right: lib/base.ts:3 - 4."),
     (4, ""),
+    (5, "See a.py:10-20 and a.py:1. Also `xa.py:1-3` and a.py:1-3, not a.py:100."),
 ]
-RETRIEVED = [(1, 1, "app/core/session.py", 18, 40), (1, 2, "app/main.py", 13, 20), (2, 1, "a/b.py", 1, 9), (2, 2, "a/c.py", 0, 0), (2, 3, "a/d.py", 5, 6), (3, 1, "lib/base.ts", 1, 30)]
+RETRIEVED = [(1, 1, "app/core/session.py", 18, 40), (1, 2, "app/main.py", 13, 20), (2, 1, "a/b.py", 1, 9), (2, 2, "a/c.py", 0, 0), (2, 3, "a/d.py", 5, 6), (3, 1, "lib/base.ts", 1, 30), (5, 1, "a.py", 12, 20), (5, 2, "xa.py", 1, 3)]
 _ANS = f"a AS {_values(ANSWERS, 'question_id, answer')}, r AS {_values(RETRIEVED, 'question_id, position, file_path, s, e')}"
 _CIT = f"""c AS (SELECT question_id, i - 1 AS seq, p[i] AS file_path, CAST(s[i] AS INT) AS start_line, CAST(CASE WHEN coalesce(e[i], '') = '' THEN s[i] ELSE e[i] END AS INT) AS end_line FROM (SELECT question_id, unnest(range(1, len(p) + 1)) AS i, p, s, e FROM
 (SELECT question_id, regexp_extract_all(answer, {_quote(C.CITATION)}, 1) AS p, regexp_extract_all(answer, {_quote(C.CITATION)}, 2) AS s, regexp_extract_all(answer, {_quote(C.CITATION)}, 3) AS e FROM a)))"""
@@ -167,14 +168,21 @@ def citations_verify(spark: SparkSession, d: str) -> DataFrame:
     return C.verify(C.extract(answers), retrieved)
 
 
-@query()
+_SPLIT = f"string_split_regex(answer, {_quote(C.CITATION)})"
+_GROUP = lambda g: f"regexp_extract_all(answer, {_quote(C.CITATION)}, {g})"
+
+
+@query(f"""WITH {_ANS}, {_CIT}, bad AS (SELECT question_id, list(DISTINCT file_path || ':' || start_line || '-' || end_line) AS l FROM c WHERE NOT EXISTS
+(SELECT 1 FROM r WHERE r.question_id = c.question_id AND r.file_path = c.file_path AND c.start_line <= r.e + 5 AND r.s - 5 <= c.end_line) GROUP BY 1),
+g AS (SELECT a.question_id, answer, coalesce(l, []) AS l, {_SPLIT} AS between, {_GROUP(0)} AS t, {_GROUP(1)} AS p, {_GROUP(2)} AS s, {_GROUP(3)} AS e FROM a LEFT JOIN bad ON bad.question_id = a.question_id)
+SELECT question_id, list_aggregate(list_transform(range(1, len(between) + 1), lambda i: between[i] || CASE WHEN i > len(t) THEN '' WHEN list_contains(l, p[i] || ':' || CAST(s[i] AS INT) || '-' || CAST(CASE WHEN coalesce(e[i], '') = '' THEN s[i] ELSE e[i] END AS INT)) THEN p[i] || ' (lines not confirmed)' ELSE t[i] END), 'string_agg', '') AS answer FROM g""")
 def strip_unverified(spark: SparkSession, d: str) -> DataFrame:
     answers, retrieved = _answers(spark)
     return C.strip_unverified(answers, C.verify(C.extract(answers), retrieved))
 
 
 @query(f"""WITH {_ANS}, l AS (SELECT question_id, string_agg('- ' || file_path || ':' || s || '-' || e, chr(10) ORDER BY position) AS t FROM r WHERE s > 0 GROUP BY 1)
-SELECT a.question_id, CASE WHEN t IS NULL THEN answer ELSE rtrim(answer) || chr(10) || chr(10) || 'Sources (retrieved context for this answer):' || chr(10) || t END AS answer FROM a LEFT JOIN l ON l.question_id = a.question_id""")
+SELECT a.question_id, CASE WHEN t IS NULL THEN answer ELSE rtrim(answer) || chr(10) || chr(10) || 'Evidence found for this question:' || chr(10) || t END AS answer FROM a LEFT JOIN l ON l.question_id = a.question_id""")
 def append_sources(spark: SparkSession, d: str) -> DataFrame:
     return C.append_sources(*_answers(spark))
 
@@ -186,23 +194,26 @@ def answers_grounded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Two rankings of the other vectors for 20 query vectors; relevant are the vectors of the query's label among the first 60."""
+    """Two rankings of the other vectors, best and worst first, for every hundredth vector; relevant are all other vectors of the query's label."""
     vectors = table(spark, d, "embeddings")
-    queries = vectors.where("vec_id < 20").select(F.col("vec_id").alias("question_id"), F.col("label").alias("ql"), F.col("embedding").alias("qv"))
-    pairs = vectors.join(F.broadcast(queries), F.col("vec_id") != F.col("question_id")).select("question_id", "vec_id", F.round(cosine(F.col("qv"), F.col("embedding")), 6).alias("s"))
-    place = lambda *by: F.row_number().over(Window.partitionBy("question_id").orderBy(*by))
-    name = F.concat(F.lit("v"), F.col("vec_id").cast("string"))
-    hybrid = pairs.withColumn("position", place(F.desc("s"), "vec_id")).where("position <= 12").select(F.lit("hybrid").alias("system"), "question_id", "position", name.alias("file_path"))
-    vector = pairs.withColumn("position", place("s", "vec_id")).where("position <= 12").select(F.lit("vector").alias("system"), "question_id", "position", name.alias("file_path"))
-    relevant = vectors.where("vec_id < 60").select(F.col("label").alias("ql"), name.alias("f"), F.col("vec_id").alias("v"))
-    asked = queries.join(relevant, "ql").where("v <> question_id").groupBy("question_id", "ql").agg(F.collect_list("f").alias("relevant_files"))
-    return hybrid.unionByName(vector), asked.select("question_id", F.concat(F.lit("label "), F.col("ql").cast("string")).alias("category"), "relevant_files")
-
-
-_LISTS = """qv AS (SELECT vec_id AS question_id, label AS ql, embedding AS v FROM embeddings WHERE vec_id < 20),
+    queries = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("question_id"), F.col("label").alias("ql"), F.col("embedding").alias("qv"))
+    # Scored once: a task sends at most 12 rows a query and order.
+    asked_of, opposite = queries.select(F.col("question_id").alias("query_id"), F.col("qv").alias("query_vector")), F.transform("qv", lambda x: -x)
+    name = F.concat(F.lit("v"), F.col("id").cast("string")).alias("file_path")
+    both = asked_of.withColumn("query_id", F.col("query_id") * 2).unionByName(queries.select((F.col("question_id") * 2 + 1).alias("query_id"), opposite.alias("query_vector")))
+    found = V.top_k(vectors, both, 13, "vec_id").where(F.col("id") != F.floor(F.col("query_id") / 2))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    ranked = found.withColumn("position", place).where("position <= 12")
+    lists = ranked.select(F.when(F.col("query_id") % 2 == 0, "hybrid").otherwise("vector").alias("system"), F.floor(F.col("query_id") / 2).alias("question_id"), "position", name)
+    relevant = vectors.select(F.col("label").alias("ql"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("f"), F.col("vec_id").alias("v"))
+    asked = queries.drop("qv").join(relevant, "ql").where("v <> question_id").groupBy("question_id", "ql").agg(F.collect_list("f").alias("relevant_files"))
+    return lists, asked.select("question_id", F.concat(F.lit("label "), F.col("ql").cast("string")).alias("category"), "relevant_files")
+
+
+_LISTS = """qv AS (SELECT vec_id AS question_id, label AS ql, embedding AS v FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT question_id, vec_id, round(list_cosine_similarity(CAST(v AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS s FROM qv, embeddings WHERE vec_id <> question_id),
 lists AS (SELECT 'hybrid' AS system, question_id, vec_id, row_number() OVER (PARTITION BY question_id ORDER BY s DESC, vec_id) AS p FROM s UNION ALL SELECT 'vector', question_id, vec_id, row_number() OVER (PARTITION BY question_id ORDER BY s, vec_id) FROM s),
-rel AS (SELECT question_id, 'label ' || ql AS category, vec_id FROM qv JOIN embeddings ON label = ql WHERE vec_id < 60 AND vec_id <> question_id),
+rel AS (SELECT question_id, 'label ' || ql AS category, vec_id FROM qv JOIN embeddings ON label = ql WHERE vec_id <> question_id),
 asked AS (SELECT question_id, category, count(*) AS n FROM rel GROUP BY ALL),
 hits AS (SELECT l.system, l.question_id, p FROM lists l JOIN rel USING (question_id, vec_id) WHERE p <= 12),
 res AS (SELECT y.system, a.question_id, a.category, count(p) FILTER (p <= 1) / n AS recall_at_1, count(p) FILTER (p <= 3) / n AS recall_at_3, count(p) FILTER (p <= 5) / n AS recall_at_5, count(p) FILTER (p <= 10) / n AS recall_at_10,

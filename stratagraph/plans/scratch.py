@@ -1,25 +1,64 @@
-"""Intermediate results written to the shared folder."""
+"""Intermediate results written to the shared folder, and broadcasts whose size is checked."""
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
+import re
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Rows that are broadcast at most (8 MB of longs); beyond that a shuffled join is used.
+BROADCAST_ROWS = 1_000_000
+_FOLDERS: dict[str, SparkSession] = {}
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df under spark.checkpoint.dir (a local folder only where that is unset) and read it back."""
-    spark = df.sparkSession
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder name in this session's part of spark.checkpoint.dir; a temporary one of this machine only under a local master."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         os.makedirs("/tmp/checkpoints", exist_ok=True)
         base = tempfile.mkdtemp(prefix="stratagraph-", dir="/tmp/checkpoints")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}/{name}.parquet"
+        spark.sparkContext.setCheckpointDir(base)
+    folder = f"{base.rstrip('/')}/stratagraph-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS[folder] = spark
+        atexit.register(_remove, folder)
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
+def _remove(folder: str) -> None:
+    """Delete a folder of the shared storage; nothing to do where the session has ended already."""
+    spark = _FOLDERS.pop(folder, None)
+    with contextlib.suppress(Exception):
+        context = spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete all intermediate results of this session now; no DataFrame made of them can be read after that. It also happens at exit."""
+    for folder in [f for f in _FOLDERS if f.endswith(f"/stratagraph-{spark.sparkContext.applicationId}")]:
+        _remove(folder)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write df once to the shared folder and read it back: cuts the lineage and survives executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}.parquet"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast where the rows are counted to be few; beyond that a shuffled join. df is read twice."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -45,10 +45,10 @@ class Store:
 
     def upsert(self, df: DataFrame, table: str, key: str = "id") -> None:
         """Rows of df replace stored rows of the same key in the same repository; the rest stay."""
-        from stratagraph.plans.scratch import materialize
+        from stratagraph.plans.scratch import materialize, small
 
         repositories = df.select("repository_id").distinct()
-        old = self.read(table, schema=", ".join(f"`{n}` {t}" for n, t in df.dtypes)).join(F.broadcast(repositories), "repository_id", "left_semi").join(df.select("repository_id", key), ["repository_id", key], "left_anti")
+        old = self.read(table, schema=", ".join(f"`{n}` {t}" for n, t in df.dtypes)).join(small(repositories), "repository_id", "left_semi").join(df.select("repository_id", key), ["repository_id", key], "left_anti")
         # Written aside first, as the partitions that are read are the ones replaced.
         self.write(materialize(old.unionByName(df, allowMissingColumns=True), f"upsert_{table}"), table)
 
