@@ -197,8 +197,11 @@ def vector_items(questions: DataFrame, chunks: DataFrame, embed, default_limit:
     """
     limit = F.lit(default_limit) if default_limit else vector_limit(F.col("question_type"))
     asked = questions.select("question_id", "repository_id", embed(F.col("question")).alias("qv"), limit.alias("k"))
-    pairs = chunks.join(F.broadcast(asked), "repository_id") if questions.limit(V.MAX_QUERIES + 1).count() <= V.MAX_QUERIES else chunks.join(asked, "repository_id")
-    scored = pairs.withColumn("score", F.round(V.cosine(F.col("qv"), F.col("embedding")), 6)).drop("qv", "embedding")
+    asked = asked.withColumn("__qn", V.length(F.col("qv")))
+    stored = chunks.withColumn("__n", V.length(F.col("embedding")))  # once a chunk, not once a pair
+    score = F.round(V.dot(F.col("qv"), F.col("embedding")) / (F.col("__qn") * F.col("__n")), 6)
+    blocks = [stored.join(F.broadcast(block), "repository_id").withColumn("score", score).drop("qv", "embedding", "__qn", "__n") for block in V.query_blocks(asked, "question_id")]
+    scored = reduce(DataFrame.unionByName, blocks)
     place = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "file_path", "start_line", "entity_name"))
     top = scored.withColumn("rank", place).where(F.col("rank") <= F.col("k")).drop("k")
     return V.with_tier(top, "entity_type").withColumnRenamed("rank", "position")

@@ -13,6 +13,14 @@ TIER_DIRECT, TIER_RELATED, TIER_DEPENDENCY, TIER_FILE, TIER_DOCUMENTATION, TIER_
 MAX_QUERIES = 4096
 
 
+def query_blocks(queries: DataFrame, key: str) -> list[DataFrame]:
+    """The queries in blocks of about half of MAX_QUERIES, whole where they are no more than that: each is small enough to broadcast."""
+    if queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES:
+        return [queries]
+    parts = -(-queries.count() // MAX_QUERIES) * 2
+    return [queries.where(F.pmod(F.xxhash64(key), F.lit(parts)) == b) for b in range(parts)]
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "embedding", where=None, exclude_self: bool = False) -> DataFrame:
     """V5: (query_id, id, rank, score) of the k nearest rows for each query.
 
@@ -23,15 +31,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", ve
     rows = vectors if where is None else vectors.where(where)
     rows = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("__v"), length(F.col(vector_col)).alias("__n"))
     queries = queries.withColumn("__qn", length(F.col("query_vector")))
-    n = queries.limit(MAX_QUERIES + 1).count()
-    if n <= MAX_QUERIES:
-        blocks = [queries]
-    else:
-        parts = -(-queries.count() // MAX_QUERIES) * 2
-        blocks = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == b) for b in range(parts)]
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     out = None
-    for block in blocks:
+    for block in query_blocks(queries, "query_id"):
         pairs = rows.join(F.broadcast(block), F.lit(True) if not exclude_self else F.col("id") != F.col("query_id"), "inner")
         scored = pairs.select("query_id", "id", F.round(dot(F.col("query_vector"), F.col("__v")) / (F.col("__qn") * F.col("__n")), 6).alias("score"))
         best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

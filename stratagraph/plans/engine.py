@@ -1,4 +1,4 @@
-"""The engine: index a tree, ask questions, summarise, evaluate."""
+"""The engine: index a tree, ask questions, read the graph, summarise."""
 
 from __future__ import annotations
 
@@ -11,17 +11,28 @@ from stratagraph.functions import paths as P
 from stratagraph.functions.vectors import hashing_embedding, uuid5
 from stratagraph.operators import evaluation as E
 from stratagraph.operators import facts as H
+from stratagraph.operators import generation as L
 from stratagraph.operators import graph as G
 from stratagraph.operators import grounding as C
 from stratagraph.operators import ranking as R
+from stratagraph.operators import traverse as T
+from stratagraph.operators import vector_search as V
 from stratagraph.operators.chunking import build_chunks, embedding_text
 from stratagraph.operators.parsing import parse_repository
 from stratagraph.plans.scratch import materialize
 from stratagraph.sources import repository as S
-from stratagraph.sources.store import Store
+from stratagraph.sources.store import NotFound, Store
 
 TABLES = ("files", "entities", "chunks", "nodes", "edges")
 OVERVIEW_CHARS, SNIPPET = 12_000, 1_500
+#: What an overview is made from: (text to search for, entity types, hits).
+OVERVIEW_SEARCHES = [
+    ("introduction and purpose of the project", ["doc_section"], 4),
+    ("program start and configuration", ["module", "class", "function"], 5),
+    ("central data types and storage", ["module", "class", "function"], 5),
+    ("request handling and main work", ["module", "class", "function"], 5),
+]
+NETWORK_NODES, NETWORK_EDGES = 120, 400
 
 
 @dataclass
@@ -40,6 +51,20 @@ class Engine:
             raise ValueError(f"repository URL refused: {row['why']}")
         return self.store.register(row["url"], row["name"])
 
+    def fetch(self, repository_id: str, workspace: str) -> str:
+        """S3: clone a registered repository; its folder."""
+        from stratagraph.sources.git import clone
+
+        row = self.store.get(repository_id)
+        if row is None:
+            raise NotFound(repository_id)
+        self.store.set_status(repository_id, "cloning")
+        try:
+            return clone(row["url"], workspace, repository_id)
+        except Exception as e:
+            self.store.set_status(repository_id, "failed", str(e)[:500])
+            raise
+
     def index(self, repository_id: str, root: str) -> None:
         """Scan, parse, resolve, chunk, embed and build the graph of a folder; states are logged, failures too."""
         try:
@@ -77,33 +102,147 @@ class Engine:
     def ask(self, repository_id: str, questions: list[str], mode: str = "hybrid", limit: int = R.CONTEXT_LIMIT, generate: bool = True) -> DataFrame:
         """I4: answers (or, without generation, contexts) of a batch of questions in mode hybrid or vector."""
         self.store.require_ready(repository_id)
-        asked = self.spark.createDataFrame([(k, repository_id, q) for k, q in enumerate(questions)], "question_id int, repository_id string, question string")
-        chunks = self.store.read("chunks", repository_id)
-        if mode == "hybrid":
-            ranked, facts = H.hybrid(asked, chunks, self.graph(repository_id), self.store.read("files", repository_id), self.embed, limit)
-        else:
-            ranked = H.vector_only(asked, chunks, self.embed, limit)
-            facts = asked.select("question_id", F.array().cast("array<string>").alias("facts"))
-        facts = asked.select("question_id").join(facts, "question_id", "left").withColumn("facts", F.coalesce("facts", F.array().cast("array<string>")))
-        # The answers read both several times.
-        ranked = materialize(ranked, "ranked")
-        contexts = materialize(R.context_text(ranked, facts), "contexts")
+        asked = self.spark.createDataFrame(list(enumerate(questions)), "question_id int, question string")
+        ranked, facts = self.retrieve(repository_id, asked, mode, limit)
+        contexts = materialize(R.context_text(ranked, facts).join(asked, "question_id"), "contexts")
         return C.answers_for(contexts, ranked, self.answer) if generate else contexts
 
+    def retrieve(self, repository_id: str, asked: DataFrame, mode: str, limit: int = R.CONTEXT_LIMIT) -> tuple[DataFrame, DataFrame]:
+        """(ranked items, facts) of asked(question_id, question) in mode hybrid or vector, written."""
+        asked = asked.select("question_id", F.lit(repository_id).alias("repository_id"), "question")
+        chunks = self.store.read("chunks", repository_id)
+        none = asked.select("question_id", F.array().cast("array<string>").alias("facts"))
+        if mode == "vector":
+            return materialize(H.vector_only(asked, chunks, self.embed, limit), "ranked"), none
+        ranked, facts = H.hybrid(asked, chunks, self.graph(repository_id), self.store.read("files", repository_id), self.embed, limit)
+        facts = none.select("question_id").join(facts, "question_id", "left").withColumn("facts", F.coalesce("facts", F.array().cast("array<string>")))
+        return materialize(ranked, "ranked"), materialize(facts, "facts")
+
     def evaluate(self, repository_id: str, benchmark: DataFrame, limit: int = R.CONTEXT_LIMIT) -> DataFrame:
-        """Both systems over questions(question_id, question, category, relevant_files); metrics a question."""
+        """Retrieval metrics of both systems over questions(question_id, question, category, relevant_files); `plans.benchmark` runs the whole evaluation."""
+        self.store.require_ready(repository_id)
+        rows = lambda name: self.retrieve(repository_id, benchmark, name, limit)[0].select(F.lit(name).alias("system"), "question_id", "position", "file_path")
+        return E.question_metrics(rows("hybrid").unionByName(rows("vector")), benchmark)
+
+    # Reads of the graph (I5, I6), each a DataFrame ------------------------------------------------
+
+    def _ready_graph(self, repository_id: str) -> G.Graph:
+        self.store.require_ready(repository_id)
+        return self.graph(repository_id)
+
+    def _named(self, names: list[str], column: str) -> DataFrame:
+        return self.spark.createDataFrame([(n,) for n in names], f"{column} string")
+
+    def files(self, repository_id: str) -> DataFrame:
+        return G.files_of(self._ready_graph(repository_id).nodes, repository_id)
+
+    def file(self, repository_id: str, file_path: str) -> DataFrame:
+        self.store.require_ready(repository_id)
+        return S.read_file(self.store.read("files", repository_id), repository_id, file_path)
+
+    def graph_overview(self, repository_id: str) -> DataFrame:
+        nodes = self._ready_graph(repository_id).nodes
+        pick = lambda *kinds: nodes.where(F.col("node_type").isin(*kinds)).select("file_path", "name")
+        return G.overview(nodes.where("node_type = 'File'").select("file_path", "language"), pick("Class"), pick("Function"))
+
+    def statistics(self, repository_id: str) -> DataFrame:
+        g = self._ready_graph(repository_id)
+        return G.statistics(g.nodes, g.edges)
+
+    def network(self, repository_id: str, focus: str | None = None, depth: int = 1) -> tuple[DataFrame, DataFrame]:
+        """Q10 for the files, or Q11 around a node id."""
+        g = self._ready_graph(repository_id)
+        if focus:
+            return T.ball_network(g.edges.where(F.col("rel_type").isin(H.CALLS)), self._named([focus], "id"), depth, NETWORK_EDGES)
+        imports = g.edges.where("rel_type = 'FILE_IMPORTS_FILE'")
+        defined = g.edges.where(F.col("rel_type").startswith("FILE_DEFINES")).select(F.col("src").alias("id"), F.col("dst").alias("definition"))
+        return G.network(imports, defined, NETWORK_NODES)
+
+    def file_contents(self, repository_id: str, file_path: str) -> DataFrame:
+        return G.contents(self._ready_graph(repository_id).nodes, file_path)
+
+    def class_info(self, repository_id: str, name: str) -> DataFrame:
+        g = self._ready_graph(repository_id)
+        return G.class_info(g.nodes, g.edges, name)
+
+    def _calls(self, repository_id: str, name: str, here: str, there: str) -> DataFrame:
+        g = self._ready_graph(repository_id)
+        named = g.nodes.where(F.col("node_type").isin("Function", "Method") & (F.col("name") == name)).select(F.col("node_id").alias("target" if here == "dst" else "source"))
+        calls = g.edges.where(F.col("rel_type").isin(H.CALLS))
+        ids = (G.sources_of(calls, named) if here == "dst" else G.targets_of(calls, named)).select(F.col("id").alias("node_id")).distinct()
+        return g.nodes.join(ids, "node_id", "left_semi").select("node_id", "node_type", "name", "class_name", "file_path", "start_line", "end_line").orderBy("file_path", "start_line", "node_id")
+
+    def callers(self, repository_id: str, name: str) -> DataFrame:
+        return self._calls(repository_id, name, "dst", "src")
+
+    def callees(self, repository_id: str, name: str) -> DataFrame:
+        return self._calls(repository_id, name, "src", "dst")
+
+    def _imports(self, repository_id: str, file_path: str, here: str, there: str) -> DataFrame:
+        edges = self._ready_graph(repository_id).edges.where((F.col("rel_type") == "FILE_IMPORTS_FILE") & (F.col(here) == f"File:{file_path}"))
+        return edges.select(F.regexp_replace(there, "^File:", "").alias("file_path"), "module", "line").orderBy("file_path")
+
+    def importers(self, repository_id: str, file_path: str) -> DataFrame:
+        return self._imports(repository_id, file_path, "dst", "src")
+
+    def imports(self, repository_id: str, file_path: str) -> DataFrame:
+        return self._imports(repository_id, file_path, "src", "dst")
+
+    def path(self, repository_id: str, source: str, target: str) -> DataFrame:
+        """Q14 between files."""
+        edges = self._ready_graph(repository_id).edges.where("rel_type = 'FILE_IMPORTS_FILE'")
+        pair = self.spark.createDataFrame([(f"File:{source}", f"File:{target}")], "source string, target string")
+        return T.shortest_chains(edges, pair).select("length", F.transform("path", lambda p: F.regexp_replace(p, "^File:", "")).alias("path"))
+
+    # Summaries ------------------------------------------------------------------------------------
+
+    def summary(self, repository_id: str) -> str:
+        """Largest directories, most imported files, files that start things, and counts, a line each."""
+        g = self._ready_graph(repository_id)
+        imports = g.edges.where("rel_type = 'FILE_IMPORTS_FILE'")
+        plain = lambda c: F.regexp_replace(c, "^File:", "").alias("f")
+        parts = [
+            ("Directories", [f"{r['directory']} ({r['n']} files)" for r in directory_summary(G.files_of(g.nodes)).collect()]),
+            ("Imported most", [f"{r['f']} ({r['in_degree']} importers)" for r in G.central(imports, 8).select(plain("id"), "in_degree").collect()]),
+            ("Import others and are never imported", [r["f"] for r in G.entry_points(imports, 6).select(plain("id")).collect()]),
+            ("Nodes", [f"{r['n']} {r['type']}" for r in G.statistics(g.nodes, g.edges).where("kind = 'node' and type is not null").orderBy("type").collect()]),
+        ]
+        return "\n".join(f"- {head}: {', '.join(items)}" for head, items in parts if items) or "- Nothing is known of the structure."
+
+    def overview_context(self, repository_id: str) -> str:
+        """Extracts that a few searches find, documentation first, up to the first one that overflows."""
         self.store.require_ready(repository_id)
-        asked = benchmark.select("question_id", F.lit(repository_id).alias("repository_id"), "question")
         chunks = self.store.read("chunks", repository_id)
-        hybrid = H.hybrid(asked, chunks, self.graph(repository_id), None, self.embed, limit)[0]
-        vector = H.vector_only(asked, chunks, self.embed, limit)
-        hybrid = materialize(hybrid, "ranked")
-        rows = lambda df, name: df.select(F.lit(name).alias("system"), "question_id", "position", "file_path")
-        return E.question_metrics(rows(hybrid, "hybrid").unionByName(rows(vector, "vector")), benchmark)
-
-    def summary(self, repository_id: str) -> DataFrame:
-        """Directories with most files."""
-        return directory_summary(self.store.read("files", repository_id))
+        asked = self.spark.createDataFrame([(k, q, kinds, n) for k, (q, kinds, n) in enumerate(OVERVIEW_SEARCHES)], "query_id int, q string, kinds array<string>, n int")
+        asked = asked.withColumn("qv", self.embed(F.col("q")))
+        scored = chunks.join(F.broadcast(asked), F.array_contains("kinds", F.col("entity_type"))).withColumn("score", F.round(V.dot(F.col("qv"), F.col("embedding")) / (V.length(F.col("qv")) * V.length(F.col("embedding"))), 6))
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "file_path", "start_line", "entity_name"))
+        hits = scored.withColumn("rank", place).where(F.col("rank") <= F.col("n")).withColumn("seq", F.col("query_id") * 100 + F.col("rank"))
+        return "\n\n".join(r["block"] for r in overview_prefix(hits).orderBy("seq").collect()) or "Nothing was found."
+
+    def overview(self, repository_id: str, connector: L.Connector | None = None) -> str:
+        """An introduction by the language model, or a digest of what is known where none answers."""
+        row = self.store.require_ready(repository_id)
+        files = self.store.read("files", repository_id)
+        languages = ", ".join(f"{r['language']} ({r['n']})" for r in S.language_counts(files).collect()) or "unknown"
+        frameworks = ", ".join(r["framework"] for r in S.frameworks(files).orderBy("framework").collect()) or "none"
+        given = {"name": row["name"] or row["url"], "files": files.count(), "languages": languages, "frameworks": frameworks, "structure": self.summary(repository_id)}
+        connector = connector or L.configured()
+        if connector:
+            try:
+                return connector.ask(L.OVERVIEW_PROMPT.format(**given, context=self.overview_context(repository_id)), L.OVERVIEW_RULES)
+            except (OSError, ValueError):
+                pass
+        return "# {name}\n\nNo language model answers; this is what the index holds.\n\n- Files: {files}\n- Languages: {languages}\n- Frameworks: {frameworks}\n\n## Structure\n{structure}\n".format(**given)
+
+    def health(self) -> dict:
+        """What works."""
+        connector = L.configured()
+        return {"storage": self.store.ping(), "language_model": bool(connector and connector.available()), "spark": self.spark.version}
+
+    def config(self) -> dict:
+        connector = L.configured()
+        return {"root": self.store.root, "context_limit": R.CONTEXT_LIMIT, "context_chars": R.CONTEXT_CHARS, "per_file": R.PER_FILE_CAP, "language_model": connector.model if connector else None}
 
     def delete(self, repository_id: str) -> None:
         self.store.remove(repository_id, TABLES)

@@ -12,6 +12,8 @@ from pyspark.sql.utils import AnalysisException
 
 # The states of a repository, in order.
 STATES = ["queued", "cloning", "parsing", "creating_embeddings", "building_graph", "indexing", "ready", "failed"]
+#: Lookup keys of stored tables: rows of a file are sorted by them, so that Parquet's statistics skip what a lookup does not need.
+LAYOUT = {"files": ["file_path"], "entities": ["file_path", "start_line"], "chunks": ["entity_type", "file_path"], "nodes": ["node_type", "name", "node_id"], "edges": ["rel_type", "dst", "src"]}
 CATALOG = "repository_id string, name string, url string, status string, error string, language_counts string, updated double, created double, deleted boolean"
 
 
@@ -30,7 +32,10 @@ class Store:
         self.spark, self.root = spark, root.rstrip("/")
 
     def write(self, df: DataFrame, table: str) -> None:
-        """Replace the partitions of the repositories in df, and no others (dynamic overwrite)."""
+        """Replace the partitions of the repositories in df, and no others (dynamic overwrite), sorted by the table's lookup keys."""
+        keys = [c for c in LAYOUT.get(table, []) if c in df.columns]
+        if keys:
+            df = df.sortWithinPartitions("repository_id", *keys)
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repository_id").parquet(f"{self.root}/{table}")
 
     def read(self, table: str, repository_id: str | None = None, schema: str | None = None) -> DataFrame:
@@ -43,6 +48,38 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return df if repository_id is None else df.where(F.col("repository_id") == repository_id)
 
+    def _path(self, name: str = ""):
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def ensure(self, table: str, schema: str) -> None:
+        """An empty table of that schema where there is none."""
+        fs, path = self._path(table)
+        if not fs.exists(path):
+            self.spark.createDataFrame([], schema).write.partitionBy("repository_id").parquet(path.toString())
+
+    def ping(self) -> bool:
+        """Q20: the root can be reached and made."""
+        try:
+            fs, path = self._path()
+            return bool(fs.exists(path) or fs.mkdirs(path))
+        except Exception:  # whatever the file system raises, it cannot be reached
+            return False
+
+    def write_text(self, name: str, text: str) -> str:
+        """One file under the root, replaced whole; its path."""
+        fs, path = self._path(name)
+        aside = self._path(f"{name}.part")[1]
+        out = fs.create(aside, True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        fs.delete(path, False)
+        fs.rename(aside, path)
+        return path.toString()
+
     def upsert(self, df: DataFrame, table: str, key: str = "id") -> None:
         """Rows of df replace stored rows of the same key in the same repository; the rest stay."""
         from stratagraph.plans.scratch import materialize, small
@@ -54,9 +91,8 @@ class Store:
 
     def delete(self, table: str, repository_id: str) -> None:
         """Drop a repository's partition; nothing to drop is no error."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/repository_id={repository_id}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        fs, path = self._path(f"{table}/repository_id={repository_id}")
+        fs.delete(path, True)
 
     # Catalog -----------------------------------------------------------------
 
