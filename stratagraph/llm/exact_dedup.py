@@ -1,17 +1,19 @@
 """Exact deduplication by progressive refinement: length, then prefix hash, then full hash.
 
-Native: DataFrame functions only. The text itself is never shuffled. A first scan
-keeps (length, prefix hash) per row; groups of one leave at each step; what is
-left is marked in a bitmap of fixed size, and the second scan hashes the full text
-only of rows whose bit is set. A bit set by accident only costs one more hash.
+Native: DataFrame functions only. The text itself is never shuffled. A first scan counts lengths; a second one hashes
+the prefixes of rows whose length is shared; a third one hashes the full text of rows whose (length, prefix) is
+shared. What survives a step is marked in a bitmap of fixed size, so a bit set by accident only costs one more hash.
+Groups are equal SHA-256 digests of the normalised text.
+
+A group's verdict comes back to its rows by a shuffled join, but for hot groups: those of over 1 / HOT_GROUPS of all
+rows, of which there are fewer than HOT_GROUPS, are broadcast, so no key of the shuffle holds more rows than that.
 
 Defined results
 - A null text counts as empty, so all null and empty texts are one group.
 - Ties: the smallest id stays. A null id is larger than any other.
-- Repeated rows (same id, same text): one of them stays, by order of the scan.
-- Empty table: no rows. Extra columns of the input are ignored unless carried.
-- A hot group costs one partial aggregate per task; the join that brings its
-  verdict back is a plain sort-merge join, which AQE splits when skewed.
+- Repeated rows (same id, same text): one of them stays, the first in the input. An id over several texts: each text
+  is decided by itself.
+- Empty table: no rows. Extra columns of the input are ignored unless carried, whatever their names. Very long texts are hashed whole.
 """
 
 from __future__ import annotations
@@ -19,13 +21,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, bitmap_of, text_of, with_bit
+from .common import WS, bitmap_of, filter_by_ids, materialize, text_of, with_bit
+
+#: Groups that are broadcast at most (about 10 MB).
+HOT_GROUPS = 100_000
+#: A group of fewer rows is never called hot.
+LEAST_HOT = 200
 
 
 def normalised(text: str | Column = "text") -> Column:
     return F.regexp_replace(text_of(text), WS, " ")
 
 
+def _digest(norm: Column) -> Column:
+    return F.unhex(F.sha2(norm.cast("binary"), 256))
+
+
 def exact_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -35,90 +46,67 @@ def exact_dedup(
 ) -> DataFrame:
     """One row per input row: id_col, keep_id, group_size, kept, and the carried expressions.
 
-    carry: extra output columns, computed over `__norm` (the normalised text) in the second scan.
+    carry: extra output columns, computed over `__norm` (the normalised text) in the last scan.
     """
     carry = carry or {}
-    keyed = docs.select(F.col(id_col).alias("__id"), normalised(text_col).alias("__norm")).select(
-        "__id",
-        "__norm",
-        F.length("__norm").alias("__len"),
+    keyed = docs.select(F.col(id_col).alias("__id"), normalised(text_col).alias("__norm")).withColumn("__len", F.length("__norm"))
+    prefix = F.xxhash64("__len", F.substring("__norm", 1, prefix_chars))
+
+    lengths = keyed.groupBy("__len").agg(F.count("*").alias("__n")).where("__n > 1")
+    same_length = with_bit(keyed, "__len", materialize(bitmap_of(lengths, "__len"), "lengths"), "__same_length")
+    prefixed = same_length.withColumn("__prefix", F.when(F.col("__same_length"), prefix))
+    prefixes = prefixed.where("__prefix is not null").groupBy("__prefix").agg(F.count("*").alias("__n")).where("__n > 1")
+    marked = with_bit(prefixed, "__prefix", materialize(bitmap_of(prefixes, "__prefix"), "prefixes"), "__marked")
+    again = F.col("__same_length") & F.col("__marked")
+    rows = marked.select(
+        "__id", F.monotonically_increasing_id().alias("__row"), F.when(again, _digest(F.col("__norm"))).alias("__full"), *[c.alias(name) for name, c in carry.items()]
     )
-    with_prefix = F.xxhash64("__len", F.substring("__norm", 1, prefix_chars))
-
-    # Length, then length with prefix: only the counts leave the scan.
-    by_prefix = keyed.select("__len", with_prefix.alias("__prefix")).groupBy("__len", "__prefix").agg(F.count("*").alias("__n"))
-    by_length = by_prefix.groupBy("__len").agg(F.sum("__n").alias("__of_length")).where("__of_length > 1")
-    again = by_prefix.where("__n > 1").join(by_length, "__len", "left_semi")
-    bitmap = bitmap_of(again, "__prefix")
-
-    # Full content only of the rows whose (length, prefix) is shared.
-    rows = with_bit(
-        keyed.withColumn("__prefix", with_prefix).withColumn("__row", F.monotonically_increasing_id()), "__prefix", bitmap, "__again"
-    ).select(
-        "__id",
-        "__row",
-        F.when(F.col("__again"), F.unhex(F.sha2(F.col("__norm").cast("binary"), 256)))
-        .otherwise(F.encode(F.concat_ws(":", F.lit("one"), F.col("__row"), F.col("__id")), "utf-8"))
-        .alias("__full"),
-        "__again",
-        *[c.alias(name) for name, c in carry.items()],
-    )
-    groups = (
-        rows.where("__again")
-        .groupBy("__full", "__id")
-        .agg(F.count("*").alias("__copies"), F.min("__row").alias("__row"))
-        .groupBy("__full")
-        .agg(
-            F.sum("__copies").alias("__size"),
-            F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__copies").alias("copies"), F.col("__row").alias("row"))).alias("__keep"),
-        )
-        .where("__size > 1")
-    )
-    same = F.col("__id").eqNullSafe(F.col("__keep.id"))
-    first = (F.col("__keep.copies") == 1) | (F.col("__row") == F.col("__keep.row"))
-    lone = F.col("__size").isNull()
-    return rows.join(groups.select("__full", "__size", "__keep"), "__full", "left").select(
+    rows = materialize(rows, "exact_rows")
+    return _verdicts(rows).select(
         F.col("__id").alias(id_col),
-        F.when(lone, F.col("__id")).otherwise(F.col("__keep.id")).alias("keep_id"),
+        F.when(F.col("__size").isNull(), F.col("__id")).otherwise(F.col("__keep.id")).alias("keep_id"),
         F.coalesce("__size", F.lit(1).cast("long")).alias("group_size"),
-        (lone | (same & first)).alias("kept"),
+        (F.col("__size").isNull() | (F.col("__row") == F.col("__keep.row"))).alias("kept"),
         *carry,
     )
 
 
+def _verdicts(rows: DataFrame) -> DataFrame:
+    """rows(__full, __id, __row, ...) with __size and __keep of their group, null where they are alone."""
+    least = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"))
+    groups = rows.where("__full is not null").groupBy("__full").agg(F.count("*").alias("__size"), F.min(least).alias("__keep")).where("__size > 1")
+    groups = materialize(groups, "exact_groups")
+    bar = max(LEAST_HOT, -(-rows.count() // HOT_GROUPS))
+    big, hot_at = groups.where(F.col("__size") > bar), F.col("__hot.__size").isNotNull()
+    hot = big.select("__full", F.struct("__size", "__keep").alias("__hot"))
+    told = rows.join(F.broadcast(hot), "__full", "left")
+    done = told.where(hot_at).select(*rows.columns, "__hot.__size", "__hot.__keep")
+    alone = told.where(F.col("__full").isNull()).select(*rows.columns, F.lit(None).cast("long").alias("__size"), F.lit(None).cast(groups.schema["__keep"].dataType).alias("__keep"))
+    rest = told.where(F.col("__full").isNotNull() & ~hot_at).select(*rows.columns).join(groups.where(F.col("__size") <= bar), "__full", "left")
+    columns = [*rows.columns, "__size", "__keep"]
+    return done.select(*columns).unionByName(alone.select(*columns)).unionByName(rest.select(*columns))
+
+
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns.
 
-    The verdicts are written once; what goes is removed by an anti join on the id, and only ids
-    that occur in several equal rows are ranked by a window.
+    What goes is removed by an anti join on the id. Rows of ids that have both rows that stay and rows that go, and
+    rows without id, are told apart by their text's hash.
     """
-    from .common import filter_by_ids, materialize
-
-    gone = materialize(exact_dedup(docs, id_col, text_col).where("not kept"), "exact_gone")
-    copies = gone.where(F.col(id_col).eqNullSafe(F.col("keep_id"))).select(id_col).distinct()
-    dropped = gone.where(~F.col(id_col).eqNullSafe(F.col("keep_id"))).select(id_col)
+    verdicts = materialize(exact_dedup(docs, id_col, text_col, carry={"__hash": _digest(F.col("__norm"))}).select(id_col, "kept", "__hash"), "exact_verdicts")
+    dropped = verdicts.where("not kept")
+    gone = materialize(dropped.where(F.col(id_col).isNotNull()).select(id_col).distinct(), "exact_gone")
+    out = filter_by_ids(docs, gone, id_col, "left_anti")
+    mixed = materialize(gone.join(verdicts.where("kept").select(id_col).distinct(), id_col, "left_semi"), "exact_mixed")
     nulls = dropped.where(F.col(id_col).isNull()).limit(1).count() > 0
-    out = filter_by_ids(docs, dropped.where(F.col(id_col).isNotNull()).distinct(), id_col, "left_anti")
-    if nulls or copies.limit(1).count():
-        return _ranked(docs, gone, copies, out, id_col, text_col)
-    return out
-
-
-def _ranked(docs: DataFrame, gone: DataFrame, copies: DataFrame, out: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows repeated under one id, or without id, told apart by their text's hash."""
-    from pyspark.sql import Window
-
+    if not nulls and not mixed.limit(1).count():
+        return out
     cols = docs.columns
-    hot = copies.where(F.col(id_col).isNotNull())
-    plain = out.where(F.col(id_col).isNotNull()).join(hot, id_col, "left_anti")
-    odd = docs.join(hot, id_col, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
-    hashed = odd.withColumn("__hash", F.sha2(normalised(text_col).cast("binary"), 256))
-    one = (
-        hashed.withColumn("__nth", F.row_number().over(Window.partitionBy("__hash", id_col).orderBy(F.lit(1))))
-        .where("__nth = 1")
-        .drop("__nth")
-    )
-    keep = exact_dedup(docs, id_col, text_col, carry={"__hash": F.sha2(F.col("__norm").cast("binary"), 256)}).where("kept")
-    keep = keep.select(F.col(id_col).alias("__kid"), "__hash").distinct()
-    rest = one.alias("o").join(keep.alias("k"), (F.col("o.__hash") == F.col("k.__hash")) & F.col(f"o.{id_col}").eqNullSafe(F.col("k.__kid")), "left_semi")
-    return plain.select(*cols).unionByName(rest.select(*cols))
+    odd = docs.join(mixed, id_col, "left_semi").select(*cols)
+    if nulls:
+        out, odd = out.where(F.col(id_col).isNotNull()), odd.unionByName(docs.where(F.col(id_col).isNull()))
+    odd = materialize(odd.withColumn("__hash", _digest(normalised(text_col))).withColumn("__row", F.monotonically_increasing_id()), "exact_odd")
+    stay = verdicts.where("kept").select(F.col(id_col).alias("__kid"), F.col("__hash").alias("__khash")).distinct()
+    first = odd.groupBy(F.col(id_col).alias("__i"), "__hash").agg(F.min("__row").alias("__row"))
+    first = first.join(stay, F.col("__i").eqNullSafe(F.col("__kid")) & (F.col("__hash") == F.col("__khash")), "left_semi").select("__row")
+    return out.select(*cols).unionByName(odd.join(first, "__row", "left_semi").select(*cols))
