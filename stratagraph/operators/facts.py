@@ -16,6 +16,7 @@ from stratagraph.operators import graph as G
 from stratagraph.operators import ranking as R
 from stratagraph.operators import vector_search as V
 from stratagraph.operators.questions import analyse, vector_limit
+from stratagraph.plans.scratch import materialize, small
 
 PER_QUERY, DEFINITIONS, SEEDS, NEIGHBOURS = 12, 5, 3, 8
 CENTRAL_FACT, CENTRAL_ITEMS, ENTRY_FACT, ENTRY_ITEMS = 8, 5, 6, 4
@@ -43,54 +44,67 @@ def _first(df: DataFrame, n: int, *order) -> DataFrame:
     return df.withColumn("row_pos", F.row_number().over(Window.partitionBy("question_id", "name_pos").orderBy(*order))).where(F.col("row_pos") <= n)
 
 
-def definitions(asked: DataFrame, g: G.Graph) -> DataFrame:
+def resolve(asked: DataFrame, g: G.Graph) -> tuple[DataFrame, DataFrame]:
+    """(hits, links) of the names asked for, written: their nodes, and each node's edges in both directions with the node at the other end.
+
+    All generators that go by names read these, so nodes and edges are joined once, whatever a question asks for.
+    links: owner and owner_* are the named node, out tells the edge's direction, the other columns are the node there.
+    """
+    place = ["node_type", "name", "file_path", "start_line", "end_line"]
+    who = ["question_id", "name_pos", "asked", "intents", "is_flow"]
+    named = small(asked.select("repository_id", *who))
+    hits = g.nodes.join(named, (g.nodes["repository_id"] == named["repository_id"]) & (g.nodes["name"] == named["asked"])).drop(named["repository_id"])
+    hits = materialize(hits.select("repository_id", *who, "node_id", "class_name", *place), "named")
+    ids = small(hits.select("repository_id", F.col("node_id").alias("owner")).distinct())
+    edges = g.edges.select("repository_id", "src", "dst", "rel_type")
+    near = lambda here, there, out: edges.withColumnRenamed(here, "owner").withColumnRenamed(there, "other").join(ids, ["repository_id", "owner"], "left_semi").select("repository_id", "owner", "other", "rel_type", F.lit(out).alias("out"))
+    near = materialize(near("src", "dst", True).unionByName(near("dst", "src", False)).distinct(), "near")
+    others = g.nodes.join(small(near.select("repository_id", F.col("other").alias("node_id")).distinct()), ["repository_id", "node_id"], "left_semi").select("repository_id", F.col("node_id").alias("other"), *place)
+    owner = hits.select("repository_id", *who, F.col("node_id").alias("owner"), F.col("node_type").alias("owner_type"), F.col("file_path").alias("owner_file"), F.col("start_line").alias("owner_start"), F.col("end_line").alias("owner_end"))
+    links = small(owner).join(near, ["repository_id", "owner"]).join(others, ["repository_id", "other"])
+    return hits, materialize(links, "named_links")
+
+
+def definitions(hits: DataFrame) -> DataFrame:
     """F1."""
-    hits = asked.join(g.nodes.where(F.col("node_type").isin(*G.LABELS)), (asked["asked"] == g.nodes["name"]) & (asked["repository_id"] == g.nodes["repository_id"])).drop(g.nodes["repository_id"])
-    top = _first(hits, DEFINITIONS, F.array_position(F.array(*[F.lit(x) for x in G.LABELS]), F.col("node_type")), "file_path", "start_line", "node_id")
+    top = _first(hits.where(F.col("node_type").isin(*G.LABELS)), DEFINITIONS, F.array_position(F.array(*[F.lit(x) for x in G.LABELS]), F.col("node_type")), "file_path", "start_line", "node_id")
     qualified = F.concat_ws(".", "class_name", "name")
     return top.select(*_item(1, F.concat_ws(" ", F.lower("node_type"), qualified, F.lit("is defined at"), _where()), V.TIER_DIRECT, F.lit("definition"), 1.0))
 
 
-def _calls(asked: DataFrame, g: G.Graph, step: int, here: str, there: str, fact, relationship) -> DataFrame:
-    callable_ = g.nodes.where(F.col("node_type").isin("Function", "Method"))
-    named = callable_.select("repository_id", F.col("name").alias("asked"), F.col("node_id").alias(here))
-    edges = g.edges.where(F.col("rel_type").isin(CALLS)).select("repository_id", "src", "dst")
-    other = callable_.select("repository_id", F.col("node_id").alias(there), "node_type", "name", "file_path", "start_line", "end_line")
-    rows = asked.join(named, ["repository_id", "asked"]).join(edges, ["repository_id", here]).join(other, ["repository_id", there])
-    rows = rows.select("question_id", "name_pos", "asked", there, "node_type", "name", "file_path", "start_line", "end_line").distinct()
-    return _first(rows, PER_QUERY, "file_path", "start_line", there).select(*_item(step, fact, V.TIER_RELATED, relationship, 0.9))
+def _calls(links: DataFrame, step: int, out: bool, fact, relationship) -> DataFrame:
+    callable_ = lambda c: F.col(c).isin("Function", "Method")
+    rows = links.where(F.col("rel_type").isin(CALLS) & (F.col("out") == out) & callable_("owner_type") & callable_("node_type"))
+    rows = rows.select("question_id", "name_pos", "asked", "other", "node_type", "name", "file_path", "start_line", "end_line").distinct()
+    return _first(rows, PER_QUERY, "file_path", "start_line", "other").select(*_item(step, fact, V.TIER_RELATED, relationship, 0.9))
 
 
-def callers(asked: DataFrame, g: G.Graph, step: int = 3) -> DataFrame:
+def callers(links: DataFrame, step: int = 3) -> DataFrame:
     """F2."""
     fact = F.concat(F.lower("node_type"), F.lit(" "), "name", F.lit(" ("), _where(), F.lit(") calls "), "asked")
-    return _calls(asked, g, step, "dst", "src", fact, F.concat(F.lit("calls "), "asked"))
+    return _calls(links, step, False, fact, F.concat(F.lit("calls "), "asked"))
 
 
-def callees(asked: DataFrame, g: G.Graph, step: int = 4) -> DataFrame:
+def callees(links: DataFrame, step: int = 4) -> DataFrame:
     """F3."""
     fact = F.concat("asked", F.lit(" calls "), "name", F.lit(" ("), _where(), F.lit(")"))
-    return _calls(asked, g, step, "src", "dst", fact, F.concat(F.lit("called by "), "asked"))
+    return _calls(links, step, True, fact, F.concat(F.lit("called by "), "asked"))
 
 
-def _classes(asked: DataFrame, g: G.Graph, rel: str, here: str, there: str) -> DataFrame:
+def _classes(links: DataFrame, rel: str, out: bool) -> DataFrame:
     """Class asked for (owner_*) with the nodes at the other end of an edge."""
-    owner = g.nodes.where("node_type = 'Class'").select("repository_id", F.col("name").alias("asked"), F.col("node_id").alias(here), F.col("file_path").alias("owner_file"), F.col("start_line").alias("owner_start"), F.col("end_line").alias("owner_end"))
-    other = g.nodes.select("repository_id", F.col("node_id").alias(there), "node_type", "name", "file_path", "start_line", "end_line")
-    edges = g.edges.where(F.col("rel_type") == rel).select("repository_id", "src", "dst").distinct()
-    rows = asked.join(owner, ["repository_id", "asked"]).join(edges, ["repository_id", here]).join(other, ["repository_id", there])
-    return rows.withColumn("owner", F.col(here)).withColumn("other", F.col(there)).drop("src", "dst")
+    return links.where((F.col("rel_type") == rel) & (F.col("out") == out) & (F.col("owner_type") == "Class"))
 
 
 def _listed(c: Column) -> Column:
     return F.array_join(F.array_sort(F.collect_list(c)), ", ")
 
 
-def inheritance(asked: DataFrame, g: G.Graph) -> DataFrame:
+def inheritance(links: DataFrame) -> DataFrame:
     """bases, then subclasses, of each class of the name."""
     out = []
-    for k, (here, there, head, rel) in enumerate((("src", "dst", "class %s inherits from ", "base class of "), ("dst", "src", "classes inheriting from %s: ", "subclass of "))):
-        rows = _classes(asked, g, "CLASS_INHERITS_CLASS", here, there)
+    for k, (there, head, rel) in enumerate(((True, "class %s inherits from ", "base class of "), (False, "classes inheriting from %s: ", "subclass of "))):
+        rows = _classes(links, "CLASS_INHERITS_CLASS", there)
         label = F.concat("name", F.lit(" ("), "file_path", F.lit(")"))
         text = rows.groupBy("question_id", "name_pos", "owner").agg(F.concat(F.format_string(head, F.first("asked")), _listed(label)).alias("fact"))
         one = rows.withColumn("row_pos", F.row_number().over(Window.partitionBy("question_id", "name_pos").orderBy("owner", "name", "other")) + 1000 * k)
@@ -100,9 +114,9 @@ def inheritance(asked: DataFrame, g: G.Graph) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
-def class_structure(asked: DataFrame, g: G.Graph) -> DataFrame:
+def class_structure(links: DataFrame) -> DataFrame:
     """F5."""
-    rows = _classes(asked, g, "CLASS_CONTAINS_METHOD", "src", "dst")
+    rows = _classes(links, "CLASS_CONTAINS_METHOD", True)
     head = F.concat(F.lit("class "), F.first("asked"), F.lit(" ("), F.format_string("%s:%d-%d", F.first("owner_file"), F.first("owner_start"), F.first("owner_end")), F.lit(") defines: "))
     text = rows.groupBy("question_id", "name_pos", "owner").agg(F.concat(head, _listed(F.col("name"))).alias("fact"))
     nth = F.row_number().over(Window.partitionBy("question_id", "name_pos", "owner").orderBy("start_line", "other"))
@@ -165,14 +179,15 @@ def architecture(questions: DataFrame, g: G.Graph) -> DataFrame:
 def graph_context(questions: DataFrame, g: G.Graph) -> DataFrame:
     """the generators that each question's intents ask for."""
     wants = questions.where("wants_graph")
-    names, paths = _named(wants), _named(wants, "file_paths")
     has = lambda *i: F.arrays_overlap("intents", F.array(*[F.lit(x) for x in i]))
+    hits, links = resolve(_named(wants), g)
+    paths = small(_named(wants, "file_paths"))
     return reduce(
         DataFrame.unionByName,
         [
-            definitions(names, g), class_structure(names, g), callers(names.where(has("callers")), g), callees(names.where(has("callees")), g), inheritance(names.where(has("inheritance")), g),
+            definitions(hits), class_structure(links), callers(links.where(has("callers"))), callees(links.where(has("callees"))), inheritance(links.where(has("inheritance"))),
             file_dependencies(paths.where(has("importers", "dependencies")), g), file_contents(paths.where(has("file_contents")), g), architecture(wants.where(has("architecture", "entry_point")), g),
-            callers(names.where("is_flow"), g, 9), callees(names.where("is_flow"), g, 10),
+            callers(links.where("is_flow"), 9), callees(links.where("is_flow"), 10),
         ],
     )
 
@@ -217,7 +232,6 @@ def _as_items(df: DataFrame, order: Column, **given: Column) -> DataFrame:
 def hybrid(questions: DataFrame, chunks: DataFrame, g: G.Graph, files: DataFrame | None = None, embed=None, limit: int = R.CONTEXT_LIMIT) -> tuple[DataFrame, DataFrame]:
     """H1: (ranked items, distinct facts) of questions(question_id, repository_id, question)."""
     from stratagraph.functions.vectors import hashing_embedding
-    from stratagraph.plans.scratch import materialize
     from stratagraph.sources.repository import read_lines
 
     # Written once each: both feed several branches, whose plans would multiply.

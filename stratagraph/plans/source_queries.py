@@ -213,6 +213,18 @@ def inherit_resolve(spark: SparkSession, d: str) -> DataFrame:
     return R.resolve_inheritance(inherits, *_resolution(spark)).select("seq", "child_class", "parent_file")
 
 
+_INDEXED: dict[str, tuple[Parsed, G.Graph, DataFrame]] = {}
+
+
+def _indexed(spark: SparkSession) -> tuple[Parsed, G.Graph, DataFrame]:
+    """The small repository parsed, as a graph and as chunks: written once a session, as an index is built before it is asked."""
+    key = spark.sparkContext.applicationId
+    if key not in _INDEXED:
+        p, g = _parsed(spark)
+        _INDEXED[key] = p, g, materialize(C.build_chunks(p.entities).withColumn("embedding", hashing_embedding(C.embedding_text())), "chunks")
+    return _INDEXED[key]
+
+
 def _parsed(spark: SparkSession) -> tuple[Parsed, G.Graph]:
     p = parse_repository(fixture.files(spark))
     p = Parsed(*[materialize(x, n) for x, n in ((p.entities, "entities"), (p.imports, "imports"), (p.calls, "calls"), (p.inherits, "inherits"), (p.errors, "errors"))])
@@ -222,17 +234,17 @@ def _parsed(spark: SparkSession) -> tuple[Parsed, G.Graph]:
 
 @query()
 def python_entities(spark: SparkSession, d: str) -> DataFrame:
-    return parse_repository(fixture.files(spark)).entities.where("language = 'python'")
+    return _indexed(spark)[0].entities.where("language = 'python'")
 
 
 @query()
 def js_entities(spark: SparkSession, d: str) -> DataFrame:
-    return parse_repository(fixture.files(spark)).entities.where("language in ('javascript', 'typescript')")
+    return _indexed(spark)[0].entities.where("language in ('javascript', 'typescript')")
 
 
 @query()
 def code_graph_edges(spark: SparkSession, d: str) -> DataFrame:
-    return _parsed(spark)[1].edges
+    return _indexed(spark)[1].edges
 
 
 @query()
@@ -240,12 +252,11 @@ def graph_facts(spark: SparkSession, d: str) -> DataFrame:
     from stratagraph.operators.questions import analyse
 
     questions = spark.createDataFrame([(k, fixture.REPOSITORY, q) for k, q in fixture.QUESTIONS], "question_id int, repository_id string, question string")
-    return H.graph_context(analyse(questions), _parsed(spark)[1])
+    return H.graph_context(analyse(questions), _indexed(spark)[1])
 
 
 def _retrieval(spark: SparkSession) -> tuple[DataFrame, DataFrame, G.Graph]:
-    p, g = _parsed(spark)
-    chunks = materialize(C.build_chunks(p.entities).withColumn("embedding", hashing_embedding(C.embedding_text())), "chunks")
+    _, g, chunks = _indexed(spark)
     return spark.createDataFrame([(k, fixture.REPOSITORY, q) for k, q in fixture.QUESTIONS], "question_id int, repository_id string, question string"), chunks, g
 
 
@@ -256,7 +267,7 @@ def hybrid_retrieve(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query()
-def vector_only(spark: SparkSession, d: str) -> DataFrame:
+def vector_retrieve(spark: SparkSession, d: str) -> DataFrame:
     questions, chunks, _ = _retrieval(spark)
     return H.vector_only(questions, chunks)
 
