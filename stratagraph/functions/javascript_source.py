@@ -2,8 +2,8 @@
 
 Understood: imports, `require` constants, classes with extends and implements, methods, functions, generators, arrow
 and function constants, interfaces, type aliases, enums, export wrappers, bodies of if and try, JSDoc, calls
-and `new`. Not understood: decorators' arguments as calls of a class, object-literal methods, class expressions,
-computed method names. `a < b > (c)` may be read as a generic call.
+and `new`. Methods may have computed, private, quoted or numeric names. Class expressions and methods of object literals
+are no declarations and give no rows. Not understood: decorators' arguments as calls of a class. `a < b > (c)` may be read as a generic call.
 """
 
 from __future__ import annotations
@@ -11,10 +11,10 @@ from __future__ import annotations
 import re
 
 # Callee names that are never recorded.
-COMMON_CALLS = frozenset(
-    "require console log warn error then catch map filter forEach reduce push pop slice splice join split trim replace test match parse stringify toString keys values entries assign bind call apply setTimeout setInterval "
-    "addEventListener querySelector getElementById round floor ceil abs min max random now".split()
-)
+COMMON_CALLS = frozenset([
+    "require", "console", "log", "warn", "error", "then", "catch", "map", "filter", "forEach", "reduce", "push", "pop", "slice", "splice", "join", "split", "trim", "replace", "test", "match", "parse", "stringify", "toString",
+    "keys", "values", "entries", "assign", "bind", "call", "apply", "setTimeout", "setInterval", "addEventListener", "querySelector", "getElementById", "round", "floor", "ceil", "abs", "min", "max", "random", "now",
+])
 _TOKEN = re.compile(
     r"(?P<comment>/\*.*?\*/|//[^\n]*)|(?P<string>\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*')|(?P<template>`)|(?P<name>[A-Za-z_$][\w$]*)|(?P<number>\d[\w.]*)|(?P<arrow>=>)|(?P<space>\s+)|(?P<mark>.)", re.S
 )
@@ -211,17 +211,21 @@ class _Walker:
         j = brace + 1
         while j < end:
             begin = j
-            while self.text(j) in ("public", "private", "protected", "static", "async", "abstract", "override", "readonly", "get", "set", "*", "#") and self.text(j + 1) not in ("(", "=", ":", ";"):
+            while self.text(j) in ("public", "private", "protected", "static", "async", "abstract", "override", "readonly", "get", "set", "*") and self.text(j + 1) not in ("(", "=", ":", ";"):
                 j += 1
-            params = self.generic_end(j + 1)
-            if self.is_name(j) and self.text(params) == "(" and self.text(j) not in _WORDS:
+            # A name, or one that is computed, private, quoted or a number: its last token and its text.
+            last_of_name = self.close(j) if self.text(j) == "[" else j + 1 if self.text(j) == "#" else j
+            named = self.is_name(j) and self.text(j) not in _WORDS or self.text(j) in ("[", "#") or (j < end and self.t[j][0] in ("string", "number"))
+            params = self.generic_end(last_of_name + 1)
+            if named and self.text(params) == "(":
+                title = self.code(j, last_of_name)
                 close = self.close(params)
                 body = self.body_start(close + 1, end)
                 last = self.close(body) if body is not None else close
                 if body is None:
                     while last + 1 < end and self.text(last + 1) != ";" and self.line(last + 1) == self.line(last):
                         last += 1
-                self.callable("method", self.text(j), begin, last, begin, self.signature("", self.text(j), params, close, body, last), name, params, last)
+                self.callable("method", title, begin, last, begin, self.signature("", title, params, close, body, last), name, params, last)
                 j = last + 1
             else:
                 # A field: to its semicolon or the end of its line.

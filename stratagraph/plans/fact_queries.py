@@ -13,10 +13,12 @@ from stratagraph.plans.registry import query
 from stratagraph.plans.tables import CODE_SQL, code_graph, table
 
 NAMES = ["C5", "f7", "m3", "C11", "nothing"]
-FILES = ["src/france.py", "src/china.py", "src/kenya.py", "src/brazil.py", "src/iraq.py", "src/none.py"]
+CLASSES = [f"C{k}" for k in range(37)]
+FILES = [f"src/nation_{k}.py" for k in range(25)] + ["src/none.py"]
 _LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 _ASKED = "asked AS (SELECT CAST(r_regionkey AS INT) AS question_id, r_name AS rid, CAST(k - 1 AS INT) AS name_pos, {0}[k] AS asked FROM region, (SELECT unnest(range(1, {1} + 1)) AS k))"
 _NAMED = f"{CODE_SQL}, {_ASKED.format(_LIST(NAMES), len(NAMES))}"
+_CLASSES = f"{CODE_SQL}, {_ASKED.format(_LIST(CLASSES), len(CLASSES))}"
 _PATHS = f"{CODE_SQL}, {_ASKED.format(_LIST(FILES), len(FILES))}"
 
 
@@ -70,19 +72,19 @@ def _heirs(table_name: str, here: str, there: str, head: str, shift: int) -> str
 {table_name} AS (SELECT n.*, CASE WHEN row_number() OVER (PARTITION BY n.question_id, n.name_pos, n.owner ORDER BY row_pos) = 1 THEN t.fact END AS fact FROM {table_name}n n JOIN {table_name}t t USING (question_id, name_pos, owner))"""
 
 
-@query(f"""WITH {_NAMED}, {_heirs('up', 'src', 'dst', "'class ' || asked || ' inherits from '", 0)}, {_heirs('down', 'dst', 'src', "'classes inheriting from ' || asked || ': '", 1000)}
+@query(f"""WITH {_CLASSES}, {_heirs('up', 'src', 'dst', "'class ' || asked || ' inherits from '", 0)}, {_heirs('down', 'dst', 'src', "'classes inheriting from ' || asked || ': '", 1000)}
 {_facts('up', 5, 1, 0.9, "'base class of ' || asked", kind="'class'")} UNION ALL {_facts('down', 5, 1, 0.9, "'subclass of ' || asked", kind="'class'")}""")
 def facts_inheritance(spark: SparkSession, d: str) -> DataFrame:
-    return H.inheritance(H.resolve(_asked(spark, d, NAMES), code_graph(spark, d))[1])
+    return H.inheritance(H.resolve(_asked(spark, d, CLASSES), code_graph(spark, d))[1])
 
 
-@query(f"""WITH {_NAMED}, l AS ({_class_links('CLASS_CONTAINS_METHOD', 'src', 'dst')}),
+@query(f"""WITH {_CLASSES}, l AS ({_class_links('CLASS_CONTAINS_METHOD', 'src', 'dst')}),
 t AS (SELECT question_id, name_pos, owner, 'class ' || min(asked) || ' (' || min(owner_file) || ':' || min(owner_start) || '-' || min(owner_end) || ') defines: ' || string_agg(name, ', ' ORDER BY name) AS text FROM l GROUP BY 1, 2, 3),
 n AS (SELECT *, row_number() OVER (PARTITION BY question_id, name_pos, owner ORDER BY start_line, other) AS n FROM l),
 r AS (SELECT n.*, row_number() OVER (PARTITION BY question_id, name_pos ORDER BY owner, n) AS row_pos, CASE WHEN n = 1 THEN text END AS fact FROM n JOIN t USING (question_id, name_pos, owner) WHERE n <= 12)
 {_facts('r', 2, 3, 0.7, "'method of ' || asked", kind="'method'")}""")
 def facts_class_structure(spark: SparkSession, d: str) -> DataFrame:
-    return H.class_structure(H.resolve(_asked(spark, d, NAMES), code_graph(spark, d))[1])
+    return H.class_structure(H.resolve(_asked(spark, d, CLASSES), code_graph(spark, d))[1])
 
 
 @query(f"""WITH {_PATHS}, e AS (SELECT DISTINCT repository_id AS rid, substring(src, 6) AS s, substring(dst, 6) AS d FROM code_edges WHERE rel_type = 'FILE_IMPORTS_FILE'),

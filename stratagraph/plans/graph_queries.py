@@ -157,10 +157,10 @@ def file_network_edges(spark: SparkSession, d: str) -> DataFrame:
     return G.network(dep(spark, d), definitions, 30)[1]
 
 
-@query(f"""WITH {NODES_FK_SQL}, w AS (SELECT unnest(['FRANCE', 'GERMANY', 'F', 'ASIA']) AS name), r AS (SELECT n.*, row_number() OVER (PARTITION BY n.name ORDER BY list_position(['Region', 'Nation', 'Order'], node_type), node_id) AS position
+@query(f"""WITH {NODES_FK_SQL}, w AS (SELECT unnest(['NATION_3', 'NATION_7', 'F', 'ASIA', 'nothing']) AS name), r AS (SELECT n.*, row_number() OVER (PARTITION BY n.name ORDER BY list_position(['Region', 'Nation', 'Order'], node_type), node_id) AS position
 FROM nodes_fk n JOIN w ON w.name = n.name WHERE node_type IN ('Region', 'Nation', 'Order')) SELECT name, node_type, node_id, CAST(position AS INT) AS position FROM r WHERE position <= 5""")
 def find_entities(spark: SparkSession, d: str) -> DataFrame:
-    names = spark.createDataFrame([("FRANCE",), ("GERMANY",), ("F",), ("ASIA",)], "name string")
+    names = spark.createDataFrame([("NATION_3",), ("NATION_7",), ("F",), ("ASIA",), ("nothing",)], "name string")
     return G.find_entities(nodes_fk(spark, d), names, 5, ("Region", "Nation", "Order")).select("name", "node_type", "node_id", "position")
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratagraph.functions import paths as P
+from stratagraph.plans.scratch import materialize
 
 MAX_FILE_BYTES, SNIFF_BYTES, MAX_LINES, PREVIEW_BYTES = 1_000_000, 4_096, 120, 400_000
 FRAMEWORK_FILES = 400
@@ -23,37 +26,61 @@ def is_binary(content: Column) -> Column:
     return F.coalesce(F.instr(F.substring(content, 1, SNIFF_BYTES).cast("string"), "\x00") > 0, F.lit(True))
 
 
-def _hidden(spark: SparkSession, root: str) -> list[tuple[str, int]]:
+def _opened(root: str):
+    """(file system, base path) of a root for a worker."""
+    import pyarrow.fs as afs
+
+    return afs.FileSystem.from_uri(root) if re.match(r"[a-z0-9]+:/", root) else (afs.LocalFileSystem(), root)
+
+
+def _hidden(spark: SparkSession, root: str) -> DataFrame:
     """(path, length) of files that Spark's listing leaves out: names or folders that begin with _ or a dot, and empty files.
 
-    Paths are listed through Hadoop's file systems; only these files, such as `__init__.py`, come to the driver by name.
+    A level of folders is listed by the executors at a time and written, so no list of files or folders is on the driver.
     """
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(conf)
-    base = fs.makeQualified(path).toString().rstrip("/") + "/"
-    found, todo = [], [(path, False)]
-    while todo:
-        folder, inside = todo.pop()
-        for s in fs.listStatus(folder):
-            name = s.getPath().getName()
-            odd = inside or name[0] in "._"
-            if s.isDirectory():
-                if name not in P.IGNORED_FOLDERS:
-                    todo.append((s.getPath(), odd))
-            elif not s.isSymlink() and (odd or s.getLen() == 0) and s.getLen() <= MAX_FILE_BYTES:
-                found.append((s.getPath().toString().removeprefix(base), s.getLen()))
-    return found
-
-
-def _read_hidden(spark: SparkSession, root: str, names: list[tuple[str, int]]) -> DataFrame:
+    most, ignored_folders = MAX_FILE_BYTES, frozenset(P.IGNORED_FOLDERS)
+
+    def listed(batches):
+        import os
+
+        import pandas as pd
+        import pyarrow.fs as afs
+
+        fs, base = _opened(root)
+        base = base.rstrip("/")
+        for batch in batches:
+            out = []
+            for folder, inside in zip(batch["path"], batch["odd"]):
+                here = f"{base}/{folder}".rstrip("/")
+                for f in fs.get_file_info(afs.FileSelector(here)):
+                    if isinstance(fs, afs.LocalFileSystem) and os.path.islink(f.path):
+                        continue
+                    odd, path = bool(inside or f.base_name[0] in "._"), f"{folder}/{f.base_name}".lstrip("/")
+                    if f.type == afs.FileType.Directory:
+                        if f.base_name not in ignored_folders:
+                            out.append((path, 0, True, odd))
+                    elif (odd or f.size == 0) and f.size <= most:
+                        out.append((path, f.size, False, odd))
+            yield pd.DataFrame(out, columns=["path", "length", "folder", "odd"])
+
+    schema = "path string, length long, folder boolean, odd boolean"
+    level, files = spark.createDataFrame([("", False)], "path string, odd boolean"), None
+    while True:
+        found = materialize(level.repartition("path").mapInPandas(listed, schema), "listed")
+        here = found.where("not folder").select("path", "length")
+        files = here if files is None else files.unionByName(here)
+        level = found.where("folder").select("path", "odd")
+        if not level.limit(1).count():
+            return files
+
+
+def _read_hidden(root: str, names: DataFrame) -> DataFrame:
     """(path, length, content) of named files under root, read by the executors through Arrow's file systems."""
 
     def read(batches):
         import pandas as pd
-        import pyarrow.fs as afs
 
-        fs, base = afs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (afs.LocalFileSystem(), root)
+        fs, base = _opened(root)
         for batch in batches:
             content = []
             for name, length in zip(batch["path"], batch["length"]):
@@ -64,8 +91,7 @@ def _read_hidden(spark: SparkSession, root: str, names: list[tuple[str, int]]) -
                     content.append(b"")
             yield pd.DataFrame({"path": batch["path"], "length": batch["length"], "content": content})
 
-    rows = spark.createDataFrame(names, "path string, length long").repartition(max(1, len(names) // 500))
-    return rows.mapInPandas(read, "path string, length long, content binary")
+    return names.mapInPandas(read, "path string, length long, content binary")
 
 
 def scan(spark: SparkSession, root: str, repository_id: str, respect_gitignore: bool = True) -> DataFrame:
@@ -76,13 +102,11 @@ def scan(spark: SparkSession, root: str, repository_id: str, respect_gitignore:
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rows = files.select(P.relative(F.col("path"), root).alias("path"), "length", "content")
-    names = _hidden(spark, root)
+    odd = _read_hidden(root, _hidden(spark, root))
     extra: list[str] = []
-    if names:
-        odd = _read_hidden(spark, root, names)
-        if respect_gitignore and any(n == ".gitignore" for n, _ in names):
-            extra = P.gitignore_globs(odd.where("path = '.gitignore'").select(F.decode("content", "utf-8")).first()[0])
-        rows = rows.unionByName(odd)
+    if respect_gitignore and (own := odd.where("path = '.gitignore'").select(F.decode("content", "utf-8")).first()):
+        extra = P.gitignore_globs(own[0])
+    rows = rows.unionByName(odd)
     kept = rows.where(F.col("length") <= MAX_FILE_BYTES).withColumnRenamed("path", "file_path").where(~P.ignored(F.col("file_path"), extra)).where(~is_binary(F.col("content")))
     return kept.select(F.lit(repository_id).alias("repository_id"), "file_path", P.language(F.col("file_path")).alias("language"), "length", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
@@ -112,7 +136,7 @@ def frameworks(files: DataFrame) -> DataFrame:
 
     manifests = files.where(F.col("file_path").isin(MANIFESTS)).select("repository_id", F.lower("text").alias("line"))
     nth = F.row_number().over(Window.partitionBy("repository_id").orderBy("file_path"))
-    first = source_files(files).withColumn("__n", nth).where(F.col("__n") <= FRAMEWORK_FILES)
+    first = source_files(files).withColumn("__n", nth).where(F.col("__n") <= FRAMEWORK_FILES)  # a group limit: a task keeps no more of a repository
     imports = first.select("repository_id", F.explode(lines(F.col("text"))).alias("line")).where(F.col("line").rlike("^(import |from )")).select("repository_id", F.lower("line").alias("line"))
     marks = [(name, r"\b(?:" + "|".join(P.glob_regex(m) for m in words) + r")\b") for name, words in FRAMEWORKS.items()]
     hits = F.filter(F.array(*[F.when(F.col("line").rlike(p), F.lit(n)) for n, p in marks]), lambda x: x.isNotNull())

@@ -99,3 +99,12 @@ def test_graph_build_merges_duplicates(spark):
     g = G.build_graph(e, none("repository_id string, seq long, source_file string, resolved_file string, module string, line int"), none("repository_id string, seq long, caller_file string, caller_name string, callee_file string, callee_name string, line int"), none("repository_id string, child_file string, child_class string, parent_file string, parent_class string"))
     f = g.nodes.where(F.col("node_type") == "Function").collect()
     assert len(f) == 1 and f[0].signature == "new"
+
+
+def test_method_names_of_every_kind():
+    from stratagraph.functions.javascript_source import parse_javascript
+
+    source = "class A {\n  [Symbol.iterator]() { return walk(); }\n  #hidden(x) { return x; }\n  'quoted name'() {}\n  42() {}\n  static async *gen() { yield this.#hidden(1); }\n  #field = 3;\n  [key] = 4;\n  get size() { return 1; }\n  plain() {}\n}\nconst B = class { no() {} };\nconst o = { no() {}, also: function () {} };\n"
+    rows = parse_javascript("a.js", source)
+    assert [r["name"] for r in rows if r["kind"] == "entity" and r["type"] == "method"] == ["[Symbol.iterator]", "#hidden", "'quoted name'", "42", "gen", "size", "plain"]
+    assert ("[Symbol.iterator]", "walk") in [(r["name"], r["callee"]) for r in rows if r["kind"] == "call"] and [r["name"] for r in rows if r["kind"] == "entity" and r["type"] == "class"] == ["A"]
