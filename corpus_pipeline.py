@@ -1,4 +1,15 @@
-"""The corpus pipeline: five stages over documents, each reading what the one before it wrote."""
+"""The corpus pipeline: five stages over documents, each reading what the one before it wrote.
+
+Defined results, stage by stage; where a stage's operator defines more, that holds too.
+- language_id: null, empty and blank texts, texts without a letter and those strange to every learned language go. Each row is
+  decided by its own text, whatever its id, null ones included. Nothing learned: all rows stay.
+- exact_dedup: of equal texts the smallest id stays, a null id last; of rows of one id and text one stays.
+- near_dedup: of a class the row of the smallest id stays; rows without id stay; an id over several texts is several documents.
+- source_mixing: every row stays, some are repeated; a null source is a source.
+- bpe_words: a row for each row; null and empty texts have no ids.
+Very long texts are taken whole, ties go to the smaller id, repeated rows are decided alike, an empty table gives no rows, and
+all stages but the last return the columns of their input, extra ones included, whatever their names.
+"""
 
 from __future__ import annotations
 
