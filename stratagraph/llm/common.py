@@ -1,23 +1,18 @@
-"""Helpers that the training-data operators share: input, shared storage, checked broadcasts."""
+"""Helpers that the training-data operators share: input, folds, bitmaps, checked broadcasts, hot groups."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratagraph.plans.scratch import BROADCAST_ROWS, materialize
+
 #: White space of every contract: space, and tab to carriage return.
 WS = r"[\x20\x09-\x0D]+"
-#: Ids that are broadcast at most (8 MB of longs); beyond that a shuffled join is used.
-BROADCAST_ROWS = 1_000_000
 #: Bits of the broadcast bitmap (1 MB), whatever the input.
 BITMAP_BITS = 1 << 23
+#: Groups that are broadcast at most (about 10 MB), and rows below which a group is never called hot.
+HOT_GROUPS, LEAST_HOT = 100_000, 200
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,31 +23,14 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        os.makedirs("/tmp/checkpoints", exist_ok=True)
-        base = tempfile.mkdtemp(prefix="stratagraph-", dir="/tmp/checkpoints")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts the lineage and survives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}.parquet"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def bound_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Arrow batches hold about `size` bytes, unless the session sets a bound of its own: 10,000 whole texts would fill a worker.
 
-
-def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of texts hold few rows, unless the session sets a number of its own: 10,000 whole texts fill a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(rows))
+    Spark has no such setting for a plan, so the session's is given one where it has none; results do not depend on it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, size)
 
 
 def text_of(column: str | Column) -> Column:
@@ -100,6 +78,20 @@ def filter_by_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str, limit:
     return docs.join(side, id_col, how)
 
 
-def only(docs: DataFrame, cols: Iterable[str]) -> DataFrame:
-    """Just these columns, so that extra columns never clash with those an operator adds."""
-    return docs.select(*cols)
+def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """rows with the columns of groups(key, size, ...) of their group, null where they have none. Both are written and read again.
+
+    Groups of over 1 / HOT_GROUPS of all rows, of which there are fewer than HOT_GROUPS, are broadcast; so no key of
+    the shuffle that brings the others back holds more rows than that. Rows without a key take no part.
+    """
+    bar = max(LEAST_HOT, -(-rows.count() // HOT_GROUPS))
+    more = [c for c in groups.columns if c != key]
+    hot = groups.where(F.col(size) > bar).select(key, F.struct(*more).alias("__hot"))
+    told = rows.join(F.broadcast(hot), key, "left")
+    is_hot = F.col(f"__hot.{size}").isNotNull()
+    done = told.where(is_hot).select(*rows.columns, *[f"__hot.{c}" for c in more])
+    kinds = {f.name: f.dataType for f in groups.schema}
+    alone = rows.where(F.col(key).isNull()).select(*rows.columns, *[F.lit(None).cast(kinds[c]).alias(c) for c in more])
+    rest = told.where(F.col(key).isNotNull() & ~is_hot).select(*rows.columns).join(groups.where(F.col(size) <= bar), key, "left")
+    columns = [*rows.columns, *more]
+    return done.select(*columns).unionByName(alone.select(*columns)).unionByName(rest.select(*columns))

@@ -5,8 +5,7 @@ the prefixes of rows whose length is shared; a third one hashes the full text of
 shared. What survives a step is marked in a bitmap of fixed size, so a bit set by accident only costs one more hash.
 Groups are equal SHA-256 digests of the normalised text.
 
-A group's verdict comes back to its rows by a shuffled join, but for hot groups: those of over 1 / HOT_GROUPS of all
-rows, of which there are fewer than HOT_GROUPS, are broadcast, so no key of the shuffle holds more rows than that.
+A group's verdict comes back to its rows by a shuffled join, but for hot groups: see `common.with_groups`.
 
 Defined results
 - A null text counts as empty, so all null and empty texts are one group.
@@ -21,12 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, bitmap_of, filter_by_ids, materialize, text_of, with_bit
-
-#: Groups that are broadcast at most (about 10 MB).
-HOT_GROUPS = 100_000
-#: A group of fewer rows is never called hot.
-LEAST_HOT = 200
+from .common import WS, bitmap_of, filter_by_ids, materialize, text_of, with_bit, with_groups
 
 
 def normalised(text: str | Column = "text") -> Column:
@@ -76,15 +70,7 @@ def _verdicts(rows: DataFrame) -> DataFrame:
     least = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"))
     groups = rows.where("__full is not null").groupBy("__full").agg(F.count("*").alias("__size"), F.min(least).alias("__keep")).where("__size > 1")
     groups = materialize(groups, "exact_groups")
-    bar = max(LEAST_HOT, -(-rows.count() // HOT_GROUPS))
-    big, hot_at = groups.where(F.col("__size") > bar), F.col("__hot.__size").isNotNull()
-    hot = big.select("__full", F.struct("__size", "__keep").alias("__hot"))
-    told = rows.join(F.broadcast(hot), "__full", "left")
-    done = told.where(hot_at).select(*rows.columns, "__hot.__size", "__hot.__keep")
-    alone = told.where(F.col("__full").isNull()).select(*rows.columns, F.lit(None).cast("long").alias("__size"), F.lit(None).cast(groups.schema["__keep"].dataType).alias("__keep"))
-    rest = told.where(F.col("__full").isNotNull() & ~hot_at).select(*rows.columns).join(groups.where(F.col("__size") <= bar), "__full", "left")
-    columns = [*rows.columns, "__size", "__keep"]
-    return done.select(*columns).unionByName(alone.select(*columns)).unionByName(rest.select(*columns))
+    return with_groups(rows, groups, "__full", "__size")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import BROADCAST_ROWS, bitmap_of, bound_batches, filter_by_ids, materialize, text_of, with_bit
+from .common import BROADCAST_ROWS, bitmap_of, bound_batches, filter_by_ids, materialize, text_of, with_bit, with_groups
 from .components import connected_components
 from .dart_minhash import band_keys, signatures
 
@@ -278,8 +278,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, weights: str) -> tuple
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: str = "set") -> DataFrame:
     """One row per input row: id_col, class_id (smallest id of the class), class_size (documents), kept, class_key."""
     classes, without = _classes(docs, id_col, text_col, weights)
-    sizes = classes.groupBy("class_key").agg(F.count_distinct("id").alias("class_size"))
-    out = classes.join(sizes, "class_key").select(F.col("id").alias(id_col), "class_id", "class_size", (F.col("id") == F.col("class_id")).alias("kept"), "class_key")
+    sizes = classes.groupBy("class_key").agg(F.count_distinct("id").alias("class_size"), F.count("*").alias("rows")).where("rows > 1")
+    sized = with_groups(classes, materialize(sizes, "class_sizes"), "class_key", "rows")
+    out = sized.select(F.col("id").alias(id_col), "class_id", F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), (F.col("id") == F.col("class_id")).alias("kept"), "class_key")
     none = F.lit(None).cast("long")
     lone = without.select(F.col("id").alias(id_col), none.alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), none.alias("class_key"))
     return out.unionByName(lone)
