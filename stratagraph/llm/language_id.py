@@ -9,15 +9,15 @@ Grams are four bytes of the lower-cased UTF-8 text, letters inside, a letter or
 at each end. A gram enters a language's filter if it was seen there twice and its rate is at
 least RATIO of its best rate in any language.
 
-Bounds: the filters are fitted on at most about TRAIN_ROWS labelled rows, chosen by a hash of the id
-from all of them; the table has a fixed number of slots; counts stay in Spark and only the slots come
+Bounds: the filters are fitted on about TRAIN_ROWS labelled rows at most, chosen by a hash of the id
+from all of them, and on about LANGUAGE_ROWS of each language that has as many, however rare it is; the table has a fixed number of slots; counts stay in Spark and only the slots come
 to the driver. Prediction covers every whole text.
 
 Defined results
 - Null text, or no letter: `und`, score 0. Ties: the first language by name.
 - Letters but no known gram: the language with most training rows, score 0.
 - No labelled rows: `und` for all. Empty table: no rows. Extra columns are ignored.
-- Repeated rows are each answered; rows with null lang teach nothing.
+- Repeated rows are each answered; rows with null lang teach nothing. Very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ SLOTS_LOG2 = 20
 HASHES = 3
 RATIO = 0.2
 TRAIN_ROWS = 20_000
+LANGUAGE_ROWS = 500
 UNDETERMINED = "und"
 
 _LETTER = np.zeros(256, bool)
@@ -110,7 +111,8 @@ def train_filters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if languages:
         share = min(1.0, train_rows / sum(sizes.values()))
         if share < 1:
-            known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+            upto = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, max(share, LANGUAGE_ROWS / n)) * (1 << 30)))])
+            known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < upto[F.col("lang")])
         counts = known.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
         code = F.create_map(*[F.lit(x) for k, v in enumerate(languages) for x in (v, k)])
         totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
@@ -143,32 +145,33 @@ def _scores(grams: np.ndarray, bounds: np.ndarray, f: LanguageFilters) -> np.nda
     return out
 
 
+def _predicted(texts: pa.Array, f: LanguageFilters) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, number of the language, score); the number behind the last language is undetermined."""
+    for i, j, grams, bounds in _grams(texts):
+        if f.languages:
+            s = _scores(grams, bounds, f)
+            top = s.argmax(axis=1)
+            score = s[np.arange(len(s)), top]
+            top = np.where(score > 0, top, f.likeliest)
+        else:
+            top, score = np.zeros(j - i, np.int64), np.zeros(j - i)
+        part = texts.slice(i, j - i)
+        ascii_letter = pc.fill_null(pc.match_substring_regex(part, "[A-Za-z]"), False).to_numpy(zero_copy_only=False)
+        for r in np.flatnonzero(~ascii_letter):
+            if not any(c.isalpha() for c in part[int(r)].as_py() or ""):
+                top[r], score[r] = len(f.languages), 0.0
+        yield i, j, top, score
+
+
 def predict_languages(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, lang_pred and score for every row."""
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = shared.value
-        names = np.array([*f.languages, UNDETERMINED], dtype=object)
+        names = np.array([*shared.value.languages, UNDETERMINED], dtype=object)
         for batch in S.small_batches(batches):
-            texts = batch.column(1)
-            for i, j, grams, bounds in _grams(texts):
-                n = np.diff(bounds)
-                if f.languages:
-                    s = _scores(grams, bounds, f)
-                    top = s.argmax(axis=1)
-                    score = s[np.arange(len(s)), top]
-                    top = np.where(score > 0, top, f.likeliest)
-                else:
-                    top, score = np.zeros(j - i, np.int64), np.zeros(j - i)
-                part = texts.slice(i, j - i)
-                ascii_letter = pc.fill_null(pc.match_substring_regex(part, "[A-Za-z]"), False).to_numpy(zero_copy_only=False)
-                for r in np.flatnonzero(~ascii_letter):
-                    if not any(c.isalpha() for c in part[int(r)].as_py() or ""):
-                        top[r], score[r] = len(f.languages), 0.0
-                if not f.languages:
-                    top[:] = 0
+            for i, j, top, score in _predicted(batch.column(1), shared.value):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(names[top], pa.string()), pa.array(score)], names=[id_col, "lang_pred", "score"])
 
     base = docs.select(F.col(id_col), text_of(text_col).alias("__text"))
@@ -180,13 +183,22 @@ MIN_SCORE = 0.2
 
 
 def keep_known_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows in a learned language, with all their columns; rows without a letter, or strange to all languages, go."""
-    from .common import filter_by_ids, materialize
+    """The rows in a learned language, with all their columns; rows without a letter, or strange to all languages, go.
 
+    Each row is decided by its own text, whatever its id, and does not leave its task. Nothing learned: all rows stay.
+    """
     filters = train_filters(docs, id_col, text_col, lang_col)
     if not filters.languages:
         return docs
-    judged = predict_languages(docs, filters, id_col, text_col)
-    out = (F.col("lang_pred") == UNDETERMINED) | (F.col("score") < min_score)
-    gone = materialize(judged.where(out).where(F.col(id_col).isNotNull()).select(id_col).distinct(), "language_gone")
-    return filter_by_ids(docs, gone, id_col, "left_anti")
+    bound_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in S.small_batches(batches):
+            texts = pc.fill_null(batch.column(batch.schema.get_field_index(text_col)), "")
+            stays = np.zeros(batch.num_rows, bool)
+            for i, j, top, score in _predicted(texts, shared.value):
+                stays[i:j] = (top < len(shared.value.languages)) & (score >= min_score)
+            yield batch.filter(pa.array(stays))
+
+    return docs.mapInArrow(keep, docs.schema)
