@@ -15,7 +15,10 @@ Defined results
 - A null source is a source of its own. A null or empty text has no tokens; it gets whole epochs only.
 - Rows repeated under one id are one place in the permutation: all or none of them get the partial epoch.
 - One source, or no tokens at all: weight 1 (no tokens: equal weights), every row once.
-- Empty table: no rows. Extra columns are ignored by `mix_plan` and kept by `mix_sources`.
+- Ties: blocks or documents of equal hashes stand in order of their number or id.
+- Very long texts are counted whole; a text longer than what is left of the budget is not in the partial epoch, nor is any behind it.
+- Empty table: no rows. Extra columns are ignored by `mix_plan` and kept by `mix_sources`, whatever their names. Sources, and
+  their token counts, come to the driver: they are names of data sets, of which there are few.
 """
 
 from __future__ import annotations

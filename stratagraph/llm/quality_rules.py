@@ -11,7 +11,8 @@ Defined results
 - Null text: none (all statistics 0, base_failed). A very long text is read whole.
 - No labels, or labels of one kind: no rule; the base alone decides.
 - Several labels for one id: their mean, 0.5 and more is good. Rows without id learn nothing.
-- Repeated rows are answered each. Empty table: no rows. Extra columns are ignored.
+- Repeated rows are answered each. Empty table: no rows. Extra columns are ignored, whatever their names.
+- Ties: of conditions of equal gain the first by feature, direction and cut is grown; of rules that match a row the first decides.
 - Repeated three-word windows are found by 64-bit hashes within one text.
 """
 
