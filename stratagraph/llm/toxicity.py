@@ -8,13 +8,15 @@ which the leftmost-longest match prefers to the entry inside them. The weights f
 length, go through a logistic curve to a score.
 
 Bounds: the lexicon, the exceptions and the curve are fitted on at most about TRAIN_ROWS labelled rows, chosen by
-a hash of the id; at most LEXICON entries are kept. Every whole text is scored.
+a hash of the id. Every entry and exception that passes the tests is kept; that sample bounds their number. Every whole text
+is scored, however long.
 
 Defined results
 - Null and empty texts: the score of a text without any match. No labels, or labels of one kind: score 0.5 less
   a trifle for all (predicted 0) or, if all are toxic, the same (there is nothing to learn from).
 - Several labels for one id: their mean, from 0.5 on toxic. Repeated rows are each scored.
-- Empty table: no rows. Extra columns are ignored.
+- Ties: of matches that begin at one place the longest counts; a score of exactly 0.5 is predicted toxic.
+- Empty table: no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +38,6 @@ from .common import BROADCAST_ROWS, bound_batches, fold_of, materialize, text_of
 from .word_cache import text_runs
 
 TRAIN_ROWS = 20_000
-LEXICON = 5_000
 #: Word beginnings of these lengths may become entries.
 STEMS = (4, 5, 6, 8)
 #: Least lower end of an entry's log odds, at Z standard errors.
@@ -156,7 +157,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     lift = F.log((F.col("p") + 0.5) / (P + 1)) - F.log((F.col("n") + 0.5) / (N + 1))
     low = lift - Z * F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") + 0.5))
     counts = sample.mapInArrow(_tally, "pattern string, p long, n long").groupBy("pattern").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    rows = counts.where((F.col("p") >= least) & (low >= LEAST_WEIGHT)).orderBy(F.desc(F.col("p") * lift), "pattern").limit(LEXICON).collect()
+    rows = counts.where((F.col("p") >= least) & (low >= LEAST_WEIGHT)).orderBy("pattern").collect()  # as many as the bounded sample holds
     entries: dict[str, float] = {}
     odds = {r["pattern"]: _log_odds(r["p"], r["n"], P, N) for r in rows}
     for pattern in sorted(odds, key=len):
@@ -209,7 +210,7 @@ def _learn_exceptions(sample: DataFrame, entries: dict[str, float], least: int =
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.bool_())], names=["phrase", "toxic"])
 
     counts = sample.mapInArrow(phrases, "phrase string, toxic boolean").groupBy("phrase").agg(F.count_if(~F.col("toxic")).alias("n"), F.count_if("toxic").alias("p"))
-    return [r["phrase"] for r in counts.where((F.col("n") >= least) & (F.col("p") == 0)).orderBy(F.desc("n"), "phrase").limit(LEXICON).collect()]
+    return [r["phrase"] for r in counts.where((F.col("n") >= least) & (F.col("p") == 0)).orderBy("phrase").collect()]
 
 
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
