@@ -148,6 +148,76 @@ def test_pii_gradient_is_that_of_the_likelihood():
     assert np.allclose(got, want)
 
 
+def test_pii_decoding_is_the_best_segmentation():
+    """Dynamic programming against all segmentations of short texts written out, under random weights."""
+    rng = np.random.default_rng(1)
+    for text in ("a 12.3 b", "at x.y 7", "+1 23", "j at k.l", "5 (6) 7"):
+        (_, atoms), *_ = pii.windows(text)
+        segments = pii.candidates(text, atoms)
+        model = pii.Field({}, np.zeros((1, 4)), rng.normal(size=(5, 5)))
+        scores = rng.normal(size=(len(segments), 4)) * 2
+        model.scores = lambda *_, scores=scores: scores
+        best: list = [(-math.inf, [])]
+
+        def walk(at, before, score, used, atoms=atoms, segments=segments, scores=scores, model=model, best=best):
+            if at == len(atoms):
+                best.append((score, used))
+                return
+            walk(at + 1, 0, score + model.moves[before, 0], used)
+            for r, (i, j) in enumerate(segments):
+                if i == at:
+                    for k in range(4):
+                        walk(j + 1, k + 1, score + model.moves[before, k + 1] + scores[r, k], [*used, (atoms[i][0], atoms[j][1], pii.KINDS[k])])
+
+        walk(0, 0, 0.0, [])
+        assert sorted(model.decode(text)) == sorted(max(best)[1])
+
+
+def planted(seed, n):
+    """(text, start, end, kind) of values that the base patterns miss, and texts with what only looks like one."""
+    rng = random.Random(seed)
+    word = lambda: rng.choice(WORDS) + rng.choice(WORDS)
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    yes, no = [], []
+    for k in range(n):
+        card = digits(15)
+        card += next(c for c in "0123456789" if pii.luhn(card + c))
+        value, kind = [
+            (f"{word()}.{word()} at {word()}.com", "email"), (f"{word()} (at) {word()}.org", "email"), (f"{word()} at {word()} dot net", "email"),
+            (f"({digits(3)}) {digits(3)}-{digits(4)}", "phone"), (f"{digits(3)}.{digits(3)}.{digits(4)}", "phone"), (".".join(card[i : i + 4] for i in range(0, 16, 4)), "card"),
+        ][k % 6]
+        before = f"{word()} {word()} {rng.choice(['write to', 'call', 'reach', 'use'])} "
+        yes.append((f"{before}{value} {word()} {word()}", len(before), len(before) + len(value), kind))
+        no.append(f"{word()} {rng.choice([f'at {word()} and {word()}', f'version {rng.randint(1, 30)}.{rng.randint(0, 9)}.{rng.randint(256, 999)}.{rng.randint(0, 99)}', f'in {rng.randint(1800, 2030)}, page {rng.randint(1, 400)}', f'{rng.randint(1, 999)} of {rng.randint(1, 99)} at {word()}', f'cost {rng.randint(1, 99)}.{digits(2)}'])} {word()}")
+    return yes, no
+
+
+def trained_field():
+    rng = random.Random(11)
+    texts = []
+    for k in range(300):
+        word = lambda: rng.choice(WORDS) + rng.choice(WORDS)
+        digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+        card = "4" + digits(14)
+        card += next(c for c in "0123456789" if pii.luhn(card + c))
+        value = [f"{word()}.{word()}@{word()}.com", f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", " ".join(card[i : i + 4] for i in range(0, 16, 4)), ".".join(str(rng.randrange(256)) for _ in range(4)), f"in {rng.randint(1700, 2020)} at {word()}", f"page {rng.randint(1, 300)} at {word()} and {word()}"][k % 6]
+        texts.append(f"{word()} {word()} {value} {word()} {word()}")
+    return pii.train_field(texts)
+
+
+def test_pii_held_out_precision_and_recall():
+    model = trained_field()
+    yes, no = planted(5, 120)
+    hit = found = 0
+    for text, a, b, kind in yes:
+        spans = pii.all_spans(text, model)[1]
+        found += len(spans)
+        hit += (a, b, kind) in spans
+    wrong = sum(len(pii.all_spans(t, model)[1]) for t in no)
+    assert hit / len(yes) >= 0.8 and hit / (found + wrong) >= 0.8, (hit, len(yes), found, wrong)
+    assert pii.all_spans("release 1.2.3.400 is out", model)[1] == []
+
+
 def test_pii_field_learns():
     texts = [f"word {a} call +1 (555) 123-{k:04d} now or mail us at user{k}@host{k}.com and pay, version {k % 9}.{k % 7} is out" for k, a in enumerate(WORDS)]
     model = pii.train_field(texts)
@@ -169,15 +239,64 @@ def test_suffix_lm(spark):
     assert sum(got[i].score for i in held) > 1.2 * sum(got[i].base_score for i in held)  # not far behind on so little text
 
 
-def test_suffix_tree_sums_to_one(spark):
-    df, _ = corpus(spark, 40, near=0)
-    counts = df.select("text").mapInArrow(suffix_lm._count, "kind int, key long, n long").groupBy("kind", "key").sum("n").withColumnRenamed("sum(n)", "n")
-    grams = counts.where("kind = 1").select("key", "n")
-    tree = suffix_lm._tree(suffix_lm._retained(grams, 5000).toArrow(), np.zeros(0, np.uint64))
-    for context in (b"      ", b" bara ", b"zzzzzz"):
-        code = np.array([int.from_bytes(context + bytes([x]), "big") for x in range(256)], np.uint64)
-        total = (10 ** tree.log10_runs(code)).sum()
-        assert 0.9 < total <= 1.0 + 1e-6  # symbol 257 of the uniform floor is never used
+def suffix_tree_by_hand(train):
+    """score(text) of the suffix tree, from dictionaries of whole contexts."""
+    spell = lambda t: [*(c for w in t.split() for c in [*w.lower().encode(), 32]), 255]
+    depth, n = suffix_lm.DEPTH, Counter()
+    for t in train:
+        s = [32] * depth + spell(t)
+        for k in range(depth, len(s)):
+            for d in range(depth + 1):
+                n[tuple(s[k - d : k]), s[k]] += 1
+    after: dict = {}
+    for (context, x), c in n.items():
+        after.setdefault(context, {})[x] = c
+    total = {c: sum(a.values()) for c, a in after.items()}
+    keep = {()} if after else set()
+    for c, a in after.items():
+        if c and total[c] >= suffix_lm.LEAST:
+            up = after[c[1:]]
+            bits = sum(m * math.log2(m / total[c] * total[c[1:]] / up[x]) for x, m in a.items())
+            if bits - suffix_lm.COST * len(a) * math.log2(total[c] + 1) > 0:
+                keep |= {c[k:] for k in range(len(c) + 1)}
+
+    def p(context, x):
+        if not keep:
+            return 1 / 257
+        while context not in keep:
+            context = context[1:]
+        below = p(context[1:], x) if context else 1 / 257
+        a = after[context]
+        return (a.get(x, 0) + len(a) * below) / (total[context] + len(a))
+
+    def score(t):
+        s = [32] * depth + spell(t)
+        return sum(math.log10(p(tuple(s[k - depth : k]), s[k])) for k in range(depth, len(s)))
+
+    return score
+
+
+def test_suffix_tree_equals_one_by_hand(spark, monkeypatch):
+    """Scores of every text, with all states broadcast and with most of them joined."""
+    df, texts = corpus(spark, 90, near=0)
+    texts = [*texts, "", "É ß, Ünder\tWORDS\nnever met", "a" * 200]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    score = suffix_tree_by_hand([t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10])
+    for entries in (suffix_lm.ENTRIES, 150):
+        monkeypatch.setattr(suffix_lm, "ENTRIES", entries)
+        got = {r.doc_id: r.score for r in suffix_lm.score_texts(df).collect()}
+        assert all(abs(got[i] - score(t)) < 1e-4 * (1 + abs(got[i])) for i, t in enumerate(texts))
+
+
+def test_symbols_and_runs():
+    texts = ["ab  c", "", " ", "x", "long\tword \n", "y z"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *map(len, texts)])
+    code, bounds = suffix_lm.runs(*suffix_lm.symbols(data, offsets))
+    for k, t in enumerate(texts):
+        s = b" " * 6 + "".join(w + " " for w in t.split()).encode() + b"\xff"
+        got = code[bounds[k] : bounds[k + 1]].astype(">u8").tobytes()
+        assert [got[i + 1 : i + 8] for i in range(0, len(got), 8)] == [s[i - 6 : i + 1] for i in range(6, len(s))]
 
 
 def test_hot_words_do_not_change_the_base(spark):
@@ -190,16 +309,37 @@ def test_hot_words_do_not_change_the_base(spark):
 def test_repair_round_trips():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 3, 60, 5000):
-        for v in (1, 2, 5, 49_000):
-            x = rng.integers(0, v, n).astype(np.uint16)
+        for v, kind in ((1, np.uint16), (2, np.uint16), (5, np.uint16), (49_000, np.uint16), (5, np.uint32), (200_000, np.uint32)):
+            x = rng.integers(0, v, n).astype(kind)
             sizes = rng.multinomial(n, [0.2] * 5)
-            payload = R.pack_block(np.arange(5), sizes, x)
-            docs, got, ids = R.unpack_block(payload)
-            assert (ids == x).all() and (got == sizes).all()
+            block = R.Block(R.pack_block([None, 3, 3, 5, 9], sizes, x, max(v, 49_408)))
+            assert block.without_id == 1 and block.docs.tolist() == [0, 3, 3, 5, 9] and (block.sizes == sizes).all()
+            assert np.array_equal(block.ids(0, 5), x)
             ends = np.cumsum(sizes)
-            assert all((R.read_document(payload, k) == x[ends[k] - sizes[k] : ends[k]]).all() for k in range(5))
-    x = np.tile(np.arange(50, dtype=np.uint16), 400)
-    assert len(R.repair(x)[0]) < len(x) / 2
+            assert all(np.array_equal(block.ids(i, j), x[ends[i] - sizes[i] : ends[j - 1]]) for i in range(5) for j in range(i + 1, 6))
+            assert np.array_equal(np.concatenate([ids for *_, ids in block.runs(7)]), x)
+
+
+def test_repair_replaces_until_no_pair_is_frequent():
+    rng = np.random.default_rng(1)
+    for x in (np.tile(np.arange(50, dtype=np.uint16), 400), np.zeros(3000, np.uint16), rng.zipf(1.5, 60_000).clip(0, 400).astype(np.uint16)):
+        seq, left, right, length = R.repair(x, 49_408)
+        left_over = Counter(zip(seq.tolist(), seq[1:].tolist()))
+        # Pairs of one symbol may overlap themselves: half of them can be replaced.
+        assert all(n < R.LEAST_COUNT for (a, b), n in left_over.items() if a != b) and len(seq) < len(x) * 0.7
+        assert len(R.pack_block([1], np.array([len(x)]), x, 49_408)) < x.nbytes
+        made = np.arange(49_408, 49_408 + len(left))
+        assert (left < made).all() and (right < made).all() and int(length[seq[seq >= 49_408].astype(int) - 49_408].sum() + (seq < 49_408).sum()) == len(x)
+
+
+def test_the_most_frequent_pair_is_replaced_first():
+    """One turn of one rule against counting by hand."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 300, 200_000).astype(np.uint16)
+    x[rng.choice(100_000, 900, replace=False) * 2] = 7
+    pairs = Counter(zip(x.tolist(), x[1:].tolist()))
+    _, left, right, _ = R.repair(x, 49_408)
+    assert pairs[int(left[0]), int(right[0])] == max(pairs.values())
 
 
 def test_mixing(spark):
@@ -253,16 +393,6 @@ def test_shingles_are_five_words():
     assert len(a) == 2 and len(S.shingle_set("a b")) == 1 and len(S.shingle_set("")) == 0 and S.jaccard(a, S.shingle_set("a  b\tc d e f")) == 1.0
 
 
-def test_broadcast_bounds_do_not_change_the_suffix_tree(spark, monkeypatch):
-    df, _ = corpus(spark, 150, near=0)
-    whole = {r.doc_id: r.score for r in suffix_lm.score_texts(df).collect()}
-    for entries, hot_runs in ((60, 0), (400, 50)):
-        monkeypatch.setattr(suffix_lm, "ENTRIES", entries)
-        monkeypatch.setattr(suffix_lm, "HOT_RUNS", hot_runs)
-        got = {r.doc_id: r.score for r in suffix_lm.score_texts(df).collect()}
-        assert got.keys() == whole.keys() and max(abs(got[k] - whole[k]) for k in whole) < 1e-3
-
-
 def test_field_reads_an_email_without_digits_or_sign():
     names = [a + b for a, b in zip(WORDS, reversed(WORDS))]
     model = pii.train_field([f"please write to {a}.{b} @{k} or {a}.{b}@{b}{a}.com today" if k % 5 == 0 else f"please write to {a}.{b}@{b}{a}.com today" for k, (a, b) in enumerate(zip(names, WORDS))] + [f"we met at {a} and {b} at home" for a, b in zip(names, WORDS)])
@@ -273,13 +403,76 @@ def test_field_reads_an_email_without_digits_or_sign():
     assert pii.all_spans("we met at noon and sat at home", model) == ([], [])
 
 
-def test_a_row_that_matched_its_leader_links_others(spark):
+def test_a_row_that_matched_its_leader_links_others(spark, monkeypatch):
     """1 leads its only bucket, 2 is like 1 and 3, and 3 is not like 1."""
-    from pyspark.sql import functions as F
-
+    monkeypatch.setattr(near_dedup, "band_keys", lambda sig, bands, rows: np.tile(np.arange(bands), (len(sig), 1)))
     w = [f"w{k}" for k in range(100)]
     texts = [w, [*w[:-6], *[f"x{k}" for k in range(6)]], [*[f"y{k}" for k in range(6)], *w[6:-6], *[f"x{k}" for k in range(6)]], [f"z{k}" for k in range(50)]]
-    docs = spark.createDataFrame([(k + 1, " ".join(t)) for k, t in enumerate(texts)], "id long, text string")
-    sketch = docs.mapInArrow(near_dedup._sketch, "id long, h1 long, h2 long, sig binary, bands array<long>").withColumn("bands", F.array(F.lit(7).cast("long")))
-    got = connected_components(near_dedup.near_links(sketch, docs.select("id"), docs)).collect()
-    assert {(r.node, r.component) for r in got} == {(1, 1), (2, 1), (3, 1)}
+    docs = spark.createDataFrame([(k + 1, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dedup.near_classes(docs).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def drifting(n, seed, words=120):
+    """Versions of versions of a text, each a few words away from one before it."""
+    rng = random.Random(seed)
+    texts = [[f"w{k}" for k in range(words)]]
+    while len(texts) < n:
+        w = list(rng.choice(texts))
+        for _ in range(rng.randint(1, 3)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        texts.append(w)
+    return [" ".join(w) for w in texts]
+
+
+def components_of(texts, weigh):
+    bags = [Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in (t.split() for t in texts)]
+    if not weigh:
+        bags = [Counter(dict.fromkeys(b, 1)) for b in bags]
+    top = list(range(len(texts)))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = sum((bags[i] & bags[j]).values())
+            if both >= 0.8 * (bags[i].total() + bags[j].total() - both):
+                a, b = sorted((find(i), find(j)))
+                top[b] = a
+    return {i: find(i) for i in range(len(texts))}
+
+
+def test_near_classes_of_drifting_copies_in_small_blocks(spark, monkeypatch):
+    """Groups whose members are seldom like their leader; blocks of a few rows, so that components span them."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 6)
+    texts = [t for seed in range(3) for t in drifting(40, seed)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(df).collect()}
+    want = components_of(texts, False)
+    assert got == want and 3 < len(set(want.values())) < len(texts)
+
+
+def test_near_classes_by_weights(spark):
+    """Repeated passages: alike as sets, not by counts."""
+    rng = random.Random(9)
+    body = [[rng.choice(WORDS) for _ in range(60)] for _ in range(8)]
+    texts = []
+    for b in body:
+        texts += [" ".join(b), " ".join(b[:20] * 9 + b), " ".join(b[:20] * 10 + b)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    for weights in ("set", "count"):
+        got = {r.doc_id: r.class_id for r in near_dedup.near_classes(df, weights=weights).collect()}
+        assert got == components_of(texts, weights == "count")
+    assert components_of(texts, False) != components_of(texts, True)
+
+
+def test_one_id_over_different_texts(spark):
+    rows = [(5, "one text of id five that stands alone here"), (5, "another text which id six holds as well today"), (6, "another text which id six  holds as well today"), (7, "a third text of quite different words entirely")]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, n int")
+    out = near_dedup.near_classes(df).collect()
+    assert len({r.class_key for r in out}) == 3 and sorted((r.doc_id, r.class_id, r.class_size) for r in out) == [(5, 5, 1), (5, 5, 2), (6, 5, 2), (7, 7, 1)]
+    assert sorted(r.n for r in near_dedup.drop_near_copies(df).collect()) == [0, 1, 3]
+    swapped = spark.createDataFrame([(4 if i == 6 else i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    assert sorted(r.n for r in near_dedup.drop_near_copies(swapped).collect()) == [0, 2, 3]
