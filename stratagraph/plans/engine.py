@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import logging
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ from stratagraph.sources import repository as S
 from stratagraph.sources.store import NotFound, Store
 
 TABLES = ("files", "entities", "chunks", "nodes", "edges")
+NODES = "node_id string, node_type string, file_path string, class_name string, name string, language string, signature string, docstring string, start_line int, end_line int, repository_id string"
+EDGES = "rel_type string, src string, dst string, module string, line int, repository_id string"
 OVERVIEW_CHARS, SNIPPET = 12_000, 1_500
 #: What an overview is made from: (text to search for, entity types, hits).
 OVERVIEW_SEARCHES = [
@@ -43,6 +46,7 @@ class Engine:
     store: Store
     embed: object = hashing_embedding
     answer: object = C.extractive_answers
+    _graphs: dict = field(default_factory=dict, repr=False)
 
     def register(self, url: str) -> str:
         """A valid URL's repository; ValueError with the reason otherwise."""
@@ -67,6 +71,7 @@ class Engine:
 
     def index(self, repository_id: str, root: str) -> None:
         """Scan, parse, resolve, chunk, embed and build the graph of a folder; states are logged, failures too."""
+        self._forget_graph(repository_id)
         try:
             self.store.set_status(repository_id, "parsing")
             self.store.write(S.scan(self.spark, root, repository_id), "files")
@@ -90,7 +95,21 @@ class Engine:
             raise
 
     def graph(self, repository_id: str) -> G.Graph:
-        return G.Graph(self.store.read("nodes", repository_id), self.store.read("edges", repository_id))
+        """The stored graph, cached until the repository is indexed or deleted; an absent or unreadable one is empty."""
+        if repository_id not in self._graphs:
+            try:
+                nodes, edges = (self.store.read(t, repository_id, schema).persist() for t, schema in (("nodes", NODES), ("edges", EDGES)))
+                nodes.count(), edges.count()
+            except Exception as e:  # whatever is wrong with the files, questions are still answered from the chunks
+                logging.getLogger(__name__).warning("no graph of %s: %s", repository_id, str(e)[:200])
+                nodes, edges = self.spark.createDataFrame([], NODES), self.spark.createDataFrame([], EDGES)
+            self._graphs[repository_id] = G.Graph(nodes, edges)
+        return self._graphs[repository_id]
+
+    def _forget_graph(self, repository_id: str) -> None:
+        if g := self._graphs.pop(repository_id, None):
+            g.nodes.unpersist()
+            g.edges.unpersist()
 
     def sql(self, query: str, repository_id: str) -> DataFrame:
         """Q17: SQL over the views nodes, edges, entities, chunks and files of one repository."""
@@ -245,6 +264,7 @@ class Engine:
         return {"root": self.store.root, "context_limit": R.CONTEXT_LIMIT, "context_chars": R.CONTEXT_CHARS, "per_file": R.PER_FILE_CAP, "language_model": connector.model if connector else None}
 
     def delete(self, repository_id: str) -> None:
+        self._forget_graph(repository_id)
         self.store.remove(repository_id, TABLES)
 
 

@@ -203,8 +203,10 @@ def lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     both = asked_of.withColumn("query_id", F.col("query_id") * 2).unionByName(queries.select((F.col("question_id") * 2 + 1).alias("query_id"), opposite.alias("query_vector")))
     found = V.top_k(vectors, both, 13, "vec_id").where(F.col("id") != F.floor(F.col("query_id") / 2))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
-    ranked = found.withColumn("position", place).where("position <= 12")
-    lists = ranked.select(F.when(F.col("query_id") % 2 == 0, "hybrid").otherwise("vector").alias("system"), F.floor(F.col("query_id") / 2).alias("question_id"), "position", name)
+    system = F.when(F.col("query_id") % 2 == 0, "hybrid").otherwise("vector")
+    # One system's lists are shorter than the precision's five places.
+    ranked = found.withColumn("position", place).where(F.col("position") <= F.when(system == "vector", 3).otherwise(12))
+    lists = ranked.select(system.alias("system"), F.floor(F.col("query_id") / 2).alias("question_id"), "position", name)
     relevant = vectors.select(F.col("label").alias("ql"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("f"), F.col("vec_id").alias("v"))
     asked = queries.drop("qv").join(relevant, "ql").where("v <> question_id").groupBy("question_id", "ql").agg(F.collect_list("f").alias("relevant_files"))
     return lists, asked.select("question_id", F.concat(F.lit("label "), F.col("ql").cast("string")).alias("category"), "relevant_files")
@@ -215,9 +217,9 @@ s AS (SELECT question_id, vec_id, round(list_cosine_similarity(CAST(v AS DOUBLE[
 lists AS (SELECT 'hybrid' AS system, question_id, vec_id, row_number() OVER (PARTITION BY question_id ORDER BY s DESC, vec_id) AS p FROM s UNION ALL SELECT 'vector', question_id, vec_id, row_number() OVER (PARTITION BY question_id ORDER BY s, vec_id) FROM s),
 rel AS (SELECT question_id, 'label ' || ql AS category, vec_id FROM qv JOIN embeddings ON label = ql WHERE vec_id <> question_id),
 asked AS (SELECT question_id, category, count(*) AS n FROM rel GROUP BY ALL),
-hits AS (SELECT l.system, l.question_id, p FROM lists l JOIN rel USING (question_id, vec_id) WHERE p <= 12),
+hits AS (SELECT l.system, l.question_id, p FROM lists l JOIN rel USING (question_id, vec_id) WHERE p <= CASE l.system WHEN 'vector' THEN 3 ELSE 12 END),
 res AS (SELECT y.system, a.question_id, a.category, count(p) FILTER (p <= 1) / n AS recall_at_1, count(p) FILTER (p <= 3) / n AS recall_at_3, count(p) FILTER (p <= 5) / n AS recall_at_5, count(p) FILTER (p <= 10) / n AS recall_at_10,
-count(p) FILTER (p <= 5) / 5 AS precision_at_5, coalesce(1.0::DOUBLE / min(p), 0) AS mrr, CASE WHEN count(p) > 0 THEN 1.0::DOUBLE ELSE 0 END AS relevant_file_rate
+count(p) FILTER (p <= 5) / CASE y.system WHEN 'vector' THEN 3 ELSE 5 END AS precision_at_5, coalesce(1.0::DOUBLE / min(p), 0) AS mrr, CASE WHEN count(p) > 0 THEN 1.0::DOUBLE ELSE 0 END AS relevant_file_rate
 FROM asked a CROSS JOIN (SELECT DISTINCT system FROM lists) y LEFT JOIN hits h ON h.system = y.system AND h.question_id = a.question_id GROUP BY y.system, a.question_id, a.category, n)"""
 _METRICS = ["recall_at_1", "recall_at_3", "recall_at_5", "recall_at_10", "precision_at_5", "mrr", "relevant_file_rate"]
 

@@ -32,11 +32,26 @@ class Store:
         self.spark, self.root = spark, root.rstrip("/")
 
     def write(self, df: DataFrame, table: str) -> None:
-        """Replace the partitions of the repositories in df, and no others (dynamic overwrite), sorted by the table's lookup keys."""
+        """Replace the partitions of the repositories in df, and no others, sorted by the table's lookup keys.
+
+        They are written aside and then renamed into place one by one, so a reader sees an old partition or a new one, and a
+        write that fails changes nothing.
+        """
         keys = [c for c in LAYOUT.get(table, []) if c in df.columns]
         if keys:
             df = df.sortWithinPartitions("repository_id", *keys)
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repository_id").parquet(f"{self.root}/{table}")
+        aside = f".aside/{uuid.uuid4().hex}"
+        df.write.partitionBy("repository_id").parquet(f"{self.root}/{aside}/{table}")
+        fs, new = self._path(f"{aside}/{table}")
+        for part in [s.getPath() for s in fs.listStatus(new) if s.isDirectory()]:
+            _, place = self._path(f"{table}/{part.getName()}")
+            _, old = self._path(f"{aside}/old/{part.getName()}")
+            fs.mkdirs(place.getParent())
+            fs.mkdirs(old.getParent())
+            if fs.exists(place):
+                fs.rename(place, old)
+            fs.rename(part, place)
+        fs.delete(self._path(aside)[1], True)
 
     def read(self, table: str, repository_id: str | None = None, schema: str | None = None) -> DataFrame:
         """A table, or one repository's partition of it; an absent table is empty if its schema is given."""

@@ -1,5 +1,8 @@
 """Index, ask and delete through the engine; the store; streaming."""
 
+import glob
+import os
+
 import pytest
 
 from stratagraph.plans import fixture
@@ -39,6 +42,15 @@ def test_engine(spark, tree, tmp_path):
     assert e.sql("select count(*) from nodes where node_type = 'Class'", rid).first()[0] == 5
     answers = e.ask(rid, ["What calls `total`?", "why are notes sent"]).collect()
     assert len(answers) == 2 and all(a.grounded for a in answers) and "shop/run.py" in answers[0].answer
+    assert e.graph(rid) is e.graph(rid)
+    e.index(rid, tree)  # once more: every partition is replaced
+    assert e.store.read("nodes", rid).where("node_type = 'Class'").count() == 5 and not [p for p in os.listdir(f"{tmp_path}/nodes") if not p.startswith("repository_id=")]
+    for f in glob.glob(f"{tmp_path}/nodes/repository_id={rid}/*.parquet"):
+        with open(f, "wb") as broken:
+            broken.write(b"not a table")
+        os.unlink(os.path.join(os.path.dirname(f), f".{os.path.basename(f)}.crc"))
+    e._forget_graph(rid)
+    assert e.graph(rid).nodes.count() == 0 and e.ask(rid, ["why are notes sent"], "vector").count() == 1
     e.delete(rid)
     assert e.store.get(rid) is None and e.store.read("nodes", schema="node_id string").count() == 0
 
