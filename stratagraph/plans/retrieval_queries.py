@@ -41,41 +41,43 @@ def _values(rows: list[tuple], names: str) -> str:
     return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(lit(v) for v in r) + ')' for r in rows)}) AS t({names}))"
 
 
-_QS = f"q AS {_values(QUESTIONS, 'question_id, question')}"
-_INTENTS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(question), {_quote(p)}) THEN '{i}' END" for i, p in Q.INTENT_PATTERNS) + "], lambda x: x IS NOT NULL)"
-
-
-def _first_seen(expr: str) -> str:
-    """SQL of a list's distinct elements by first place."""
-    return f"list_filter({expr}, lambda x, i: list_position({expr}, x) = i)"
-
-
-_REST = f"regexp_replace(question, {_quote(Q.FILE_PATH)}, ' ', 'g')"
-_TICKS = f"flatten(list_transform(list_transform(regexp_extract_all({_REST}, {_quote(Q.BACKTICKED)}, 1), lambda t: trim(t)), lambda t: list_concat(CASE WHEN contains(t, '.') AND NOT suffix(t, ')') THEN string_split(t, '.') ELSE [] END, [regexp_replace(t, '\\(\\)$', '')])))"
-_PAIRS = f"flatten(list_transform(list_zip(regexp_extract_all({_REST}, {_quote(Q.DOTTED)}, 1), regexp_extract_all({_REST}, {_quote(Q.DOTTED)}, 2)), lambda z: [z[1], z[2]]))"
-_FOUND = f"list_filter(list_transform(list_concat({_TICKS}, regexp_extract_all({_REST}, {_quote(Q.CALL_SYNTAX)}, 1), {_PAIRS}, regexp_extract_all({_REST}, {_quote(Q.CAMEL_CASE)}, 1), regexp_extract_all({_REST}, {_quote(Q.SNAKE_CASE)}, 1)), lambda x: trim(trim(trim(x), '()'))), lambda x: regexp_full_match(x, '[A-Za-z_][A-Za-z0-9_]*') AND length(x) > 1 AND lower(x) NOT IN ('what_is', 'how_to', 'e_g', 'i_e'))"
-_OR = lambda ps: "(" + " OR ".join(f"regexp_matches(lower(question), {_quote(p)})" for p in ps) + ")"
+# What each question must give, written by hand from the rules, so that a wrong pattern shows:
+# (question_id, intents, identifiers, file paths, type, is_flow, wants_graph, use_vector, vector_limit).
+EXPECTED = [
+    (1, ["callers"], ["load_config"], ["app/core/session.py"], "structural", False, True, False, 8),
+    (2, [], ["save", "UserStore"], [], "mixed", False, True, True, 16),
+    (3, ["importers"], [], ["lib/base.ts"], "structural", False, True, True, 8),
+    (4, [], [], [], "semantic", False, False, True, 20),
+    (5, ["definition"], ["Session", "open"], [], "structural", False, True, False, 8),
+    (6, ["architecture"], [], [], "mixed", False, True, True, 16),
+    (7, [], ["parse_row"], [], "mixed", True, True, True, 16),
+    (8, ["inheritance"], ["BaseStore", "LocalStore"], [], "structural", False, True, False, 8),
+    (9, ["file_contents"], [], ["src/utils.ts"], "structural", False, True, True, 8),
+    (10, ["callers", "callees"], ["run_all"], [], "structural", False, True, False, 8),
+    (11, [], ["CamelCaseName", "snake_case_name"], [], "semantic", False, False, True, 20),
+    (12, ["file_contents"], [], ["README.md", "setup.py"], "structural", False, True, True, 8),
+    (13, [], [], [], "semantic", False, False, True, 20),
+    (14, ["entry_point"], [], ["main.py"], "mixed", False, True, True, 16),
+    (15, ["callers"], ["do_it"], [], "structural", False, True, False, 8),
+]
+_EXPECTED = _values([tuple(int(v) if isinstance(v, bool) else v for v in r) for r in EXPECTED], "question_id, intents, identifiers, file_paths, question_type, is_flow, wants_graph, use_vector, vector_limit")
 
 
 def _questions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(QUESTIONS, "question_id int, question string")
 
 
-@query(f"WITH {_QS}, f AS (SELECT question_id, {_INTENTS} AS l FROM q) SELECT question_id, {_first_seen('l')} AS intents FROM f")
+@query(f"SELECT question_id, intents FROM {_EXPECTED}")
 def question_intents(spark: SparkSession, d: str) -> DataFrame:
     return _questions(spark).select("question_id", Q.intents(F.col("question")).alias("intents"))
 
 
-@query(f"WITH {_QS}, f AS (SELECT question_id, {_FOUND} AS l, regexp_extract_all(question, {_quote(Q.FILE_PATH)}, 1) AS p FROM q) SELECT question_id, {_first_seen('l')} AS identifiers, {_first_seen('p')} AS file_paths FROM f")
+@query(f"SELECT question_id, identifiers, file_paths FROM {_EXPECTED}")
 def question_identifiers(spark: SparkSession, d: str) -> DataFrame:
     return _questions(spark).select("question_id", Q.identifiers(F.col("question")).alias("identifiers"), Q.file_paths(F.col("question")).alias("file_paths"))
 
 
-@query(f"""WITH {_QS}, f AS (SELECT question_id, {_INTENTS} AS i, len({_FOUND}) AS n, len(regexp_extract_all(question, {_quote(Q.FILE_PATH)}, 1)) AS p, {_OR(Q.FLOW_HINTS)} AS is_flow, {_OR(Q.SEMANTIC_HINTS)} AS hint FROM q),
-t AS (SELECT *, CASE WHEN len(i) > 0 AND n + p > 0 AND NOT hint AND NOT is_flow THEN CASE WHEN list_contains(i, 'architecture') OR list_contains(i, 'entry_point') THEN 'mixed' ELSE 'structural' END
-WHEN len(i) > 0 OR is_flow OR (n + p > 0 AND hint) THEN 'mixed' ELSE 'semantic' END AS question_type FROM f)
-SELECT question_id, question_type, is_flow, question_type <> 'semantic' AS wants_graph, question_type <> 'structural' OR n = 0 AS use_vector,
-CAST(greatest(4, CASE question_type WHEN 'semantic' THEN 20 WHEN 'mixed' THEN 16 ELSE 8 END) AS INT) AS vector_limit FROM t""")
+@query(f"SELECT question_id, question_type, is_flow = 1 AS is_flow, wants_graph = 1 AS wants_graph, use_vector = 1 AS use_vector, vector_limit FROM {_EXPECTED}")
 def question_type(spark: SparkSession, d: str) -> DataFrame:
     out = Q.analyse(_questions(spark))
     return out.select("question_id", "question_type", "is_flow", "wants_graph", "use_vector", Q.vector_limit(F.col("question_type")).alias("vector_limit"))
@@ -148,9 +150,11 @@ ANSWERS = [
     (5, "See a.py:10-20 and a.py:1. Also `xa.py:1-3` and a.py:1-3, not a.py:100."),
 ]
 RETRIEVED = [(1, 1, "app/core/session.py", 18, 40), (1, 2, "app/main.py", 13, 20), (2, 1, "a/b.py", 1, 9), (2, 2, "a/c.py", 0, 0), (2, 3, "a/d.py", 5, 6), (3, 1, "lib/base.ts", 1, 30), (5, 1, "a.py", 12, 20), (5, 2, "xa.py", 1, 3)]
+#: The pattern of a citation once more, written for the SQL.
+_CITED = r"`?([\w./-]+[.][0-9A-Za-z]+):([0-9]+)(?:[ \t\n]*-[ \t\n]*([0-9]+))?`?"
 _ANS = f"a AS {_values(ANSWERS, 'question_id, answer')}, r AS {_values(RETRIEVED, 'question_id, position, file_path, s, e')}"
 _CIT = f"""c AS (SELECT question_id, i - 1 AS seq, p[i] AS file_path, CAST(s[i] AS INT) AS start_line, CAST(CASE WHEN coalesce(e[i], '') = '' THEN s[i] ELSE e[i] END AS INT) AS end_line FROM (SELECT question_id, unnest(range(1, len(p) + 1)) AS i, p, s, e FROM
-(SELECT question_id, regexp_extract_all(answer, {_quote(C.CITATION)}, 1) AS p, regexp_extract_all(answer, {_quote(C.CITATION)}, 2) AS s, regexp_extract_all(answer, {_quote(C.CITATION)}, 3) AS e FROM a)))"""
+(SELECT question_id, regexp_extract_all(answer, {_quote(_CITED)}, 1) AS p, regexp_extract_all(answer, {_quote(_CITED)}, 2) AS s, regexp_extract_all(answer, {_quote(_CITED)}, 3) AS e FROM a)))"""
 
 
 def _answers(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -168,8 +172,8 @@ def citations_verify(spark: SparkSession, d: str) -> DataFrame:
     return C.verify(C.extract(answers), retrieved)
 
 
-_SPLIT = f"string_split_regex(answer, {_quote(C.CITATION)})"
-_GROUP = lambda g: f"regexp_extract_all(answer, {_quote(C.CITATION)}, {g})"
+_SPLIT = f"string_split_regex(answer, {_quote(_CITED)})"
+_GROUP = lambda g: f"regexp_extract_all(answer, {_quote(_CITED)}, {g})"
 
 
 @query(f"""WITH {_ANS}, {_CIT}, bad AS (SELECT question_id, list(DISTINCT file_path || ':' || start_line || '-' || end_line) AS l FROM c WHERE NOT EXISTS

@@ -38,14 +38,12 @@ def repo_name(spark: SparkSession, d: str) -> DataFrame:
 
 PATHS = ["src/app.py", "node_modules/x/y.js", "a/node_modules", "dist/app.js", "a/b.min.js", "a/b.lock", "logs/today.txt", "docs/logs", "img/a.PNG", "img/a.png", "a/x.tar.gz", "Cargo.lock", "web/vendor/q.css", "tmp1/z.py", "a[1].so", "env.py", "x.map/y", ".git/HEAD"]
 EXTRA = ["logs", "tmp?"]
+# Which of them must be left out, by hand from the rules.
+KEPT = ["src/app.py", "img/a.PNG", "env.py"]
 _P = f"p AS {_values([(p,) for p in PATHS], 'path')}"
 
 
-def _like(glob: str) -> str:
-    return "'" + glob.replace("*", "%").replace("?", "_").replace("'", "''") + "'"
-
-
-@query(f"WITH {_P} SELECT path, list_has_any(string_split(path, '/'), {P.IGNORED_FOLDERS}) OR " + " OR ".join(f"list_last(string_split(path, '/')) LIKE {_like(g)} OR path LIKE {_like(g)} OR path LIKE {_like(g + '/*')}" for g in [*P.IGNORED_GLOBS, *EXTRA]) + " AS ignored FROM p")
+@query(f"WITH {_P} SELECT path, path NOT IN ({', '.join(_quote(k) for k in KEPT)}) AS ignored FROM p")
 def path_ignore(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(p,) for p in PATHS], "path string").select("path", P.ignored(F.col("path"), EXTRA).alias("ignored"))
 
