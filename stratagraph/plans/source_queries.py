@@ -13,7 +13,7 @@ from stratagraph.operators import graph as G
 from stratagraph.operators import resolution as R
 from stratagraph.operators.parsing import Parsed, parse_repository
 from stratagraph.operators.sections import sections as markdown_sections
-from stratagraph.plans import fixture
+from stratagraph.plans import expected, fixture
 from stratagraph.plans.engine import directory_summary as directories
 from stratagraph.plans.engine import overview_prefix as prefix
 from stratagraph.plans.registry import query
@@ -86,7 +86,13 @@ def point_id(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", raw.alias("raw"), uuid5(key).alias("id"))
 
 
-@query()
+@query("""WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS UBIGINT), list_transform(range(8), lambda z: CAST(0 AS UBIGINT))), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS tab),
+x AS (SELECT item_id, lower(coalesce(text, '')) AS x FROM benchmark),
+g AS (SELECT item_id, unnest(list_concat(list_transform(range(1, length(x) - 1), lambda i: substring(x, i, 3)), list_transform(range(1, length(x) - 2), lambda i: substring(x, i, 4)))) AS s FROM x),
+d AS (SELECT s, list_transform(range(strlen(s)), lambda i: CAST('0x' || substr(hex(encode(s)), 2 * i + 1, 2) AS UBIGINT)) AS bytes FROM (SELECT DISTINCT s FROM g)),
+h AS (SELECT s, CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, bytes), lambda c, b: xor(c >> 8, tab[CAST(1 + (xor(c, b) & 255) AS INT)])), 4294967295::UBIGINT) % 256 AS INT) AS bucket FROM d, t),
+b AS (SELECT item_id, bucket, count(*) AS n FROM g JOIN h USING (s) GROUP BY 1, 2), l AS (SELECT item_id, sqrt(sum(n * n)) AS len FROM b GROUP BY 1)
+SELECT x.item_id, list(round(coalesce(n / len, 0.0::DOUBLE), 6) ORDER BY k) AS embedding FROM x CROSS JOIN (SELECT unnest(range(256)) AS k) LEFT JOIN b ON b.item_id = x.item_id AND bucket = k LEFT JOIN l ON l.item_id = x.item_id GROUP BY 1""")
 def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", F.transform(hashing_embedding(F.col("text")), lambda x: F.round(x, 6)).alias("embedding"))
 
@@ -230,19 +236,27 @@ def _parsed(spark: SparkSession) -> tuple[Parsed, G.Graph]:
     return p, G.Graph(materialize(g.nodes, "nodes"), materialize(g.edges, "edges"))
 
 
-@query()
+_ENTITY = "file_path, entity_type, entity_name, start_line, end_line, parent_name, signature, docstring, bases, calls"
+
+
+def _shown(entities: DataFrame) -> DataFrame:
+    return entities.select("file_path", "entity_type", "entity_name", "start_line", "end_line", "parent_name", "signature", "docstring", F.array_join("base_classes", ",").alias("bases"), F.array_join("calls", ",").alias("calls"))
+
+
+@query(f"SELECT * FROM {_values(expected.PYTHON_ENTITIES, _ENTITY)}")
 def python_entities(spark: SparkSession, d: str) -> DataFrame:
-    return _indexed(spark)[0].entities.where("language = 'python'")
+    return _shown(_indexed(spark)[0].entities.where("language = 'python'"))
 
 
-@query()
+@query(f"SELECT * FROM {_values(expected.JS_ENTITIES, _ENTITY)}")
 def js_entities(spark: SparkSession, d: str) -> DataFrame:
-    return _indexed(spark)[0].entities.where("language in ('javascript', 'typescript')")
+    return _shown(_indexed(spark)[0].entities.where("language in ('javascript', 'typescript')"))
 
 
-@query()
+@query(f"SELECT * FROM {_values(expected.CODE_EDGES, 'rel_type, src, dst, module, line')}")
 def code_graph_edges(spark: SparkSession, d: str) -> DataFrame:
-    return _indexed(spark)[1].edges
+    edges = _indexed(spark)[1].edges
+    return edges.where("rel_type not like '%CONTAINS%' and rel_type not like 'FILE_DEFINES%'").select("rel_type", "src", "dst", "module", "line")
 
 
 @query()
