@@ -67,3 +67,43 @@ CODE_EDGES = [
     ("METHOD_CALLS_METHOD", "Method:shop/store/memory.py:MemoryStore:put", "Method:shop/store/memory.py:MemoryStore:notify", None, 11),
     ("METHOD_CALLS_METHOD", "Method:web/app.ts:App:start", "Method:web/base.ts:Base:name", None, 7),
 ]
+
+# (question, step, place of the name, place of the row, fact, file, type, name, first line, last line, tier, relationship)
+FACTS = [
+    (1, 1, 0, 1, "function total is defined at shop/prices.py:4-5", "shop/prices.py", "function", "total", 4, 5, 0, "definition"),
+    (1, 3, 0, 1, "function main (shop/run.py:7-12) calls total", "shop/run.py", "function", "main", 7, 12, 1, "calls total"),
+    (1, 3, 0, 2, "method sum_up (shop/store/base.py:10-11) calls total", "shop/store/base.py", "method", "sum_up", 10, 11, 1, "calls total"),
+    (2, 1, 0, 1, "class BaseStore is defined at shop/store/base.py:4-11", "shop/store/base.py", "class", "BaseStore", 4, 11, 0, "definition"),
+    (2, 2, 0, 1, "class BaseStore (shop/store/base.py:4-11) defines: put, sum_up", "shop/store/base.py", "method", "put", 7, 8, 3, "method of BaseStore"),
+    (2, 2, 0, 2, None, "shop/store/base.py", "method", "sum_up", 10, 11, 3, "method of BaseStore"),
+    (2, 5, 0, 1001, "classes inheriting from BaseStore: MemoryStore (shop/store/memory.py)", "shop/store/memory.py", "class", "MemoryStore", 5, 14, 1, "subclass of BaseStore"),
+    (3, 6, 0, 1, "shop/prices.py is imported by: shop/run.py, shop/store/base.py", "shop/run.py", "file", "shop/run.py", 0, 0, 2, "imports shop/prices.py"),
+    (3, 6, 0, 2, None, "shop/store/base.py", "file", "shop/store/base.py", 0, 0, 2, "imports shop/prices.py"),
+    (4, 8, 0, 1, "Files imported most: shop/prices.py (2 importers), shop/run.py (1 importers), shop/store/base.py (1 importers), shop/store/memory.py (1 importers), web/app.ts (1 importers), web/base.ts (1 importers)", "shop/prices.py", "file", "shop/prices.py", 0, 0, 2, "imported by 2 files"),
+    (4, 8, 0, 2, None, "shop/run.py", "file", "shop/run.py", 0, 0, 2, "imported by 1 files"),
+    (4, 8, 0, 3, None, "shop/store/base.py", "file", "shop/store/base.py", 0, 0, 2, "imported by 1 files"),
+    (4, 8, 0, 4, None, "shop/store/memory.py", "file", "shop/store/memory.py", 0, 0, 2, "imported by 1 files"),
+    (4, 8, 0, 5, None, "web/app.ts", "file", "web/app.ts", 0, 0, 2, "imported by 1 files"),
+    (5, 1, 0, 1, "method BaseStore.put is defined at shop/store/base.py:7-8", "shop/store/base.py", "method", "put", 7, 8, 0, "definition"),
+    (5, 1, 0, 2, "method MemoryStore.put is defined at shop/store/memory.py:9-11", "shop/store/memory.py", "method", "put", 9, 11, 0, "definition"),
+    (5, 1, 1, 1, "class MemoryStore is defined at shop/store/memory.py:5-14", "shop/store/memory.py", "class", "MemoryStore", 5, 14, 0, "definition"),
+    (5, 2, 1, 1, "class MemoryStore (shop/store/memory.py:5-14) defines: __init__, notify, put", "shop/store/memory.py", "method", "__init__", 6, 7, 3, "method of MemoryStore"),
+    (5, 2, 1, 2, None, "shop/store/memory.py", "method", "put", 9, 11, 3, "method of MemoryStore"),
+    (5, 2, 1, 3, None, "shop/store/memory.py", "method", "notify", 13, 14, 3, "method of MemoryStore"),
+    (6, 7, 0, 1, "shop/prices.py defines functions rate, total", "shop/prices.py", "function", "total", 4, 5, 3, "defined in shop/prices.py"),
+    (6, 7, 0, 2, None, "shop/prices.py", "function", "rate", 8, 9, 3, "defined in shop/prices.py"),
+    (7, 1, 0, 1, "function main is defined at shop/run.py:7-12", "shop/run.py", "function", "main", 7, 12, 0, "definition"),
+    (7, 3, 0, 1, "function inner (shop/run.py:16-17) calls main", "shop/run.py", "function", "inner", 16, 17, 1, "calls main"),
+    (7, 4, 0, 1, "main calls total (shop/prices.py:4-5)", "shop/prices.py", "function", "total", 4, 5, 1, "called by main"),
+    (7, 4, 0, 2, "main calls helper (shop/run.py:15-18)", "shop/run.py", "function", "helper", 15, 18, 1, "called by main"),
+    (7, 4, 0, 3, "main calls put (shop/store/memory.py:9-11)", "shop/store/memory.py", "method", "put", 9, 11, 1, "called by main"),
+]
+
+# (question, answer, verified, unverified, grounded, abstained)
+ANSWERS = [
+    (1, "Loaded in `app/core/session.py:10-20` and app/main.py (lines not confirmed), see app/main.py (lines not confirmed) again.", 1, 1, 0, 0),
+    (2, "No citation at all.\n\nEvidence found for this question:\n- a/b.py:1-9\n- a/d.py:5-6", 0, 0, 1, 0),
+    (3, "Wrong: lib/base.ts (lines not confirmed) and lib/none.ts (lines not confirmed), right: lib/base.ts:3 - 4.", 1, 2, 0, 0),
+    (4, "", 0, 0, 1, 1),
+    (5, "See a.py:10-20 and a.py (lines not confirmed). Also `xa.py:1-3` and a.py (lines not confirmed), not a.py (lines not confirmed).", 2, 3, 0, 0),
+]

@@ -10,6 +10,7 @@ from stratagraph.operators import grounding as C
 from stratagraph.operators import questions as Q
 from stratagraph.operators import ranking as R
 from stratagraph.operators import vector_search as V
+from stratagraph.plans import expected
 from stratagraph.plans.registry import query
 from stratagraph.plans.tables import table
 
@@ -191,7 +192,7 @@ def append_sources(spark: SparkSession, d: str) -> DataFrame:
     return C.append_sources(*_answers(spark))
 
 
-@query()
+@query(f"SELECT question_id, answer, verified, unverified, grounded = 1 AS grounded, abstained = 1 AS abstained FROM {_values(expected.ANSWERS, 'question_id, answer, verified, unverified, grounded, abstained')}")
 def answers_grounded(spark: SparkSession, d: str) -> DataFrame:
     answers, retrieved = _answers(spark)
     return C.answers_for(answers.withColumnRenamed("answer", "context"), retrieved, provider=lambda c: c.select("question_id", F.col("context").alias("answer"), (F.col("context") == "").alias("abstained")))

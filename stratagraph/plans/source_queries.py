@@ -259,12 +259,15 @@ def code_graph_edges(spark: SparkSession, d: str) -> DataFrame:
     return edges.where("rel_type not like '%CONTAINS%' and rel_type not like 'FILE_DEFINES%'").select("rel_type", "src", "dst", "module", "line")
 
 
-@query()
+_FACT = "question_id, step, name_pos, row_pos, fact, file_path, entity_type, entity_name, start_line, end_line, tier, relationship"
+
+
+@query(f"SELECT * FROM {_values(expected.FACTS, _FACT)}")
 def graph_facts(spark: SparkSession, d: str) -> DataFrame:
     from stratagraph.operators.questions import analyse
 
     questions = spark.createDataFrame([(k, fixture.REPOSITORY, q) for k, q in fixture.QUESTIONS], "question_id int, repository_id string, question string")
-    return H.graph_context(analyse(questions), _indexed(spark)[1])
+    return H.graph_context(analyse(questions), _indexed(spark)[1]).select(*_FACT.split(", "))
 
 
 def _retrieval(spark: SparkSession) -> tuple[DataFrame, DataFrame, G.Graph]:
