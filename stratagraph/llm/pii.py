@@ -7,19 +7,24 @@ of the whole span (its digits, groups, separators, shape, checks, neighbours), l
 dynamic programming over (end, kind) picks boundaries and kinds together. Elsewhere a text
 has no candidate, so all of it is outside and need not be walked.
 
-It is trained on base spans as given labels, in windows of a bounded sample of texts (about TRAIN_TEXTS, and half as
-many with the word at, chosen by a hash of the id), half of them again with their marks weakened (a plus dropped, `@` written out), so
-that it learns shapes rather than one mark. Predicted spans that touch no base span are added.
+It is trained on base spans as given labels, in at most TRAIN_EXCERPTS excerpts of about TRAIN_TEXTS texts (as many with a
+digit or sign, half as many with the word at), at most TEXT_EXCERPTS of one text, all chosen by hashes. Each text teaches three
+times: as it stands; with its marks weakened (a plus or country code dropped, `@` and dots written out, other separators), so
+that the field learns shapes rather than one mark; and with its spans spoiled (a part over 255, a wrong check
+digit, too few digits, no domain), which are then outside.
+Predicted spans that touch no base span and are possible values of their kind are added.
 
 Defined results
 - Null and empty texts: no spans. No base span in the sample: nothing is learned and nothing added.
 - Positions count code points, end exclusive. Repeated rows are each answered. Very long texts are read whole.
-- Empty table: no rows. Extra columns are ignored.
+- Ties between segmentations: the first label in the order outside, email, ip, card, phone, then the longest segment.
+- Empty table: no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,8 +39,10 @@ from .word_cache import text_runs
 KINDS = ("email", "ip", "card", "phone")
 MAX_ATOMS = 16
 TRAIN_TEXTS = 600
-TRAIN_WINDOWS = 1_200
-EPOCHS = 6
+TRAIN_EXCERPTS = 1_500
+TEXT_EXCERPTS = 4
+TRAIN_WINDOWS = 3_000
+EPOCHS = 14
 #: Outside atoms between two triggers that end a window.
 GAP = 3
 
@@ -135,10 +142,15 @@ def span_features(text: str, start: int, end: int, atoms: int) -> list[str]:
         f"at={s.count('@')}",
         f"letters={any(c.isalpha() for c in s)}",
         f"luhn={14 <= len(d) <= 19 and luhn(d)}",
+        f"marks={'dot' in s.lower().split()}{'(at)' in s.lower()}",
         f"octets={len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups) and seps == '.'}",
     ]
-    if ats := [m.end() for m in _AT.finditer(s)]:
-        out.append(f"domain={bool(_DOMAIN.fullmatch(s[ats[-1]:].lstrip(' )')))}")
+    if ats := list(_AT.finditer(s)):
+        host = s[ats[-1].end() :].lstrip(" )")
+        written = re.sub(r" dot ", ".", host, flags=re.I)
+        words, name = s[: ats[0].start()].count(" "), s[: ats[0].start()].rstrip(" (")
+        whole = bool(_DOMAIN.fullmatch(written)) and bool(name) and not set(name) - _LOCAL
+        out += [f"domain={bool(_DOMAIN.fullmatch(host))}", f"written={host != written}{whole}", f"before={min(words, 3)}", f"after={min(written.count(' '), 3)}", f"name={bool(name) and not set(name) - _LOCAL}", f"ats={len(ats)}"]
     return out
 
 
@@ -162,7 +174,7 @@ def candidates(text: str, atoms: list[tuple[int, int]]) -> list[tuple[int, int]]
             digits += c == "d"
             ats += c == "@" or text[atoms[j][0] : atoms[j][1]].lower() == "at"
             words += c == "w"
-            if spaces > 4 or c in '"<>;,:|\\{}[]':
+            if spaces > 5 or c in '"<>;,:|\\{}[]':
                 break
             if c in ("d", "w") and (ats or digits >= 1 and not words):
                 out.append((i, j))
@@ -221,28 +233,73 @@ class Field:
         return out
 
 
-def _weakened(text: str, gold: list[Span], turn: int) -> tuple[str, list[Span]]:
-    """The text with its spans' marks weakened, and where the spans are then."""
-    out, spans, upto = [], [], 0
-    size = 0
+def _rewritten(text: str, gold: list[Span], write) -> tuple[str, list[Span]]:
+    """The text with each span written anew by write(kind, span, its hash) -> (string, whether it still is one), and where the spans are then."""
+    out, spans, upto, size = [], [], 0, 0
     for a, b, kind in gold:
         if a < upto:
             continue
-        s = text[a:b]
-        if kind == "phone":
-            s = re.sub(r"^\+[0-9]{1,3}[ .-]?", "", s) if turn % 2 else s.replace(" ", "-")
-        elif kind == "email":
-            s = s.replace("@", " at ") if turn % 2 else s
-        elif kind == "card":
-            s = " ".join(_digits(s)[k : k + 4] for k in range(0, len(_digits(s)), 4))
+        s, stays = write(kind, text[a:b], zlib.crc32(text[a:b].encode()))
         out += [text[upto:a], s]
         size += a - upto
-        spans.append((size, size + len(s), kind))
+        if stays:
+            spans.append((size, size + len(s), kind))
         size += len(s)
         upto = b
     return "".join([*out, text[upto:]]), spans
 
 
+def _weakened(text: str, gold: list[Span]) -> tuple[str, list[Span]]:
+    """The text with its spans' marks weakened."""
+
+    def write(kind: str, s: str, turn: int) -> tuple[str, bool]:
+        d = _digits(s)
+        if kind == "phone":
+            bare = re.sub(r"^\+[0-9]{1,3}[ .-]?", "", s)
+            s = (bare, s.replace(" ", "-"), f"({d[-10:-7]}) {d[-7:-4]}-{d[-4:]}", f"{d[-10:-7]}.{d[-7:-4]}.{d[-4:]}")[turn % 4]
+        elif kind == "email":
+            name, _, host = s.rpartition("@")
+            s = (f"{name} at {host}", f"{name} (at) {host}", f"{name} at {host.replace('.', ' dot ')}", s)[turn % 4]
+        elif kind == "card":
+            s = (" ", ".", "-")[turn % 3].join(d[k : k + 4] for k in range(0, len(d), 4))
+        return s, True
+
+    return _rewritten(text, gold, write)
+
+
+def _spoiled(text: str, gold: list[Span]) -> tuple[str, list[Span]]:
+    """The text with its spans made impossible; none is left."""
+
+    def write(kind: str, s: str, turn: int) -> tuple[str, bool]:
+        d = _digits(s)
+        if kind == "ip":
+            parts = s.split(".")
+            parts[turn % 4] = str(256 + turn * 37 % 700)
+            return ".".join(parts), False
+        if kind == "card":
+            return s[:-1] + str((int(s[-1]) + 1 + turn % 8) % 10), False
+        if kind == "phone":
+            return (f"{d[-6:-4]}-{d[-4:]}", f"+{d[:3]} {d[3:6]}", d[:5])[turn % 3], False
+        name, _, host = s.rpartition("@")
+        return f"{re.sub('[^A-Za-z]', '', name) or 'him'} at {host.split('.')[0]}", False
+
+    return _rewritten(text, gold, write)
+
+
+def _possible(kind: str, s: str) -> bool:
+    """Whether a span can be a value of its kind."""
+    d = _digits(s)
+    if kind == "ip":
+        parts = re.findall("[0-9]+", s)
+        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
+    if kind == "card":
+        return 13 <= len(d) <= 19 and luhn(d)
+    if kind == "phone":
+        return 7 <= len(d) <= 15
+    at = _AT.search(s)
+    return at is not None and bool(re.search(r"\w\s*(?:\.|\bdot\b)\s*[A-Za-z]", s[at.end() :], re.I))
+
+
 def _example(text: str, atoms: list[tuple[int, int]], gold: list[Span]) -> tuple[list, list, list] | None:
     """(segments, features, labelled path) of a window; None if a span is no candidate."""
     segments = candidates(text, atoms)
@@ -266,18 +323,19 @@ def _example(text: str, atoms: list[tuple[int, int]], gold: list[Span]) -> tuple
 def train_field(texts: list[str], epochs: int = EPOCHS) -> Field:
     """Maximum likelihood by AdaGrad on the windows of the texts, in the order given."""
     examples = []
-    for n, text in enumerate(texts):
+    for text in texts:
         gold = []
         for s in base_spans(text):
             if not gold or s[0] >= gold[-1][1]:
                 gold.append(s)
         versions = [(text, gold)]
         if gold:
-            versions.append(_weakened(text, gold, n))
+            versions += [_weakened(text, gold), _spoiled(text, gold)]
         for t, g in versions:
             for _, atoms in windows(t):
-                inside = [s for s in g if s[0] >= atoms[0][0] and s[1] <= atoms[-1][1]]
-                if len(examples) < TRAIN_WINDOWS and (ex := _example(t, atoms, inside)) is not None:
+                near = [s for s in g if s[0] < atoms[-1][1] and s[1] > atoms[0][0]]
+                inside = [s for s in near if s[0] >= atoms[0][0] and s[1] <= atoms[-1][1]]
+                if len(inside) == len(near) and len(examples) < TRAIN_WINDOWS and (ex := _example(t, atoms, inside)) is not None:
                     examples.append((len(atoms), *ex))
     if not any(label for ex in examples for *_, label in ex[3]):
         return Field()
@@ -359,23 +417,25 @@ def all_spans(text: str, model: Field) -> tuple[list[Span], list[Span]]:
         k = int(np.searchsorted(starts, b))
         return k == 0 or int(top[k - 1]) <= a
 
-    added = [s for s in model.decode(text) if free(s[0], s[1])]
+    added = [s for s in model.decode(text) if free(s[0], s[1]) and _possible(s[2], text[s[0] : s[1]])]
     return base, sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_texts: int = TRAIN_TEXTS) -> Field:
-    """Train on about train_texts texts with a digit or an at sign, chosen by a hash of the id."""
-    with_trigger = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
-    n = with_trigger.count()
-    share = min(1.0, train_texts / max(1, n))
-    order = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30))
-    near = with_trigger.where(order < int(share * (1 << 30)) + (share == 1))
-    pick = near.select("id", F.explode(F.expr(r"regexp_extract_all(text, '(?s).{0,60}[0-9@].{0,90}', 0)")).alias("text")).orderBy("id", "text").limit(2 * train_texts)
-    # Plain uses of the word at, so that the field learns where it is no mark.
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike(r"\b[aA][tT]\b"))
-    n = plain.count()
-    words = plain.where(order < int(min(1.0, train_texts / 2 / max(1, n)) * (1 << 30)) + (n <= train_texts / 2)).select("id", F.regexp_extract("text", r"(?s).{0,60}\b[aA][tT]\b.{0,90}", 0).alias("text")).orderBy("id", "text").limit(train_texts // 2)
-    return train_field([r["text"] for r in [*words.collect(), *pick.collect()]])
+    """Train on excerpts of about train_texts texts with a digit or an at sign, and of half as many with the word at."""
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    kinds = {"sign": ("[0-9@]", train_texts), "word": (r"\b[aA][tT]\b", train_texts // 2)}
+    counts = base.agg(*[F.count_if(F.col("text").rlike(p)).alias(k) for k, (p, _) in kinds.items()]).first()
+    place = F.pmod(F.xxhash64("id", "text", F.lit(5)), F.lit(1 << 30))
+    some = None
+    for kind, (pattern, texts) in kinds.items():
+        upto = (1 << 30) if counts[kind] <= texts else int(texts / counts[kind] * (1 << 30))
+        excerpts = F.regexp_extract_all("text", F.lit(rf"(?s).{{0,60}}{pattern}.{{0,90}}"), F.lit(0))
+        one = base.where(place < upto).where(F.col("text").rlike(pattern)).select(F.lit(kind).alias("kind"), F.transform(excerpts, lambda x: F.struct(F.xxhash64(x, F.lit(7)).alias("h"), x.alias("x"))).alias("found"))
+        some = one if some is None else some.unionByName(one)
+    picked = some.select("kind", F.explode(F.slice(F.array_sort("found"), 1, TEXT_EXCERPTS)).alias("e")).select("kind", "e.h", "e.x")
+    rows = picked.orderBy("h", "x").limit(TRAIN_EXCERPTS).collect()
+    return train_field([r["x"] for r in rows])
 
 
 def find_spans(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
