@@ -281,12 +281,6 @@ def hybrid_retrieve(spark: SparkSession, d: str) -> DataFrame:
     return H.hybrid(questions, chunks, g, fixture.files(spark))[0]
 
 
-@query()
-def vector_retrieve(spark: SparkSession, d: str) -> DataFrame:
-    questions, chunks, _ = _retrieval(spark)
-    return H.vector_only(questions, chunks)
-
-
 @query("""SELECT directory, count(*) AS n FROM (SELECT CASE WHEN contains(p, '/') THEN regexp_replace(p, '/[^/]*$', '') ELSE '(root)' END AS directory FROM (SELECT regexp_replace(url, '^[a-z]+:/*', '') AS p FROM pages)) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12""")
 def directory_summary(spark: SparkSession, d: str) -> DataFrame:
     return directories(table(spark, d, "pages").select(F.regexp_replace("url", "^[a-z]+:/*", "").alias("file_path")))
