@@ -48,23 +48,39 @@ def path_ignore(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(p,) for p in PATHS], "path string").select("path", P.ignored(F.col("path"), EXTRA).alias("ignored"))
 
 
-_EXT = "CASE regexp_extract(lower(list_last(string_split(url, '/'))), '^.+(\\.[^.]+)$', 1) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.LANGUAGES.items()) + " END"
+# A language for each suffix, typed once more so that a wrong list shows, and names that have none.
+SUFFIXES = [
+    (".py", "python"), (".pyi", "python"), (".js", "javascript"), (".mjs", "javascript"), (".cjs", "javascript"), (".jsx", "javascript"), (".ts", "typescript"), (".tsx", "typescript"), (".java", "java"), (".go", "go"),
+    (".rs", "rust"), (".rb", "ruby"), (".c", "c"), (".h", "c"), (".cpp", "cpp"), (".cc", "cpp"), (".hpp", "cpp"), (".cs", "csharp"), (".php", "php"), (".swift", "swift"), (".kt", "kotlin"), (".scala", "scala"),
+    (".sh", "shell"), (".bash", "shell"), (".sql", "sql"), (".yaml", "yaml"), (".yml", "yaml"), (".json", "json"), (".toml", "toml"), (".cfg", "config"), (".ini", "config"), (".md", "markdown"), (".rst", "markdown"),
+    (".txt", "text"), (".PY", "python"), (".tar.gz", None), ("", None), (".unknown", None),
+]
 
 
-@query(f"SELECT language, count(*) AS n FROM (SELECT {_EXT} AS language FROM pages) WHERE language IS NOT NULL GROUP BY 1 UNION ALL SELECT lang, count(*) FROM documents GROUP BY 1")
+@query(f"SELECT language, count(*) AS n FROM documents JOIN {_values([(k, x, n) for k, (x, n) in enumerate(SUFFIXES)], 'k, suffix, language')} ON doc_id % {len(SUFFIXES)} = k WHERE language IS NOT NULL GROUP BY 1")
 def language_counts(spark: SparkSession, d: str) -> DataFrame:
-    pages = S.language_counts(table(spark, d, "pages").select(P.language(F.col("url")).alias("language")))
-    return pages.unionByName(S.language_counts(table(spark, d, "documents").select(F.col("lang").alias("language"))))
+    suffix = F.element_at(F.array(*[F.lit(x) for x, _ in SUFFIXES]), (F.col("doc_id") % len(SUFFIXES) + 1).cast("int"))
+    paths = table(spark, d, "documents").select(F.concat(F.lit("src/f"), F.col("doc_id").cast("string"), suffix).alias("path"))
+    return S.language_counts(paths.select(P.language(F.col("path")).alias("language")))
 
 
 _FILES = f"files AS {_values([(p, t) for p, t in fixture.FILES.items()], 'file_path, text')}"
 _LINES = r"CASE WHEN list_last(string_split_regex(text, '\r\n|\r|\n')) = '' THEN string_split_regex(text, '\r\n|\r|\n')[:-2] ELSE string_split_regex(text, '\r\n|\r|\n') END"
 
 
-@query(f"""WITH {_FILES}, l AS (SELECT lower(text) AS line FROM files WHERE file_path IN ({', '.join(_quote(m) for m in S.MANIFESTS)}) UNION ALL SELECT lower(line) FROM (SELECT unnest({_LINES}) AS line FROM files WHERE regexp_matches(file_path, '\\.(py|pyi|js|mjs|cjs|jsx|ts|tsx)$')) WHERE starts_with(line, 'import ') OR starts_with(line, 'from ')),
-m AS {_values([(n, w) for n, ws in S.FRAMEWORKS.items() for w in ws], 'framework, word')} SELECT DISTINCT 'shop' AS repository_id, framework FROM l JOIN m ON regexp_matches(line, '\\b' || regexp_replace(word, '([^a-z0-9])', '\\\\\\1', 'g') || '\\b')""")
+# Repositories of one file each, and what must be found in them, by hand. A mark that begins with @ has a word boundary only behind a letter.
+MARKED = [
+    ("requirements.txt", "fastapi==0.1", ["FastAPI"]), ("pyproject.toml", "dependencies = ['Django>=4']", ["Django"]), ("setup.py", "install_requires=['flask', 'sqlalchemy']", ["Flask", "SQLAlchemy"]), ("Pipfile", "pyramid = '*'", ["Pyramid"]),
+    ("setup.cfg", "pydantic\ntorch", ["Pydantic", "PyTorch"]), ("a/b.py", "import tensorflow as tf", ["TensorFlow"]), ("a.py", "from sklearn import svm\nimport pandas", ["scikit-learn", "Pandas"]), ("m.py", "x = 1\n  import celery", []),
+    ("package.json", '{"dependencies": {"react": "18", "next": "14", "vue": "3"}}', ["React", "Next.js", "Vue"]), ("web/a.ts", "import { x } from 'express';", ["Express"]), ("pom.xml", "<artifactId>spring-boot</artifactId>", ["Spring"]), ("Gemfile", "gem 'rails'", ["Rails"]),
+    ("package.json", '"@angular/core": "17"', []), ("package.json", "npm:x@angular/core", ["Angular"]), ("sub/requirements.txt", "flask", []), ("requirements.txt", "flaskless reactor nexting", []), ("README.md", "import flask", []), ("go.mod", "module x", []),
+]
+
+
+@query(f"SELECT repository_id, unnest(frameworks) AS framework FROM {_values([(f'r{k}', x) for k, (_, _, x) in enumerate(MARKED)], 'repository_id, frameworks')}")
 def framework_detect(spark: SparkSession, d: str) -> DataFrame:
-    return S.frameworks(fixture.files(spark))
+    rows = spark.createDataFrame([(f"r{k}", p, t) for k, (p, t, _) in enumerate(MARKED)], "repository_id string, file_path string, text string")
+    return S.frameworks(rows.withColumn("language", P.language(F.col("file_path"))))
 
 
 @query("""SELECT doc_id, list_aggregate(list_slice(l, s, least(e, len(l), s + 2)), 'string_agg', chr(10)) || CASE WHEN least(e, len(l)) - s + 1 > 3 THEN chr(10) || '... (truncated)' ELSE '' END AS content
@@ -201,8 +217,11 @@ def _resolution(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame(DEFS, "repository_id string, seq long, file_path string, entity_type string, entity_name string"), spark.createDataFrame(SEEN, "repository_id string, source_file string, resolved_file string")
 
 
-@query(f"""WITH {_DS}, u AS (SELECT * FROM {_values([(x[1], x[2], x[3], x[5]) for x in USES], 'id, src, caller, name')} WHERE name NOT IN ({', '.join(_quote(x) for x in R.UNLINKED_CALLS)})),
-p AS {_picked("'function', 'method'")} SELECT CAST(id AS BIGINT) AS seq, name AS callee_name, coalesce(own, via, alone) AS callee_file FROM p WHERE coalesce(own, via, alone) IS NOT NULL AND NOT (coalesce(own, via, alone) = src AND name = caller)""")
+# By hand: 1 in its own file; 2 and 5 through an import; 4 the only one of that name; 3 calls itself, 6 is never linked, 7 is unknown, 8 is in two imported files.
+CALLED = [(1, "one", "a.py"), (2, "two", "b.py"), (4, "three", "c.py"), (5, "one", "b.py")]
+
+
+@query(f"SELECT CAST(seq AS BIGINT) AS seq, callee_name, callee_file FROM {_values(CALLED, 'seq, callee_name, callee_file')}")
 def call_resolve(spark: SparkSession, d: str) -> DataFrame:
     calls = spark.createDataFrame(USES, "repository_id string, seq long, caller_file string, caller_name string, caller_type string, callee_name string, line int")
     return R.resolve_calls(calls, *_resolution(spark)).select("seq", "callee_name", "callee_file")
