@@ -59,15 +59,48 @@ SUFFIXES = [
 
 @query(f"SELECT language, count(*) AS n FROM documents JOIN {_values([(k, x, n) for k, (x, n) in enumerate(SUFFIXES)], 'k, suffix, language')} ON doc_id % {len(SUFFIXES)} = k WHERE language IS NOT NULL GROUP BY 1")
 def language_counts(spark: SparkSession, d: str) -> DataFrame:
-    suffix = F.element_at(F.array(*[F.lit(x) for x, _ in SUFFIXES]), (F.col("doc_id") % len(SUFFIXES) + 1).cast("int"))
-    paths = table(spark, d, "documents").select(F.concat(F.lit("src/f"), F.col("doc_id").cast("string"), suffix).alias("path"))
-    return S.language_counts(paths.select(P.language(F.col("path")).alias("language")))
+    return S.language_counts(_documents_as_files(spark, d))
 
 
 _FILES = f"files AS {_values([(p, t) for p, t in fixture.FILES.items()], 'file_path, text')}"
 _LINES = r"CASE WHEN list_last(string_split_regex(text, '\r\n|\r|\n')) = '' THEN string_split_regex(text, '\r\n|\r|\n')[:-2] ELSE string_split_regex(text, '\r\n|\r|\n') END"
 
 
+def _documents_as_files(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files of one repository, their suffix by id."""
+    suffix = F.element_at(F.array(*[F.lit(x) for x, _ in SUFFIXES]), (F.col("doc_id") % len(SUFFIXES) + 1).cast("int"))
+    path = F.concat(F.lit("file:/data/tree/src/f"), F.col("doc_id").cast("string"), suffix)
+    docs = table(spark, d, "documents").select("doc_id", P.relative(path, "/data/tree").alias("file_path"), F.col("n_chars").cast("long").alias("length"), "text")
+    return docs.select("doc_id", F.lit("r").alias("repository_id"), "file_path", P.language(F.col("file_path")).alias("language"), "length", "text")
+
+
+_TREE = f"""x AS {_values([(k, x, n) for k, (x, n) in enumerate(SUFFIXES)], 'k, suffix, language')}, f AS (SELECT doc_id, 'src/f' || doc_id || suffix AS file_path, language, n_chars, text FROM documents JOIN x ON doc_id % {len(SUFFIXES)} = k)"""
+
+
+@query(f"WITH {_TREE} SELECT doc_id, file_path, coalesce(language, 'unknown') AS language, coalesce(language IN ('python', 'javascript', 'typescript'), false) AS source, coalesce(language = 'markdown', false) AS documentation FROM f")
+def file_kinds(spark: SparkSession, d: str) -> DataFrame:
+    files = _documents_as_files(spark, d)
+    shown = lambda df, name: df.select("doc_id", F.lit(True).alias(name))
+    out = files.join(shown(S.source_files(files), "source"), "doc_id", "left").join(shown(S.documentation_files(files), "documentation"), "doc_id", "left")
+    return out.select("doc_id", "file_path", P.language_or_unknown(F.col("file_path")).alias("language"), F.coalesce("source", F.lit(False)).alias("source"), F.coalesce("documentation", F.lit(False)).alias("documentation"))
+
+
+@query("SELECT doc_id, doc_id % 3 = 0 AS is_binary FROM documents WHERE text IS NOT NULL")
+def binary_sniff(spark: SparkSession, d: str) -> DataFrame:
+    """A zero byte among the first 4,096 bytes tells; one behind them does not."""
+    zero = F.concat(F.lit("a"), F.unhex(F.lit("00")), F.col("text").cast("binary"))
+    late = F.concat(F.repeat(F.lit("x"), 4096).cast("binary"), F.unhex(F.lit("00")))
+    content = F.when(F.col("doc_id") % 3 == 0, zero).when(F.col("doc_id") % 3 == 1, F.coalesce(F.col("text"), F.lit("")).cast("binary")).otherwise(late)
+    return table(spark, d, "documents").where("text is not null").select("doc_id", S.is_binary(content).alias("is_binary"))
+
+
+@query(f"WITH {_TREE}, g AS (SELECT *, string_split_regex(text, '\r\n|\r|\n') AS l FROM f WHERE doc_id = 76 AND n_chars <= 400000) SELECT file_path, language, text, CAST(CASE WHEN text = '' THEN 0 WHEN l[len(l)] = '' THEN len(l) - 1 ELSE len(l) END AS INT) AS line_count FROM g")
+def file_read(spark: SparkSession, d: str) -> DataFrame:
+    files = _documents_as_files(spark, d)
+    outside = S.read_file(files, "r", "../src/f76.py")  # no row
+    return S.read_file(files, "r", "src/f76.py").unionByName(outside).select("file_path", "language", "text", "line_count")
+
+
 # Repositories of one file each, and what must be found in them, by hand. A mark that begins with @ has a word boundary only behind a letter.
 MARKED = [
     ("requirements.txt", "fastapi==0.1", ["FastAPI"]), ("pyproject.toml", "dependencies = ['Django>=4']", ["Django"]), ("setup.py", "install_requires=['flask', 'sqlalchemy']", ["Flask", "SQLAlchemy"]), ("Pipfile", "pyramid = '*'", ["Pyramid"]),
@@ -169,6 +202,14 @@ def embedding_texts(spark: SparkSession, d: str) -> DataFrame:
     return C.entity_chunks(_entities(spark)).select("file_path", "entity_name", C.embedding_text().alias("text"))
 
 
+@query(f"""WITH {_E}, {_OUTLINE}, m AS (SELECT file_path, list(entity_name ORDER BY entity_name) FILTER (entity_type = 'class') AS c, list(entity_name ORDER BY entity_name) FILTER (entity_type = 'function') AS f FROM e GROUP BY 1),
+u AS (SELECT file_path, entity_type, entity_name, start_line, end_line, content, 0 AS part FROM x WHERE entity_type IN ('class', 'function', 'method') UNION ALL
+SELECT e.file_path, 'module', e.entity_name, e.start_line, e.end_line, concat_ws(chr(10), 'Module ' || e.file_path, docstring, 'Classes: ' || array_to_string(c, ', '), 'Functions: ' || array_to_string(f, ', ')), 1 FROM e JOIN m ON m.file_path = e.file_path WHERE entity_type = 'module' AND (docstring IS NOT NULL OR c IS NOT NULL OR f IS NOT NULL))
+SELECT * FROM u WHERE length(content) >= 30""")
+def all_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return C.build_chunks(_entities(spark)).select("file_path", "entity_type", "entity_name", "start_line", "end_line", "content", "part")
+
+
 MODULES = [("os.path", "a/b.py"), (".x", "a/b.py"), ("..x.y", "a/b/c.py"), (".", "a/b.py"), ("", "a.py"), ("...", "a.py"), ("./u", "web/a.ts"), ("../lib/v.js", "web/x/a.ts"), ("react", "a.js"), ("./w/../z", "a.tsx"), ("../../..", "a/b.js")]
 
 
