@@ -39,10 +39,10 @@ from .word_cache import text_runs
 KINDS = ("email", "ip", "card", "phone")
 MAX_ATOMS = 16
 TRAIN_TEXTS = 600
-TRAIN_EXCERPTS = 1_500
+TRAIN_EXCERPTS = 1_000
 TEXT_EXCERPTS = 4
-TRAIN_WINDOWS = 3_000
-EPOCHS = 14
+TRAIN_WINDOWS = 2_000
+EPOCHS = 10
 #: Outside atoms between two triggers that end a window.
 GAP = 3
 
@@ -54,6 +54,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Whatever `candidates` takes for a digit or an at: the word is a whole atom.
 _TRIGGER = re.compile(r"[0-9]+|@|(?<![^\W\d_])(?:at|At|aT|AT)(?![^\W\d_])")
 _AT = re.compile(r"@|(?<![^\W\d_])(?:at|At|aT|AT)(?![^\W\d_])")
+_DIGIT = re.compile("[0-9]")
+#: What an email must have behind its mark.
+_HOST = re.compile(r"\w\s*(?:\.|\bdot\b)\s*[A-Za-z]", re.I)
 _ATOM = re.compile(r"[0-9]+|[^\W\d_]+|.", re.S)
 
 Span = tuple[int, int, str]
@@ -202,6 +205,10 @@ class Field:
         if not len(self.weights):
             return out
         for _, atoms in windows(text):
+            here = text[atoms[0][0] : atoms[-1][1]]
+            mark = _AT.search(here)
+            if not _DIGIT.search(here) and not (mark and _HOST.search(here, mark.end())):
+                continue  # no value of any kind is possible here
             segments = candidates(text, atoms)
             if not segments:
                 continue
@@ -297,7 +304,7 @@ def _possible(kind: str, s: str) -> bool:
     if kind == "phone":
         return 7 <= len(d) <= 15
     at = _AT.search(s)
-    return at is not None and bool(re.search(r"\w\s*(?:\.|\bdot\b)\s*[A-Za-z]", s[at.end() :], re.I))
+    return at is not None and bool(_HOST.search(s, at.end()))
 
 
 def _example(text: str, atoms: list[tuple[int, int]], gold: list[Span]) -> tuple[list, list, list] | None:
