@@ -493,7 +493,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sc = docs.sparkSession.sparkContext
     base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     train = base.where(fold_of("id", folds) != 0).select("text")
-    counts = materialize(train.mapInArrow(_count, "kind byte, key binary, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm_counts")
+    # A task's rows have distinct keys already, but for a few flushes: they are dealt out at once, without a useless aggregate before.
+    tallies = train.mapInArrow(_count, "kind byte, key binary, n long").repartition("kind", "key")
+    counts = materialize(tallies.groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm_counts")
     words = counts.where("kind = 0").select("key", "n")
     grams = counts.where("kind = 1").select(F.conv(F.hex("key"), 16, 10).cast("long").alias("key"), "n")
     total = counts.where("kind <> 1").agg(F.sum("n").alias("N"), F.count_if(F.col("kind") == 0).alias("V"), F.max(F.when(F.col("kind") == 2, F.col("n"))).alias("ends")).first()
