@@ -37,11 +37,11 @@ from .common import bound_batches, text_of
 from .word_cache import text_runs
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_ATOMS = 16
+MAX_ATOMS = 20
 TRAIN_TEXTS = 600
-TRAIN_EXCERPTS = 1_000
+TRAIN_EXCERPTS = 600
 TEXT_EXCERPTS = 4
-TRAIN_WINDOWS = 2_000
+TRAIN_WINDOWS = 1_200
 EPOCHS = 10
 #: Outside atoms between two triggers that end a window.
 GAP = 3
@@ -177,7 +177,7 @@ def candidates(text: str, atoms: list[tuple[int, int]]) -> list[tuple[int, int]]
             digits += c == "d"
             ats += c == "@" or text[atoms[j][0] : atoms[j][1]].lower() == "at"
             words += c == "w"
-            if spaces > 5 or c in '"<>;,:|\\{}[]':
+            if spaces > 7 or c in '"<>;,:|\\{}[]':
                 break
             if c in ("d", "w") and (ats or digits >= 1 and not words):
                 out.append((i, j))
