@@ -23,6 +23,14 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
 def bound_batches(spark: SparkSession, size: str = "8m") -> None:
     """Arrow batches hold about `size` bytes, unless the session sets a bound of its own: 10,000 whole texts would fill a worker.
 
