@@ -33,11 +33,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     evaluate.add_argument("--retrieval-only", action="store_true")
     serve = todo.add_parser("serve", help="answer over HTTP")
     serve.add_argument("--port", type=int, default=8080)
+    serve.add_argument("--folders", help="a folder of this machine under which clients may have folders indexed; none by default")
     a = p.parse_args(argv)
     spark = spark or SparkSession.builder.appName("stratagraph").getOrCreate()
     engine = Engine(spark, Store(spark, os.path.abspath(a.store) if "://" not in a.store else a.store), answer=choose_provider())
     if a.command == "serve":
-        Service(engine, a.workspace).server(port=a.port).serve_forever()
+        Service(engine, a.workspace, folders=a.folders).server(port=a.port).serve_forever()
         return 0
     repository_id = benchmark.prepare(engine, a.url, a.folder, a.workspace)
     if a.command == "index":

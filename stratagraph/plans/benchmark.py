@@ -46,7 +46,7 @@ def run(engine: Engine, repository_id: str, questions: DataFrame, systems: tuple
         ranked, facts = engine.retrieve(repository_id, questions, system, limit)
         retrieval_s = (time.time() - began) / n
         rows = ranked.select(F.lit(system).alias("system"), "question_id", "position", "file_path")
-        scored = E.question_metrics(rows if ranked.limit(1).count() else rows, questions)
+        scored = E.question_metrics(rows, questions)
         if scored.limit(1).count() == 0:  # nothing was retrieved for any question
             scored = E.question_metrics(questions.select(F.lit(system).alias("system"), "question_id", F.lit(1).alias("position"), F.lit("").alias("file_path")), questions)
         names = ranked.groupBy("question_id").agg(F.collect_set("entity_name").alias("__names"))

@@ -27,6 +27,8 @@ from stratagraph.sources.store import NotFound, Store
 TABLES = ("files", "entities", "chunks", "nodes", "edges")
 NODES = "node_id string, node_type string, file_path string, class_name string, name string, language string, signature string, docstring string, start_line int, end_line int, repository_id string"
 EDGES = "rel_type string, src string, dst string, module string, line int, repository_id string"
+#: What Spark says of files that are gone or damaged.
+UNREADABLE = ("PATH_NOT_FOUND", "FILE_NOT_EXIST", "FAILED_READ_FILE", "CANNOT_READ_FILE_FOOTER", "is not a Parquet file", "does not exist")
 OVERVIEW_CHARS, SNIPPET = 12_000, 1_500
 #: What an overview is made from: (text to search for, entity types, hits).
 OVERVIEW_SEARCHES = [
@@ -70,53 +72,71 @@ class Engine:
             raise
 
     def index(self, repository_id: str, root: str) -> None:
-        """Scan, parse, resolve, chunk, embed and build the graph of a folder; states are logged, failures too."""
-        self._forget_graph(repository_id)
+        """Scan, parse, resolve, chunk, embed and build the graph of a folder; states are logged, failures too.
+
+        The tables become visible together, at the end; a folder without sources gives empty ones. Until then, and after a failure, those of the
+        index before stay.
+        """
+        staged = self.store.stage(repository_id)
         try:
             self.store.set_status(repository_id, "parsing")
-            self.store.write(S.scan(self.spark, root, repository_id), "files")
-            files = self.store.read("files", repository_id)
+            files = staged.put("files", S.scan(self.spark, root, repository_id))
             languages = {r["language"]: r["n"] for r in S.language_counts(files).collect()}
             parsed = parse_repository(files)
-            self.store.write(parsed.entities, "entities")
-            entities = self.store.read("entities", repository_id)
+            entities = staged.put("entities", parsed.entities)
             self.store.set_status(repository_id, "creating_embeddings", language_counts=languages)
             key = F.concat_ws(":", "repository_id", "file_path", "entity_type", "entity_name", F.format_string("%d-%d", "start_line", "end_line"))
-            chunks = build_chunks(entities).withColumn("id", uuid5(key)).withColumn("embedding", self.embed(embedding_text()))
-            self.store.write(chunks, "chunks")
+            staged.put("chunks", build_chunks(entities).withColumn("id", uuid5(key)).withColumn("embedding", self.embed(embedding_text())))
             self.store.set_status(repository_id, "building_graph")
             rows = files.select("repository_id", "file_path", F.coalesce("language", F.lit("unknown")).alias("language")).join(entities.select("repository_id", "file_path").distinct(), ["repository_id", "file_path"], "left_semi")
             graph = G.build_graph(entities, parsed.imports, parsed.calls, parsed.inherits, rows)
-            self.store.write(graph.nodes, "nodes")
-            self.store.write(graph.edges, "edges")
+            staged.put("nodes", graph.nodes)
+            staged.put("edges", graph.edges)
+            staged.commit()
+            self._forget_graph(repository_id)
             self.store.set_status(repository_id, "ready")
         except Exception as e:
             self.store.set_status(repository_id, "failed", str(e)[:500])
             raise
+        self.store.versions.vacuum(repository_id)
 
     def graph(self, repository_id: str) -> G.Graph:
-        """The stored graph, cached until the repository is indexed or deleted; an absent or unreadable one is empty."""
+        """The stored graph, cached until the repository is indexed or deleted. One whose files are missing or damaged is empty, and is tried again next time."""
+        version = self.store.versions.manifest(repository_id)["version"]
+        if repository_id in self._graphs and self._graphs[repository_id][0] != version:  # another process has indexed it
+            self._forget_graph(repository_id)
         if repository_id not in self._graphs:
+            held: list[DataFrame] = []
             try:
-                nodes, edges = (self.store.read(t, repository_id, schema).persist() for t, schema in (("nodes", NODES), ("edges", EDGES)))
-                nodes.count(), edges.count()
-            except Exception as e:  # whatever is wrong with the files, questions are still answered from the chunks
+                for table, schema in (("nodes", NODES), ("edges", EDGES)):
+                    held.append(self.store.read(table, repository_id, schema, version or None).persist())
+                    held[-1].count()
+            except Exception as e:
+                for df in held:
+                    df.unpersist()
+                if not any(sign in str(e) for sign in UNREADABLE):
+                    raise
                 logging.getLogger(__name__).warning("no graph of %s: %s", repository_id, str(e)[:200])
-                nodes, edges = self.spark.createDataFrame([], NODES), self.spark.createDataFrame([], EDGES)
-            self._graphs[repository_id] = G.Graph(nodes, edges)
-        return self._graphs[repository_id]
+                return G.Graph(self.spark.createDataFrame([], NODES), self.spark.createDataFrame([], EDGES))
+            self._graphs[repository_id] = version, G.Graph(*held)
+        return self._graphs[repository_id][1]
 
     def _forget_graph(self, repository_id: str) -> None:
-        if g := self._graphs.pop(repository_id, None):
-            g.nodes.unpersist()
-            g.edges.unpersist()
+        if held := self._graphs.pop(repository_id, None):
+            held[1].nodes.unpersist()
+            held[1].edges.unpersist()
 
     def sql(self, query: str, repository_id: str) -> DataFrame:
-        """Q17: SQL over the views nodes, edges, entities, chunks and files of one repository."""
+        """Q17: SQL over the views nodes, edges, entities, chunks and files of one repository, as of one version.
+
+        Each call has a session of its own for its views, so calls for several repositories do not meet.
+        """
         self.store.require_ready(repository_id)
+        session = self.spark.newSession()
+        version = self.store.versions.manifest(repository_id)["version"]
         for t in TABLES:
-            self.store.read(t, repository_id).createOrReplaceTempView(t)
-        return self.spark.sql(query)
+            Store(session, self.store.root).read(t, repository_id, version=version).createOrReplaceTempView(t)
+        return session.sql(query)
 
     def ask(self, repository_id: str, questions: list[str], mode: str = "hybrid", limit: int = R.CONTEXT_LIMIT, generate: bool = True) -> DataFrame:
         """I4: answers (or, without generation, contexts) of a batch of questions in mode hybrid or vector."""
@@ -265,7 +285,7 @@ class Engine:
 
     def delete(self, repository_id: str) -> None:
         self._forget_graph(repository_id)
-        self.store.remove(repository_id, TABLES)
+        self.store.remove(repository_id)
 
 
 def directory_summary(files: DataFrame, k: int = 12) -> DataFrame:

@@ -1,19 +1,27 @@
-"""Stored tables by repository, upserts, deletes, and the catalog of repositories."""
+"""Stored tables by repository, upserts, deletes, and the catalog of repositories.
+
+Tables live in versions (`sources.versions`): a repository's tables are replaced all at once, also by empty ones, and a writer
+that fails at any step leaves the version before it as it was.
+"""
 
 from __future__ import annotations
 
 import json
 import time
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+
+from stratagraph.sources.versions import Files, NoTable, Versions
 
 # The states of a repository, in order.
 STATES = ["queued", "cloning", "parsing", "creating_embeddings", "building_graph", "indexing", "ready", "failed"]
 #: Lookup keys of stored tables: rows of a file are sorted by them, so that Parquet's statistics skip what a lookup does not need.
 LAYOUT = {"files": ["file_path"], "entities": ["file_path", "start_line"], "chunks": ["entity_type", "file_path"], "nodes": ["node_type", "name", "node_id"], "edges": ["rel_type", "dst", "src"]}
+#: Where the catalog's log is, and the parts above which it is rewritten as one.
+CATALOG_SCOPE, LOG_PARTS = "catalog", 16
 CATALOG = "repository_id string, name string, url string, status string, error string, language_counts string, updated double, created double, deleted boolean"
 
 
@@ -25,96 +33,105 @@ class NotReady(RuntimeError):
     """The repository is not indexed yet."""
 
 
+class Staged:
+    """Tables of a repository that are written but not visible; `commit` shows them all at once."""
+
+    def __init__(self, store: Store, repository_id: str):
+        self.store, self.repository_id, self.entries = store, repository_id, {}
+
+    def put(self, table: str, df: DataFrame) -> DataFrame:
+        """Write a table; what was written, read again."""
+        v = self.store.versions
+        self.entries[table] = v.put(self.repository_id, table, df)
+        return v.rows(self.entries[table])
+
+    def commit(self) -> int:
+        return self.store.versions.commit(self.repository_id, lambda old: old | self.entries)
+
+
 class Store:
-    """Parquet tables under a folder, partitioned by repository_id; the catalog is an append-only log of states."""
+    """Versioned tables of each repository under a folder; the catalog is a log of states, compacted by the count of its parts."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.versions = Versions(spark, root, LAYOUT)
+
+    def stage(self, repository_id: str) -> Staged:
+        return Staged(self, repository_id)
 
-    def write(self, df: DataFrame, table: str) -> None:
-        """Replace the partitions of the repositories in df, and no others, sorted by the table's lookup keys.
+    def replace(self, repository_id: str, tables: dict[str, DataFrame]) -> int:
+        """Put these tables in the place of the repository's stored ones, all at once, empty ones too; the new version."""
+        return self.versions.replace(repository_id, tables)
 
-        They are written aside and then renamed into place one by one, so a reader sees an old partition or a new one, and a
-        write that fails changes nothing.
+    def read(self, table: str, repository_id: str | None = None, schema: str | None = None, version: int | None = None) -> DataFrame:
+        """A repository's table as of its last version, or of the one asked for; without a repository, that of all, a branch for each.
+
+        An absent table is empty if its schema is given; NoTable tells otherwise.
         """
-        keys = [c for c in LAYOUT.get(table, []) if c in df.columns]
-        if keys:
-            df = df.sortWithinPartitions("repository_id", *keys)
-        aside = f".aside/{uuid.uuid4().hex}"
-        df.write.partitionBy("repository_id").parquet(f"{self.root}/{aside}/{table}")
-        fs, new = self._path(f"{aside}/{table}")
-        for part in [s.getPath() for s in fs.listStatus(new) if s.isDirectory()]:
-            _, place = self._path(f"{table}/{part.getName()}")
-            _, old = self._path(f"{aside}/old/{part.getName()}")
-            fs.mkdirs(place.getParent())
-            fs.mkdirs(old.getParent())
-            if fs.exists(place):
-                fs.rename(place, old)
-            fs.rename(part, place)
-        fs.delete(self._path(aside)[1], True)
-
-    def read(self, table: str, repository_id: str | None = None, schema: str | None = None) -> DataFrame:
-        """A table, or one repository's partition of it; an absent table is empty if its schema is given."""
-        try:
-            df = self.spark.read.parquet(f"{self.root}/{table}")
-        except AnalysisException:
+        if repository_id is not None:
+            return self.versions.read(repository_id, table, schema, version)
+        found = []
+        for scope in self.versions.scopes():
+            try:
+                found.append(self.versions.read(scope, table))
+            except NoTable:
+                continue
+        if not found:
             if schema is None:
-                raise
+                raise NoTable(table)
             return self.spark.createDataFrame([], schema)
-        return df if repository_id is None else df.where(F.col("repository_id") == repository_id)
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
 
-    def _path(self, name: str = ""):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
-
-    def ensure(self, table: str, schema: str) -> None:
+    def ensure(self, repository_id: str, table: str, schema: str) -> None:
         """An empty table of that schema where there is none."""
-        fs, path = self._path(table)
-        if not fs.exists(path):
-            self.spark.createDataFrame([], schema).write.partitionBy("repository_id").parquet(path.toString())
+        empty = self.spark.createDataFrame([], schema)
+
+        def change(tables: dict) -> dict:
+            return tables if table in tables else tables | {table: self.versions.put(repository_id, table, empty)}
+
+        self.versions.commit(repository_id, change)
 
     def ping(self) -> bool:
         """Q20: the root can be reached and made."""
         try:
-            fs, path = self._path()
+            fs, path = self.versions.files.path()
             return bool(fs.exists(path) or fs.mkdirs(path))
         except Exception:  # whatever the file system raises, it cannot be reached
             return False
 
     def write_text(self, name: str, text: str) -> str:
-        """One file under the root, replaced whole; its path."""
-        fs, path = self._path(name)
-        aside = self._path(f"{name}.part")[1]
-        out = fs.create(aside, True)
+        """One file under the root, replaced by one rename; its path."""
+        files: Files = self.versions.files
+        aside = f"{name}.{uuid.uuid4().hex}.part"
+        files.write(aside, text)
         try:
-            out.write(bytearray(text.encode()))
-        finally:
-            out.close()
-        fs.delete(path, False)
-        fs.rename(aside, path)
-        return path.toString()
+            files.rename(aside, name, replace=True)
+        except BaseException:
+            files.delete(aside)
+            raise
+        return files.path(name)[1].toString()
 
     def upsert(self, df: DataFrame, table: str, key: str = "id") -> None:
-        """Rows of df replace stored rows of the same key in the same repository; the rest stay."""
-        from stratagraph.plans.scratch import materialize, small
+        """Rows of df replace stored rows of the same key in the same repository; the rest stay. What is written grows with df, not with the table.
 
-        repositories = df.select("repository_id").distinct()
-        old = self.read(table, schema=", ".join(f"`{n}` {t}" for n, t in df.dtypes)).join(small(repositories), "repository_id", "left_semi").join(df.select("repository_id", key), ["repository_id", key], "left_anti")
-        # Written aside first, as the partitions that are read are the ones replaced.
-        self.write(materialize(old.unionByName(df, allowMissingColumns=True), f"upsert_{table}"), table)
+        A batch belongs to few repositories: each gets a version of its own.
+        """
+        for repository_id in [r[0] for r in df.select("repository_id").distinct().collect()]:
+            self.versions.upsert(repository_id, table, df.where(F.col("repository_id") == repository_id), key)
 
     def delete(self, table: str, repository_id: str) -> None:
-        """Drop a repository's partition; nothing to drop is no error."""
-        fs, path = self._path(f"{table}/repository_id={repository_id}")
-        fs.delete(path, True)
+        """A repository's table goes; nothing to drop is no error."""
+        self.versions.commit(repository_id, lambda tables: {k: v for k, v in tables.items() if k != table})
 
     # Catalog -----------------------------------------------------------------
 
     def _log(self, **row) -> None:
         values = {"updated": time.time(), "deleted": False} | row
         names = [c.split()[0] for c in CATALOG.split(", ")]
-        self.spark.createDataFrame([tuple(values.get(n) for n in names)], CATALOG).coalesce(1).write.mode("append").parquet(f"{self.root}/catalog")
+        self.versions.append(CATALOG_SCOPE, "states", self.spark.createDataFrame([tuple(values.get(n) for n in names)], CATALOG).coalesce(1))
+        if self.versions.parts(CATALOG_SCOPE, "states") > LOG_PARTS:
+            self.versions.compact(CATALOG_SCOPE, "states", lambda log: self._last(log).select(*names))
+            self.versions.vacuum(CATALOG_SCOPE)
 
     def register(self, url: str, name: str) -> str:
         """A new repository, queued."""
@@ -122,13 +139,17 @@ class Store:
         self._log(repository_id=repository_id, name=name, url=url, status="queued", created=time.time())
         return repository_id
 
-    def repositories(self) -> DataFrame:
-        """The last state of each repository, newest first."""
-        log = self.read("catalog", schema=CATALOG)
-        last = log.groupBy("repository_id").agg(
+    @staticmethod
+    def _last(log: DataFrame) -> DataFrame:
+        """The last state of each repository, which the log can be replaced by."""
+        return log.groupBy("repository_id").agg(
             *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("updated"))).alias(c) for c in ("name", "url", "language_counts")], F.max_by("status", "updated").alias("status"), F.max_by("error", "updated").alias("error"),
             F.min("created").alias("created"), F.max("updated").alias("updated"), F.max("deleted").alias("deleted"),
         )
+
+    def repositories(self) -> DataFrame:
+        """The last state of each repository, newest first."""
+        last = self._last(self.versions.read(CATALOG_SCOPE, "states", CATALOG))
         return last.where("not deleted").drop("deleted").orderBy(F.desc("created"), "repository_id")
 
     def get(self, repository_id: str) -> dict | None:
@@ -140,10 +161,10 @@ class Store:
             raise ValueError(status)
         self._log(repository_id=repository_id, status=status, error=error, language_counts=json.dumps(language_counts) if language_counts is not None else None)
 
-    def remove(self, repository_id: str, tables: tuple[str, ...]) -> None:
-        for t in tables:
-            self.delete(t, repository_id)
+    def remove(self, repository_id: str) -> None:
+        """The catalog forgets the repository first, so that nobody is led to rows that are going."""
         self._log(repository_id=repository_id, deleted=True)
+        self.versions.drop(repository_id)
 
     def require_ready(self, repository_id: str) -> dict:
         """I8."""

@@ -3,6 +3,7 @@
 import json
 import subprocess
 import threading
+import urllib.parse
 import urllib.request
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
@@ -83,10 +84,10 @@ def test_reads(ready):
 
 def test_routes(ready, folder, tmp_path):
     engine, rid = ready
-    s = Service(engine, str(tmp_path), background=False)
+    s = Service(engine, str(tmp_path), background=False, folders=str(folder.parent))
     get = lambda t: s.answer("GET", t)
     assert get("/health")[1]["storage"] is True and get("/config")[1]["per_file"] == 4 and get("/nowhere")[0] == 404 and get("/repositories/0abc")[0] == 404
-    assert get(f"/repositories/{rid}/status") == (200, {"status": "ready", "error": None}) and rid in [r["repository_id"] for r in get("/repositories")[1]]
+    assert get(f"/repositories/{rid}/status") == (200, {"status": "ready", "error": None}) and rid in [r["repository_id"] for r in get("/repositories")[1]["rows"]]
     for t in ("files", "overview", "graph", "graph/network", "graph/class?name=BaseStore", "graph/callers?name=total", "graph/callees?name=main", "graph/importers?path=shop/prices.py", "graph/imports?path=shop/run.py", "file?path=shop/run.py", "graph/file?path=shop/run.py", "graph/path?source=shop/run.py&target=shop/prices.py"):
         code, found = get(f"/repositories/{rid}/{t}")
         assert code == 200 and found, t
@@ -94,10 +95,19 @@ def test_routes(ready, folder, tmp_path):
     post = lambda t, b: s.answer("POST", t, json.dumps(b).encode())
     assert "shop/run.py" in post(f"/repositories/{rid}/query", {"question": "What calls `total`?"})[1]["answer"] and post(f"/repositories/{rid}/query", {"question": "x", "mode": "odd"})[0] == 400
     assert post("/repositories", {"url": "nonsense"})[0] == 400 and post("/repositories", {})[0] == 400
+    assert all(post("/repositories", {"url": "https://host/x/second", "folder": f}) == (400, {"error": "folder: this server does not index it"}) for f in ("/etc", f"{folder.parent}/../..", "relative"))
+    assert Service(engine, str(tmp_path)).answer("POST", "/repositories", json.dumps({"url": "https://host/x/second", "folder": str(folder)}).encode())[0] == 400
+    small, seen, mark = Service(engine, str(tmp_path), size=2), [], ""
+    while mark is not None:
+        code, found = small.answer("GET", f"/repositories/{rid}/files" + (f"?after={urllib.parse.quote(mark)}" if mark else ""))
+        assert code == 200 and len(found["rows"]) <= 2
+        seen, mark = seen + [r["file_path"] for r in found["rows"]], found["next"]
+    assert seen == [r.file_path for r in engine.files(rid).collect()] and len(seen) > 2
+    assert get(f"/repositories/{rid}/files?after=x")[0] == 400 and get(f"/repositories/{rid}/files?after=[1,2]")[0] == 400
     code, row = post("/repositories", {"url": "https://host/x/second", "folder": str(folder)})
     assert code == 202 and row["status"] == "ready" and s.answer("DELETE", f"/repositories/{row['repository_id']}") == (204, None)
     engine.store.register("https://host/x/third", "third")
-    waiting = next(r["repository_id"] for r in get("/repositories")[1] if r["name"] == "third")
+    waiting = next(r["repository_id"] for r in get("/repositories")[1]["rows"] if r["name"] == "third")
     assert get(f"/repositories/{waiting}/files")[0] == 409
     server = s.server(port=0)
     threading.Thread(target=server.handle_request, daemon=True).start()
@@ -183,8 +193,8 @@ def test_command_line(spark, folder, tmp_path, capsys):
 
 def test_layout_and_files(spark, tmp_path):
     s = Store(spark, str(tmp_path))
-    s.ensure("things", "repository_id string, id string")
-    s.ensure("things", "repository_id string, id string")
-    assert s.ping() and s.read("things", schema="repository_id string, id string").count() == 0
+    s.ensure("r", "things", "repository_id string, id string")
+    s.ensure("r", "things", "repository_id string, id string")
+    assert s.ping() and s.read("things", "r").count() == 0 and s.versions.numbers("r") == [1, 2]
     path = s.write_text("a/b.txt", "é")
     assert open(s.write_text("a/b.txt", "ü").removeprefix("file:"), encoding="utf-8").read() == "ü" and path.endswith("a/b.txt")
