@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratagraph.operators import graph as G
+from stratagraph.operators import inverted_file as I
 from stratagraph.operators import traverse as T
 from stratagraph.operators import vector_search as V
 from stratagraph.plans.registry import query
+from stratagraph.plans.scratch import shared_dir
 from stratagraph.plans.tables import CODE_SQL, DEP_SQL, EDGES_FK_SQL, NODES_FK_SQL, code_graph, dep, edges_fk, nodes_fk, table
+from stratagraph.sources import adjacency as A
 
 _SIM = "list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))"
 
@@ -35,6 +38,22 @@ def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     return V.top_k(vectors, queries, 8, "vec_id", where=F.col("label").isin(1, 3))
 
 
+@query()
+def vector_inverted_file(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest of every hundredth vector, by an index whose probes are set for a recall of 0.95."""
+    vectors, queries = _vectors(spark, d)
+    index = I.build(vectors, id_col="vec_id")
+    return I.search(index, queries, 10, I.probes_for(index, vectors, id_col="vec_id"), "vec_id", exclude_self=True)
+
+
+@query(f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round({_SIM}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, CAST(rank AS INT) AS rank, score FROM r WHERE rank <= 10""")
+def vector_inverted_file_exact(spark: SparkSession, d: str) -> DataFrame:
+    vectors, queries = _vectors(spark, d)
+    index = I.build(vectors, id_col="vec_id")
+    return I.search_exact(index, queries, 10, max(1, len(index.centroids) // 4), "vec_id", exclude_self=True)
+
+
 @query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")
 def vector_count(spark: SparkSession, d: str) -> DataFrame:
     return V.count_vectors(table(spark, d, "embeddings"), "label")
@@ -201,3 +220,24 @@ def shortest_path_len(spark: SparkSession, d: str) -> DataFrame:
     sources = table(spark, d, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").cast("long").alias("source"))
     edges = dep(spark, d).select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
     return T.chains_from(edges, sources).withColumn("path", F.array_join("path", ">"))
+
+
+def _index(spark: SparkSession, d: str) -> A.Adjacency:
+    return A.write_index(code_graph(spark, d), f"{shared_dir(spark)}/adjacency")
+
+
+@query(f"""WITH {CODE_SQL} SELECT src AS id, dst AS other, rel_type, 'out' AS direction FROM code_edges WHERE rel_type LIKE '%_CALLS_%' UNION ALL SELECT dst, src, rel_type, 'in' FROM code_edges WHERE rel_type LIKE '%_CALLS_%'""")
+def indexed_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Callers and callees of every callable, by the bucketed index."""
+    index = _index(spark, d)
+    ids = index.nodes.where(F.col("node_type").isin("Function", "Method")).select(F.col("node_id").alias("here"))
+    side = lambda out: A.neighbours(index, ids, out, ["FUNCTION_CALLS_FUNCTION", "METHOD_CALLS_METHOD"]).select(F.col("here").alias("id"), F.col("there").alias("other"), "rel_type", F.lit("out" if out else "in").alias("direction"))
+    return side(True).unionByName(side(False))
+
+
+@query(f"""WITH RECURSIVE {CODE_SQL}, e AS (SELECT DISTINCT src, dst FROM code_edges WHERE rel_type = 'FILE_IMPORTS_FILE'), w(start, id, hops) AS (SELECT node_id, node_id, 0 FROM code_nodes WHERE node_type = 'File' UNION SELECT w.start, e.dst, hops + 1 FROM w JOIN e ON e.src = w.id WHERE hops < 3)
+SELECT start, id, min(hops) AS hops FROM w GROUP BY 1, 2""")
+def indexed_imports(spark: SparkSession, d: str) -> DataFrame:
+    """What every file imports within three hops, by the bucketed index."""
+    index = _index(spark, d)
+    return A.reach(index, index.nodes.where("node_type = 'File'").select(F.col("node_id").alias("start")), 3, rel_types=["FILE_IMPORTS_FILE"])
