@@ -1,17 +1,20 @@
 """Personal data: fixed patterns, and a semi-Markov conditional random field that adds spans they miss.
 
-The base finds emails, IP addresses, payment cards and phone numbers by pattern and check. The field
-segments the text around digits and marks of an email (`@`, the word `at` in any case): a segment is one atom (a run of letters or of digits, or one other
-character) outside, or an entity of at most MAX_ATOMS atoms of one kind. An entity is scored by features
-of the whole span (its digits, groups, separators, shape, checks, neighbours), labels by a transition matrix;
-dynamic programming over (end, kind) picks boundaries and kinds together. Elsewhere a text
-has no candidate, so all of it is outside and need not be walked.
-
-It is trained on base spans as given labels, in at most TRAIN_EXCERPTS excerpts of about TRAIN_TEXTS texts (as many with a
-digit or sign, half as many with the word at), at most TEXT_EXCERPTS of one text, all chosen by hashes. Each text teaches three
-times: as it stands; with its marks weakened (a plus or country code dropped, `@` and dots written out, other separators), so
-that the field learns shapes rather than one mark; and with its spans spoiled (a part over 255, a wrong check
-digit, too few digits, no domain), which are then outside.
+The base finds emails, IP addresses, payment cards and phone numbers by pattern and check. The field looks at regions: a chain
+of digit groups and separators, or what stands around a mark of an email (`@`, or the word at, alone or in brackets) as far as names and
+hosts go. A region is segmented: a segment is one atom (a run of letters or of digits, or one other character)
+outside, or an entity of one kind. An entity is scored by features of the whole span (how many digits and groups, which separators,
+what mark, how many labels and which suffix a host has, what word stands in front, what is left over on both sides), labels by
+a transition matrix; dynamic programming over (end, kind) picks boundaries and kinds together. Elsewhere a text has no
+candidate, so all of it is outside and need not be walked.
+
+A candidate is a possible value of a kind (of at most MAX_DIGITS digits in MAX_GROUPS groups), or has a name of MAX_NAME and a host of MAX_HOST characters, which are the limits of the
+formats themselves; it may have any number of atoms, and a region reaches as far as its chain does.
+
+It is trained on base spans as given labels, in at most TRAIN_EXCERPTS excerpts of about TRAIN_TEXTS texts (as many with a digit or sign,
+half as many with the word at), at most TEXT_EXCERPTS of one text, all chosen by hashes. Each text teaches as it stands; TURNS times with
+its spans rewritten in other forms, with names, hosts and groups drawn anew, so that no name or shape is learned by heart; and as often with
+its spans replaced by what only looks like one (dates, versions, lists of numbers, wrong check digits, words before and behind an at).
 Predicted spans that touch no base span and are possible values of their kind are added.
 
 Defined results
@@ -27,6 +30,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,29 +41,40 @@ from .common import bound_batches, text_of
 from .word_cache import text_runs
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_ATOMS = 20
 TRAIN_TEXTS = 600
 TRAIN_EXCERPTS = 600
 TEXT_EXCERPTS = 4
-TRAIN_WINDOWS = 1_200
-EPOCHS = 10
-#: Outside atoms between two triggers that end a window.
-GAP = 3
+#: Times each text is rewritten, and spoiled; regions that teach, at most.
+TURNS, TRAIN_REGIONS = 12, 2_400
+EPOCHS = 8
+#: Limits of the formats: digits and groups of a number, characters of an email's name and host.
+MAX_DIGITS, MAX_GROUPS, MAX_NAME, MAX_HOST = 19, 8, 64, 253
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Whatever `candidates` takes for a digit or an at: the word is a whole atom.
-_TRIGGER = re.compile(r"[0-9]+|@|(?<![^\W\d_])(?:at|At|aT|AT)(?![^\W\d_])")
-_AT = re.compile(r"@|(?<![^\W\d_])(?:at|At|aT|AT)(?![^\W\d_])")
-_DIGIT = re.compile("[0-9]")
-#: What an email must have behind its mark.
-_HOST = re.compile(r"\w\s*(?:\.|\bdot\b)\s*[A-Za-z]", re.I)
 _ATOM = re.compile(r"[0-9]+|[^\W\d_]+|.", re.S)
+#: Groups of digits and what may stand between two of them: separators, brackets, the word dot.
+_BETWEEN = r"[ \u00a0]?(?:[-./_\u2010-\u2013]|[(\[][.]?[)\]]?|[)\]]|(?:[(\[]?(?i:dot)[)\]]?))?[ \u00a0]?[(]?"
+_CHAIN = re.compile(rf"(?:\+|\(\+?)?[0-9]+(?:{_BETWEEN}[0-9]+)+|\+?[0-9]{{7,}}")
+#: An email's mark with the spaces around it, and a dot within a name or host.
+_MARK = re.compile(r"[ ]?(?:@|[(\[{<] ?(?i:at|@) ?[)\]}>])[ ]?|[ ](?i:at)[ ]")
+_DOT = r"(?:\.|[ ]?[(\[{<] ?(?i:dot|\.) ?[)\]}>][ ]?|[ ](?i:dot)[ ])"
+_HOST = re.compile(rf"[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+")
+#: The end of a name, read backwards from the mark.
+_BACK = re.compile(r"(?:[A-Za-z0-9_%+.-]|[ ](?i:tod)[ ](?=[A-Za-z0-9])|[ ]?[)\]}>] ?(?i:tod|\.) ?[(\[{<][ ]?(?=[A-Za-z0-9]))+")
+_JOINTS = re.compile(_DOT)
+_TRIGGER = re.compile(r"[0-9]|@|(?i:\bat\b)")
+# Suffixes of hosts that are met most, words that stand before an at without being a name, and words that name what follows.
+SUFFIXES = frozenset("com org net edu gov mil int info biz name pro io co ai app dev me tv cc uk de fr es it nl be ch at se no fi dk pl cz pt gr ie eu ru ua tr us ca mx br ar cl au nz jp cn kr in sg hk za il example test invalid".split())
+COMMON = frozenset("a an and are arrive arrived available be been bought by can come eat find for found go good have he held hello her him home host hosted i is it join kept live lives look looked looking me meet met not now of on one open or out read remain run runs sat see seen she sell shop sign site sold start stay stop that the them there they this to up us visit was we were work worked working works you".split())
+CUES = {"phone": "phone tel telephone call calls called calling mobile cell fax ring dial whatsapp sms text number", "card": "card visa mastercard amex credit debit pay payment billing charge charged", "ip": "ip host server address ping ssh addr dns gateway", "email": "mail email e-mail contact write reach send to at address", "other": "version release isbn page pages chapter year years from order invoice no nr ref id build section total sum price cost between figures scores"}
+_CUE_OF = {w: k for k, words in CUES.items() for w in words.split()}
 
 Span = tuple[int, int, str]
+Place = tuple[int, int]
 
 
 def luhn(digits: str) -> bool:
@@ -100,88 +115,110 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def windows(text: str) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """(start, atoms) of the stretches around triggers; atoms are (start, end) in the text."""
-    spans: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        a, b = m.start() - 24, m.end() + 24
-        if spans and a <= spans[-1][1] + GAP:
-            spans[-1][1] = b
+def _number_spans(text: str, a: int, b: int) -> list[Place]:
+    """(start, end) of candidates among the groups of a chain: from a group, or the sign or bracket in front of it, to a later one."""
+    groups = [(m.start(), m.end()) for m in re.finditer("[0-9]+", text[a:b])]
+    out = []
+    for i, (s, _) in enumerate(groups):
+        starts = [s]
+        if s and text[a + s - 1] in "+(" and a + s - 1 >= a:
+            starts.append(s - 1)
+            if s > 1 and text[a + s - 2 : a + s] == "(+":
+                starts.append(s - 2)
+        digits = 0
+        for j in range(i, min(i + MAX_GROUPS, len(groups))):
+            digits += groups[j][1] - groups[j][0]
+            if digits > MAX_DIGITS:
+                break
+            phone, card = 7 <= digits <= 15 and j > i, 13 <= digits and luhn(_digits(text[a + s : a + groups[j][1]]))
+            if phone or card or j - i == 3 and all(y - x <= 3 and int(text[a + x : a + y]) <= 255 for x, y in groups[i : j + 1]):
+                out += [(a + x, a + groups[j][1]) for x in starts]
+    return out
+
+
+def _email_spans(text: str, mark: re.Match) -> list[Place]:
+    """Candidates around a mark: names that end before it, with hosts of two labels or more that begin behind it."""
+    host = _HOST.match(text, mark.end(), min(len(text), mark.end() + MAX_HOST))
+    before = text[max(0, mark.start() - MAX_NAME) : mark.start()]
+    name = _BACK.match(before[::-1])
+    if not host or not name or not before[-1].isalnum() and before[-1] not in "_%+-":
+        return []
+    first = mark.start() - name.end()
+    starts = [m.start() for m in _ATOM.finditer(text, first, mark.start()) if text[m.start()].isalnum()]
+    ends = [m.start() for m in list(_JOINTS.finditer(text, host.start(), host.end()))[1:]] + [host.end()]
+    # A host may go on with a sentence's next word behind its full stop: every label but the first may be the last.
+    return [(s, e) for s in starts for e in ends]
+
+
+def regions(text: str) -> Iterator[tuple[list[tuple[int, int]], list[tuple[int, int]]]]:
+    """(atoms, candidates) of the stretches that hold candidates; atoms are (start, end) in the text, candidates (first, last) atoms."""
+    spans: set[Place] = set()
+    for m in _CHAIN.finditer(text):
+        spans.update(_number_spans(text, m.start(), m.end()))
+    for m in _MARK.finditer(text):
+        spans.update(_email_spans(text, m))
+    merged: list[list] = []
+    for s, e in sorted(spans):
+        if merged and s < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], e)
+            merged[-1][2].append((s, e))
         else:
-            spans.append([max(0, a), b])
-    for a, b in spans:
-        # Words are not cut at a window's edge.
-        while a > 0 and text[a - 1].isalnum() and text[a].isalnum():
-            a -= 1
-        while b < len(text) and text[b].isalnum() and text[b - 1].isalnum():
-            b += 1
-        yield a, [(m.start(), m.end()) for m in _ATOM.finditer(text, a, min(b, len(text)))]
+            merged.append([s, e, [(s, e)]])
+    for s, e, inside in merged:
+        atoms = [(m.start(), m.end()) for m in _ATOM.finditer(text, s, e)]
+        starts, ends = {a: k for k, (a, _) in enumerate(atoms)}, {b: k for k, (_, b) in enumerate(atoms)}
+        yield atoms, [(starts[a], ends[b]) for a, b in inside if a in starts and b in ends]
 
 
 def _bucket(n: int, edges: tuple[int, ...]) -> int:
     return sum(n > e for e in edges)
 
 
-def span_features(text: str, start: int, end: int, atoms: int) -> list[str]:
-    """Features of one candidate as a whole."""
-    s = text[start:end]
-    d = _digits(s)
-    shape = re.sub(r"9+", "9", re.sub(r"[A-Za-z]+", "a", re.sub(r"[0-9]", "9", s)))[:24]
-    groups = re.findall(r"[0-9]+", s)
-    left, right = text[start - 1 : start], text[end : end + 1]
-    side = lambda c: "none" if not c else "space" if c.isspace() else "word" if c.isalnum() else "@" if c == "@" else "mark"
-    seps = "".join(sorted({c for c in s if not c.isalnum()}))[:8]
-    out = [
-        "bias",
-        f"digits={_bucket(len(d), (0, 3, 6, 9, 11, 13, 15, 16, 19))}",
-        f"groups={min(len(groups), 6)}",
-        f"sizes={'-'.join(str(min(len(g), 5)) for g in groups[:5])}",
-        f"shape={shape}",
-        f"seps={seps}",
-        f"left={side(left)}",
-        f"right={side(right)}",
-        f"atoms={_bucket(atoms, (1, 3, 6, 9, 12))}",
-        f"plus={s[0] == '+'}",
-        f"at={s.count('@')}",
-        f"letters={any(c.isalpha() for c in s)}",
-        f"luhn={14 <= len(d) <= 19 and luhn(d)}",
-        f"marks={'dot' in s.lower().split()}{'(at)' in s.lower()}",
-        f"octets={len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups) and seps == '.'}",
-    ]
-    if ats := list(_AT.finditer(s)):
-        host = s[ats[-1].end() :].lstrip(" )")
-        written = re.sub(r" dot ", ".", host, flags=re.I)
-        words, name = s[: ats[0].start()].count(" "), s[: ats[0].start()].rstrip(" (")
-        whole = bool(_DOMAIN.fullmatch(written)) and bool(name) and not set(name) - _LOCAL
-        out += [f"domain={bool(_DOMAIN.fullmatch(host))}", f"written={host != written}{whole}", f"before={min(words, 3)}", f"after={min(written.count(' '), 3)}", f"name={bool(name) and not set(name) - _LOCAL}", f"ats={len(ats)}"]
-    return out
+def _cue(text: str, start: int) -> str:
+    """What the last two words in front say of what follows."""
+    words = re.findall(r"[^\W\d_]+", text[max(0, start - 30) : start].lower())[-2:]
+    return next((_CUE_OF[w] for w in reversed(words) if w in _CUE_OF), "none")
 
 
-def candidates(text: str, atoms: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """(first, last) atoms of segments that may be entities: they hold a digit or an at, and begin and end well."""
-    kinds = []
-    for a, b in atoms:
-        c = text[a]
-        kinds.append("d" if "0" <= c <= "9" else "w" if c.isalpha() else "s" if c.isspace() else c)
-    out = []
-    for i, k in enumerate(kinds):
-        if k not in ("d", "w", "+", "("):
-            continue
-        digits = ats = words = spaces = 0
-        for j in range(i, min(i + MAX_ATOMS, len(kinds))):
-            c = kinds[j]
-            if c == "s":
-                if text[atoms[j][0]] != " " or kinds[j - 1] == "s":
-                    break
-                spaces += 1
-            digits += c == "d"
-            ats += c == "@" or text[atoms[j][0] : atoms[j][1]].lower() == "at"
-            words += c == "w"
-            if spaces > 7 or c in '"<>;,:|\\{}[]':
-                break
-            if c in ("d", "w") and (ats or digits >= 1 and not words):
-                out.append((i, j))
-    return out
+def span_features(text: str, start: int, end: int) -> list[str]:
+    """Features of one candidate as a whole."""
+    s = text[start:end]
+    mark = _MARK.search(s)
+    if mark and any(c.isalpha() for c in s[mark.end() :]):
+        return _email_features(text, start, end, mark)
+    d, groups = _digits(s), [len(g) for g in re.findall("[0-9]+", s)]
+    seps = re.sub("[0-9+]", "", s)
+    kinds = {"dot" if c.lower() in "dot" else "space" if c in " \u00a0" else c for c in seps if c not in "()[]"}
+    more = lambda m: m is not None
+    left, right = text[max(0, start - 6) : start], text[end : end + 6]
+    values = [int(g) for g in re.findall("[0-9]+", s)]
+    octets = len(groups) == 4 and all(n <= 3 and v <= 255 for n, v in zip(groups, values))
+    date = bool(re.fullmatch(r"(?:(?:1[5-9]|20)[0-9]{2}[-./](?:0?[1-9]|1[0-2])[-./][0-3]?[0-9]|[0-3]?[0-9][-./][0-3]?[0-9][-./](?:1[5-9]|20)[0-9]{2})(?: [0-2]?[0-9].*)?", s))
+    years = sum(n == 4 and 1500 <= v <= 2100 for n, v in zip(groups, values))
+    card = 13 <= len(d) <= 19 and luhn(d)
+    return [
+        "number", f"digits={_bucket(len(d), (6, 7, 8, 9, 10, 11, 12, 13, 15, 16, 19))}", f"groups={min(len(groups), 7)}", f"largest={min(max(groups), 9)}", f"least={min(min(groups), 4)}",
+        f"seps={'|'.join(sorted(kinds))[:12]}", f"one_sep={len(kinds) <= 1}", f"card={card}", f"card_even={card and len(groups) > 1 and set(groups[:-1]) == {4}}", f"octets={octets}", f"octet_dots={octets and kinds == {'dot'} or octets and kinds == {'.'}}",
+        f"plus={s[0] == '+' or s[:2] == '(+'}", f"brackets={s.count('(')}{s.count(')')}", f"zeros={len(s) - len(s.lstrip('0')) if len(groups) > 1 else 0}", f"date={date}", f"years={min(years, 2)}", f"small={max(groups) <= 2}", f"last={min(groups[-1], 5)}", f"first={min(groups[0], 5)}",
+        f"on_left={more(re.search(r'[0-9][-./ ()]{0,2}$', left))}", f"on_right={more(re.match(r'[-./ ()]{0,2}[0-9]', right))}", f"sign_left={left[-1:] in ('+', '(')}", f"glued={left[-1:].isalnum() or right[:1].isalnum()}", f"money={left[-1:] in ('$', '€', '£') or left[-2:-1] in ('$', '€', '£')}", f"cue={_cue(text, start)}", f"cue_card={_cue(text, start)}{card}",
+    ]
+
+
+def _email_features(text: str, start: int, end: int, mark: re.Match) -> list[str]:
+    s = text[start:end]
+    name, host = s[: mark.start()], s[mark.end() :]
+    labels = _JOINTS.split(host)
+    suffix = labels[-1].lower()
+    after, before = text[end : end + 8], text[max(0, start - 8) : start]
+    kind = "sign" if mark[0].strip() == "@" else "word" if mark[0].strip().lower() == "at" else "bracket"
+    parts = [p for p in re.split(r"[^A-Za-z0-9]+", name) if p]
+    plain = len(parts) == 1 and parts[0].isalpha() and len(name) == len(parts[0])
+    return [
+        "email", f"mark={kind}", f"mark_space={mark[0] != mark[0].strip()}", f"labels={min(len(labels), 5)}", f"suffix={suffix in SUFFIXES}", f"suffix_letters={suffix.isalpha()}{_bucket(len(suffix), (1, 3, 6))}", f"written={'dot' in host.lower().split() or '(' in host or '[' in host}",
+        f"plain={plain}{kind}", f"common={name.lower() in COMMON}{kind}", f"name={_bucket(len(name), (1, 2, 4, 8, 16))}", f"digit={any(c.isdigit() for c in name)}", f"marks={any(c in '._+-' for c in name)}", f"capital={name[:1].isupper()}{plain}",
+        f"rest_left={before[-1:] in _LOCAL and before[-1:] != ''}", f"dot_left={bool(re.search(r'[ (]dot[ )]+$', before, re.I))}", f"rest_right={bool(re.match(r'[A-Za-z0-9_-]', after))}", f"dot_right={bool(re.match(r'[.][A-Za-z0-9]', after))}", f"word_right={bool(re.match(r'[ ]?[(]?dot', after, re.I))}",
+        f"label={_bucket(max(map(len, labels)), (1, 3, 12))}", f"cue={_cue(text, start)}{kind}", f"upper={suffix != labels[-1]}",
+    ]
 
 
 @dataclass
@@ -195,23 +232,16 @@ class Field:
     def scores(self, text: str, atoms: list[tuple[int, int]], segments: list[tuple[int, int]]) -> np.ndarray:
         out = np.zeros((len(segments), len(KINDS)))
         for r, (i, j) in enumerate(segments):
-            at = [k for f in span_features(text, atoms[i][0], atoms[j][1], j - i + 1) if (k := self.index.get(f)) is not None]
+            at = [k for f in span_features(text, atoms[i][0], atoms[j][1]) if (k := self.index.get(f)) is not None]
             out[r] = self.weights[at].sum(axis=0)
         return out
 
     def decode(self, text: str) -> list[Span]:
-        """Best segmentation of each window; its entities."""
+        """Best segmentation of each region; its entities."""
         out: list[Span] = []
         if not len(self.weights):
             return out
-        for _, atoms in windows(text):
-            here = text[atoms[0][0] : atoms[-1][1]]
-            mark = _AT.search(here)
-            if not _DIGIT.search(here) and not (mark and _HOST.search(here, mark.end())):
-                continue  # no value of any kind is possible here
-            segments = candidates(text, atoms)
-            if not segments:
-                continue
+        for atoms, segments in regions(text):
             scores = self.scores(text, atoms, segments)
             by_end: dict[int, list[int]] = {}
             for r, (_, j) in enumerate(segments):
@@ -241,14 +271,14 @@ class Field:
 
 
 def _rewritten(text: str, gold: list[Span], write) -> tuple[str, list[Span]]:
-    """The text with each span written anew by write(kind, span, its hash) -> (string, whether it still is one), and where the spans are then."""
+    """The text with each span written anew by write(kind, span, its hash) -> (what stands in front, string, whether it still is one), and where the spans are then."""
     out, spans, upto, size = [], [], 0, 0
     for a, b, kind in gold:
         if a < upto:
             continue
-        s, stays = write(kind, text[a:b], zlib.crc32(text[a:b].encode()))
-        out += [text[upto:a], s]
-        size += a - upto
+        front, s, stays = write(kind, text[a:b], zlib.crc32(text[a:b].encode()))
+        out += [text[upto:a], front, s]
+        size += a - upto + len(front)
         if stays:
             spans.append((size, size + len(s), kind))
         size += len(s)
@@ -256,39 +286,105 @@ def _rewritten(text: str, gold: list[Span], write) -> tuple[str, list[Span]]:
     return "".join([*out, text[upto:]]), spans
 
 
-def _weakened(text: str, gold: list[Span]) -> tuple[str, list[Span]]:
-    """The text with its spans' marks weakened."""
+_SYLLABLES = "ba be bo da de di fa fe ga ha hu ja jo ka ki la le lo ma mi mo na ne no pa pe ra ri ro sa se so ta te ti to va ve vi wa ya za".split()
 
-    def write(kind: str, s: str, turn: int) -> tuple[str, bool]:
-        d = _digits(s)
-        if kind == "phone":
-            bare = re.sub(r"^\+[0-9]{1,3}[ .-]?", "", s)
-            s = (bare, s.replace(" ", "-"), f"({d[-10:-7]}) {d[-7:-4]}-{d[-4:]}", f"{d[-10:-7]}.{d[-7:-4]}.{d[-4:]}")[turn % 4]
-        elif kind == "email":
+
+class _Draw:
+    """Choices that a hash decides, one after the other."""
+
+    def __init__(self, seed: int):
+        self.state = seed
+
+    def upto(self, n: int) -> int:
+        self.state = zlib.crc32(self.state.to_bytes(4, "little"), 77)
+        return self.state % n
+
+    def of(self, *options):
+        return options[self.upto(len(options))]
+
+    def word(self) -> str:
+        return "".join(_SYLLABLES[self.upto(len(_SYLLABLES))] for _ in range(1 + self.upto(4)))
+
+    def digits(self, n: int) -> str:
+        return "".join(str(self.upto(10)) for _ in range(n))
+
+    def cue(self, kind: str) -> str:
+        """Half of the time, a word that names the kind."""
+        return f"{self.of(*CUES[kind].split())}{self.of('', ':', '', '.')} " if self.upto(2) else ""
+
+    def name(self) -> str:
+        parts = [self.word() for _ in range(self.of(1, 1, 2, 2, 3, 4))]
+        out = self.of(".", ".", "_", "-").join(parts) + self.of("", "", str(self.upto(100)), f"_{self.upto(10)}")
+        return self.of(out, out, out.title(), f"{out}+{self.word()}")
+
+    def host(self) -> str:
+        return ".".join(self.of(self.word(), f"{self.word()}-{self.word()}", f"{self.word()}{self.upto(10)}") for _ in range(self.of(1, 1, 1, 2, 3))) + "." + self.of(*sorted(SUFFIXES))
+
+
+def _grouped(draw: _Draw, digits: str, sizes: tuple[int, ...], sep: str) -> str:
+    out, at = [], 0
+    for n in sizes:
+        out.append(digits[at : at + n])
+        at += n
+    return sep.join(x for x in (*out, digits[at:]) if x)
+
+
+def _weakened(text: str, gold: list[Span], turn: int = 0) -> tuple[str, list[Span]]:
+    """The text with its spans in other forms; some with names, hosts and numbers of their own."""
+
+    def write(kind: str, s: str, seed: int) -> tuple[str, str, bool]:
+        draw = _Draw((seed + 7919 * turn) & 0xFFFFFFFF)
+        if kind == "email":
             name, _, host = s.rpartition("@")
-            s = (f"{name} at {host}", f"{name} (at) {host}", f"{name} at {host.replace('.', ' dot ')}", s)[turn % 4]
-        elif kind == "card":
-            s = (" ", ".", "-")[turn % 3].join(d[k : k + 4] for k in range(0, len(d), 4))
-        return s, True
+            if draw.upto(4):
+                name, host = draw.name(), draw.host()
+            mark = draw.of(" at ", " at ", " AT ", " (at) ", "(at)", " [at] ", "[at]", " @ ", "{at}")
+            dot = draw.of(".", ".", " dot ", " dot ", " (dot) ", "[dot]", " DOT ")
+            if dot != "." and draw.upto(3) == 0:
+                name = name.replace(".", dot)
+            return draw.cue("email"), f"{name}{mark}{host.replace('.', dot)}", True
+        if kind == "phone":
+            n = draw.of(7, 8, 9, 10, 10, 10, 11)
+            d = str(1 + draw.upto(9)) + draw.digits(n - 1)
+            sep = draw.of(" ", " ", "-", "-", ".", "/")
+            body = _grouped(draw, d, draw.of((3, 3, 4), (3, 4, 4), (2, 4, 4), (3, 3, 2, 2), (2, 3, 2, 2), (4, 3, 3), (3, 4), (4, 4), (5, 5), (2, 2, 2, 2, 2)), sep)
+            front = draw.of("", "", "0", f"00{1 + draw.upto(99)}{sep}", f"00{1 + draw.upto(99)}{sep}(0)", f"({draw.digits(3)}) ", f"({draw.digits(3)})", f"(0{draw.digits(draw.of(2, 3, 4))}) ", f"{1 + draw.upto(9)}{sep}", f"(+{1 + draw.upto(99)}) ")
+            return draw.cue("phone"), front + body, True
+        if kind == "card":
+            d = _digits(s)
+            return draw.cue("card"), draw.of(".", "/", "_", " - ", ".", "\u00a0").join(d[k : k + 4] for k in range(0, len(d), 4)), True
+        parts = [str(draw.upto(draw.of(256, 256, 100, 10))) for _ in range(4)]
+        return draw.cue("ip"), draw.of("[.]", "(.)", " . ", " dot ", "[dot]", "[.]").join(parts), True
 
     return _rewritten(text, gold, write)
 
 
-def _spoiled(text: str, gold: list[Span]) -> tuple[str, list[Span]]:
-    """The text with its spans made impossible; none is left."""
+def _spoiled(text: str, gold: list[Span], turn: int = 0) -> tuple[str, list[Span]]:
+    """The text with what only looks like a value in its spans' place; none is left."""
 
-    def write(kind: str, s: str, turn: int) -> tuple[str, bool]:
+    def write(kind: str, s: str, seed: int) -> tuple[str, str, bool]:
+        draw = _Draw((seed + 7919 * turn) & 0xFFFFFFFF)
         d = _digits(s)
         if kind == "ip":
             parts = s.split(".")
-            parts[turn % 4] = str(256 + turn * 37 % 700)
-            return ".".join(parts), False
+            parts[draw.upto(4)] = str(256 + draw.upto(700))
+            three = ".".join(str(draw.upto(30)) for _ in range(3))
+            return draw.cue("other"), draw.of(".".join(parts), "[.]".join(parts), f"version {three}", f"build {three}.{draw.digits(5)}", f"section {three}.{draw.upto(9)}.{draw.upto(9)}"), False
         if kind == "card":
-            return s[:-1] + str((int(s[-1]) + 1 + turn % 8) % 10), False
+            wrong = s[:-1] + str((int(s[-1]) + 1 + draw.upto(8)) % 10)
+            wrong_d = _digits(wrong)
+            return draw.cue("other"), draw.of(wrong, ".".join(wrong_d[k : k + 4] for k in range(0, 16, 4)), f"978-{draw.upto(10)}-{draw.digits(2)}-{draw.digits(6)}-{draw.upto(10)}", f"order {draw.digits(12)}", f"id {draw.digits(9)}-{draw.digits(5)}"), False
         if kind == "phone":
-            return (f"{d[-6:-4]}-{d[-4:]}", f"+{d[:3]} {d[3:6]}", d[:5])[turn % 3], False
-        name, _, host = s.rpartition("@")
-        return f"{re.sub('[^A-Za-z]', '', name) or 'him'} at {host.split('.')[0]}", False
+            year = 1900 + draw.upto(130)
+            day = f"{year}-{1 + draw.upto(12):02d}-{1 + draw.upto(28):02d}"
+            some = [str(draw.upto(draw.of(100, 60, 1000, 10))) for _ in range(draw.of(4, 5, 6, 8, 12))]
+            return draw.cue("other"), draw.of(
+                f"{d[-6:-4]}-{d[-4:]}", f"+{d[:3]} {d[3:6]}", d[:5], day, f"{day} {draw.upto(24):02d}.{draw.upto(60):02d}", f"{1 + draw.upto(28)}.{1 + draw.upto(12)}.{year}", f"{day}/{day}", f"{year}-{year + 3}", f"years {year} {year + 1} {year + 2}",
+                " ".join(some), "-".join(some[:4]), f"pages {draw.upto(400)}-{draw.upto(999)}", f"{1 + draw.upto(9)}.{draw.digits(3)}.{draw.digits(3)}", f"$ {draw.digits(3)} {draw.digits(3)} {draw.digits(3)}", f"0.{draw.digits(8)}", draw.digits(draw.of(8, 10, 12)), f"{draw.digits(2)} {draw.digits(2)} {draw.digits(2)} {draw.digits(2)}",
+            ), False
+        common = sorted(COMMON)
+        word = common[draw.upto(len(common))]
+        return "", draw.of(f"{draw.word()} at {draw.word()}", f"{word} at {draw.word()}.{draw.word()}", f"{word} at {draw.host()}", f"{word} at {draw.word()}. {draw.word().title()}", f"{draw.word()} at {draw.word()}.{draw.word().title()} {draw.word()}", f"@{draw.word()}", f"{draw.word()} @ {draw.word()}", f"{word} at {draw.upto(24)}.{draw.upto(60):02d}", f"{draw.name()} at {draw.word()}"), False
 
     return _rewritten(text, gold, write)
 
@@ -296,22 +392,22 @@ def _spoiled(text: str, gold: list[Span]) -> tuple[str, list[Span]]:
 def _possible(kind: str, s: str) -> bool:
     """Whether a span can be a value of its kind."""
     d = _digits(s)
+    if kind == "email":
+        mark = _MARK.search(s)
+        host = _HOST.fullmatch(s, mark.end()) if mark else None
+        return host is not None and bool(re.search("[A-Za-z]", _JOINTS.split(host[0])[-1])) and _JOINTS.sub(".", s[: mark.start()]).isascii()
+    if any(c.isalpha() for c in re.sub("(?i)dot", "", s)):
+        return False
     if kind == "ip":
         parts = re.findall("[0-9]+", s)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == "card":
         return 13 <= len(d) <= 19 and luhn(d)
-    if kind == "phone":
-        return 7 <= len(d) <= 15
-    at = _AT.search(s)
-    return at is not None and bool(_HOST.search(s, at.end()))
+    return 7 <= len(d) <= 15 and len(re.findall("[0-9]+", s)) > 1
 
 
-def _example(text: str, atoms: list[tuple[int, int]], gold: list[Span]) -> tuple[list, list, list] | None:
-    """(segments, features, labelled path) of a window; None if a span is no candidate."""
-    segments = candidates(text, atoms)
-    if not segments:
-        return None
+def _example(text: str, atoms: list[Place], segments: list[Place], gold: list[Span]) -> tuple[list, list, list] | None:
+    """(segments, features, labelled path) of a region; None if a span is no candidate."""
     starts, ends = {a: k for k, (a, _) in enumerate(atoms)}, {b: k for k, (_, b) in enumerate(atoms)}
     path: list[tuple[int, int, int]] = []
     at = 0
@@ -324,26 +420,29 @@ def _example(text: str, atoms: list[tuple[int, int]], gold: list[Span]) -> tuple
         path += [(k, k, 0) for k in range(at, starts[a])] + [(starts[a], ends[b], KINDS.index(kind) + 1)]
         at = ends[b] + 1
     path += [(k, k, 0) for k in range(at, len(atoms))]
-    return segments, [span_features(text, atoms[i][0], atoms[j][1], j - i + 1) for i, j in segments], path
+    return segments, [span_features(text, atoms[i][0], atoms[j][1]) for i, j in segments], path
 
 
 def train_field(texts: list[str], epochs: int = EPOCHS) -> Field:
-    """Maximum likelihood by AdaGrad on the windows of the texts, in the order given."""
+    """Maximum likelihood by AdaGrad on the regions of the texts, in the order given."""
     examples = []
+    given = []
     for text in texts:
-        gold = []
+        gold: list[Span] = []
         for s in base_spans(text):
             if not gold or s[0] >= gold[-1][1]:
                 gold.append(s)
-        versions = [(text, gold)]
-        if gold:
-            versions += [_weakened(text, gold), _spoiled(text, gold)]
-        for t, g in versions:
-            for _, atoms in windows(t):
-                near = [s for s in g if s[0] < atoms[-1][1] and s[1] > atoms[0][0]]
-                inside = [s for s in near if s[0] >= atoms[0][0] and s[1] <= atoms[-1][1]]
-                if len(inside) == len(near) and len(examples) < TRAIN_WINDOWS and (ex := _example(t, atoms, inside)) is not None:
-                    examples.append((len(atoms), *ex))
+        given.append((text, gold))
+    known = [g for g in given if g[1]]
+    versions = chain(given, (f(*g, turn) for turn in range(TURNS) for g in known for f in (_weakened, _spoiled)))
+    for t, g in versions:
+        for atoms, segments in regions(t):
+            near = [s for s in g if s[0] < atoms[-1][1] and s[1] > atoms[0][0]]
+            inside = [s for s in near if s[0] >= atoms[0][0] and s[1] <= atoms[-1][1]]
+            if len(inside) == len(near) and (ex := _example(t, atoms, segments, inside)) is not None:
+                examples.append((len(atoms), *ex))
+        if len(examples) >= TRAIN_REGIONS:
+            break
     if not any(label for ex in examples for *_, label in ex[3]):
         return Field()
     index: dict[str, int] = {}
