@@ -101,9 +101,9 @@ FACTS = [
 
 # (question, answer, verified, unverified, grounded, abstained)
 ANSWERS = [
-    (1, "Loaded in `app/core/session.py:10-20` and app/main.py (lines not confirmed), see app/main.py (lines not confirmed) again.", 1, 1, 0, 0),
-    (2, "No citation at all.\n\nEvidence found for this question:\n- a/b.py:1-9\n- a/d.py:5-6", 0, 0, 1, 0),
-    (3, "Wrong: lib/base.ts (lines not confirmed) and lib/none.ts (lines not confirmed), right: lib/base.ts:3 - 4.", 1, 2, 0, 0),
+    (1, "Loaded in `app/core/session{n}.py:10-20` and app/main{n}.py (lines not confirmed), see app/main{n}.py (lines not confirmed) again.", 1, 1, 0, 0),
+    (2, "No citation at all.\n\nEvidence found for this question:\n- a/b{n}.py:1-9\n- a/d{n}.py:5-6", 0, 0, 1, 0),
+    (3, "Wrong: lib/base{n}.ts (lines not confirmed) and lib/none{n}.ts (lines not confirmed), right: lib/base{n}.ts:3 - 4.", 1, 2, 0, 0),
     (4, "", 0, 0, 1, 1),
-    (5, "See a.py:10-20 and a.py (lines not confirmed). Also `xa.py:1-3` and a.py (lines not confirmed), not a.py (lines not confirmed).", 2, 3, 0, 0),
+    (5, "See a{n}.py:10-20 and a{n}.py (lines not confirmed). Also `xa{n}.py:1-3` and a{n}.py (lines not confirmed), not a{n}.py (lines not confirmed).", 2, 3, 0, 0),
 ]

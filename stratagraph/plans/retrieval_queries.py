@@ -13,23 +13,24 @@ from stratagraph.operators import vector_search as V
 from stratagraph.plans import expected
 from stratagraph.plans.registry import query
 from stratagraph.plans.tables import table
+from stratagraph.plans.templates import dealt, dealt_sql, each, each_sql
 
 QUESTIONS = [
-    (1, "What calls `load_config` in app/core/session.py?"),
-    (2, "Explain how does UserStore.save() handle conflicts"),
-    (3, "Which files import lib/base.ts?"),
+    (1, "What calls `load_config{n}` in app/core/session{n}.py?"),
+    (2, "Explain how does UserStore{n}.save() handle conflicts"),
+    (3, "Which files import lib/base{n}.ts?"),
     (4, "why is this slow"),
-    (5, "Where is `Session.open` defined?"),
+    (5, "Where is `Session{n}.open` defined?"),
     (6, "What is the architecture of the project"),
-    (7, "What happens when parse_row() fails in the pipeline?"),
-    (8, "Which classes inherit from BaseStore and extends LocalStore?"),
-    (9, "what is in src/utils.ts"),
-    (10, "What does run_all call?"),
-    (11, "what_is e_g x snake_case_name CamelCaseName a.b"),
-    (12, "Show the contents of README.md and setup.py"),
+    (7, "What happens when parse_row{n}() fails in the pipeline?"),
+    (8, "Which classes inherit from BaseStore{n} and extends LocalStore{n}?"),
+    (9, "what is in src/utils{n}.ts"),
+    (10, "What does run_all{n} call?"),
+    (11, "what_is e_g x snake_case_name{n} CamelCaseName{n} a.b"),
+    (12, "Show the contents of README{n}.md and setup{n}.py"),
     (13, ""),
-    (14, "Where does the server start? entry points of main.py"),
-    (15, "`a.b.c` `do_it()` `x y` usages of do_it ( )"),
+    (14, "Where does the server start? entry points of main{n}.py"),
+    (15, "`a.b.c` `do_it{n}()` `x y` usages of do_it{n} ( )"),
 ]
 
 
@@ -45,42 +46,44 @@ def _values(rows: list[tuple], names: str) -> str:
 # What each question must give, written by hand from the rules, so that a wrong pattern shows:
 # (question_id, intents, identifiers, file paths, type, is_flow, wants_graph, use_vector, vector_limit).
 EXPECTED = [
-    (1, ["callers"], ["load_config"], ["app/core/session.py"], "structural", False, True, False, 8),
-    (2, [], ["save", "UserStore"], [], "mixed", False, True, True, 16),
-    (3, ["importers"], [], ["lib/base.ts"], "structural", False, True, True, 8),
+    (1, ["callers"], ["load_config{n}"], ["app/core/session{n}.py"], "structural", False, True, False, 8),
+    (2, [], ["save", "UserStore{n}"], [], "mixed", False, True, True, 16),
+    (3, ["importers"], [], ["lib/base{n}.ts"], "structural", False, True, True, 8),
     (4, [], [], [], "semantic", False, False, True, 20),
-    (5, ["definition"], ["Session", "open"], [], "structural", False, True, False, 8),
+    (5, ["definition"], ["Session{n}", "open"], [], "structural", False, True, False, 8),
     (6, ["architecture"], [], [], "mixed", False, True, True, 16),
-    (7, [], ["parse_row"], [], "mixed", True, True, True, 16),
-    (8, ["inheritance"], ["BaseStore", "LocalStore"], [], "structural", False, True, False, 8),
-    (9, ["file_contents"], [], ["src/utils.ts"], "structural", False, True, True, 8),
-    (10, ["callers", "callees"], ["run_all"], [], "structural", False, True, False, 8),
-    (11, [], ["CamelCaseName", "snake_case_name"], [], "semantic", False, False, True, 20),
-    (12, ["file_contents"], [], ["README.md", "setup.py"], "structural", False, True, True, 8),
+    (7, [], ["parse_row{n}"], [], "mixed", True, True, True, 16),
+    (8, ["inheritance"], ["BaseStore{n}", "LocalStore{n}"], [], "structural", False, True, False, 8),
+    (9, ["file_contents"], [], ["src/utils{n}.ts"], "structural", False, True, True, 8),
+    (10, ["callers", "callees"], ["run_all{n}"], [], "structural", False, True, False, 8),
+    (11, [], ["CamelCaseName{n}", "snake_case_name{n}"], [], "semantic", False, False, True, 20),
+    (12, ["file_contents"], [], ["README{n}.md", "setup{n}.py"], "structural", False, True, True, 8),
     (13, [], [], [], "semantic", False, False, True, 20),
-    (14, ["entry_point"], [], ["main.py"], "mixed", False, True, True, 16),
-    (15, ["callers"], ["do_it"], [], "structural", False, True, False, 8),
+    (14, ["entry_point"], [], ["main{n}.py"], "mixed", False, True, True, 16),
+    (15, ["callers"], ["do_it{n}"], [], "structural", False, True, False, 8),
 ]
-_EXPECTED = _values([tuple(int(v) if isinstance(v, bool) else v for v in r) for r in EXPECTED], "question_id, intents, identifiers, file_paths, question_type, is_flow, wants_graph, use_vector, vector_limit")
+_FIELDS = "intents array<string>, identifiers array<string>, file_paths array<string>, question_type string, is_flow boolean, wants_graph boolean, use_vector boolean, vector_limit int"
+_EXPECTED = "WITH " + dealt_sql("e", "part", "p_partkey", [r[1:] for r in EXPECTED], _FIELDS)
 
 
-def _questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(QUESTIONS, "question_id int, question string")
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    """A question about each part, by turns."""
+    return dealt(spark, d, "part", "p_partkey", [r[1:] for r in QUESTIONS], "question string").select(F.col("n").alias("question_id"), "question")
 
 
-@query(f"SELECT question_id, intents FROM {_EXPECTED}")
+@query(f"{_EXPECTED} SELECT n AS question_id, intents FROM e")
 def question_intents(spark: SparkSession, d: str) -> DataFrame:
-    return _questions(spark).select("question_id", Q.intents(F.col("question")).alias("intents"))
+    return _questions(spark, d).select("question_id", Q.intents(F.col("question")).alias("intents"))
 
 
-@query(f"SELECT question_id, identifiers, file_paths FROM {_EXPECTED}")
+@query(f"{_EXPECTED} SELECT n AS question_id, identifiers, file_paths FROM e")
 def question_identifiers(spark: SparkSession, d: str) -> DataFrame:
-    return _questions(spark).select("question_id", Q.identifiers(F.col("question")).alias("identifiers"), Q.file_paths(F.col("question")).alias("file_paths"))
+    return _questions(spark, d).select("question_id", Q.identifiers(F.col("question")).alias("identifiers"), Q.file_paths(F.col("question")).alias("file_paths"))
 
 
-@query(f"SELECT question_id, question_type, is_flow = 1 AS is_flow, wants_graph = 1 AS wants_graph, use_vector = 1 AS use_vector, vector_limit FROM {_EXPECTED}")
+@query(f"{_EXPECTED} SELECT n AS question_id, question_type, is_flow, wants_graph, use_vector, vector_limit FROM e")
 def question_type(spark: SparkSession, d: str) -> DataFrame:
-    out = Q.analyse(_questions(spark))
+    out = Q.analyse(_questions(spark, d))
     return out.select("question_id", "question_type", "is_flow", "wants_graph", "use_vector", Q.vector_limit(F.col("question_type")).alias("vector_limit"))
 
 
@@ -144,32 +147,37 @@ def facts_distinct(spark: SparkSession, d: str) -> DataFrame:
 
 
 ANSWERS = [
-    (1, "Loaded in `app/core/session.py:10-20` and app/main.py:7, see app/main.py:7 again."),
+    (1, "Loaded in `app/core/session{n}.py:10-20` and app/main{n}.py:7, see app/main{n}.py:7 again."),
     (2, "No citation at all.  "),
-    (3, "Wrong: lib/base.ts:900-910 and lib/none.ts:1-2, right: lib/base.ts:3 - 4."),
+    (3, "Wrong: lib/base{n}.ts:900-910 and lib/none{n}.ts:1-2, right: lib/base{n}.ts:3 - 4."),
     (4, ""),
-    (5, "See a.py:10-20 and a.py:1. Also `xa.py:1-3` and a.py:1-3, not a.py:100."),
+    (5, "See a{n}.py:10-20 and a{n}.py:1. Also `xa{n}.py:1-3` and a{n}.py:1-3, not a{n}.py:100."),
 ]
-RETRIEVED = [(1, 1, "app/core/session.py", 18, 40), (1, 2, "app/main.py", 13, 20), (2, 1, "a/b.py", 1, 9), (2, 2, "a/c.py", 0, 0), (2, 3, "a/d.py", 5, 6), (3, 1, "lib/base.ts", 1, 30), (5, 1, "a.py", 12, 20), (5, 2, "xa.py", 1, 3)]
+RETRIEVED = [(1, 1, "app/core/session{n}.py", 18, 40), (1, 2, "app/main{n}.py", 13, 20), (2, 1, "a/b{n}.py", 1, 9), (2, 2, "a/c{n}.py", 0, 0), (2, 3, "a/d{n}.py", 5, 6), (3, 1, "lib/base{n}.ts", 1, 30), (5, 1, "a{n}.py", 12, 20), (5, 2, "xa{n}.py", 1, 3)]
 #: The pattern of a citation once more, written for the SQL.
 _CITED = r"`?([\w./-]+[.][0-9A-Za-z]+):([0-9]+)(?:[ \t\n]*-[ \t\n]*([0-9]+))?`?"
-_ANS = f"a AS {_values(ANSWERS, 'question_id, answer')}, r AS {_values(RETRIEVED, 'question_id, position, file_path, s, e')}"
+_RANGES = "template int, position int, file_path string, start_line int, end_line int"
+_ANS = f"""{dealt_sql("a0", "part", "p_partkey", [r[1:] for r in ANSWERS], "answer string")}, a AS (SELECT n AS question_id, answer FROM a0),
+{each_sql("r0", "part", "p_partkey", RETRIEVED, _RANGES)}, r AS (SELECT n AS question_id, position, file_path, start_line AS s, end_line AS e FROM r0 WHERE template = n % {len(ANSWERS)} + 1)"""
 _CIT = f"""c AS (SELECT question_id, i - 1 AS seq, p[i] AS file_path, CAST(s[i] AS INT) AS start_line, CAST(CASE WHEN coalesce(e[i], '') = '' THEN s[i] ELSE e[i] END AS INT) AS end_line FROM (SELECT question_id, unnest(range(1, len(p) + 1)) AS i, p, s, e FROM
 (SELECT question_id, regexp_extract_all(answer, {_quote(_CITED)}, 1) AS p, regexp_extract_all(answer, {_quote(_CITED)}, 2) AS s, regexp_extract_all(answer, {_quote(_CITED)}, 3) AS e FROM a)))"""
 
 
-def _answers(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return spark.createDataFrame(ANSWERS, "question_id int, answer string"), spark.createDataFrame(RETRIEVED, "question_id int, position int, file_path string, start_line int, end_line int")
+def _answers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """An answer about each part, by turns, with what was retrieved for it."""
+    answers = dealt(spark, d, "part", "p_partkey", [r[1:] for r in ANSWERS], "answer string").select(F.col("n").alias("question_id"), "answer")
+    retrieved = each(spark, d, "part", "p_partkey", RETRIEVED, _RANGES).where(F.col("template") == F.col("n") % len(ANSWERS) + 1)
+    return answers, retrieved.select(F.col("n").alias("question_id"), "position", "file_path", "start_line", "end_line")
 
 
 @query(f"WITH {_ANS}, {_CIT} SELECT question_id, CAST(seq AS INT) AS seq, file_path, start_line, end_line FROM c")
 def citations_extract(spark: SparkSession, d: str) -> DataFrame:
-    return C.extract(_answers(spark)[0])
+    return C.extract(_answers(spark, d)[0])
 
 
 @query(f"WITH {_ANS}, {_CIT} SELECT question_id, file_path, start_line, end_line, CAST(min(seq) AS INT) AS seq, EXISTS (SELECT 1 FROM r WHERE r.question_id = c.question_id AND r.file_path = c.file_path AND c.start_line <= r.e + 5 AND r.s - 5 <= c.end_line) AS verified FROM c GROUP BY ALL")
 def citations_verify(spark: SparkSession, d: str) -> DataFrame:
-    answers, retrieved = _answers(spark)
+    answers, retrieved = _answers(spark, d)
     return C.verify(C.extract(answers), retrieved)
 
 
@@ -182,19 +190,20 @@ _GROUP = lambda g: f"regexp_extract_all(answer, {_quote(_CITED)}, {g})"  # noqa:
 g AS (SELECT a.question_id, answer, coalesce(l, []) AS l, {_SPLIT} AS between, {_GROUP(0)} AS t, {_GROUP(1)} AS p, {_GROUP(2)} AS s, {_GROUP(3)} AS e FROM a LEFT JOIN bad ON bad.question_id = a.question_id)
 SELECT question_id, list_aggregate(list_transform(range(1, len(between) + 1), lambda i: between[i] || CASE WHEN i > len(t) THEN '' WHEN list_contains(l, p[i] || ':' || CAST(s[i] AS INT) || '-' || CAST(CASE WHEN coalesce(e[i], '') = '' THEN s[i] ELSE e[i] END AS INT)) THEN p[i] || ' (lines not confirmed)' ELSE t[i] END), 'string_agg', '') AS answer FROM g""")
 def strip_unverified(spark: SparkSession, d: str) -> DataFrame:
-    answers, retrieved = _answers(spark)
+    answers, retrieved = _answers(spark, d)
     return C.strip_unverified(answers, C.verify(C.extract(answers), retrieved))
 
 
 @query(f"""WITH {_ANS}, l AS (SELECT question_id, string_agg('- ' || file_path || ':' || s || '-' || e, chr(10) ORDER BY position) AS t FROM r WHERE s > 0 GROUP BY 1)
 SELECT a.question_id, CASE WHEN t IS NULL THEN answer ELSE rtrim(answer) || chr(10) || chr(10) || 'Evidence found for this question:' || chr(10) || t END AS answer FROM a LEFT JOIN l ON l.question_id = a.question_id""")
 def append_sources(spark: SparkSession, d: str) -> DataFrame:
-    return C.append_sources(*_answers(spark))
+    return C.append_sources(*_answers(spark, d))
 
 
-@query(f"SELECT question_id, answer, verified, unverified, grounded = 1 AS grounded, abstained = 1 AS abstained FROM {_values(expected.ANSWERS, 'question_id, answer, verified, unverified, grounded, abstained')}")
+@query(f"""WITH {dealt_sql("e", "part", "p_partkey", [r[1:] for r in expected.ANSWERS], "answer string, verified long, unverified long, grounded int, abstained int")}
+SELECT n AS question_id, answer, verified, unverified, grounded = 1 AS grounded, abstained = 1 AS abstained FROM e""")
 def answers_grounded(spark: SparkSession, d: str) -> DataFrame:
-    answers, retrieved = _answers(spark)
+    answers, retrieved = _answers(spark, d)
     return C.answers_for(answers.withColumnRenamed("answer", "context"), retrieved, provider=lambda c: c.select("question_id", F.col("context").alias("answer"), (F.col("context") == "").alias("abstained")))
 
 
@@ -253,11 +262,12 @@ def failure_cases(spark: SparkSession, d: str) -> DataFrame:
 
 
 COVERAGE = [
-    (1, "Uses Session and load_config.", ["session", "Store"], ["Session", "missing"], ["a.py:1-2", "b.py:3"], ["a.py", "c.py"], 2, 1),
-    (2, "", [], [], [], [], 0, 0),
-    (3, "nothing", ["X"], ["x"], ["x.py:1"], ["x.py"], 0, 3),
+    ("Uses Session{n} and load_config.", ["session{n}", "Store{n}"], ["Session{n}", "missing{n}"], ["a{n}.py:1-2", "b{n}.py:3"], ["a{n}.py", "c{n}.py"], 2, 1),
+    ("", [], [], [], [], 0, 0),
+    ("nothing", ["X{n}"], ["x{n}"], ["x{n}.py:1"], ["x{n}.py"], 0, 3),
 ]
-_COV = f"v AS {_values(COVERAGE, 'question_id, answer, found, wanted, citations, relevant, ok, bad')}"
+_COVERED = "answer string, found array<string>, wanted array<string>, citations array<string>, relevant array<string>, ok int, bad int"
+_COV = f"{dealt_sql('v0', 'part', 'p_partkey', COVERAGE, _COVERED)}, v AS (SELECT n AS question_id, * FROM v0)"
 
 
 @query(f"""WITH {_COV} SELECT question_id, CASE WHEN len(wanted) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(wanted, lambda x: list_contains(list_transform(found, lambda y: lower(y)), lower(x)))) / len(wanted) END AS entity_coverage,
@@ -265,8 +275,7 @@ CASE WHEN len(wanted) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(wanted, lambda x
 CASE WHEN ok + bad = 0 THEN 0.0::DOUBLE ELSE ok / (ok + bad) END AS citation_accuracy,
 CASE WHEN len(relevant) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(relevant, lambda x: list_contains(list_transform(citations, lambda y: split_part(y, ':', 1)), x))) / len(relevant) END AS citation_coverage FROM v""")
 def coverage_metrics(spark: SparkSession, d: str) -> DataFrame:
-    strings = "array<string>"
-    v = spark.createDataFrame(COVERAGE, f"question_id int, answer string, found {strings}, wanted {strings}, citations {strings}, relevant {strings}, ok int, bad int")
+    v = dealt(spark, d, "part", "p_partkey", COVERAGE, _COVERED).withColumnRenamed("n", "question_id")
     return v.select(
         "question_id", E.entity_coverage(F.col("found"), F.col("wanted")).alias("entity_coverage"), E.mention_coverage(F.col("answer"), F.col("wanted")).alias("mention_coverage"),
         E.citation_accuracy(F.col("ok"), F.col("bad")).alias("citation_accuracy"), E.citation_coverage(F.col("citations"), F.col("relevant")).alias("citation_coverage"),
