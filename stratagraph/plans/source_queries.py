@@ -17,9 +17,10 @@ from stratagraph.plans import expected, fixture
 from stratagraph.plans.engine import directory_summary as directories
 from stratagraph.plans.engine import overview_prefix as prefix
 from stratagraph.plans.registry import query
-from stratagraph.plans.retrieval_queries import _quote, _values
+from stratagraph.plans.retrieval_queries import _values
 from stratagraph.plans.scratch import materialize
-from stratagraph.plans.tables import table
+from stratagraph.plans.tables import CODE_SQL, code_rows, table
+from stratagraph.plans.templates import dealt, dealt_sql, each, each_sql
 from stratagraph.sources import repository as S
 
 _U = "trim(url, ' ' || chr(9) || chr(10) || chr(13))"
@@ -36,16 +37,18 @@ def repo_name(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", P.repository_name(F.col("url")).alias("name"))
 
 
-PATHS = ["src/app.py", "node_modules/x/y.js", "a/node_modules", "dist/app.js", "a/b.min.js", "a/b.lock", "logs/today.txt", "docs/logs", "img/a.PNG", "img/a.png", "a/x.tar.gz", "Cargo.lock", "web/vendor/q.css", "tmp1/z.py", "a[1].so", "env.py", "x.map/y", ".git/HEAD"]
+# (path, left out), by hand from the rules.
+PATHS = [
+    ("src/app{n}.py", False), ("node_modules/x/y{n}.js", True), ("a{n}/node_modules", True), ("dist/app{n}.js", True), ("a/b{n}.min.js", True), ("a/b{n}.lock", True), ("logs/today{n}.txt", True), ("docs{n}/logs", True), ("img/a{n}.PNG", False),
+    ("img/a{n}.png", True), ("a/x{n}.tar.gz", True), ("p{n}/Cargo.lock", True), ("web/vendor/q{n}.css", True), ("tmp1/z{n}.py", True), ("a[{n}].so", True), ("env{n}.py", False), ("x{n}.map/y", True), (".git/HEAD{n}", True),
+]
 EXTRA = ["logs", "tmp?"]
-# Which of them must be left out, by hand from the rules.
-KEPT = ["src/app.py", "img/a.PNG", "env.py"]
-_P = f"p AS {_values([(p,) for p in PATHS], 'path')}"
 
 
-@query(f"WITH {_P} SELECT path, path NOT IN ({', '.join(_quote(k) for k in KEPT)}) AS ignored FROM p")
+@query(f"WITH {dealt_sql('p', 'part', 'p_partkey', PATHS, 'path string, ignored boolean')} SELECT n, path, ignored FROM p")
 def path_ignore(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(p,) for p in PATHS], "path string").select("path", P.ignored(F.col("path"), EXTRA).alias("ignored"))
+    paths = dealt(spark, d, "part", "p_partkey", [r[:1] for r in PATHS], "path string")
+    return paths.select("n", "path", P.ignored(F.col("path"), EXTRA).alias("ignored"))
 
 
 # A language for each suffix, typed once more so that a wrong list shows, and names that have none.
@@ -62,10 +65,6 @@ def language_counts(spark: SparkSession, d: str) -> DataFrame:
     return S.language_counts(_documents_as_files(spark, d))
 
 
-_FILES = f"files AS {_values([(p, t) for p, t in fixture.FILES.items()], 'file_path, text')}"
-_LINES = r"CASE WHEN list_last(string_split_regex(text, '\r\n|\r|\n')) = '' THEN string_split_regex(text, '\r\n|\r|\n')[:-2] ELSE string_split_regex(text, '\r\n|\r|\n') END"
-
-
 def _documents_as_files(spark: SparkSession, d: str) -> DataFrame:
     """Documents as files of one repository, their suffix by id."""
     suffix = F.element_at(F.array(*[F.lit(x) for x, _ in SUFFIXES]), (F.col("doc_id") % len(SUFFIXES) + 1).cast("int"))
@@ -110,9 +109,12 @@ MARKED = [
 ]
 
 
-@query(f"SELECT repository_id, unnest(frameworks) AS framework FROM {_values([(f'r{k}', x) for k, (_, _, x) in enumerate(MARKED)], 'repository_id, frameworks')}")
+_MARKED = "file_path string, text string, frameworks array<string>"
+
+
+@query(f"WITH {dealt_sql('m', 'supplier', 's_suppkey', MARKED, _MARKED)} SELECT 'r' || n AS repository_id, unnest(frameworks) AS framework FROM m")
 def framework_detect(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(f"r{k}", p, t) for k, (p, t, _) in enumerate(MARKED)], "repository_id string, file_path string, text string")
+    rows = dealt(spark, d, "supplier", "s_suppkey", MARKED, _MARKED).select(F.concat(F.lit("r"), F.col("n").cast("string")).alias("repository_id"), "file_path", "text")
     return S.frameworks(rows.withColumn("language", P.language(F.col("file_path"))))
 
 
@@ -146,14 +148,24 @@ def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", F.transform(hashing_embedding(F.col("text")), lambda x: F.round(x, 6)).alias("embedding"))
 
 
-@query(f"""WITH {_FILES}, l AS (SELECT file_path, unnest({_LINES}) AS line, generate_subscripts({_LINES}, 1) AS i FROM files WHERE file_path LIKE '%.md'),
-f AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^\\s*```') THEN 1 ELSE 0 END) OVER (PARTITION BY file_path ORDER BY i) AS fences FROM l),
-h AS (SELECT *, CASE WHEN fences % 2 = 0 AND NOT regexp_matches(line, '^\\s*```') AND regexp_matches(line, '^#{{1,6}}\\s+\\S') THEN regexp_extract(line, '^#{{1,6}}\\s+(.*\\S)\\s*$', 1) END AS title FROM f),
-s AS (SELECT *, count(title) OVER (PARTITION BY file_path ORDER BY i) AS section FROM h),
-g AS (SELECT file_path, section, coalesce(max(title), file_path || ' (intro)') AS entity_name, min(i) AS a, max(i) AS b, trim(string_agg(line, chr(10) ORDER BY i), ' ' || chr(10) || chr(9)) AS source_code FROM s GROUP BY 1, 2)
-SELECT 'shop' AS repository_id, file_path, entity_name, CAST(a AS INT) AS start_line, CAST(b AS INT) AS end_line, source_code FROM g WHERE length(source_code) >= 40""")
+def _markdown(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as Markdown: every seventh line is a heading, some lines open or close a fence; every third document is left as it is."""
+    lines = F.split("text", "\n")
+    marked = F.transform(lines, lambda x, i: F.when(i % 7 == 2, F.concat(F.lit("## "), x)).when(i % 11 == 5, F.lit("```")).otherwise(x))
+    docs = table(spark, d, "documents").select("source", "doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.array_join(marked, "\n")).alias("text"))
+    return docs.select(F.col("source").alias("repository_id"), F.concat(F.lit("docs/d"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file_path"), F.lit("markdown").alias("language"), "text")
+
+
+@query(r"""WITH t AS (SELECT source AS repository_id, 'd' || doc_id || '.md' AS name, 'docs/d' || doc_id || '.md' AS file_path, CASE WHEN doc_id % 3 = 0 THEN text ELSE array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 7 = 2 THEN '## ' || x WHEN (i - 1) % 11 = 5 THEN '```' ELSE x END), chr(10)) END AS text FROM documents),
+s0 AS (SELECT *, string_split_regex(text, '\r\n|\r|\n') AS a FROM t WHERE text <> ''), s1 AS (SELECT * EXCLUDE (a), CASE WHEN a[len(a)] = '' THEN a[:-2] ELSE a END AS a FROM s0),
+l AS (SELECT repository_id, file_path, name, unnest(a) AS line, generate_subscripts(a, 1) AS i FROM s1),
+f AS (SELECT *, regexp_matches(line, '^[ \t\x0b\f\r]*```') AS fence, sum(CASE WHEN regexp_matches(line, '^[ \t\x0b\f\r]*```') THEN 1 ELSE 0 END) OVER (PARTITION BY file_path ORDER BY i) AS fences FROM l),
+h AS (SELECT *, CASE WHEN fences % 2 = 0 AND NOT fence AND regexp_matches(line, '^#{1,6}\s+\S') THEN regexp_extract(line, '^#{1,6}\s+(.*\S)\s*$', 1) END AS title FROM f),
+s AS (SELECT *, count(title) OVER (PARTITION BY file_path ORDER BY i) AS section, count(title) OVER (PARTITION BY file_path) AS titles FROM h),
+g AS (SELECT repository_id, file_path, section, coalesce(max(title), CASE WHEN max(titles) = 0 THEN max(name) ELSE max(name) || ' (intro)' END) AS entity_name, min(i) AS a, max(i) AS b, trim(string_agg(line, chr(10) ORDER BY i), ' ' || chr(10) || chr(9) || chr(13) || chr(11) || chr(12)) AS source_code FROM s GROUP BY 1, 2, 3)
+SELECT repository_id, file_path, entity_name, CAST(a AS INT) AS start_line, CAST(b AS INT) AS end_line, source_code FROM g WHERE length(source_code) >= 40""")
 def sections(spark: SparkSession, d: str) -> DataFrame:
-    return markdown_sections(fixture.files(spark).where("language = 'markdown'"))
+    return markdown_sections(_markdown(spark, d))
 
 
 @query("""WITH RECURSIVE l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, CASE WHEN list_last(string_split(text, chr(10))) = '' THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END AS x FROM documents WHERE length(text) > 4000)),
@@ -164,42 +176,50 @@ def split_oversized(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", (F.col("k") + 1).alias("part"), (F.col("p.first") + 1).alias("start_line"), (F.col("p.last") + 1).alias("end_line"), F.col("p.content").alias("content"))
 
 
-ENTITIES = [
-    ("r", "a.py", "python", "module", "a", 1, 40, "", None, None, "Module doc.", 1), ("r", "a.py", "python", "class", "Box", 3, 30, "class Box: whole body that is long", None, "class Box(Base)", " Keeps things. ", 2),
-    ("r", "a.py", "python", "method", "late", 20, 25, "def late(self): return 12345678901", "Box", "def late(self)", None, 3), ("r", "a.py", "python", "method", "early", 5, 9, "def early(self): return 1234567890", "Box", None, None, 4),
-    ("r", "a.py", "python", "function", "free", 31, 33, "def free(): return 'something long'", None, "def free()", "Doc.", 5), ("r", "a.py", "python", "function", "tiny", 34, 34, "def t(): 1", None, "def t()", None, 6),
-    ("r", "b.py", "python", "module", "b", 1, 1, "", None, None, None, 7), ("r", "c.py", "python", "class", "Lone", 1, 3, "class Lone: with a body of some length", None, None, None, 8), ("r", "c.py", "python", "module", "c", 1, 3, "", None, None, None, 9),
-]
-_E_SCHEMA = "repository_id string, file_path string, language string, entity_type string, entity_name string, start_line int, end_line int, source_code string, parent_name string, signature string, docstring string, seq long"
-_E = f"e AS {_values(ENTITIES, ', '.join(c.split()[0] for c in _E_SCHEMA.split(', ')))}"
-_OUTLINE = """o AS (SELECT file_path, parent_name AS name, string_agg('    ' || coalesce(signature, 'def ' || entity_name || '(...)'), chr(10) ORDER BY start_line) AS m FROM e WHERE entity_type = 'method' GROUP BY 1, 2),
+# Entities of `code_rows` with bodies, some signatures and documentation, and a module a file.
+_E = f"""{CODE_SQL}, e0 AS (SELECT rid, path, kind, name, parent, key FROM ent UNION ALL SELECT rid, path, 'Method', 'm' || (o % 13), NULL, o FROM od WHERE o % 11 = 0),
+e AS (SELECT rid AS repository_id, path AS file_path, 'python' AS language, lower(kind) AS entity_type, name AS entity_name, CAST(key % 500 AS INT) AS start_line, CAST(key % 500 + 9 AS INT) AS end_line, 'body of ' || name || ': ' || repeat('x = 1; ', CAST(key % 6 AS INT)) AS source_code, parent AS parent_name,
+CASE WHEN key % 4 <> 0 THEN 'sig ' || key END AS signature, CASE WHEN key % 3 = 0 THEN ' Doc of ' || key || ' ' END AS docstring, key AS seq FROM e0
+UNION ALL SELECT rid, path, 'python', 'module', substring(path, 5), 1, 500, '', NULL, NULL, CASE WHEN k % 2 = 0 THEN 'Doc of ' || k END, k FROM place)"""
+_OUTLINE = """o AS (SELECT file_path, parent_name AS name, string_agg('    ' || coalesce(signature, 'def ' || entity_name || '(...)'), chr(10) ORDER BY start_line, seq) AS m FROM e WHERE entity_type = 'method' AND parent_name IS NOT NULL GROUP BY 1, 2),
 x AS (SELECT e.*, CASE WHEN m IS NULL OR entity_type <> 'class' THEN source_code ELSE concat_ws(chr(10), coalesce(signature, 'class ' || entity_name || ':'), '    \"\"\"' || trim(docstring) || '\"\"\"', m) END AS content FROM e LEFT JOIN o ON o.file_path = e.file_path AND o.name = e.entity_name)"""
 
 
-def _entities(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ENTITIES, _E_SCHEMA)
+def _entities(spark: SparkSession, d: str) -> DataFrame:
+    files, entities, *_ = code_rows(spark, d)
+    text, none = (lambda c: c.cast("string")), F.lit(None).cast("string")
+    key = F.col("seq")
+    rows = entities.withColumns({
+        "source_code": F.concat(F.lit("body of "), "entity_name", F.lit(": "), F.repeat(F.lit("x = 1; "), (key % 6).cast("int"))), "signature": F.when(key % 4 != 0, F.concat(F.lit("sig "), text(key))), "docstring": F.when(key % 3 == 0, F.concat(F.lit(" Doc of "), text(key), F.lit(" "))),
+    })
+    nations = table(spark, d, "nation").select(F.concat(F.lit("src/"), F.lower("n_name"), F.lit(".py")).alias("file_path"), F.col("n_nationkey").alias("k"))
+    modules = files.join(F.broadcast(nations), "file_path").select(
+        "repository_id", "file_path", "language", F.lit("module").alias("entity_type"), F.substring("file_path", 5, 100).alias("entity_name"), F.lit(1).alias("start_line"), F.lit(500).alias("end_line"), none.alias("signature"),
+        F.when(F.col("k") % 2 == 0, F.concat(F.lit("Doc of "), text(F.col("k")))).alias("docstring"), none.alias("parent_name"), F.col("k").cast("long").alias("seq"), F.lit("").alias("source_code"),
+    )
+    return rows.unionByName(modules)
 
 
 @query(f"WITH {_E}, {_OUTLINE} SELECT file_path, entity_type, entity_name, start_line, end_line, content FROM x WHERE entity_type IN ('class', 'function', 'method') AND length(content) >= 30")
 def entity_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return C.entity_chunks(_entities(spark)).select("file_path", "entity_type", "entity_name", "start_line", "end_line", "content")
+    return C.entity_chunks(_entities(spark, d)).select("file_path", "entity_type", "entity_name", "start_line", "end_line", "content")
 
 
-@query(f"WITH {_E} SELECT file_path, parent_name AS class_name, string_agg('    ' || coalesce(signature, 'def ' || entity_name || '(...)'), chr(10) ORDER BY start_line) AS members, list(entity_name ORDER BY seq) AS method_names FROM e WHERE entity_type = 'method' GROUP BY ALL")
+@query(f"WITH {_E} SELECT file_path, parent_name AS class_name, string_agg('    ' || coalesce(signature, 'def ' || entity_name || '(...)'), chr(10) ORDER BY start_line, seq) AS members, list(entity_name ORDER BY seq) AS method_names FROM e WHERE entity_type = 'method' AND parent_name IS NOT NULL GROUP BY ALL")
 def class_outline(spark: SparkSession, d: str) -> DataFrame:
-    return C.class_outlines(_entities(spark)).drop("repository_id")
+    return C.class_outlines(_entities(spark, d)).drop("repository_id")
 
 
 @query(f"""WITH {_E}, m AS (SELECT file_path, list(entity_name ORDER BY entity_name) FILTER (entity_type = 'class') AS c, list(entity_name ORDER BY entity_name) FILTER (entity_type = 'function') AS f FROM e GROUP BY 1)
 SELECT * FROM (SELECT e.file_path, concat_ws(chr(10), 'Module ' || e.file_path, docstring, 'Classes: ' || array_to_string(c, ', '), 'Functions: ' || array_to_string(f, ', ')) AS content, CAST(coalesce(len(c), 0) AS INT) AS class_count, CAST(coalesce(len(f), 0) AS INT) AS function_count
 FROM e JOIN m ON m.file_path = e.file_path WHERE entity_type = 'module' AND (docstring IS NOT NULL OR c IS NOT NULL OR f IS NOT NULL)) WHERE length(content) >= 30""")
 def module_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return C.module_chunks(_entities(spark)).select("file_path", "content", "class_count", "function_count")
+    return C.module_chunks(_entities(spark, d)).select("file_path", "content", "class_count", "function_count")
 
 
 @query(f"WITH {_E}, {_OUTLINE} SELECT file_path, entity_name, concat_ws(chr(10) || chr(10), entity_type || ' ' || entity_name || ' in ' || file_path || coalesce(' (defined in ' || parent_name || ')', ''), signature, trim(docstring), content) AS text FROM x WHERE entity_type IN ('class', 'function', 'method') AND length(content) >= 30")
 def embedding_texts(spark: SparkSession, d: str) -> DataFrame:
-    return C.entity_chunks(_entities(spark)).select("file_path", "entity_name", C.embedding_text().alias("text"))
+    return C.entity_chunks(_entities(spark, d)).select("file_path", "entity_name", C.embedding_text().alias("text"))
 
 
 @query(f"""WITH {_E}, {_OUTLINE}, m AS (SELECT file_path, list(entity_name ORDER BY entity_name) FILTER (entity_type = 'class') AS c, list(entity_name ORDER BY entity_name) FILTER (entity_type = 'function') AS f FROM e GROUP BY 1),
@@ -207,138 +227,139 @@ u AS (SELECT file_path, entity_type, entity_name, start_line, end_line, content,
 SELECT e.file_path, 'module', e.entity_name, e.start_line, e.end_line, concat_ws(chr(10), 'Module ' || e.file_path, docstring, 'Classes: ' || array_to_string(c, ', '), 'Functions: ' || array_to_string(f, ', ')), 1 FROM e JOIN m ON m.file_path = e.file_path WHERE entity_type = 'module' AND (docstring IS NOT NULL OR c IS NOT NULL OR f IS NOT NULL))
 SELECT * FROM u WHERE length(content) >= 30""")
 def all_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return C.build_chunks(_entities(spark)).select("file_path", "entity_type", "entity_name", "start_line", "end_line", "content", "part")
+    return C.build_chunks(_entities(spark, d)).select("file_path", "entity_type", "entity_name", "start_line", "end_line", "content", "part")
 
 
-MODULES = [("os.path", "a/b.py"), (".x", "a/b.py"), ("..x.y", "a/b/c.py"), (".", "a/b.py"), ("", "a.py"), ("...", "a.py"), ("./u", "web/a.ts"), ("../lib/v.js", "web/x/a.ts"), ("react", "a.js"), ("./w/../z", "a.tsx"), ("../../..", "a/b.js")]
+MODULES = [("os{n}.path", "a/b.py"), (".x{n}", "a{n}/b.py"), ("..x.y{n}", "a/b{n}/c.py"), (".", "a{n}/b.py"), ("", "a{n}.py"), ("...", "a{n}.py"), ("./u{n}", "web/a.ts"), ("../lib/v{n}.js", "web/x{n}/a.ts"), ("react{n}", "a.js"), ("./w/../z{n}", "a.tsx"), ("../../..", "a/b{n}.js")]
 
 
-@query(f"""WITH m AS {_values(MODULES, 'module, source_file')}, c AS (SELECT *, regexp_matches(lower(source_file), '\\.(tsx?|jsx?|mjs|cjs)$') AS js, length(regexp_extract(module, '^\\.*')) AS dots, list_filter(string_split(regexp_replace(source_file, '/?[^/]*$', ''), '/'), lambda p: p <> '') AS folder FROM m),
+@query(f"""WITH {dealt_sql("m", "part", "p_partkey", MODULES, "module string, source_file string")}, c AS (SELECT *, regexp_matches(lower(source_file), '\\.(tsx?|jsx?|mjs|cjs)$') AS js, length(regexp_extract(module, '^\\.*')) AS dots, list_filter(string_split(regexp_replace(source_file, '/?[^/]*$', ''), '/'), lambda p: p <> '') AS folder FROM m),
 p AS (SELECT *, CASE WHEN dots = 0 THEN replace(module, '.', '/') ELSE array_to_string(list_concat(folder[:greatest(len(folder) - dots + 1, 0)], list_filter(string_split(ltrim(module, '.'), '.'), lambda p: p <> '')), '/') END AS stem,
 array_to_string(list_reduce(list_concat([[]::VARCHAR[]], list_transform(list_concat(folder, string_split(module, '/')), lambda x: [x])), lambda a, b: CASE WHEN b[1] IN ('', '.') THEN a WHEN b[1] = '..' THEN a[:greatest(len(a) - 1, 0)] ELSE list_concat(a, b) END), '/') AS jstem FROM c),
 q AS (SELECT *, regexp_extract(jstem, '[^/](\\.[^./]+)$', 1) AS ext FROM p)
-SELECT module, source_file, CASE WHEN js THEN CASE WHEN NOT starts_with(module, '.') OR jstem = '' THEN [] WHEN ext IN ('.ts', '.tsx', '.js', '.jsx', '.mjs', '.cjs') THEN list_concat([jstem], list_filter(list_transform(['.ts', '.tsx', '.js', '.jsx', '.mjs', '.cjs'], lambda e: jstem[:length(jstem) - length(ext)] || e), lambda y: y <> jstem))
+SELECT n, module, source_file, CASE WHEN js THEN CASE WHEN NOT starts_with(module, '.') OR jstem = '' THEN [] WHEN ext IN ('.ts', '.tsx', '.js', '.jsx', '.mjs', '.cjs') THEN list_concat([jstem], list_filter(list_transform(['.ts', '.tsx', '.js', '.jsx', '.mjs', '.cjs'], lambda e: jstem[:length(jstem) - length(ext)] || e), lambda y: y <> jstem))
 ELSE list_concat(list_transform(['.ts', '.tsx', '.js', '.jsx', '.mjs', '.cjs'], lambda e: jstem || e), list_transform(['.ts', '.tsx', '.js', '.jsx', '.mjs', '.cjs'], lambda e: jstem || '/index' || e)) END
 WHEN module = '' OR stem = '' THEN [] ELSE [stem || '.py', stem || '/__init__.py'] END AS candidates FROM q""")
 def import_candidates(spark: SparkSession, d: str) -> DataFrame:
-    m = spark.createDataFrame(MODULES, "module string, source_file string")
-    return m.select("module", "source_file", R.candidates(F.col("module"), F.col("source_file")).alias("candidates"))
+    m = dealt(spark, d, "part", "p_partkey", MODULES, "module string, source_file string")
+    return m.select("n", "module", "source_file", R.candidates(F.col("module"), F.col("source_file")).alias("candidates"))
 
 
-IMPORTS = [("r", 1, "src/pkg/a.py", "pkg.b", ["x"], False), ("r", 2, "src/pkg/a.py", "pkg", ["b"], False), ("r", 3, "src/pkg/a.py", ".b", ["x"], True), ("r", 4, "src/pkg/a.py", "util", [], False), ("r", 5, "src/pkg/b.py", "pkg.b", [], False), ("r", 6, "src/pkg/a.py", "os", ["path"], False), ("r", 7, "t/c.py", "pkg", ["missing", "a"], False), ("r", 8, "x/util.py", "deep.util", [], False)]
-KNOWN = [("r", "src/pkg/a.py"), ("r", "src/pkg/b.py"), ("r", "x/util.py"), ("r", "y/util.py"), ("r", "t/c.py"), ("r", "z/deep/util.py")]
+# Each supplier is a repository, which lacks some of these files, definitions and links by its key.
+IMPORTS = [(1, "src/pkg/a.py", "pkg.b", ["x"], False), (2, "src/pkg/a.py", "pkg", ["b"], False), (3, "src/pkg/a.py", ".b", ["x"], True), (4, "src/pkg/a.py", "util", [], False), (5, "src/pkg/b.py", "pkg.b", [], False), (6, "src/pkg/a.py", "os", ["path"], False), (7, "t/c.py", "pkg", ["missing", "a"], False), (8, "x/util.py", "deep.util", [], False)]
+KNOWN = [("src/pkg/a.py",), ("src/pkg/b.py",), ("x/util.py",), ("y/util.py",), ("t/c.py",), ("z/deep/util.py",), ("v/pkg/b.py",)]
+_IMPORT, _KNOWN = "seq long, source_file string, module string, imported_names array<string>, is_relative boolean", "path string"
+_REPOSITORY = F.concat(F.lit("r"), F.col("n").cast("string")).alias("repository_id")
 
 
-@query(f"""WITH i AS {_values([(a, b, c, m, n, int(r)) for a, b, c, m, n, r in IMPORTS], 'repository_id, seq, source_file, module, names, rel')}, k AS {_values([(p,) for _, p in KNOWN], 'path')},
-c AS (SELECT seq, source_file, 0 AS grp, 0 AS nm, CASE WHEN rel = 1 THEN regexp_replace(source_file, '[^/]*$', '') || ltrim(module, '.') ELSE replace(module, '.', '/') END AS stem FROM i
-UNION ALL SELECT seq, source_file, 1, g, replace(module, '.', '/') || '/' || names[g] FROM (SELECT *, unnest(range(1, len(names) + 1)) AS g FROM i WHERE rel = 0)),
+@query(f"""WITH {each_sql("i", "supplier", "s_suppkey", IMPORTS, _IMPORT)}, {each_sql("k", "supplier", "s_suppkey", KNOWN, _KNOWN, 4)},
+c AS (SELECT n, seq, source_file, 0 AS grp, 0 AS nm, CASE WHEN is_relative THEN regexp_replace(source_file, '[^/]*$', '') || ltrim(module, '.') ELSE replace(module, '.', '/') END AS stem FROM i
+UNION ALL SELECT n, seq, source_file, 1, g, replace(module, '.', '/') || '/' || imported_names[g] FROM (SELECT *, unnest(range(1, len(imported_names) + 1)) AS g FROM i WHERE NOT is_relative)),
 t AS (SELECT *, 0 AS v, stem || '.py' AS cand FROM c UNION ALL SELECT *, 1, stem || '/__init__.py' FROM c),
-h AS (SELECT seq, source_file, grp, nm, v, (SELECT max(path) FROM k WHERE path = cand) AS ex, (SELECT CASE WHEN count(*) = 1 THEN max(path) END FROM k WHERE path LIKE '%/' || cand) AS sf, (SELECT CASE WHEN count(*) = 1 THEN max(path) END FROM k WHERE path = cand OR path LIKE '%/' || cand) AS lf FROM t),
-r AS (SELECT seq, source_file, first(CASE WHEN grp = 0 THEN coalesce(ex, sf) ELSE lf END ORDER BY grp, nm, v) FILTER (CASE WHEN grp = 0 THEN coalesce(ex, sf) ELSE lf END IS NOT NULL) AS f FROM h GROUP BY ALL)
-SELECT CAST(seq AS BIGINT) AS seq, CASE WHEN f <> source_file THEN f END AS resolved_file FROM r""")
+h AS (SELECT t.n, seq, source_file, grp, nm, v, max(path) FILTER (path = cand) AS ex, CASE WHEN count(path) FILTER (path <> cand) = 1 THEN max(path) FILTER (path <> cand) END AS sf, CASE WHEN count(path) = 1 THEN max(path) END AS lf FROM t LEFT JOIN k ON k.n = t.n AND (path = cand OR ends_with(path, '/' || cand)) GROUP BY ALL),
+r AS (SELECT n, seq, source_file, first(CASE WHEN grp = 0 THEN coalesce(ex, sf) ELSE lf END ORDER BY grp, nm, v) FILTER (CASE WHEN grp = 0 THEN coalesce(ex, sf) ELSE lf END IS NOT NULL) AS f FROM h GROUP BY ALL)
+SELECT 'r' || n AS repository_id, CAST(seq AS BIGINT) AS seq, CASE WHEN f <> source_file THEN f END AS resolved_file FROM r""")
 def import_resolve(spark: SparkSession, d: str) -> DataFrame:
-    imports = spark.createDataFrame(IMPORTS, "repository_id string, seq long, source_file string, module string, imported_names array<string>, is_relative boolean")
-    return R.resolve_imports(imports, spark.createDataFrame(KNOWN, "repository_id string, path string")).select("seq", "resolved_file")
+    imports = each(spark, d, "supplier", "s_suppkey", IMPORTS, _IMPORT).select(_REPOSITORY, "seq", "source_file", "module", "imported_names", "is_relative")
+    known = each(spark, d, "supplier", "s_suppkey", KNOWN, _KNOWN, 4).select(_REPOSITORY, "path")
+    return R.resolve_imports(imports, known).select("repository_id", "seq", "resolved_file")
 
 
-DEFS = [("r", 1, "a.py", "function", "one"), ("r", 2, "b.py", "function", "one"), ("r", 3, "b.py", "method", "two"), ("r", 4, "c.py", "method", "two"), ("r", 5, "c.py", "function", "three"), ("r", 6, "a.py", "class", "K"), ("r", 7, "b.py", "class", "L"), ("r", 8, "c.py", "class", "L"), ("r", 9, "d.py", "function", "two"), ("r", 10, "a.py", "function", "print")]
-USES = [("r", 1, "a.py", "f", "function", "one", 1), ("r", 2, "a.py", "f", "function", "two", 2), ("r", 3, "c.py", "three", "function", "three", 3), ("r", 4, "x.py", "g", "function", "three", 4), ("r", 5, "x.py", "g", "function", "one", 5), ("r", 6, "a.py", "f", "function", "print", 6), ("r", 7, "d.py", "h", "function", "none", 7), ("r", 8, "x.py", "g", "function", "two", 8)]
-SEEN = [("r", "a.py", "b.py"), ("r", "x.py", "b.py"), ("r", "x.py", "c.py")]
+DEFS = [(1, "a.py", "function", "one"), (2, "b.py", "function", "one"), (3, "b.py", "method", "two"), (4, "c.py", "method", "two"), (5, "c.py", "function", "three"), (6, "a.py", "class", "K"), (7, "b.py", "class", "L"), (8, "c.py", "class", "L"), (9, "d.py", "function", "two"), (10, "a.py", "function", "print")]
+USES = [(1, "a.py", "f", "function", "one", 1), (2, "a.py", "f", "function", "two", 2), (3, "c.py", "three", "function", "three", 3), (4, "x.py", "g", "function", "three", 4), (5, "x.py", "g", "function", "one", 5), (6, "a.py", "f", "function", "print", 6), (7, "d.py", "h", "function", "none", 7), (8, "x.py", "g", "function", "two", 8)]
+SEEN = [("a.py", "b.py"), ("x.py", "b.py"), ("x.py", "c.py"), ("q.py", "a.py")]
+CHILDREN = [(1, "a.py", "A", "L"), (2, "x.py", "B", "L"), (3, "q.py", "C", "K"), (4, "q.py", "D", "object"), (5, "b.py", "E", "L")]
+_DEF, _USE, _SEEN, _CHILD = "seq long, file_path string, entity_type string, entity_name string", "seq long, caller_file string, caller_name string, caller_type string, callee_name string, line int", "source_file string, resolved_file string", "seq long, child_file string, child_class string, parent_class string"
+_DS = f"""{each_sql("d0", "supplier", "s_suppkey", DEFS, _DEF, 5)}, d AS (SELECT n, file_path AS file, entity_type AS kind, entity_name AS name FROM d0),
+{each_sql("s0", "supplier", "s_suppkey", SEEN, _SEEN, 3)}, s AS (SELECT n, source_file AS src, resolved_file AS file FROM s0)"""
 
 
 def _picked(kinds: str) -> str:
-    inside = f"FROM d WHERE d.name = u.name AND d.kind IN ({kinds})"
-    return f"""(SELECT u.*, (SELECT min(file) {inside} AND d.file = u.src) AS own, (SELECT CASE WHEN count(*) = 1 THEN max(file) END {inside} AND d.file IN (SELECT file FROM s WHERE s.src = u.src)) AS via, (SELECT CASE WHEN count(*) = 1 THEN max(file) END {inside}) AS alone FROM u)"""
-
-
-_DS = f"d AS {_values([x[1:] for x in DEFS], 'seq, file, kind, name')}, s AS {_values([x[1:] for x in SEEN], 'src, file')}"
+    """u(n, id, src, name, ...) with the file that its rules give: own, then the only one imported, then the only one."""
+    return f"""p AS (SELECT u.n, u.id, u.src, u.name, u.who, CASE WHEN count(d.file) FILTER (d.file = u.src) > 0 THEN u.src WHEN count(d.file) FILTER (s.file IS NOT NULL) = 1 THEN max(d.file) FILTER (s.file IS NOT NULL) WHEN count(d.file) = 1 THEN max(d.file) END AS target
+FROM u LEFT JOIN d ON d.n = u.n AND d.name = u.name AND d.kind IN ({kinds}) LEFT JOIN s ON s.n = u.n AND s.src = u.src AND s.file = d.file GROUP BY u.n, u.id, u.src, u.name, u.who)"""
 
 
-def _resolution(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return spark.createDataFrame(DEFS, "repository_id string, seq long, file_path string, entity_type string, entity_name string"), spark.createDataFrame(SEEN, "repository_id string, source_file string, resolved_file string")
+def _resolution(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    defined = each(spark, d, "supplier", "s_suppkey", DEFS, _DEF, 5).select(_REPOSITORY, "seq", "file_path", "entity_type", "entity_name")
+    return defined, each(spark, d, "supplier", "s_suppkey", SEEN, _SEEN, 3).select(_REPOSITORY, "source_file", "resolved_file")
 
 
-# By hand: 1 in its own file; 2 and 5 through an import; 4 the only one of that name; 3 calls itself, 6 is never linked, 7 is unknown, 8 is in two imported files.
-CALLED = [(1, "one", "a.py"), (2, "two", "b.py"), (4, "three", "c.py"), (5, "one", "b.py")]
-
-
-@query(f"SELECT CAST(seq AS BIGINT) AS seq, callee_name, callee_file FROM {_values(CALLED, 'seq, callee_name, callee_file')}")
+@query(f"""WITH {_DS}, {each_sql("u0", "supplier", "s_suppkey", USES, _USE)}, u AS (SELECT n, seq AS id, caller_file AS src, callee_name AS name, caller_name AS who FROM u0 WHERE callee_name <> 'print'), {_picked("'function', 'method'")}
+SELECT 'r' || n AS repository_id, CAST(id AS BIGINT) AS seq, name AS callee_name, target AS callee_file FROM p WHERE target IS NOT NULL AND NOT (target = src AND name = who)""")
 def call_resolve(spark: SparkSession, d: str) -> DataFrame:
-    calls = spark.createDataFrame(USES, "repository_id string, seq long, caller_file string, caller_name string, caller_type string, callee_name string, line int")
-    return R.resolve_calls(calls, *_resolution(spark)).select("seq", "callee_name", "callee_file")
-
+    calls = each(spark, d, "supplier", "s_suppkey", USES, _USE).select(_REPOSITORY, "seq", "caller_file", "caller_name", "caller_type", "callee_name", "line")
+    return R.resolve_calls(calls, *_resolution(spark, d)).select("repository_id", "seq", "callee_name", "callee_file")
 
-CHILDREN = [("r", 1, "a.py", "A", "L"), ("r", 2, "x.py", "B", "L"), ("r", 3, "q.py", "C", "K"), ("r", 4, "q.py", "D", "object"), ("r", 5, "b.py", "E", "L")]
 
-
-@query(f"""WITH {_DS}, u AS {_values([x[1:] for x in CHILDREN], 'id, src, child, name')}, p AS {_picked("'class'")} SELECT CAST(id AS BIGINT) AS seq, child AS child_class, coalesce(own, via, alone) AS parent_file FROM p WHERE coalesce(own, via, alone) IS NOT NULL""")
+@query(f"""WITH {_DS}, {each_sql("u0", "supplier", "s_suppkey", CHILDREN, _CHILD)}, u AS (SELECT n, seq AS id, child_file AS src, parent_class AS name, child_class AS who FROM u0), {_picked("'class'")}
+SELECT 'r' || n AS repository_id, CAST(id AS BIGINT) AS seq, who AS child_class, target AS parent_file FROM p WHERE target IS NOT NULL""")
 def inherit_resolve(spark: SparkSession, d: str) -> DataFrame:
-    inherits = spark.createDataFrame(CHILDREN, "repository_id string, seq long, child_file string, child_class string, parent_class string")
-    return R.resolve_inheritance(inherits, *_resolution(spark)).select("seq", "child_class", "parent_file")
-
+    inherits = each(spark, d, "supplier", "s_suppkey", CHILDREN, _CHILD).select(_REPOSITORY, "seq", "child_file", "child_class", "parent_class")
+    return R.resolve_inheritance(inherits, *_resolution(spark, d)).select("repository_id", "seq", "child_class", "parent_file")
 
-_INDEXED: dict[str, tuple[Parsed, G.Graph, DataFrame]] = {}
 
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    """The small repository once for each supplier."""
+    sources = fixture.files(spark).drop("repository_id")
+    names = table(spark, d, "supplier").select(F.concat(F.lit("r"), F.col("s_suppkey").cast("string")).alias("repository_id"))
+    copies = F.explode(F.array(*[F.lit(p) for p in fixture.FILES])).alias("file_path")
+    return names.select("repository_id", copies).join(F.broadcast(sources), "file_path").select("repository_id", "file_path", "language", "length", "text")
 
-def _indexed(spark: SparkSession) -> tuple[Parsed, G.Graph, DataFrame]:
-    """The small repository parsed, as a graph and as chunks: written once a session, as an index is built before it is asked."""
-    key = spark.sparkContext.applicationId
-    if key not in _INDEXED:
-        p, g = _parsed(spark)
-        _INDEXED[key] = p, g, materialize(C.build_chunks(p.entities).withColumn("embedding", hashing_embedding(C.embedding_text())), "chunks")
-    return _INDEXED[key]
 
-
-def _parsed(spark: SparkSession) -> tuple[Parsed, G.Graph]:
-    p = parse_repository(fixture.files(spark))
+def _parsed(spark: SparkSession, d: str) -> tuple[Parsed, G.Graph]:
+    p = parse_repository(materialize(_files(spark, d), "sources"))
     p = Parsed(*[materialize(x, n) for x, n in ((p.entities, "entities"), (p.imports, "imports"), (p.calls, "calls"), (p.inherits, "inherits"), (p.errors, "errors"))])
     g = G.build_graph(p.entities, p.imports, p.calls, p.inherits)
     return p, G.Graph(materialize(g.nodes, "nodes"), materialize(g.edges, "edges"))
 
 
 _ENTITY = "file_path, entity_type, entity_name, start_line, end_line, parent_name, signature, docstring, bases, calls"
+_EACH = "'r' || s_suppkey AS repository_id"
 
 
 def _shown(entities: DataFrame) -> DataFrame:
-    return entities.select("file_path", "entity_type", "entity_name", "start_line", "end_line", "parent_name", "signature", "docstring", F.array_join("base_classes", ",").alias("bases"), F.array_join("calls", ",").alias("calls"))
+    return entities.select("repository_id", "file_path", "entity_type", "entity_name", "start_line", "end_line", "parent_name", "signature", "docstring", F.array_join("base_classes", ",").alias("bases"), F.array_join("calls", ",").alias("calls"))
 
 
-@query(f"SELECT * FROM {_values(expected.PYTHON_ENTITIES, _ENTITY)}")
+@query(f"SELECT {_EACH}, t.* FROM supplier, {_values(expected.PYTHON_ENTITIES, _ENTITY)} t")
 def python_entities(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(_indexed(spark)[0].entities.where("language = 'python'"))
+    return _shown(parse_repository(_files(spark, d).where("language = 'python'")).entities)
 
 
-@query(f"SELECT * FROM {_values(expected.JS_ENTITIES, _ENTITY)}")
+@query(f"SELECT {_EACH}, t.* FROM supplier, {_values(expected.JS_ENTITIES, _ENTITY)} t")
 def js_entities(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(_indexed(spark)[0].entities.where("language in ('javascript', 'typescript')"))
+    return _shown(parse_repository(_files(spark, d).where("language in ('javascript', 'typescript')")).entities)
 
 
-@query(f"SELECT * FROM {_values(expected.CODE_EDGES, 'rel_type, src, dst, module, line')}")
+@query(f"SELECT {_EACH}, t.* FROM supplier, {_values(expected.CODE_EDGES, 'rel_type, src, dst, module, line')} t")
 def code_graph_edges(spark: SparkSession, d: str) -> DataFrame:
-    edges = _indexed(spark)[1].edges
-    return edges.where("rel_type not like '%CONTAINS%' and rel_type not like 'FILE_DEFINES%'").select("rel_type", "src", "dst", "module", "line")
+    edges = _parsed(spark, d)[1].edges
+    return edges.where("rel_type not like '%CONTAINS%' and rel_type not like 'FILE_DEFINES%'").select("repository_id", "rel_type", "src", "dst", "module", "line")
 
 
 _FACT = "question_id, step, name_pos, row_pos, fact, file_path, entity_type, entity_name, start_line, end_line, tier, relationship"
 
 
-@query(f"SELECT * FROM {_values(expected.FACTS, _FACT)}")
-def graph_facts(spark: SparkSession, d: str) -> DataFrame:
-    from stratagraph.operators.questions import analyse
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """Every question of every repository."""
+    asked = each(spark, d, "supplier", "s_suppkey", fixture.QUESTIONS, "k0 int, question string")
+    return asked.select((F.col("n") * 100 + F.col("k0")).alias("question_id"), _REPOSITORY, "question")
 
-    questions = spark.createDataFrame([(k, fixture.REPOSITORY, q) for k, q in fixture.QUESTIONS], "question_id int, repository_id string, question string")
-    return H.graph_context(analyse(questions), _indexed(spark)[1]).select(*_FACT.split(", "))
 
+@query(f"SELECT s_suppkey * 100 + q AS question_id, t.* EXCLUDE (q) FROM supplier, {_values(expected.FACTS, _FACT.replace('question_id', 'q'))} t")
+def graph_facts(spark: SparkSession, d: str) -> DataFrame:
+    from stratagraph.operators.questions import analyse
 
-def _retrieval(spark: SparkSession) -> tuple[DataFrame, DataFrame, G.Graph]:
-    _, g, chunks = _indexed(spark)
-    return spark.createDataFrame([(k, fixture.REPOSITORY, q) for k, q in fixture.QUESTIONS], "question_id int, repository_id string, question string"), chunks, g
+    return H.graph_context(materialize(analyse(_asked(spark, d)), "analysed"), _parsed(spark, d)[1]).select(*_FACT.split(", "))
 
 
 @query()
 def hybrid_retrieve(spark: SparkSession, d: str) -> DataFrame:
-    questions, chunks, g = _retrieval(spark)
-    return H.hybrid(questions, chunks, g, fixture.files(spark))[0]
+    """Sources, parsed, resolved, chunked and embedded, then asked: the index is part of it."""
+    p, g = _parsed(spark, d)
+    chunks = materialize(C.build_chunks(p.entities).withColumn("embedding", hashing_embedding(C.embedding_text())), "chunks")
+    return H.hybrid(_asked(spark, d), chunks, g, materialize(_files(spark, d), "sources"))[0]
 
 
 @query("""SELECT directory, count(*) AS n FROM (SELECT CASE WHEN contains(p, '/') THEN regexp_replace(p, '/[^/]*$', '') ELSE '(root)' END AS directory FROM (SELECT regexp_replace(url, '^[a-z]+:/*', '') AS p FROM pages)) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12""")
