@@ -7,7 +7,10 @@ score, tier, relationship); a row holds an item, a fact, or both. Order is (step
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -229,24 +232,83 @@ def _as_items(df: DataFrame, order: Column, **given: Column) -> DataFrame:
     return df.select(*cols, order.alias("__order"))
 
 
-def hybrid(questions: DataFrame, chunks: DataFrame, g: G.Graph, files: DataFrame | None = None, embed=None, limit: int = R.CONTEXT_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """H1: (ranked items, distinct facts) of questions(question_id, repository_id, question)."""
+class Retrieved(NamedTuple):
+    """ranked items, distinct facts, and degraded(question_id, retriever, error): which questions a retriever failed for."""
+
+    ranked: DataFrame
+    facts: DataFrame
+    degraded: DataFrame
+
+
+#: Failures of one retriever after which the questions that are still open are given up together.
+FAILURES = 12
+_DEGRADED = "question_id long, retriever string, error string"
+
+
+def isolated(questions: DataFrame, run: Callable[[DataFrame], DataFrame], name: str) -> tuple[DataFrame | None, DataFrame]:
+    """(what `run` gives for the questions it works for, written; the others, as degraded rows).
+
+    A batch that fails is halved by the hash of its questions until those at fault stand alone, so one bad question costs about
+    2 log n runs; a retriever that fails whatever it is asked is given up after FAILURES runs. None where nothing worked.
+    """
+    spark = questions.sparkSession
+    failed, done, bad = 0, None, spark.createDataFrame([], _DEGRADED)
+    open_ = [(1, 0)]  # (parts, part) of the hash
+    place = F.xxhash64("question_id")
+    while open_:
+        parts, part = open_.pop()
+        some = questions.where(F.pmod(place, F.lit(parts)) == part) if parts > 1 else questions
+        try:
+            got = materialize(run(some), f"{name}_found")
+            done = got if done is None else done.unionByName(got)
+        except Exception as e:  # whatever a retriever raises, the other one's items are still wanted
+            failed += 1
+            text = f"{type(e).__name__}: {e}"[:300]
+            logging.getLogger(__name__).warning("%s retriever, part %d of %d: %s", name, part, parts, text)
+            if failed < FAILURES and some.limit(2).count() > 1:
+                open_ += [(2 * parts, part), (2 * parts, part + parts)]
+            else:
+                bad = bad.unionByName(some.select(F.col("question_id").cast("long").alias("question_id"), F.lit(name).alias("retriever"), F.lit(text).alias("error")))
+    return done, bad
+
+
+def retrieve(questions: DataFrame, chunks: DataFrame, g: G.Graph, files: DataFrame | None = None, embed=None, limit: int = R.CONTEXT_LIMIT) -> Retrieved:
+    """H1 for questions(question_id, repository_id, question). Each retriever is written by itself: one that fails leaves the other's items."""
     from stratagraph.functions.vectors import hashing_embedding
     from stratagraph.sources.repository import read_lines
 
     # Written once each: both feed several branches, whose plans would multiply.
     asked = materialize(analyse(questions), "asked")
-    hits = materialize(vector_items(asked.where("use_vector"), chunks, embed or hashing_embedding), "hits")
-    found = graph_context(asked, g).unionByName(expansion(hits.join(asked.where("wants_graph").select("question_id"), "question_id", "left_semi"), g)).join(asked.select("question_id", "repository_id"), "question_id")
-    found = materialize(found, "found")
+    hits, lost = isolated(asked.where("use_vector"), lambda some: vector_items(some, chunks, embed or hashing_embedding), "vector")
+
+    def from_graph(some: DataFrame) -> DataFrame:
+        found = graph_context(some, g)
+        if hits is not None:
+            found = found.unionByName(expansion(hits.join(small(some.select("question_id")), "question_id", "left_semi"), g))
+        return found.join(some.select("question_id", "repository_id"), "question_id")
+
+    found, missing = isolated(asked.where("wants_graph"), from_graph, "graph")
     order = lambda k, *c: F.struct(F.lit(k).alias("k"), *[F.coalesce(x, F.lit(0)).cast("long").alias(f"o{n}") for n, x in enumerate(c)])
-    vector = _as_items(hits, order(0, F.col("position"), F.lit(0), F.lit(0)), source=F.lit("vector"))
-    graph = _as_items(found.where("file_path <> ''"), order(1, F.col("step"), F.col("name_pos"), F.col("row_pos")), source=F.lit("graph"))
-    if files is not None:
-        graph = read_lines(graph, files)
-    both = vector.unionByName(graph).withColumn("seq", F.row_number().over(Window.partitionBy("question_id").orderBy("__order"))).drop("__order")
-    facts = found.where("fact is not null").withColumn("seq", F.row_number().over(Window.partitionBy("question_id").orderBy("step", "name_pos", "row_pos"))).select("question_id", "seq", "fact")
-    return R.rank(both.drop("repository_id"), limit), R.distinct_facts(facts)
+    items = []
+    if hits is not None:
+        items.append(_as_items(hits, order(0, F.col("position"), F.lit(0), F.lit(0)), source=F.lit("vector")))
+    if found is not None:
+        graph = _as_items(found.where("file_path <> ''"), order(1, F.col("step"), F.col("name_pos"), F.col("row_pos")), source=F.lit("graph"))
+        items.append(graph if files is None else read_lines(graph, files))
+    if not items:
+        empty = vector_items(asked.limit(0), chunks.limit(0), lambda c: F.array().cast("array<double>"))
+        items.append(_as_items(empty, order(0, F.col("position"), F.lit(0), F.lit(0)), source=F.lit("vector")))
+    both = reduce(DataFrame.unionByName, items).withColumn("seq", F.row_number().over(Window.partitionBy("question_id").orderBy("__order"))).drop("__order")
+    if found is None:
+        facts = asked.limit(0).select("question_id", F.lit(1).alias("seq"), F.lit("").alias("fact"))
+    else:
+        facts = found.where("fact is not null").withColumn("seq", F.row_number().over(Window.partitionBy("question_id").orderBy("step", "name_pos", "row_pos"))).select("question_id", "seq", "fact")
+    return Retrieved(R.rank(both.drop("repository_id"), limit), R.distinct_facts(facts), lost.unionByName(missing))
+
+
+def hybrid(questions: DataFrame, chunks: DataFrame, g: G.Graph, files: DataFrame | None = None, embed=None, limit: int = R.CONTEXT_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """(ranked items, distinct facts) of `retrieve`."""
+    return retrieve(questions, chunks, g, files, embed, limit)[:2]
 
 
 def vector_only(questions: DataFrame, chunks: DataFrame, embed=None, limit: int = R.CONTEXT_LIMIT) -> DataFrame:

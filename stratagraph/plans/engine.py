@@ -139,23 +139,29 @@ class Engine:
         return session.sql(query)
 
     def ask(self, repository_id: str, questions: list[str], mode: str = "hybrid", limit: int = R.CONTEXT_LIMIT, generate: bool = True) -> DataFrame:
-        """I4: answers (or, without generation, contexts) of a batch of questions in mode hybrid or vector."""
+        """I4: answers (or, without generation, contexts) of a batch of questions in mode hybrid or vector, each with the retrievers that failed for it in `degraded`."""
         self.store.require_ready(repository_id)
         asked = self.spark.createDataFrame(list(enumerate(questions)), "question_id int, question string")
-        ranked, facts = self.retrieve(repository_id, asked, mode, limit)
-        contexts = materialize(R.context_text(ranked, facts).join(asked, "question_id"), "contexts")
-        return C.answers_for(contexts, ranked, self.answer) if generate else contexts
+        found = self.retrieve_all(repository_id, asked, mode, limit)
+        contexts = materialize(R.context_text(found.ranked, found.facts).join(asked, "question_id"), "contexts")
+        out = C.answers_for(contexts, found.ranked, self.answer) if generate else contexts
+        failed = found.degraded.groupBy("question_id").agg(F.array_sort(F.collect_set("retriever")).alias("degraded"))
+        return out.join(F.broadcast(failed), "question_id", "left").withColumn("degraded", F.coalesce("degraded", F.array().cast("array<string>")))
 
     def retrieve(self, repository_id: str, asked: DataFrame, mode: str, limit: int = R.CONTEXT_LIMIT) -> tuple[DataFrame, DataFrame]:
         """(ranked items, facts) of asked(question_id, question) in mode hybrid or vector, written."""
+        return self.retrieve_all(repository_id, asked, mode, limit)[:2]
+
+    def retrieve_all(self, repository_id: str, asked: DataFrame, mode: str, limit: int = R.CONTEXT_LIMIT) -> H.Retrieved:
         asked = asked.select("question_id", F.lit(repository_id).alias("repository_id"), "question")
-        chunks = self.store.read("chunks", repository_id)
+        version = self.store.versions.manifest(repository_id)["version"]
+        chunks = self.store.read("chunks", repository_id, version=version or None)
         none = asked.select("question_id", F.array().cast("array<string>").alias("facts"))
         if mode == "vector":
-            return materialize(H.vector_only(asked, chunks, self.embed, limit), "ranked"), none
-        ranked, facts = H.hybrid(asked, chunks, self.graph(repository_id), self.store.read("files", repository_id), self.embed, limit)
-        facts = none.select("question_id").join(facts, "question_id", "left").withColumn("facts", F.coalesce("facts", F.array().cast("array<string>")))
-        return materialize(ranked, "ranked"), materialize(facts, "facts")
+            return H.Retrieved(materialize(H.vector_only(asked, chunks, self.embed, limit), "ranked"), none, self.spark.createDataFrame([], "question_id long, retriever string, error string"))
+        found = H.retrieve(asked, chunks, self.graph(repository_id), self.store.read("files", repository_id, version=version or None), self.embed, limit)
+        facts = none.select("question_id").join(found.facts, "question_id", "left").withColumn("facts", F.coalesce("facts", F.array().cast("array<string>")))
+        return H.Retrieved(materialize(found.ranked, "ranked"), materialize(facts, "facts"), materialize(found.degraded, "degraded"))
 
     def evaluate(self, repository_id: str, benchmark: DataFrame, limit: int = R.CONTEXT_LIMIT) -> DataFrame:
         """Retrieval metrics of both systems over questions(question_id, question, category, relevant_files); `plans.benchmark` runs the whole evaluation."""

@@ -112,6 +112,10 @@ capped AS (SELECT *, row_number() OVER (PARTITION BY question_id, file_path ORDE
 final AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY over, rnk) AS position FROM capped)"""
 
 
+#: From items to their final places.
+RANKED_SQL = _ITEMS[_ITEMS.index("k AS (SELECT question_id, file_path, entity_name") :]
+
+
 @query(f"WITH {_ITEMS} SELECT * FROM merged")
 def dedup_merge(spark: SparkSession, d: str) -> DataFrame:
     return R.merge_duplicates(items(spark, d)).select("question_id", "file_path", "entity_name", "start_line", "end_line", "content", "score", "source", "tier", "seq", "relationship")
