@@ -241,7 +241,7 @@ class Retrieved(NamedTuple):
 
 
 #: Failures of one retriever after which the questions that are still open are given up together.
-FAILURES = 12
+FAILURES = 24
 _DEGRADED = "question_id long, retriever string, error string"
 
 

@@ -222,6 +222,13 @@ def shortest_path_len(spark: SparkSession, d: str) -> DataFrame:
     return T.chains_from(edges, sources).withColumn("path", F.array_join("path", ">"))
 
 
+@query(f"WITH {DEP_SQL}, {_levels(6)}, a AS (" + " UNION ALL ".join(f"SELECT source, node AS target, {h} AS length, array_to_string(path, '>') AS path FROM l{h}" for h in range(1, 7)) + ") SELECT * FROM a WHERE target = source + 50")
+def shortest_path_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every hundredth part and the one 50 behind it, searched from both ends."""
+    pairs = table(spark, d, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").cast("long").alias("source"), (F.col("p_partkey") + 50).cast("long").alias("target"))
+    return T.shortest_chains(dep(spark, d), pairs).select("source", "target", "length", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+
+
 def _index(spark: SparkSession, d: str) -> A.Adjacency:
     return A.write_index(code_graph(spark, d), f"{shared_dir(spark)}/adjacency")
 
