@@ -15,6 +15,7 @@ from stratagraph.operators import facts as H
 from stratagraph.operators import generation as L
 from stratagraph.operators import graph as G
 from stratagraph.operators import grounding as C
+from stratagraph.operators import patterns as M
 from stratagraph.operators import ranking as R
 from stratagraph.operators import traverse as T
 from stratagraph.operators import vector_search as V
@@ -138,6 +139,10 @@ class Engine:
             Store(session, self.store.root).read(t, repository_id, version=version).createOrReplaceTempView(t)
         return session.sql(query)
 
+    def match(self, repository_id: str, pattern: list[tuple[str, str, str]]) -> DataFrame:
+        """Q17: ways to bind the variables of (variable, relation, variable) triples to nodes of the graph."""
+        return M.match(self._ready_graph(repository_id).edges, pattern)
+
     def ask(self, repository_id: str, questions: list[str], mode: str = "hybrid", limit: int = R.CONTEXT_LIMIT, generate: bool = True) -> DataFrame:
         """I4: answers (or, without generation, contexts) of a batch of questions in mode hybrid or vector, each with the retrievers that failed for it in `degraded`."""
         self.store.require_ready(repository_id)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratagraph.operators import graph as G
 from stratagraph.operators import inverted_file as I
+from stratagraph.operators import patterns as M
 from stratagraph.operators import traverse as T
 from stratagraph.operators import vector_search as V
 from stratagraph.plans.registry import query
@@ -248,3 +249,24 @@ def indexed_imports(spark: SparkSession, d: str) -> DataFrame:
     """What every file imports within three hops, by the bucketed index."""
     index = _index(spark, d)
     return A.reach(index, index.nodes.where("node_type = 'File'").select(F.col("node_id").alias("start")), 3, rel_types=["FILE_IMPORTS_FILE"])
+
+
+_TYPED = lambda rel: f"(SELECT DISTINCT src, dst FROM code_edges WHERE rel_type = '{rel}')"
+
+
+@query(f"""WITH {CODE_SQL} SELECT i.src AS a, i.dst AS b, f.dst AS c, h.dst AS d FROM {_TYPED("FILE_IMPORTS_FILE")} i JOIN {_TYPED("FILE_DEFINES_CLASS")} f ON f.src = i.dst JOIN {_TYPED("CLASS_INHERITS_CLASS")} h ON h.src = f.dst""")
+def pattern_path(spark: SparkSession, d: str) -> DataFrame:
+    """Files that import a file whose class has a base class."""
+    return M.match(code_graph(spark, d).edges, [("a", "FILE_IMPORTS_FILE", "b"), ("b", "FILE_DEFINES_CLASS", "c"), ("c", "CLASS_INHERITS_CLASS", "d")])
+
+
+@query(f"""WITH {CODE_SQL} SELECT f.src AS a, f.dst AS b, m.dst AS c, h.dst AS d FROM {_TYPED("FILE_DEFINES_CLASS")} f JOIN {_TYPED("CLASS_CONTAINS_METHOD")} m ON m.src = f.dst JOIN {_TYPED("CLASS_INHERITS_CLASS")} h ON h.src = f.dst""")
+def pattern_star(spark: SparkSession, d: str) -> DataFrame:
+    """Classes with their file, a method and a base class."""
+    return M.match(code_graph(spark, d).edges, [("a", "FILE_DEFINES_CLASS", "b"), ("b", "CLASS_CONTAINS_METHOD", "c"), ("b", "CLASS_INHERITS_CLASS", "d")])
+
+
+@query(f"""WITH {CODE_SQL}, e AS {_TYPED("FILE_IMPORTS_FILE")} SELECT x.src AS a, y.src AS b, z.src AS c FROM e x JOIN e y ON y.src = x.dst JOIN e z ON z.src = y.dst AND z.dst = x.src""")
+def pattern_cycle(spark: SparkSession, d: str) -> DataFrame:
+    """Files that import one another in a circle of three."""
+    return M.match(code_graph(spark, d).edges, [("a", "FILE_IMPORTS_FILE", "b"), ("b", "FILE_IMPORTS_FILE", "c"), ("c", "FILE_IMPORTS_FILE", "a")])
