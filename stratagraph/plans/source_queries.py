@@ -302,13 +302,14 @@ def inherit_resolve(spark: SparkSession, d: str) -> DataFrame:
 def _files(spark: SparkSession, d: str) -> DataFrame:
     """The small repository once for each supplier."""
     sources = fixture.files(spark).drop("repository_id")
-    names = table(spark, d, "supplier").select(F.concat(F.lit("r"), F.col("s_suppkey").cast("string")).alias("repository_id"))
+    # Names are dealt out before they are joined with texts: a source is little to read and much to parse.
+    names = table(spark, d, "supplier").select(F.concat(F.lit("r"), F.col("s_suppkey").cast("string")).alias("repository_id")).repartition(2 * spark.sparkContext.defaultParallelism)
     copies = F.explode(F.array(*[F.lit(p) for p in fixture.FILES])).alias("file_path")
     return names.select("repository_id", copies).join(F.broadcast(sources), "file_path").select("repository_id", "file_path", "language", "length", "text")
 
 
 def _parsed(spark: SparkSession, d: str) -> tuple[Parsed, G.Graph]:
-    p = parse_repository(materialize(_files(spark, d), "sources"))
+    p = parse_repository(_files(spark, d))
     p = Parsed(*[materialize(x, n) for x, n in ((p.entities, "entities"), (p.imports, "imports"), (p.calls, "calls"), (p.inherits, "inherits"), (p.errors, "errors"))])
     g = G.build_graph(p.entities, p.imports, p.calls, p.inherits)
     return p, G.Graph(materialize(g.nodes, "nodes"), materialize(g.edges, "edges"))
