@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,7 +77,8 @@ def answers_for(contexts: DataFrame, ranked: DataFrame, provider=extractive_answ
     """
     try:
         raw = materialize(provider(contexts).select("question_id", "answer", "abstained"), "answers")
-    except Exception:  # a provider that fails must not fail the batch
+    except Exception as e:  # a provider that fails must not fail the batch
+        logging.getLogger(__name__).warning("the provider of answers failed, extractive answers stand in: %s: %s", type(e).__name__, str(e)[:300])
         raw = materialize(extractive_answers(contexts), "answers")
     judged = materialize(verify(extract(raw), ranked), "judged")
     counts = judged.groupBy("question_id").agg(F.count_if(F.col("verified")).alias("verified"), F.count_if(~F.col("verified")).alias("unverified"))
