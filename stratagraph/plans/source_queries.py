@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratagraph.functions import paths as P
@@ -249,7 +249,11 @@ def import_candidates(spark: SparkSession, d: str) -> DataFrame:
 IMPORTS = [(1, "src/pkg/a.py", "pkg.b", ["x"], False), (2, "src/pkg/a.py", "pkg", ["b"], False), (3, "src/pkg/a.py", ".b", ["x"], True), (4, "src/pkg/a.py", "util", [], False), (5, "src/pkg/b.py", "pkg.b", [], False), (6, "src/pkg/a.py", "os", ["path"], False), (7, "t/c.py", "pkg", ["missing", "a"], False), (8, "x/util.py", "deep.util", [], False)]
 KNOWN = [("src/pkg/a.py",), ("src/pkg/b.py",), ("x/util.py",), ("y/util.py",), ("t/c.py",), ("z/deep/util.py",), ("v/pkg/b.py",)]
 _IMPORT, _KNOWN = "seq long, source_file string, module string, imported_names array<string>, is_relative boolean", "path string"
-_REPOSITORY = F.concat(F.lit("r"), F.col("n").cast("string")).alias("repository_id")
+
+
+def _repository() -> Column:
+    return F.concat(F.lit("r"), F.col("n").cast("string")).alias("repository_id")
+
 
 
 @query(f"""WITH {each_sql("i", "supplier", "s_suppkey", IMPORTS, _IMPORT)}, {each_sql("k", "supplier", "s_suppkey", KNOWN, _KNOWN, 4)},
@@ -260,8 +264,8 @@ h AS (SELECT t.n, seq, source_file, grp, nm, v, max(path) FILTER (path = cand) A
 r AS (SELECT n, seq, source_file, first(CASE WHEN grp = 0 THEN coalesce(ex, sf) ELSE lf END ORDER BY grp, nm, v) FILTER (CASE WHEN grp = 0 THEN coalesce(ex, sf) ELSE lf END IS NOT NULL) AS f FROM h GROUP BY ALL)
 SELECT 'r' || n AS repository_id, CAST(seq AS BIGINT) AS seq, CASE WHEN f <> source_file THEN f END AS resolved_file FROM r""")
 def import_resolve(spark: SparkSession, d: str) -> DataFrame:
-    imports = each(spark, d, "supplier", "s_suppkey", IMPORTS, _IMPORT).select(_REPOSITORY, "seq", "source_file", "module", "imported_names", "is_relative")
-    known = each(spark, d, "supplier", "s_suppkey", KNOWN, _KNOWN, 4).select(_REPOSITORY, "path")
+    imports = each(spark, d, "supplier", "s_suppkey", IMPORTS, _IMPORT).select(_repository(), "seq", "source_file", "module", "imported_names", "is_relative")
+    known = each(spark, d, "supplier", "s_suppkey", KNOWN, _KNOWN, 4).select(_repository(), "path")
     return R.resolve_imports(imports, known).select("repository_id", "seq", "resolved_file")
 
 
@@ -281,21 +285,21 @@ FROM u LEFT JOIN d ON d.n = u.n AND d.name = u.name AND d.kind IN ({kinds}) LEFT
 
 
 def _resolution(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    defined = each(spark, d, "supplier", "s_suppkey", DEFS, _DEF, 5).select(_REPOSITORY, "seq", "file_path", "entity_type", "entity_name")
-    return defined, each(spark, d, "supplier", "s_suppkey", SEEN, _SEEN, 3).select(_REPOSITORY, "source_file", "resolved_file")
+    defined = each(spark, d, "supplier", "s_suppkey", DEFS, _DEF, 5).select(_repository(), "seq", "file_path", "entity_type", "entity_name")
+    return defined, each(spark, d, "supplier", "s_suppkey", SEEN, _SEEN, 3).select(_repository(), "source_file", "resolved_file")
 
 
 @query(f"""WITH {_DS}, {each_sql("u0", "supplier", "s_suppkey", USES, _USE)}, u AS (SELECT n, seq AS id, caller_file AS src, callee_name AS name, caller_name AS who FROM u0 WHERE callee_name <> 'print'), {_picked("'function', 'method'")}
 SELECT 'r' || n AS repository_id, CAST(id AS BIGINT) AS seq, name AS callee_name, target AS callee_file FROM p WHERE target IS NOT NULL AND NOT (target = src AND name = who)""")
 def call_resolve(spark: SparkSession, d: str) -> DataFrame:
-    calls = each(spark, d, "supplier", "s_suppkey", USES, _USE).select(_REPOSITORY, "seq", "caller_file", "caller_name", "caller_type", "callee_name", "line")
+    calls = each(spark, d, "supplier", "s_suppkey", USES, _USE).select(_repository(), "seq", "caller_file", "caller_name", "caller_type", "callee_name", "line")
     return R.resolve_calls(calls, *_resolution(spark, d)).select("repository_id", "seq", "callee_name", "callee_file")
 
 
 @query(f"""WITH {_DS}, {each_sql("u0", "supplier", "s_suppkey", CHILDREN, _CHILD)}, u AS (SELECT n, seq AS id, child_file AS src, parent_class AS name, child_class AS who FROM u0), {_picked("'class'")}
 SELECT 'r' || n AS repository_id, CAST(id AS BIGINT) AS seq, who AS child_class, target AS parent_file FROM p WHERE target IS NOT NULL""")
 def inherit_resolve(spark: SparkSession, d: str) -> DataFrame:
-    inherits = each(spark, d, "supplier", "s_suppkey", CHILDREN, _CHILD).select(_REPOSITORY, "seq", "child_file", "child_class", "parent_class")
+    inherits = each(spark, d, "supplier", "s_suppkey", CHILDREN, _CHILD).select(_repository(), "seq", "child_file", "child_class", "parent_class")
     return R.resolve_inheritance(inherits, *_resolution(spark, d)).select("repository_id", "seq", "child_class", "parent_file")
 
 
@@ -345,7 +349,7 @@ _FACT = "question_id, step, name_pos, row_pos, fact, file_path, entity_type, ent
 def _asked(spark: SparkSession, d: str) -> DataFrame:
     """Every question of every repository."""
     asked = each(spark, d, "supplier", "s_suppkey", fixture.QUESTIONS, "k0 int, question string")
-    return asked.select((F.col("n") * 100 + F.col("k0")).alias("question_id"), _REPOSITORY, "question")
+    return asked.select((F.col("n") * 100 + F.col("k0")).alias("question_id"), _repository(), "question")
 
 
 @query(f"SELECT s_suppkey * 100 + q AS question_id, t.* EXCLUDE (q) FROM supplier, {_values(expected.FACTS, _FACT.replace('question_id', 'q'))} t")
