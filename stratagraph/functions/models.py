@@ -37,6 +37,7 @@ def model_embedding(name: str, load: Callable[[], Callable[[list[str]], np.ndarr
             out += (v / np.where(n == 0, 1.0, n)).tolist()
         return pd.Series(out, dtype=object)
 
+    embed.model = name  # an index that another model has made is not amended
     return embed
 
 

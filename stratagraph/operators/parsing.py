@@ -46,9 +46,9 @@ def parse_rows(files: DataFrame) -> DataFrame:
     return files.where(F.col("language").isin(list(PARSERS))).select("repository_id", "file_path", "language", "text").mapInPandas(run, _ROW)
 
 
-def parse_repository(files: DataFrame) -> Parsed:
-    """All rows of a tree with imports, calls and inheritance resolved; seq ascends within a file."""
-    rows = materialize(parse_rows(files).withColumn("seq", F.monotonically_increasing_id()), "parsed")  # read six times, and not to be parsed anew where an executor is lost
+def parse_unresolved(files: DataFrame, first_seq: int = 0) -> Parsed:
+    """All rows of a tree; seq ascends within a file, and is not under `first_seq` for what a parser gave."""
+    rows = materialize(parse_rows(files).withColumn("seq", F.monotonically_increasing_id() + F.lit(first_seq)), "parsed")  # read six times, and not to be parsed anew where an executor is lost
     none = lambda t: F.lit(None).cast(t)
     some = lambda c: F.coalesce(c, F.array().cast("array<string>"))
     code = rows.where("kind = 'entity'").select(
@@ -65,6 +65,16 @@ def parse_repository(files: DataFrame) -> Parsed:
     imports = own.where("kind = 'import'").select("repository_id", "seq", F.col("file_path").alias("source_file"), "module", some("names").alias("imported_names"), F.col("start").alias("line"), F.col("relative").alias("is_relative"))
     calls = own.where("kind = 'call'").select("repository_id", "seq", F.col("file_path").alias("caller_file"), F.col("name").alias("caller_name"), F.col("type").alias("caller_type"), F.col("callee").alias("callee_name"), F.col("start").alias("line"))
     inherits = own.where("kind = 'inherit'").select("repository_id", "seq", F.col("file_path").alias("child_file"), F.col("name").alias("child_class"), F.col("callee").alias("parent_class"))
-    known = entities.select("repository_id", F.col("file_path").alias("path")).distinct()
-    imports = resolve_imports(imports, known)
-    return Parsed(entities, imports, resolve_calls(calls, entities, imports), resolve_inheritance(inherits, entities, imports), rows.where("kind = 'error'").select("repository_id", "file_path", F.col("name").alias("error")))
+    return Parsed(entities, imports, calls, inherits, rows.where("kind = 'error'").select("repository_id", "file_path", F.col("name").alias("error")))
+
+
+def known_paths(entities: DataFrame) -> DataFrame:
+    """Files that an import can mean: those with an entity."""
+    return entities.select("repository_id", F.col("file_path").alias("path")).distinct()
+
+
+def parse_repository(files: DataFrame) -> Parsed:
+    """All rows of a tree with imports, calls and inheritance resolved; seq ascends within a file."""
+    p = parse_unresolved(files)
+    imports = resolve_imports(p.imports, known_paths(p.entities))
+    return Parsed(p.entities, imports, resolve_calls(p.calls, p.entities, imports), resolve_inheritance(p.inherits, p.entities, imports), p.errors)

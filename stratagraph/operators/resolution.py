@@ -130,3 +130,8 @@ def resolve_inheritance(inherits: DataFrame, entities: DataFrame, imports: DataF
     uses = inherits.select("repository_id", F.col("seq").alias("use_id"), F.col("child_file").alias("source_file"), F.col("parent_class").alias("name"))
     found = pick_targets(uses, entities.where("entity_type = 'class'"), imports)
     return inherits.drop("parent_file").join(found.select("repository_id", F.col("use_id").alias("seq"), F.col("target_file").alias("parent_file")), ["repository_id", "seq"])
+
+
+def with_targets(references: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
+    """All references, with the target columns of those that are found, and null ones for the rest."""
+    return references.drop(*columns).join(found.select("repository_id", "seq", *columns), ["repository_id", "seq"], "left")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratagraph.functions import paths as P
-from stratagraph.functions.vectors import hashing_embedding, uuid5
+from stratagraph.functions.vectors import hashing_embedding
 from stratagraph.operators import evaluation as E
 from stratagraph.operators import facts as H
 from stratagraph.operators import generation as L
@@ -19,8 +19,7 @@ from stratagraph.operators import patterns as M
 from stratagraph.operators import ranking as R
 from stratagraph.operators import traverse as T
 from stratagraph.operators import vector_search as V
-from stratagraph.operators.chunking import build_chunks, embedding_text
-from stratagraph.operators.parsing import parse_repository
+from stratagraph.plans import indexing as I
 from stratagraph.plans.scratch import materialize
 from stratagraph.sources import repository as S
 from stratagraph.sources.store import NotFound, Store
@@ -28,8 +27,6 @@ from stratagraph.sources.store import NotFound, Store
 TABLES = ("files", "entities", "chunks", "nodes", "edges")
 NODES = "node_id string, node_type string, file_path string, class_name string, name string, language string, signature string, docstring string, start_line int, end_line int, repository_id string"
 EDGES = "rel_type string, src string, dst string, module string, line int, repository_id string"
-#: What Spark says of files that are gone or damaged.
-UNREADABLE = ("PATH_NOT_FOUND", "FILE_NOT_EXIST", "FAILED_READ_FILE", "CANNOT_READ_FILE_FOOTER", "is not a Parquet file", "does not exist")
 OVERVIEW_CHARS, SNIPPET = 12_000, 1_500
 #: What an overview is made from: (text to search for, entity types, hits).
 OVERVIEW_SEARCHES = [
@@ -72,34 +69,23 @@ class Engine:
             self.store.set_status(repository_id, "failed", str(e)[:500])
             raise
 
-    def index(self, repository_id: str, root: str) -> None:
-        """Scan, parse, resolve, chunk, embed and build the graph of a folder; states are logged, failures too.
+    def index(self, repository_id: str, root: str, full: bool = False) -> I.Indexed:
+        """Scan, parse, resolve, chunk, embed and build the graph of a folder; states are logged, failures too. What was done is told.
 
-        The tables become visible together, at the end; a folder without sources gives empty ones. Until then, and after a failure, those of the
-        index before stay.
+        Where the folder was indexed before, only what has changed since is parsed, resolved, chunked and embedded anew (`plans.indexing`), with the
+        same tables as a whole index gives; `full` asks for a whole one. The tables become visible together, at the end; a folder
+        without sources gives empty ones. Until then, and after a failure, those of the index before stay.
         """
-        staged = self.store.stage(repository_id)
+        state = lambda name, **known: self.store.set_status(repository_id, name, **known)
         try:
-            self.store.set_status(repository_id, "parsing")
-            files = staged.put("files", S.scan(self.spark, root, repository_id))
-            languages = {r["language"]: r["n"] for r in S.language_counts(files).collect()}
-            parsed = parse_repository(files)
-            entities = staged.put("entities", parsed.entities)
-            self.store.set_status(repository_id, "creating_embeddings", language_counts=languages)
-            key = F.concat_ws(":", "repository_id", "file_path", "entity_type", "entity_name", F.format_string("%d-%d", "start_line", "end_line"))
-            staged.put("chunks", build_chunks(entities).withColumn("id", uuid5(key)).withColumn("embedding", self.embed(embedding_text())))
-            self.store.set_status(repository_id, "building_graph")
-            rows = files.select("repository_id", "file_path", F.coalesce("language", F.lit("unknown")).alias("language")).join(entities.select("repository_id", "file_path").distinct(), ["repository_id", "file_path"], "left_semi")
-            graph = G.build_graph(entities, parsed.imports, parsed.calls, parsed.inherits, rows)
-            staged.put("nodes", graph.nodes)
-            staged.put("edges", graph.edges)
-            staged.commit()
+            done = I.index(self.spark, self.store, repository_id, root, self.embed, state, full)
             self._forget_graph(repository_id)
             self.store.set_status(repository_id, "ready")
         except Exception as e:
             self.store.set_status(repository_id, "failed", str(e)[:500])
             raise
         self.store.versions.vacuum(repository_id)
+        return done
 
     def graph(self, repository_id: str) -> G.Graph:
         """The stored graph, cached until the repository is indexed or deleted. One whose files are missing or damaged is empty, and is tried again next time."""
@@ -115,7 +101,7 @@ class Engine:
             except Exception as e:
                 for df in held:
                     df.unpersist()
-                if not any(sign in str(e) for sign in UNREADABLE):
+                if not I.unreadable(e):
                     raise
                 logging.getLogger(__name__).warning("no graph of %s: %s", repository_id, str(e)[:200])
                 return G.Graph(self.spark.createDataFrame([], NODES), self.spark.createDataFrame([], EDGES))

@@ -12,6 +12,8 @@ from stratagraph.plans.scratch import materialize
 
 MAX_FILE_BYTES, SNIFF_BYTES, MAX_LINES, PREVIEW_BYTES = 1_000_000, 4_096, 120, 400_000
 FRAMEWORK_FILES = 400
+#: Folders that a task lists in one round, rows that it hands on at a time; bytes of files that a task reads, what opening one counts as, and files of one batch.
+FOLDERS_A_TASK, LISTED_ROWS, TASK_BYTES, OPEN_BYTES, READ_ROWS = 500, 10_000, 32 << 20, 16 << 10, 16
 # Dependency manifests, and words that reveal a framework.
 MANIFESTS = ["requirements.txt", "pyproject.toml", "setup.py", "setup.cfg", "Pipfile", "package.json", "pom.xml", "build.gradle", "go.mod", "Cargo.toml", "Gemfile"]
 FRAMEWORKS = {
@@ -33,82 +35,103 @@ def _opened(root: str):
     return afs.FileSystem.from_uri(root) if re.match(r"[a-z0-9]+:/", root) else (afs.LocalFileSystem(), root)
 
 
-def _hidden(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length) of files that Spark's listing leaves out: names or folders that begin with _ or a dot, and empty files.
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length) of the files under root that are not too large, by one listing of each folder; ignored folders are not entered, symbolic links not followed.
 
-    A level of folders is listed by the executors at a time and written, so no list of files or folders is on the driver.
+    Executors list: a task goes down from its folders until it has listed FOLDERS_A_TASK, and leaves what is below for the next round, which
+    deals it out anew. Rounds are written, so no list of files or folders is on the driver.
     """
-    most, ignored_folders = MAX_FILE_BYTES, frozenset(P.IGNORED_FOLDERS)
+    most, budget, ignored_folders = MAX_FILE_BYTES, FOLDERS_A_TASK, frozenset(P.IGNORED_FOLDERS)
 
     def listed(batches):
         import os
+        from collections import deque
 
         import pandas as pd
         import pyarrow.fs as afs
 
         fs, base = _opened(root)
-        base = base.rstrip("/")
+        base, left = base.rstrip("/"), budget
         for batch in batches:
-            out = []
-            for folder, inside in zip(batch["path"], batch["odd"]):
-                here = f"{base}/{folder}".rstrip("/")
-                for f in fs.get_file_info(afs.FileSelector(here)):
+            todo, out = deque(batch["path"]), []
+            while todo and left > 0:
+                folder, left = todo.popleft(), left - 1
+                for f in fs.get_file_info(afs.FileSelector(f"{base}/{folder}".rstrip("/") or "/", allow_not_found=bool(folder))):
                     if isinstance(fs, afs.LocalFileSystem) and os.path.islink(f.path):
                         continue
-                    odd, path = bool(inside or f.base_name[0] in "._"), f"{folder}/{f.base_name}".lstrip("/")
+                    path = f"{folder}/{f.base_name}".lstrip("/")
                     if f.type == afs.FileType.Directory:
                         if f.base_name not in ignored_folders:
-                            out.append((path, 0, True, odd))
-                    elif (odd or f.size == 0) and f.size <= most:
-                        out.append((path, f.size, False, odd))
-            yield pd.DataFrame(out, columns=["path", "length", "folder", "odd"])
-
-    schema = "path string, length long, folder boolean, odd boolean"
-    level, files = spark.createDataFrame([("", False)], "path string, odd boolean"), None
+                            todo.append(path)
+                    elif f.type == afs.FileType.File and f.size <= most:
+                        out.append((path, f.size, False))
+                if len(out) >= LISTED_ROWS:
+                    yield pd.DataFrame(out, columns=["path", "length", "folder"])
+                    out = []
+            yield pd.DataFrame(out + [(path, 0, True) for path in todo], columns=["path", "length", "folder"])
+
+    level, files = spark.createDataFrame([("",)], "path string"), None
     while True:
-        found = materialize(level.repartition("path").mapInPandas(listed, schema), "listed")
+        found = materialize(level.repartition("path").mapInPandas(listed, "path string, length long, folder boolean"), "listed")
         here = found.where("not folder").select("path", "length")
         files = here if files is None else files.unionByName(here)
-        level = found.where("folder").select("path", "odd")
+        level = found.where("folder").select("path")
         if not level.limit(1).count():
             return files
 
 
-def _read_hidden(root: str, names: DataFrame) -> DataFrame:
-    """(path, length, content) of named files under root, read by the executors through Arrow's file systems."""
+def read_named(root: str, names: DataFrame) -> DataFrame:
+    """(path, length, content) of named files under root, read by the executors; content is null for a binary file, of which no more than the first 4,096 bytes are read, and for one that is gone.
+
+    Names are dealt out by the bytes that they stand for: a file has a megabyte at most, so tasks differ little.
+    """
+    total = names.agg(F.coalesce(F.sum(F.col("length") + OPEN_BYTES), F.lit(0))).first()[0]
+    tasks = max(1, -(-total // TASK_BYTES))
 
     def read(batches):
         import pandas as pd
 
         fs, base = _opened(root)
         for batch in batches:
-            content = []
-            for name, length in zip(batch["path"], batch["length"]):
-                if length:
-                    with fs.open_input_stream(f"{base.rstrip('/')}/{name}") as f:
-                        content.append(f.read())
-                else:
-                    content.append(b"")
-            yield pd.DataFrame({"path": batch["path"], "length": batch["length"], "content": content})
+            paths, lengths = list(batch["path"]), list(batch["length"])
+            for at in range(0, len(paths), READ_ROWS):
+                content = []
+                for name in paths[at : at + READ_ROWS]:
+                    try:
+                        with fs.open_input_stream(f"{base.rstrip('/')}/{name}") as f:
+                            head = f.read(SNIFF_BYTES)
+                            content.append(None if b"\0" in head else head + f.read())
+                    except FileNotFoundError:
+                        content.append(None)
+                yield pd.DataFrame({"path": paths[at : at + READ_ROWS], "length": lengths[at : at + READ_ROWS], "content": content})
+
+    return names.select("path", "length").repartition(tasks, "path").mapInPandas(read, "path string, length long, content binary")
+
+
+def listed_files(spark: SparkSession, root: str, respect_gitignore: bool = True) -> DataFrame:
+    """(path, length) of the files that a scan opens: ignored ones are gone."""
+    names = listing(spark, root)
+    extra: list[str] = []
+    if respect_gitignore and (own := read_named(root, names.where("path = '.gitignore'")).select(F.decode("content", "utf-8")).first()):
+        extra = P.gitignore_globs(own[0] or "")
+    return names.where(~P.ignored(F.col("path"), extra))
+
 
-    return names.mapInPandas(read, "path string, length long, content binary")
+def file_rows(root: str, names: DataFrame, repository_id: str) -> DataFrame:
+    """files(repository_id, file_path, language, length, text, digest) of named files; binary ones have no row. `digest` is of the bytes of the file."""
+    kept = read_named(root, names).where("content is not null").withColumnRenamed("path", "file_path")
+    return kept.select(
+        F.lit(repository_id).alias("repository_id"), "file_path", P.language(F.col("file_path")).alias("language"), "length",
+        F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.sha2("content", 256).alias("digest"),
+    )
 
 
 def scan(spark: SparkSession, root: str, repository_id: str, respect_gitignore: bool = True) -> DataFrame:
-    """files(repository_id, file_path, language, length, text) of a folder as if it were cloned.
+    """files(repository_id, file_path, language, length, text, digest) of a folder as if it were cloned.
 
-    The size limit reaches the file listing, ignored paths go before any content is decoded, and each file is one row.
-    Symbolic links that Hadoop's file system reports as such are left out.
+    The tree is listed once; size limit and ignored paths go before any file is opened, and each file is one row.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rows = files.select(P.relative(F.col("path"), root).alias("path"), "length", "content")
-    odd = _read_hidden(root, _hidden(spark, root))
-    extra: list[str] = []
-    if respect_gitignore and (own := odd.where("path = '.gitignore'").select(F.decode("content", "utf-8")).first()):
-        extra = P.gitignore_globs(own[0])
-    rows = rows.unionByName(odd)
-    kept = rows.where(F.col("length") <= MAX_FILE_BYTES).withColumnRenamed("path", "file_path").where(~P.ignored(F.col("file_path"), extra)).where(~is_binary(F.col("content")))
-    return kept.select(F.lit(repository_id).alias("repository_id"), "file_path", P.language(F.col("file_path")).alias("language"), "length", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    return file_rows(root, listed_files(spark, root, respect_gitignore), repository_id)
 
 
 def source_files(files: DataFrame) -> DataFrame:

@@ -19,7 +19,11 @@ from stratagraph.sources.versions import Files, NoTable, Versions
 # The states of a repository, in order.
 STATES = ["queued", "cloning", "parsing", "creating_embeddings", "building_graph", "indexing", "ready", "failed"]
 #: Lookup keys of stored tables: rows of a file are sorted by them, so that Parquet's statistics skip what a lookup does not need.
-LAYOUT = {"files": ["file_path"], "entities": ["file_path", "start_line"], "chunks": ["entity_type", "file_path"], "nodes": ["node_type", "name", "node_id"], "edges": ["rel_type", "dst", "src"]}
+LAYOUT = {
+    "files": ["file_path"], "entities": ["file_path", "start_line"], "chunks": ["entity_type", "file_path"], "nodes": ["node_type", "name", "node_id"], "edges": ["rel_type", "dst", "src"],
+    # References are sorted by the names that a change is looked up by.
+    "imports": ["source_file"], "calls": ["callee_name"], "inherits": ["parent_class"],
+}
 #: Where the catalog's log is, and the parts above which it is rewritten as one.
 CATALOG_SCOPE, LOG_PARTS = "catalog", 16
 CATALOG = "repository_id string, name string, url string, status string, error string, language_counts string, updated double, created double, deleted boolean"
@@ -45,6 +49,17 @@ class Staged:
         self.entries[table] = v.put(self.repository_id, table, df)
         return v.rows(self.entries[table])
 
+    def amend(self, table: str, old: dict, gone: DataFrame, df: DataFrame) -> DataFrame:
+        """The stored entry `old` without the rows that gone(key columns) names, and with those of df; the rows of the result. What is written grows with df and gone."""
+        v = self.store.versions
+        self.entries[table] = v.amended(self.repository_id, table, old, gone, v.put(self.repository_id, table, df))
+        return v.rows(self.entries[table])
+
+    def keep(self, table: str, old: dict) -> DataFrame:
+        """The stored entry as it is; its rows."""
+        self.entries[table] = old
+        return self.store.versions.rows(old)
+
     def commit(self) -> int:
         return self.store.versions.commit(self.repository_id, lambda old: old | self.entries)
 

@@ -194,21 +194,26 @@ class Versions:
             old = tables.get(table)
             if old is None:
                 return tables | {table: new}
-            gone = self.rows(old, places=True).select(key, "__file", "__row").join(keys, key, "left_semi")
-            bits = gone.groupBy("__file", B.bucket(F.col("__row")).alias("__bucket")).agg(F.bitmap_construct_agg(B.place(F.col("__row"))).alias("__bits"))
-            folder = f"data/{scope}/{table}/{uuid.uuid4().hex}"
-            bits.write.parquet(f"{self.files.root}/{folder}")
-            n = self.spark.read.schema(bits.schema).parquet(f"{self.files.root}/{folder}").count()
-            entry = _joined(old, new)
-            if n:
-                entry |= {"deletes": old["deletes"] + [folder], "buckets": old["buckets"] + n}
-            if len(entry["data"]) > PARTS or entry["buckets"] > BUCKETS:
-                # Bitmaps name files, so what is new cannot be hit by those made for what is old.
-                entry = self.put(scope, table, self.rows(entry).select(*T.StructType.fromJson(entry["schema"]).names))
-            return tables | {table: entry}
+            return tables | {table: self.amended(scope, table, old, keys, new)}
 
         return self.commit(scope, change)
 
+    def amended(self, scope: str, table: str, old: dict, gone: DataFrame, new: dict) -> dict:
+        """The entry `old` without the rows whose keys gone(key columns) names, and with those of the entry `new`. Bitmaps and `new` are all that is written, up to the bounds."""
+        keys = gone.columns
+        hit = self.rows(old, places=True).select(*keys, "__file", "__row").join(gone, keys, "left_semi")
+        bits = hit.groupBy("__file", B.bucket(F.col("__row")).alias("__bucket")).agg(F.bitmap_construct_agg(B.place(F.col("__row"))).alias("__bits"))
+        folder = f"data/{scope}/{table}/{uuid.uuid4().hex}"
+        bits.write.parquet(f"{self.files.root}/{folder}")
+        n = self.spark.read.schema(bits.schema).parquet(f"{self.files.root}/{folder}").count()
+        entry = _joined(old, new)
+        if n:
+            entry |= {"deletes": old["deletes"] + [folder], "buckets": old["buckets"] + n}
+        if len(entry["data"]) > PARTS or entry["buckets"] > BUCKETS:
+            # Bitmaps name files, so what is new cannot be hit by those made for what is old.
+            entry = self.put(scope, table, self.rows(entry).select(*T.StructType.fromJson(entry["schema"]).names))
+        return entry
+
     def compact(self, scope: str, table: str, rewrite: Callable[[DataFrame], DataFrame] = lambda df: df) -> int:
         """Rewrite a table as one folder without bitmaps; a concurrent change of it makes the work start anew."""
 
