@@ -3,7 +3,8 @@
 Beside the tables that are asked, an index keeps its references (imports, calls, inherits), resolved or not. A later index lists the
 tree, takes a digest of each file, and finds changed files by folder. Changed files are parsed, chunked and embedded; references
 in them, and those that `operators.changes` names, are resolved anew. Rows that go are marked in bitmaps, and new ones are
-written beside the old. Nodes and edges are joined anew from entities and references, without any source.
+written beside the old. Of the graph, the nodes of changed files and the edges that leave a touched file are joined anew: a changed one,
+one with a reference that is resolved anew, or one that refers to a changed one.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,8 @@ from stratagraph.sources.store import Staged, Store
 #: To be raised when parsers, chunks or resolution give other rows: an index of another number is made anew.
 RULES = 1
 REFERENCES = ("imports", "calls", "inherits")
+#: The file that a reference is in, and the one that it is resolved to.
+ENDS = {"imports": ("source_file", "resolved_file"), "calls": ("caller_file", "callee_file"), "inherits": ("child_file", "parent_file")}
 _TARGETS = {"imports": ["resolved_file"], "calls": ["callee_file", "callee_type"], "inherits": ["parent_file"]}
 #: What Spark says of files that are gone or damaged.
 UNREADABLE = ("PATH_NOT_FOUND", "FILE_NOT_EXIST", "FAILED_READ_FILE", "CANNOT_READ_FILE_FOOTER", "is not a Parquet file", "does not exist")
@@ -77,13 +81,53 @@ def _languages(files: DataFrame) -> dict[str, int]:
     return {r["language"]: r["n"] for r in S.language_counts(files).collect()}
 
 
-def _put_graph(staged: Staged, files: DataFrame, entities: DataFrame, refs: dict[str, DataFrame]) -> None:
+def _graph(files: DataFrame, entities: DataFrame, refs: dict[str, DataFrame]) -> G.Graph:
     rows = files.select("repository_id", "file_path", F.coalesce("language", F.lit("unknown")).alias("language")).join(entities.select("repository_id", "file_path").distinct(), ["repository_id", "file_path"], "left_semi")
-    graph = G.build_graph(entities, refs["imports"], refs["calls"], refs["inherits"], rows)
+    return G.build_graph(entities, refs["imports"], refs["calls"], refs["inherits"], rows)
+
+
+def _put_graph(staged: Staged, files: DataFrame, entities: DataFrame, refs: dict[str, DataFrame]) -> None:
+    graph = _graph(files, entities, refs)
     staged.put("nodes", graph.nodes)
     staged.put("edges", graph.edges)
 
 
+def _amend_graph(staged: Staged, tables: dict, paths: DataFrame, files: DataFrame, entities: DataFrame, refs: dict[str, DataFrame], stale: dict[str, DataFrame]) -> None:
+    """Nodes of touched files, and edges that leave them, in the place of the stored ones. `refs` are all references as they are now, `paths` the changed files, `stale` the references of other files that are resolved anew.
+
+    An edge depends on the references of the file that it leaves and on the definitions in both its files, and on nothing else. So
+    the graph of the touched files, joined with the files that they refer to, holds the edges that leave them as the whole graph does.
+    """
+    key = ["repository_id", "file_path"]
+    sources = [df.select("repository_id", F.col(ENDS[name][0]).alias("file_path")) for name, df in stale.items()]
+    for name, (source, target) in ENDS.items():
+        sources.append(refs[name].join(paths.withColumnRenamed("file_path", target), ["repository_id", target], "left_semi").select("repository_id", F.col(source).alias("file_path")))
+    touched = small(materialize(reduce(DataFrame.unionByName, sources, paths).distinct(), "touched"))
+    leaving = {name: materialize(refs[name].join(touched.withColumnRenamed("file_path", source), ["repository_id", source], "left_semi"), f"leaving_{name}") for name, (source, _) in ENDS.items()}
+    ends = [df.select("repository_id", F.col(ENDS[name][1]).alias("file_path")).where("file_path is not null") for name, df in leaving.items()]
+    needed = small(materialize(reduce(DataFrame.unionByName, ends, touched).distinct(), "needed"))
+    # The repository has a node as long as one of its files has an entity, whichever.
+    inside = materialize(entities.join(needed, key, "left_semi"), "inside")
+    graph = _graph(files.join(needed, key, "left_semi"), inside, leaving)
+    repository = G.build_graph(entities.limit(1), *[df.limit(0) for df in leaving.values()]).nodes.where("node_type = 'Repository'")
+
+    def own(nodes: DataFrame) -> DataFrame:
+        return nodes.where("node_type <> 'Repository'").join(touched, key, "left_semi").select(*nodes.columns)
+
+    def leave(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Edges that leave one of nodes(repository_id, node_id), and the repository's to it."""
+        at = F.when(F.col("rel_type") == "REPOSITORY_CONTAINS_FILE", F.col("dst")).otherwise(F.col("src"))
+        return edges.withColumn("node_id", at).join(nodes, ["repository_id", "node_id"], "left_semi").select(*edges.columns)
+
+    ids = ["repository_id", "node_id"]
+    held, edges = (staged.store.versions.rows(tables[name]) for name in ("nodes", "edges"))
+    went = materialize(own(held).select(*ids).unionByName(held.where("node_type = 'Repository'").select(*ids)), "went")
+    came = materialize(own(graph.nodes).unionByName(repository.select(*graph.nodes.columns)), "came")
+    dead = materialize(leave(edges, small(went)).select("repository_id", "rel_type", "src", "dst"), "dead")
+    staged.amend("nodes", tables["nodes"], small(went), came)
+    staged.amend("edges", tables["edges"], small(dead), leave(graph.edges, small(came.select(*ids))))
+
+
 def _uses(refs: dict[str, DataFrame], entities: DataFrame, imports: DataFrame) -> dict[str, DataFrame]:
     """Calls and base classes with their targets, where there are any."""
     return {
@@ -168,7 +212,7 @@ def _amend(spark: SparkSession, store: Store, repository_id: str, root: str, emb
     meant = entities.select("repository_id", "seq", "file_path", "entity_type", "entity_name").join(small(used), ["repository_id", "entity_name"], "left_semi")
     resolved |= {name: materialize(df, name) for name, df in _uses(picked, meant, refs["imports"]).items()}
     refs |= {"calls": amended("calls", "caller_file", stayed["calls"]), "inherits": amended("inherits", "child_file", stayed["inherits"])}
-    _put_graph(staged, files, entities, refs)
+    _amend_graph(staged, tables, paths, files, entities, refs, {"imports": stale, "calls": stayed["calls"], "inherits": stayed["inherits"]})
     staged.keep("made_by", tables["made_by"])
     staged.commit()
     return Indexed(False, fresh.count(), sum(df.count() for df in resolved.values()))

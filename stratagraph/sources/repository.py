@@ -126,12 +126,17 @@ def file_rows(root: str, names: DataFrame, repository_id: str) -> DataFrame:
     )
 
 
-def scan(spark: SparkSession, root: str, repository_id: str, respect_gitignore: bool = True) -> DataFrame:
+def scan(spark: SparkSession, root: str, repository_id: str, respect_gitignore: bool = True, only: Column | str | None = None) -> DataFrame:
     """files(repository_id, file_path, language, length, text, digest) of a folder as if it were cloned.
 
-    The tree is listed once; size limit and ignored paths go before any file is opened, and each file is one row.
+    The tree is listed once; size limit and ignored paths go before any file is opened, and each file is one row. `only` is a
+    condition on file_path, language and length: files that it leaves out are not opened either, as no plan would push a later `where` below the read.
     """
-    return file_rows(root, listed_files(spark, root, respect_gitignore), repository_id)
+    names = listed_files(spark, root, respect_gitignore)
+    if only is not None:
+        told = names.select(F.col("path").alias("file_path"), P.language(F.col("path")).alias("language"), "length")
+        names = told.where(only).select(F.col("file_path").alias("path"), "length")
+    return file_rows(root, names, repository_id)
 
 
 def source_files(files: DataFrame) -> DataFrame:

@@ -39,12 +39,14 @@ def test_equals_whole_index(spark, tmp_path):
     rng, folders = random.Random(5), ["a", "a/b", "c"]
     root = tmp_path / "tree"
     write(root, {f"{f}/m{k}.py": source(rng, ["a", "a.b", "c"]) for f in folders for k in range(5)} | {"README.md": "# Title\n\nA text that is long enough to be a section.\n", "old/x.js": "export function f1() { return f2(); }\n"})
+    # What is called stays a method of this file, but not of this class: only the edge differs.
+    write(root, {"z/two.py": "class A:\n    def only(self):\n        return 1\n", "z/use.py": "from z.two import only\ndef go():\n    return only()\n"})
     store, fresh = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "f"))
     index = lambda s, full=False: I.index(spark, s, "r", str(root), hashing_embedding, lambda *a, **k: None, full)
     first = index(store)
-    assert first.whole and first.files == 17
+    assert first.whole and first.files == 19
     edits = [
-        {"c/m1.py": source(rng, ["a", "c"]), "a/b/m5.py": source(rng, ["c"]), "c/m2.py": None, "README.md": "# Title\n\nAnother text that is long enough for a section.\n"},
+        {"c/m1.py": source(rng, ["a", "c"]), "a/b/m5.py": source(rng, ["c"]), "c/m2.py": None, "README.md": "# Title\n\nAnother text that is long enough for a section.\n", "z/two.py": "class B:\n    def only(self):\n        return 1\n"},
         {"a/m0.py": "", "a/m1.py": None, "old/x.js": None, "d/m7.py": source(rng, folders), ".gitignore": "old\n"},
     ]
     for edit in edits:
@@ -107,5 +109,10 @@ def test_listing(spark, tmp_path, monkeypatch, budget):
     assert sorted(r.path for r in S.listing(spark, str(tmp_path)).collect()) == [".d/e.py", "_b/c.py", "a.py", "bin.py", "f/g/h.py", "f/skip.lock"]
     opened = sorted(r.path for r in S.listed_files(spark, str(tmp_path)).collect())
     assert "f/skip.lock" not in opened and sorted(r.file_path for r in S.scan(spark, str(tmp_path), "r").collect()) == [".d/e.py", "_b/c.py", "a.py", "f/g/h.py"]
+    # What a condition leaves out is not opened, so a file that cannot be read does no harm.
+    reads, one = [], S.read_named
+    monkeypatch.setattr(S, "read_named", lambda root, names: reads.append(sorted(r.path for r in names.collect())) or one(root, names))
+    assert [r.file_path for r in S.scan(spark, str(tmp_path), "r", False, "language = 'python' and length > 0 and file_path like 'f/%'").collect()] == ["f/g/h.py"]
+    assert reads == [["f/g/h.py"]]
     gone = S.listed_files(spark, str(tmp_path)).unionByName(spark.createDataFrame([("went.py", 1)], "path string, length long"))
     assert S.file_rows(str(tmp_path), gone, "r").count() == 4
