@@ -16,23 +16,40 @@ UNVERIFIED = " (lines not confirmed)"
 SOURCES = "Evidence found for this question:"
 MAX_SOURCES = 6
 MAX_LOCATIONS = 10
+#: Lines of a file that one task sweeps; the largest line number that a column holds.
+SWEPT_LINES, LAST_LINE = 4096, 2**31 - 1
+
+
+def _line(digits: Column) -> Column:
+    """A line number as cited; one of more digits than a column holds is the largest."""
+    return F.coalesce(digits.try_cast("int"), F.lit(LAST_LINE))
 
 
 def extract(answers: DataFrame) -> DataFrame:
     """answers(question_id, answer) -> (question_id, seq, file_path, start_line, end_line); a missing end is the start."""
     part = lambda g: F.regexp_extract_all("answer", F.lit(CITATION), F.lit(g))
     found = answers.select("question_id", F.posexplode(F.arrays_zip(part(1).alias("p"), part(2).alias("s"), part(3).alias("e"))).alias("seq", "c"))
-    start = F.col("c.s").cast("int")
-    return found.select("question_id", "seq", F.col("c.p").alias("file_path"), start.alias("start_line"), F.when(F.col("c.e") == "", start).otherwise(F.col("c.e").cast("int")).alias("end_line"))
+    start = _line(F.col("c.s"))
+    return found.select("question_id", "seq", F.col("c.p").alias("file_path"), start.alias("start_line"), F.when(F.col("c.e") == "", start).otherwise(_line(F.col("c.e"))).alias("end_line"))
 
 
 def verify(citations: DataFrame, retrieved: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
-    """Distinct citations with `verified`: the file was retrieved and the lines meet a retrieved range within the tolerance."""
-    one = citations.groupBy("question_id", "file_path", "start_line", "end_line").agg(F.min("seq").alias("seq"))
-    ranges = retrieved.select("question_id", "file_path", F.col("start_line").alias("__s"), F.col("end_line").alias("__e"))
-    meets = (F.col("start_line") <= F.col("__e") + tolerance) & (F.col("__s") - tolerance <= F.col("end_line"))
-    judged = one.join(ranges, ["question_id", "file_path"], "left").groupBy("question_id", "file_path", "start_line", "end_line", "seq")
-    return judged.agg(F.coalesce(F.max(meets), F.lit(False)).alias("verified"))
+    """Distinct citations with `verified`: the file was retrieved and the lines meet a retrieved range within the tolerance.
+
+    A sweep in place of pairs: of the ranges that begin by a citation's end, the one that reaches furthest decides. A running maximum is
+    taken in stretches of SWEPT_LINES lines, and what earlier stretches reach is carried over, so a file that is cited and retrieved
+    a great many times is many tasks, and work grows with the rows and not with their product. Null keys and null lines meet nothing.
+    """
+    keys, lines = ["question_id", "file_path"], [F.col(c).cast("long") for c in ("start_line", "end_line")]
+    one = citations.groupBy(*keys, "start_line", "end_line").agg(F.min("seq").alias("seq"))
+    known = retrieved.where(" and ".join(f"{c} is not null" for c in (*keys, "start_line", "end_line")))
+    ranges = known.groupBy(*keys, (lines[0] - tolerance).alias("__at")).agg(F.max(lines[1]).alias("__reach"))
+    points = one.select("*", lines[1].alias("__at"), F.lit(True).alias("__cited")).unionByName(ranges, allowMissingColumns=True).withColumn("__part", F.floor(F.col("__at") / SWEPT_LINES))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = points.groupBy(*keys, "__part").agg(F.max("__reach").alias("__reach")).select(*keys, "__part", F.max("__reach").over(before).alias("__carried"))
+    upto = Window.partitionBy(*keys, "__part").orderBy("__at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = points.withColumn("__far", F.max("__reach").over(upto)).where("__cited").join(parts, [*keys, "__part"], "left")
+    return swept.select(*one.columns, F.coalesce(F.greatest("__far", "__carried") + tolerance >= lines[0], F.lit(False)).alias("verified"))
 
 
 def strip_unverified(answers: DataFrame, verified: DataFrame) -> DataFrame:
@@ -44,8 +61,8 @@ def strip_unverified(answers: DataFrame, verified: DataFrame) -> DataFrame:
     part = lambda g: F.regexp_extract_all("answer", F.lit(CITATION), F.lit(g))
 
     def shown(c: Column) -> Column:
-        start = c["s"].cast("int")
-        key = F.struct(c["p"].alias("file_path"), start.alias("start_line"), F.when(c["e"] == "", start).otherwise(c["e"].cast("int")).alias("end_line"))
+        start = _line(c["s"])
+        key = F.struct(c["p"].alias("file_path"), start.alias("start_line"), F.when(c["e"] == "", start).otherwise(_line(c["e"])).alias("end_line"))
         return F.when(F.array_contains("bad", key), F.concat(c["p"], F.lit(UNVERIFIED))).otherwise(c["t"])
 
     found = F.transform(F.arrays_zip(part(0).alias("t"), part(1).alias("p"), part(2).alias("s"), part(3).alias("e")), shown)
