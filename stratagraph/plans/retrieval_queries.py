@@ -12,6 +12,7 @@ from stratagraph.operators import ranking as R
 from stratagraph.operators import vector_search as V
 from stratagraph.plans import expected
 from stratagraph.plans.registry import query
+from stratagraph.plans.scratch import materialize
 from stratagraph.plans.tables import table
 from stratagraph.plans.templates import dealt, dealt_sql, each, each_sql
 
@@ -185,6 +186,20 @@ def citations_verify(spark: SparkSession, d: str) -> DataFrame:
     return C.verify(C.extract(answers), retrieved)
 
 
+_LINES = "l AS (SELECT doc_id, i AS line, t[i] AS text FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents WHERE text IS NOT NULL)))"
+
+
+@query(f"""WITH {_LINES}, r AS (SELECT doc_id, line FROM l WHERE contains(text, '@'))
+SELECT doc_id, line, EXISTS (SELECT 1 FROM r WHERE r.doc_id = l.doc_id AND r.line BETWEEN l.line - 5 AND l.line + 5) AS near_mail FROM l WHERE regexp_matches(text, '[0-9]')""")
+def lines_near_mail(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with a digit as citations, and lines with an at sign as retrieved ranges, of every whole document."""
+    split = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "text"))
+    line = split.select(F.col("doc_id").alias("question_id"), F.lit("text").alias("file_path"), (F.col("seq") + 1).alias("start_line"), (F.col("seq") + 1).alias("end_line"), "seq", F.col("text").rlike("[0-9]").alias("digit"), F.contains("text", F.lit("@")).alias("mail"))
+    marked = materialize(line.where("digit or mail"), "marked")
+    judged = C.verify(marked.where("digit").drop("digit", "mail"), marked.where("mail").drop("digit", "mail", "seq"))
+    return judged.select(F.col("question_id").alias("doc_id"), F.col("start_line").alias("line"), F.col("verified").alias("near_mail"))
+
+
 _SPLIT = f"string_split_regex(answer, {_quote(_CITED)})"
 _GROUP = lambda g: f"regexp_extract_all(answer, {_quote(_CITED)}, {g})"
 
