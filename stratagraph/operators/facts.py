@@ -211,15 +211,13 @@ def expansion(hits: DataFrame, g: G.Graph) -> DataFrame:
 def vector_items(questions: DataFrame, chunks: DataFrame, embed, default_limit: int | None = None) -> DataFrame:
     """V5, V7 for a batch: (question_id, repository_id, position, chunk columns, score, tier, reason) within each question's repository.
 
-    embed: Column -> Column, the vector of a text; chunks hold `embedding`. Questions are the broadcast side.
+    embed: Column -> Column, the vector of a text; chunks hold `embedding`. Questions and chunks of a repository meet in bounded cells.
     """
     limit = F.lit(default_limit) if default_limit else vector_limit(F.col("question_type"))
-    asked = questions.select("question_id", "repository_id", embed(F.col("question")).alias("qv"), limit.alias("k"))
-    asked = asked.withColumn("__qn", V.length(F.col("qv")))
-    stored = chunks.withColumn("__n", V.length(F.col("embedding")))  # once a chunk, not once a pair
-    score = F.round(V.dot(F.col("qv"), F.col("embedding")) / (F.col("__qn") * F.col("__n")), 6)
-    blocks = [stored.join(F.broadcast(block), "repository_id").withColumn("score", score).drop("qv", "embedding", "__qn", "__n") for block in V.query_blocks(asked, "question_id")]
-    scored = reduce(DataFrame.unionByName, blocks)
+    asked = questions.select(F.col("question_id").alias("query_id"), "repository_id", embed(F.col("question")).cast("array<double>").alias("__q"), limit.cast("int").alias("__k"))
+    asked = materialize(asked.withColumn("k", F.col("__k")), "questions_embedded")  # counted, then read
+    stored = chunks.withColumn("__v", F.col("embedding").cast("array<double>")).drop("embedding")
+    scored = V.nearest(stored, asked, ["file_path", "start_line", "entity_name"], "repository_id").withColumnRenamed("query_id", "question_id")
     place = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "file_path", "start_line", "entity_name"))
     top = scored.withColumn("rank", place).where(F.col("rank") <= F.col("k")).drop("k")
     return V.with_tier(top, "entity_type").withColumnRenamed("rank", "position")

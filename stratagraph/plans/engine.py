@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratagraph.functions import paths as P
-from stratagraph.functions.vectors import hashing_embedding
+from stratagraph.functions.vectors import dot, hashing_embedding, length
 from stratagraph.operators import evaluation as E
 from stratagraph.operators import facts as H
 from stratagraph.operators import generation as L
@@ -18,7 +18,6 @@ from stratagraph.operators import grounding as C
 from stratagraph.operators import patterns as M
 from stratagraph.operators import ranking as R
 from stratagraph.operators import traverse as T
-from stratagraph.operators import vector_search as V
 from stratagraph.plans import indexing as I
 from stratagraph.plans.scratch import materialize
 from stratagraph.sources import repository as S
@@ -251,7 +250,7 @@ class Engine:
         chunks = self.store.read("chunks", repository_id)
         asked = self.spark.createDataFrame([(k, q, kinds, n) for k, (q, kinds, n) in enumerate(OVERVIEW_SEARCHES)], "query_id int, q string, kinds array<string>, n int")
         asked = asked.withColumn("qv", self.embed(F.col("q")))
-        scored = chunks.join(F.broadcast(asked), F.array_contains("kinds", F.col("entity_type"))).withColumn("score", F.round(V.dot(F.col("qv"), F.col("embedding")) / (V.length(F.col("qv")) * V.length(F.col("embedding"))), 6))
+        scored = chunks.join(F.broadcast(asked), F.array_contains("kinds", F.col("entity_type"))).withColumn("score", F.round(dot(F.col("qv"), F.col("embedding")) / (length(F.col("qv")) * length(F.col("embedding"))), 6))
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "file_path", "start_line", "entity_name"))
         hits = scored.withColumn("rank", place).where(F.col("rank") <= F.col("n")).withColumn("seq", F.col("query_id") * 100 + F.col("rank"))
         return "\n\n".join(r["block"] for r in overview_prefix(hits).orderBy("seq").collect()) or "Nothing was found."
