@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratagraph.functions.vectors import dot, length
-from stratagraph.operators.vector_search import query_blocks, top_k
-from stratagraph.plans.scratch import materialize, shared_dir, small
+from stratagraph.operators import vector_search as V
+from stratagraph.operators.vector_search import top_k
+from stratagraph.plans.scratch import materialize, shared_dir
 
 #: Vectors that the centroids are fitted on, at most; rounds of k-means; rows of a task's write of one list.
 SAMPLE, ROUNDS, ROWS = 20_000, 12, 1 << 20
@@ -145,24 +145,19 @@ def _probes(index: Index, queries: DataFrame, choose) -> DataFrame:
 def _scored(index: Index, asked: DataFrame, probes: DataFrame, k: int, id_col: str, vector_col: str, where, exclude_self: bool) -> DataFrame:
     """(query_id, id, rank, score) of the k nearest in the lists that each query opens. Only those partitions are read.
 
-    Vectors of queries are broadcast in blocks; pairs of query and list are two numbers each, and are broadcast where they are counted to be few.
+    A list's vectors and the queries that open it meet in bounded cells.
     """
     spark = probes.sparkSession
     probes = materialize(probes.select("query_id", "list"), "probes")
     opened = [r[0] for r in probes.select("list").distinct().collect()]  # lists, of which there are few thousand
     rows = index.rows(spark).where(F.col("list").isin(opened)) if opened else index.rows(spark).limit(0)
     rows = rows if where is None else rows.where(where)
-    rows = rows.select("list", F.col(id_col).alias("id"), F.col(vector_col).alias("__v"), length(F.col(vector_col)).alias("__n"))
+    rows = rows.select("list", F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("__v"))
+    pairs = probes.join(asked.select("query_id", F.col("query_vector").cast("array<double>").alias("__q"), F.lit(k).alias("__k")), "query_id")
+    scored = V.nearest(rows, pairs, ["id"], "list", "id" if exclude_self else None)
+    scored = scored.where(F.col("id") != F.col("query_id")) if exclude_self else scored
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    out = None
-    for block in query_blocks(asked.withColumn("__qn", length(F.col("query_vector"))), "query_id"):
-        own = small(probes.join(F.broadcast(block.select("query_id")), "query_id", "left_semi"))
-        pairs = rows.join(own, "list").join(F.broadcast(block), "query_id")
-        pairs = pairs.where(F.col("id") != F.col("query_id")) if exclude_self else pairs
-        scored = pairs.select("query_id", "id", F.round(dot(F.col("query_vector"), F.col("__v")) / (F.col("__qn") * F.col("__n")), 6).alias("score"))
-        best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        out = best if out is None else out.unionByName(best)
-    return out.select("query_id", "id", "rank", "score")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", "rank", "score")
 
 
 def nearest(count: int):
