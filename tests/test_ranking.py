@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from stratagraph.functions.paths import glob_regex
+from stratagraph.operators import evaluation as E
 from stratagraph.operators import ranking as R
 from stratagraph.operators import traverse as T
 
@@ -66,3 +67,15 @@ def test_globs():
     for g in ("*.min.js", "a?c", "[ab].py", "[!x]y", "a.b", "x[1"):
         for s in ("q.min.js", "abc", "a.py", "zy", "xy", "a.b", "axb", "x[1"):
             assert bool(re.fullmatch(glob_regex(g), s)) == fnmatch.fnmatchcase(s, g), (g, s)
+
+
+def test_metrics_of_judged_rows(spark):
+    """Counts of relevant files stand for lists of them."""
+    retrieved = spark.createDataFrame([("a", 1, 1, "x"), ("a", 1, 2, "y"), ("a", 1, 2, "x"), ("b", 2, 1, "q")], "system string, question_id int, position int, file_path string")
+    questions = spark.createDataFrame([(1, "c", ["y", "z"]), (2, "c", []), (3, "d", ["q"])], "question_id int, category string, relevant_files array<string>")
+    judged = E.ranked_files(retrieved).withColumn("hit", F.col("file_path") == "y")
+    counted = questions.select("question_id", "category", F.size("relevant_files").alias("relevant"))
+    got = E.judged_metrics(judged, counted, retrieved.select("system").distinct())
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, E.question_metrics(retrieved, questions).collect()))
+    one = got.where("system = 'a' and question_id = 1").first()
+    assert (one.recall_at_1, one.recall_at_3, one.precision_at_5, one.mrr) == (0.0, 0.5, 0.5, 0.5)
