@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratagraph.plans.scratch import materialize
+from stratagraph.plans.scratch import materialize, spread
 
 # Weight by tier, boost for both sources, score floor.
 TIER_WEIGHTS = [1.0, 0.8, 0.65, 0.5, 0.45, 0.3]
@@ -60,12 +60,13 @@ def remove_contained(ranked: DataFrame) -> DataFrame:
     As containment is transitive, better-ranked items need not be kept ones themselves. No two items are joined: the places within
     a file are halved again and again, and at each level the items of a left half are held against those of its right half by one
     running maximum of their ends in the order of their starts. Any two items are on two sides at one level, so n items cost
-    n log n comparisons in each of log n sorts, all of them after the one shuffle by question and file.
+    n log n comparisons in each of log n sorts, all of them after the one shuffle by question and file, in tasks of bounded size.
     """
     ranked = materialize(ranked, "ordered")
     per_file = ["question_id", "file_path"]
-    most = ranked.groupBy(*per_file).count().agg(F.max("count")).first()[0] or 0
-    out = ranked.withColumn("__r", F.row_number().over(Window.partitionBy(*per_file).orderBy("rnk")) - 1).withColumn("__inside", F.lit(False))
+    most, rows = ranked.groupBy(*per_file).count().agg(F.max("count"), F.sum("count")).first()
+    most = most or 0
+    out = spread(ranked, rows or 0, *per_file).withColumn("__r", F.row_number().over(Window.partitionBy(*per_file).orderBy("rnk")) - 1).withColumn("__inside", F.lit(False))
     first, last = F.least("start_line", "end_line"), F.greatest("start_line", "end_line")
     for level in range((most - 1).bit_length() if most else 0):
         right = F.shiftright("__r", level) % 2 == 1

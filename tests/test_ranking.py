@@ -8,6 +8,7 @@ from stratagraph.functions.paths import glob_regex
 from stratagraph.operators import evaluation as E
 from stratagraph.operators import ranking as R
 from stratagraph.operators import traverse as T
+from stratagraph.plans import scratch
 
 
 def loop(items, limit, cap):
@@ -79,3 +80,12 @@ def test_metrics_of_judged_rows(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, E.question_metrics(retrieved, questions).collect()))
     one = got.where("system = 'a' and question_id = 1").first()
     assert (one.recall_at_1, one.recall_at_3, one.precision_at_5, one.mrr) == (0.0, 0.5, 0.5, 0.5)
+
+
+def test_tasks_grow_in_number(spark, monkeypatch):
+    """Containment is sorted in as many tasks as the rows ask for; before, in the session's number of partitions."""
+    monkeypatch.setattr(scratch, "TASK_ROWS", 50)
+    items = spark.range(2000).selectExpr("id % 20 question_id", "'a' file_path", "'f' entity_type", "concat('e', id) entity_name", "cast(id as int) start_line", "cast(id + 1 as int) end_line", "'' content", "'' language", "0.5D score", "'vector' source", "0 tier", "'' relationship", "'' reason", "id seq")
+    kept = R.remove_contained(R.ordered(R.merge_duplicates(items)))
+    assert "hashpartitioning(question_id" in kept._jdf.queryExecution().executedPlan().toString() and ", 40), REPARTITION_BY_NUM" in kept._jdf.queryExecution().executedPlan().toString()
+    assert kept.count() == 2000
