@@ -125,7 +125,7 @@ def _parts(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 @query(f"WITH {DEP_SQL} SELECT DISTINCT dst AS target, src AS id FROM dep JOIN part ON p_partkey = dst")
 def callers(spark: SparkSession, d: str) -> DataFrame:
-    return G.sources_of(dep(spark, d), _parts(spark, d, "target"))
+    return G.sources_of(dep(spark, d, "dst"), _parts(spark, d, "target"))
 
 
 @query(f"WITH {DEP_SQL} SELECT DISTINCT src AS source, dst AS id FROM dep JOIN part ON p_partkey = src")
