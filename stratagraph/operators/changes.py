@@ -98,8 +98,14 @@ def stale_sources(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.exceptAll(b).unionByName(b.exceptAll(a)).select("repository_id", "source_file").distinct()
 
 
+def with_stale(uses: DataFrame, name: str, source_file: str, names: DataFrame, sources: DataFrame) -> DataFrame:
+    """uses with boolean stale: its `name` is one of names(repository_id, name), or its `source_file` one of sources(repository_id, source_file)."""
+    named = small(names.select("repository_id", F.col("name").alias(name), F.lit(True).alias("__named")).distinct())
+    moved = small(sources.select("repository_id", F.col("source_file").alias(source_file), F.lit(True).alias("__moved")).distinct())
+    told = uses.join(named, ["repository_id", name], "left").join(moved, ["repository_id", source_file], "left")
+    return told.select(*uses.columns, (F.col("__named").isNotNull() | F.col("__moved").isNotNull()).alias("stale"))
+
+
 def stale_uses(uses: DataFrame, name: str, source_file: str, names: DataFrame, sources: DataFrame) -> DataFrame:
-    """Rows of uses(repository_id, seq, ...) whose `name` is one of names(repository_id, name), or whose `source_file` is one of sources(repository_id, source_file)."""
-    by_name = uses.join(small(names.select("repository_id", F.col("name").alias(name))), ["repository_id", name], "left_semi").select("repository_id", "seq")
-    by_source = uses.join(small(sources.select("repository_id", F.col("source_file").alias(source_file))), ["repository_id", source_file], "left_semi").select("repository_id", "seq")
-    return uses.join(by_name.unionByName(by_source).distinct(), ["repository_id", "seq"], "left_semi")
+    """The stale rows of `with_stale`."""
+    return with_stale(uses, name, source_file, names, sources).where("stale").drop("stale")

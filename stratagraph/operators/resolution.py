@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratagraph.plans.scratch import materialize, small
+
 # Fixed values.
 JS_EXTENSIONS = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"]
 UNLINKED_CALLS = [
@@ -91,45 +93,63 @@ def resolve_imports(imports: DataFrame, known_files: DataFrame) -> DataFrame:
     return out.withColumn("resolved_file", F.when(chosen != F.col("source_file"), chosen)).drop("__direct", "__leaf")
 
 
-def pick_targets(uses: DataFrame, entities: DataFrame, imports: DataFrame) -> DataFrame:
-    """uses(repository_id, use_id, source_file, name) -> (repository_id, use_id, target_file, target_type, target_name).
+def targets_of(asked: DataFrame, entities: DataFrame, imports: DataFrame) -> DataFrame:
+    """Distinct asked(repository_id, source_file, name) -> (repository_id, source_file, name, target_file, target_type) of those with a target, written.
 
     The first definition in the same file; else the only one in files that the source imports; else the only one
-    at all; else none. entities(repository_id, seq, file_path, entity_type, entity_name).
+    at all; else none. entities(repository_id, seq, file_path, entity_type, entity_name). Definitions are counted by file
+    before they meet anything, and what a name means in a file is found once, however often it is used there.
     """
-    seen = imports.where("resolved_file is not null").select("repository_id", "source_file", F.col("resolved_file").alias("file_path"), F.lit(True).alias("__seen")).distinct()
+    seen = imports.where("resolved_file is not null").select("repository_id", "source_file", F.col("resolved_file").alias("file_path")).distinct()
     defs = entities.select("repository_id", F.col("entity_name").alias("name"), "file_path", "entity_type", "seq")
+    # Numbers only, so that rows combine by hash before they are shuffled; types are few.
+    kinds = defs.groupBy("repository_id", "name", "file_path", "entity_type").agg(F.count("*").alias("__n"), F.min("seq").alias("__seq"))
+    kinds = materialize(kinds, "definitions")
+    per = kinds.groupBy("repository_id", "name", "file_path").agg(F.sum("__n").alias("__n"), F.min_by("entity_type", "__seq").alias("__type"))
     # A name defined everywhere would multiply its uses; what the rules need of it is one count and one file.
-    single = defs.groupBy("repository_id", "name").agg(F.count("*").alias("__n"), F.first("file_path").alias("__file"), F.first("entity_type").alias("__type"))
-    own = defs.groupBy("repository_id", "name", F.col("file_path").alias("source_file")).agg(F.min_by("entity_type", "seq").alias("__own"))
+    single = per.groupBy("repository_id", "name").agg(F.sum("__n").alias("__n"), F.min("file_path").alias("__file"), F.min("__type").alias("__atype")).where("__n = 1").drop("__n")
+    own = per.select("repository_id", "name", F.col("file_path").alias("source_file"), F.col("__type").alias("__own"))
     by_import = (
-        uses.select("repository_id", "source_file", "name").distinct().join(seen, ["repository_id", "source_file"]).join(defs, ["repository_id", "name", "file_path"])
-        .groupBy("repository_id", "source_file", "name").agg(F.count("*").alias("__m"), F.first("file_path").alias("__ifile"), F.first("entity_type").alias("__itype"))
+        asked.join(seen, ["repository_id", "source_file"]).join(per, ["repository_id", "name", "file_path"]).groupBy("repository_id", "source_file", "name")
+        .agg(F.sum("__n").alias("__n"), F.min("file_path").alias("__ifile"), F.min("__type").alias("__itype")).where("__n = 1").drop("__n")
     )
-    joined = uses.join(own, ["repository_id", "name", "source_file"], "left").join(by_import, ["repository_id", "name", "source_file"], "left").join(single, ["repository_id", "name"], "left")
-    same, via, alone = F.col("__own").isNotNull(), F.col("__m") == 1, F.col("__n") == 1
+    joined = asked.join(own, ["repository_id", "name", "source_file"], "left").join(by_import, ["repository_id", "name", "source_file"], "left").join(single, ["repository_id", "name"], "left")
+    same, via = F.col("__own").isNotNull(), F.col("__ifile").isNotNull()
     out = joined.select(
-        "repository_id", "use_id", F.col("name").alias("target_name"),
-        F.when(same, F.col("source_file")).when(via, F.col("__ifile")).when(alone, F.col("__file")).alias("target_file"),
-        F.when(same, F.col("__own")).when(via, F.col("__itype")).when(alone, F.col("__type")).alias("target_type"),
+        "repository_id", "source_file", "name",
+        F.when(same, F.col("source_file")).when(via, F.col("__ifile")).otherwise(F.col("__file")).alias("target_file"),
+        F.when(same, F.col("__own")).when(via, F.col("__itype")).otherwise(F.col("__atype")).alias("target_type"),
     )
-    return out.where("target_file is not null")
+    return materialize(out.where("target_file is not null"), "targets")
+
 
+def resolve_calls(calls: DataFrame, entities: DataFrame, imports: DataFrame, every: bool = False) -> DataFrame:
+    """calls(repository_id, seq, caller_file, caller_name, caller_type, callee_name, line) whose callee is defined here, with callee_file and callee_type; direct recursion is dropped.
 
-def resolve_calls(calls: DataFrame, entities: DataFrame, imports: DataFrame) -> DataFrame:
-    """calls(repository_id, seq, caller_file, caller_name, caller_type, callee_name, line) whose callee is defined here, with callee_file and callee_type; direct recursion is dropped."""
-    named = calls.where(~F.col("callee_name").isin(UNLINKED_CALLS))
-    uses = named.select("repository_id", F.col("seq").alias("use_id"), F.col("caller_file").alias("source_file"), F.col("callee_name").alias("name"))
-    found = pick_targets(uses, entities.where(F.col("entity_type").isin("function", "method")), imports)
-    out = named.drop("callee_file", "callee_type").join(found.select("repository_id", F.col("use_id").alias("seq"), F.col("target_file").alias("callee_file"), F.col("target_type").alias("callee_type")), ["repository_id", "seq"])
-    return out.where(~((F.col("callee_file") == F.col("caller_file")) & (F.col("callee_name") == F.col("caller_name"))))
+    every: all calls in the same order of columns, the two null where a call has no callee here.
+    """
+    linked = ~F.col("callee_name").isin(UNLINKED_CALLS)
+    asked = materialize(calls.where(linked).select("repository_id", F.col("caller_file").alias("source_file"), F.col("callee_name").alias("name")).distinct(), "names_called")
+    found = targets_of(asked, entities.where(F.col("entity_type").isin("function", "method")), imports)
+    found = small(found.select("repository_id", F.col("source_file").alias("caller_file"), F.col("name").alias("callee_name"), F.col("target_file").alias("callee_file"), F.col("target_type").alias("callee_type")))
+    bare = calls.drop("callee_file", "callee_type")
+    itself = (F.col("callee_file") == F.col("caller_file")) & (F.col("callee_name") == F.col("caller_name"))
+    columns = ["repository_id", "seq", *[c for c in bare.columns if c not in ("repository_id", "seq")]]
+    if not every:
+        return bare.join(found, ["repository_id", "caller_file", "callee_name"]).where(~itself).select(*columns, "callee_file", "callee_type")
+    gone = F.coalesce(itself, F.lit(False))
+    out = bare.join(found, ["repository_id", "caller_file", "callee_name"], "left")
+    return out.select(*columns, *[F.when(~gone, F.col(c)).alias(c) for c in ("callee_file", "callee_type")])
 
 
 def resolve_inheritance(inherits: DataFrame, entities: DataFrame, imports: DataFrame) -> DataFrame:
     """inherits(repository_id, seq, child_file, child_class, parent_class) whose parent is defined here, with parent_file."""
-    uses = inherits.select("repository_id", F.col("seq").alias("use_id"), F.col("child_file").alias("source_file"), F.col("parent_class").alias("name"))
-    found = pick_targets(uses, entities.where("entity_type = 'class'"), imports)
-    return inherits.drop("parent_file").join(found.select("repository_id", F.col("use_id").alias("seq"), F.col("target_file").alias("parent_file")), ["repository_id", "seq"])
+    bare = inherits.drop("parent_file")
+    asked = materialize(bare.select("repository_id", F.col("child_file").alias("source_file"), F.col("parent_class").alias("name")).distinct(), "names_inherited")
+    found = targets_of(asked, entities.where("entity_type = 'class'"), imports)
+    found = small(found.select("repository_id", F.col("source_file").alias("child_file"), F.col("name").alias("parent_class"), F.col("target_file").alias("parent_file")))
+    columns = ["repository_id", "seq", *[c for c in bare.columns if c not in ("repository_id", "seq")]]
+    return bare.join(found, ["repository_id", "child_file", "parent_class"]).select(*columns, "parent_file")
 
 
 def with_targets(references: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:

@@ -64,17 +64,17 @@ def reindex_calls(spark: SparkSession, d: str) -> DataFrame:
     added = materialize(gone.where("seq % 7 <> 0").unionByName(gained), "added")
     after = entities.join(paths, ["repository_id", "file_path"], "left_anti").unionByName(added)
     lost = small(nations.where("n_nationkey = 7").select(F.col("file_path").alias("resolved_file"), F.lit(True).alias("lost")))
+    # What a file imports is all that is read of its imports: one row a pair of files.
+    imports = materialize(imports.select("repository_id", "source_file", "resolved_file").distinct(), "imports")
     imports_after = imports.join(lost, "resolved_file", "left").withColumn("resolved_file", F.when(F.col("lost").isNull(), F.col("resolved_file"))).drop("lost")
 
-    target = ["callee_file", "callee_type"]
     raw = calls.select("repository_id", "seq", "caller_file", "caller_name", "callee_name", "line", F.lit(None).cast("string").alias("callee_file"), F.lit(None).cast("string").alias("callee_type"))
-    stored = materialize(R.with_targets(raw, R.resolve_calls(raw, entities, imports), target), "stored")
+    stored = R.resolve_calls(raw, entities, imports, every=True)
     sources = materialize(D.stale_sources(imports, imports_after), "sources")
     names = materialize(D.changed_names(gone, added).where("not is_class"), "names")
-    callers = paths.withColumnRenamed("file_path", "caller_file")
-    inside = stored.join(callers, ["repository_id", "caller_file"], "left_semi")
-    outside = stored.join(callers, ["repository_id", "caller_file"], "left_anti")
-    stale = materialize(inside.unionByName(D.stale_uses(outside, "callee_name", "caller_file", names, sources).select(*inside.columns)), "stale")
-    again = R.with_targets(stale, R.resolve_calls(stale, after, imports_after), target)
-    kept = stored.join(stale.select("repository_id", "seq"), ["repository_id", "seq"], "left_anti")
+    # Calls inside changed files are stale whatever they name, and others by what has changed; all are told apart in the pass that stores them.
+    inside = paths.select("repository_id", F.col("file_path").alias("source_file"))
+    told = materialize(D.with_stale(stored, "callee_name", "caller_file", names, sources.unionByName(inside)), "stored")
+    again = R.resolve_calls(told.where("stale").drop("stale"), after, imports_after)
+    kept = told.where("not stale").drop("stale")
     return kept.unionByName(again.select(*kept.columns)).where("callee_file is not null").select("repository_id", "seq", "callee_name", "callee_file")
