@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratagraph.plans.scratch import small
+from stratagraph.plans.scratch import small, spread
 
 #: Label order of name lookups.
 LABELS = ("Class", "Function", "Method")
@@ -197,10 +197,14 @@ def find_entities(nodes: DataFrame, names: DataFrame, limit: int, labels: tuple[
     return hits.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)
 
 
-def neighbourhood(edges: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
-    """Q13: distinct one-hop neighbours in both directions with relation and direction; `limit` rows a seed, by direction, relation and id."""
+def neighbourhood(edges: DataFrame, seeds: DataFrame, limit: int, rows: int | None = None) -> DataFrame:
+    """Q13: distinct one-hop neighbours in both directions with relation and direction; `limit` rows a seed, by direction, relation and id.
+
+    rows: about how many edges there are; if given, edges are dealt out by their seed once, in tasks that do not grow with them.
+    """
     out = edges.select(F.col("src").alias("seed"), F.col("dst").alias("id"), "rel_type", F.lit("out").alias("direction"))
     into = edges.select(F.col("dst").alias("seed"), F.col("src").alias("id"), "rel_type", F.lit("in").alias("direction"))
-    near = out.unionByName(into).join(small(seeds.distinct()), "seed", "left_semi").distinct()
+    both = out.unionByName(into)
+    near = (both if rows is None else spread(both, 2 * rows, "seed")).join(small(seeds.distinct()), "seed", "left_semi").distinct()
     order = Window.partitionBy("seed").orderBy("direction", "rel_type", "id")
     return near.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)

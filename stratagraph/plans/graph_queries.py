@@ -188,7 +188,8 @@ def find_entities(spark: SparkSession, d: str) -> DataFrame:
 r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY direction, rel_type, id) AS position FROM b WHERE seed IN (SELECT node_id FROM nodes_fk WHERE node_type IN ('Nation', 'Part', 'Supplier'))) SELECT seed, id, rel_type, direction, CAST(position AS INT) AS position FROM r WHERE position <= 8""")
 def neighbourhood(spark: SparkSession, d: str) -> DataFrame:
     seeds = nodes_fk(spark, d).where("node_type in ('Nation', 'Part', 'Supplier')").select(F.col("node_id").alias("seed"))
-    return G.neighbourhood(edges_fk(spark, d), seeds, 8)
+    rows = sum(table(spark, d, name).count() for name in ("nation", "customer", "supplier", "orders", "lineitem"))
+    return G.neighbourhood(edges_fk(spark, d), seeds, 8, rows)
 
 
 @query(f"""WITH RECURSIVE {DEP_SQL}, u AS (SELECT src, dst FROM dep UNION SELECT dst, src FROM dep), w(start, id, hops) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey % 100 = 0
