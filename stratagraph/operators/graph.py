@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratagraph.plans.scratch import small, spread
+from stratagraph.plans.scratch import materialize, small, spread
 
 #: Label order of name lookups.
 LABELS = ("Class", "Function", "Method")
@@ -43,12 +43,16 @@ def callable_index(nodes: DataFrame) -> DataFrame:
     )
 
 
-def build_graph(entities: DataFrame, imports: DataFrame, calls: DataFrame, inherits: DataFrame, files: DataFrame | None = None) -> Graph:
+def build_graph(entities: DataFrame, imports: DataFrame, calls: DataFrame, inherits: DataFrame, files: DataFrame | None = None, write: bool = False) -> Graph:
     """G0-G8 from resolved rows; unresolved edges, and edges whose ends are no nodes, are left out.
 
     files: (repository_id, file_path, language); by default the files of the entities, first language by seq.
+    write: nodes are written before edges are made of them, and edges too, for graphs that are read several times.
     """
-    if files is None:
+    keep = (lambda df, name: materialize(df, name)) if write else (lambda df, name: df)
+    few = small if write else (lambda df: df)
+    given = files is not None
+    if not given:
         files = entities.groupBy("repository_id", "file_path").agg(F.min_by("language", "seq").alias("language"))
     files = files.dropDuplicates(["repository_id", "file_path"])
     none = lambda t="string": F.lit(None).cast(t)
@@ -60,51 +64,57 @@ def build_graph(entities: DataFrame, imports: DataFrame, calls: DataFrame, inher
         return df.select(*[({"node_id": ident, "node_type": F.lit(kind)} | given).get(c, out[c]).alias(c) for c in cols])
 
     own = entities.withColumn("name", F.col("entity_name"))
-    keep = lambda kind: own.where(F.col("entity_type") == kind).join(files.select("repository_id", "file_path"), ["repository_id", "file_path"], "left_semi")
-    methods = _last(keep("method").where(F.col("parent_name").isNotNull()).withColumn("class_name", F.col("parent_name")), ["repository_id", "file_path", "class_name", "name"])
-    classes = _last(keep("class"), ["repository_id", "file_path", "name"])
-    functions = _last(keep("function"), ["repository_id", "file_path", "name"])
+    own = own.select(*[c for c in own.columns if c in {*cols, "parent_name", "entity_type", "seq"}])  # no source texts through the merge
+    if given:
+        own = own.join(files.select("repository_id", "file_path"), ["repository_id", "file_path"], "left_semi")
+    of = lambda kind: own.where(F.col("entity_type") == kind).drop("entity_type")
+    methods = _last(of("method").where(F.col("parent_name").isNotNull()).withColumnRenamed("parent_name", "class_name"), ["repository_id", "file_path", "class_name", "name"])
+    classes = _last(of("class").drop("parent_name"), ["repository_id", "file_path", "name"])
+    functions = _last(of("function").drop("parent_name"), ["repository_id", "file_path", "name"])
     repositories = files.select("repository_id").distinct()
-    nodes = (
+    nodes = keep(
         shaped(repositories, "Repository", node_id("Repository", "repository_id"), name=F.col("repository_id"))
         .unionByName(shaped(files, "File", node_id("File", "file_path"), name=F.element_at(F.split("file_path", "/"), -1)))
         .unionByName(shaped(classes, "Class", node_id("Class", "file_path", "name")))
         .unionByName(shaped(functions, "Function", node_id("Function", "file_path", "name")))
-        .unionByName(shaped(methods, "Method", node_id("Method", "file_path", "class_name", "name")))
+        .unionByName(shaped(methods, "Method", node_id("Method", "file_path", "class_name", "name"))),
+        "nodes",
     )
 
     def edge(df: DataFrame, rel: str | Column, src: Column, dst: Column, module: Column | None = None, line: Column | None = None) -> DataFrame:
         rel = F.lit(rel) if isinstance(rel, str) else rel
         return df.select("repository_id", rel.alias("rel_type"), src.alias("src"), dst.alias("dst"), (none() if module is None else module).alias("module"), (none("int") if line is None else line).alias("line"))
 
-    file_of = node_id("File", "file_path")
-    index = callable_index(nodes)
-    class_keys = classes.select("repository_id", "file_path", F.col("name").alias("class_name"))
-    known = files.select("repository_id", F.col("file_path").alias("__f"))
-    imported = imports.where(F.col("resolved_file").isNotNull())
+    node = lambda kind: nodes.where(F.col("node_type") == kind)
+    file_of, this = node_id("File", "file_path"), F.col("node_id")
+    index = few(keep(callable_index(nodes), "callables"))
+    class_keys = few(node("Class").select("repository_id", "file_path", F.col("name").alias("class_name")))
+    known = few(node("File").select("repository_id", F.col("file_path").alias("__f")))
+    # Imports and calls are merged by what they join, before they join it: by numbers first, which combine by hash.
+    imported = imports.where(F.col("resolved_file").isNotNull()).groupBy("repository_id", "source_file", "resolved_file", "module").agg(F.max_by("line", "seq").alias("line"), F.max("seq").alias("seq"))
+    imported = _last(imported, ["repository_id", "source_file", "resolved_file"])
     for c in ("source_file", "resolved_file"):
         imported = imported.join(known.withColumnRenamed("__f", c), ["repository_id", c], "left_semi")
-    imported = _last(imported.select("repository_id", "source_file", "resolved_file", "module", "line", "seq"), ["repository_id", "source_file", "resolved_file"])
     caller = index.select("repository_id", F.col("file_path").alias("caller_file"), F.col("name").alias("caller_name"), F.col("node_id").alias("src"), F.col("node_type").alias("st"))
     callee = index.select("repository_id", F.col("file_path").alias("callee_file"), F.col("name").alias("callee_name"), F.col("node_id").alias("dst"), F.col("node_type").alias("dt"))
-    called = calls.where(F.col("callee_file").isNotNull()).join(caller, ["repository_id", "caller_file", "caller_name"]).join(callee, ["repository_id", "callee_file", "callee_name"])
-    called = called.groupBy("repository_id", "src", "dst", "st", "dt").agg(F.max_by("line", "seq").alias("line"))
+    called = calls.where(F.col("callee_file").isNotNull()).groupBy("repository_id", "caller_file", "caller_name", "callee_file", "callee_name").agg(F.max_by("line", "seq").alias("line"))
+    called = called.join(caller, ["repository_id", "caller_file", "caller_name"]).join(callee, ["repository_id", "callee_file", "callee_name"])
     both = F.when((F.col("st") == "Method") & (F.col("dt") == "Method"), "METHOD_CALLS_METHOD").otherwise("FUNCTION_CALLS_FUNCTION")
     child = class_keys.select("repository_id", F.col("file_path").alias("child_file"), F.col("class_name").alias("child_class"))
     parent = class_keys.select("repository_id", F.col("file_path").alias("parent_file"), F.col("class_name").alias("parent_class"))
-    inherited = inherits.where(F.col("parent_file").isNotNull()).join(child, ["repository_id", "child_file", "child_class"], "left_semi").join(parent, ["repository_id", "parent_file", "parent_class"], "left_semi")
-    inherited = inherited.select("repository_id", "child_file", "child_class", "parent_file", "parent_class").distinct()
+    inherited = inherits.where(F.col("parent_file").isNotNull()).select("repository_id", "child_file", "child_class", "parent_file", "parent_class").distinct()
+    inherited = inherited.join(child, ["repository_id", "child_file", "child_class"], "left_semi").join(parent, ["repository_id", "parent_file", "parent_class"], "left_semi")
     edges = (
-        edge(files, "REPOSITORY_CONTAINS_FILE", node_id("Repository", "repository_id"), file_of)
-        .unionByName(edge(classes, "FILE_DEFINES_CLASS", file_of, node_id("Class", "file_path", "name")))
-        .unionByName(edge(functions, "FILE_DEFINES_FUNCTION", file_of, node_id("Function", "file_path", "name")))
-        .unionByName(edge(methods, "FILE_DEFINES_METHOD", file_of, node_id("Method", "file_path", "class_name", "name")))
-        .unionByName(edge(methods.join(class_keys, ["repository_id", "file_path", "class_name"], "left_semi"), "CLASS_CONTAINS_METHOD", node_id("Class", "file_path", "class_name"), node_id("Method", "file_path", "class_name", "name")))
+        edge(node("File"), "REPOSITORY_CONTAINS_FILE", node_id("Repository", "repository_id"), this)
+        .unionByName(edge(node("Class"), "FILE_DEFINES_CLASS", file_of, this))
+        .unionByName(edge(node("Function"), "FILE_DEFINES_FUNCTION", file_of, this))
+        .unionByName(edge(node("Method"), "FILE_DEFINES_METHOD", file_of, this))
+        .unionByName(edge(node("Method").join(class_keys, ["repository_id", "file_path", "class_name"], "left_semi"), "CLASS_CONTAINS_METHOD", node_id("Class", "file_path", "class_name"), this))
         .unionByName(edge(imported, "FILE_IMPORTS_FILE", node_id("File", "source_file"), node_id("File", "resolved_file"), F.col("module"), F.col("line")))
         .unionByName(edge(called, both, F.col("src"), F.col("dst"), line=F.col("line")))
         .unionByName(edge(inherited, "CLASS_INHERITS_CLASS", node_id("Class", "child_file", "child_class"), node_id("Class", "parent_file", "parent_class")))
     )
-    return Graph(nodes, edges)
+    return Graph(nodes, keep(edges, "edges"))
 
 
 def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:

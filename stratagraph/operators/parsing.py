@@ -76,5 +76,5 @@ def known_paths(entities: DataFrame) -> DataFrame:
 def parse_repository(files: DataFrame) -> Parsed:
     """All rows of a tree with imports, calls and inheritance resolved; seq ascends within a file."""
     p = parse_unresolved(files)
-    imports = resolve_imports(p.imports, known_paths(p.entities))
+    imports = materialize(resolve_imports(p.imports, known_paths(p.entities)), "resolved_imports")  # read for calls and base classes too
     return Parsed(p.entities, imports, resolve_calls(p.calls, p.entities, imports), resolve_inheritance(p.inherits, p.entities, imports), p.errors)

@@ -12,7 +12,6 @@ from stratagraph.operators import facts as H
 from stratagraph.operators.graph import Graph
 from stratagraph.plans.registry import query
 from stratagraph.plans.retrieval_queries import RANKED_SQL
-from stratagraph.plans.scratch import materialize
 from stratagraph.plans.tables import CODE_SQL, code_graph, table
 
 NAMES = ["C5", "f7", "m3", "C11", "nothing"]
@@ -33,8 +32,7 @@ def _asked(spark: SparkSession, d: str, values: list[str]) -> DataFrame:
 
 def _graph(spark: SparkSession, d: str) -> Graph:
     """The graph, written once: generators read nodes and edges several times."""
-    g = code_graph(spark, d)
-    return Graph(materialize(g.nodes, "nodes"), materialize(g.edges, "edges"))
+    return code_graph(spark, d, write=True)
 
 
 def _facts(source: str, step: int, tier: int, score: float, relationship: str, path: str = "file_path", kind: str = "lower(node_type)", name: str = "name", where: str = "TRUE") -> str:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratagraph.plans.scratch import spread
 from stratagraph.plans.tables import table
 
 #: Name and Spark type of each column.
@@ -27,11 +28,17 @@ def _numbered(c: Column, kind: str, n: Column) -> Column:
     return put(c) if kind == "string" else F.transform(c, put) if kind == "array<string>" else c
 
 
+def _keys(spark: SparkSession, d: str, name: str, key: str, times: int) -> DataFrame:
+    """The keys, dealt out: a file of them is one task, whatever work their rows are."""
+    keys = table(spark, d, name).select(F.col(key).alias("n"))
+    return spread(keys, times * keys.count(), "n")
+
+
 def each(spark: SparkSession, d: str, name: str, key: str, rows: list[tuple], schema: str, skip: int = 0) -> DataFrame:
     """n, k (the row's place) and the row's columns: all rows for each key, without those where n + k is a multiple of `skip`."""
     kinds = fields(schema)
     typed = F.array(*[F.struct(F.lit(k).alias("k"), *[_literal(v, t).alias(c) for v, (c, t) in zip(r, kinds)]) for k, r in enumerate(rows)])
-    out = table(spark, d, name).select(F.col(key).alias("n"), F.explode(typed).alias("r")).select("n", "r.*")
+    out = _keys(spark, d, name, key, len(rows)).select("n", F.explode(typed).alias("r")).select("n", "r.*")
     out = out.where((F.col("n") + F.col("k")) % skip != 0) if skip else out
     return out.select("n", "k", *[_numbered(F.col(c), t, F.col("n")).alias(c) for c, t in kinds])
 
@@ -40,7 +47,7 @@ def dealt(spark: SparkSession, d: str, name: str, key: str, rows: list[tuple], s
     """The same with one row for each key, by its remainder."""
     kinds = fields(schema)
     typed = F.array(*[F.struct(F.lit(k).alias("k"), *[_literal(v, t).alias(c) for v, (c, t) in zip(r, kinds)]) for k, r in enumerate(rows)])
-    out = table(spark, d, name).select(F.col(key).alias("n"), F.element_at(typed, (F.col(key) % len(rows) + 1).cast("int")).alias("r")).select("n", "r.*")
+    out = _keys(spark, d, name, key, 1).select("n", F.element_at(typed, (F.col("n") % len(rows) + 1).cast("int")).alias("r")).select("n", "r.*")
     return out.select("n", "k", *[_numbered(F.col(c), t, F.col("n")).alias(c) for c, t in kinds])
 
 
