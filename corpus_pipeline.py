@@ -45,9 +45,12 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def bpe_words(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded texts of each row."""
-    return bpe_digests(docs)
+    return bpe_digests(docs, CHUNK_BYTES)
 
 
+#: Bytes of text of a chunk in bpe_words: here executors still hold what the stages before took.
+CHUNK_BYTES = 1 << 23
+
 STAGES = [
     ("language_id", language_id),
     ("exact_dedup", exact_dedup),

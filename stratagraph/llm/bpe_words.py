@@ -35,7 +35,7 @@ from . import shingles as S
 from .common import bound_batches, materialize, text_of
 from .word_cache import DistinctUnits, UnitEncoder, UnitIds, byte_alphabet, strung, unit_spans
 
-#: Bytes of text of a chunk; a longer text is a chunk alone.
+#: Bytes of text of a chunk; a longer text is a chunk alone. Smaller ones take less memory of a task and more disk.
 CHUNK_BYTES = 1 << 25
 #: Compression levels of positions, and of words and their ids, which are fewer and travel more.
 _FAST, _DENSE = 9, 15
@@ -137,7 +137,7 @@ class _Chunk:
                 yield number, int(bucket[of[0]]), None, _packed(_DENSE, "ib", size[of], strung(raw, at[of], size[of]))
 
 
-def _cut(kind: pa.DataType, buckets: int, spaces: bool):
+def _cut(kind: pa.DataType, buckets: int, spaces: bool, chunk_bytes: int):
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         ids = [r[2] for r in rows]
         upto = np.cumsum([0, *(0 if x is None else len(x) for x in ids)])
@@ -147,12 +147,13 @@ def _cut(kind: pa.DataType, buckets: int, spaces: bool):
         )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        S.release_memory()  # what this worker still holds of other stages
         number = TaskContext.get().partitionId() << 33
         chunk = _Chunk(buckets, spaces)
         for batch in S.small_batches(batches):
             for i, j, data, offsets in S.text_slices(batch.column(1)):
                 chunk.add(batch.column(0).slice(i, j - i), data, offsets)
-                if chunk.held >= CHUNK_BYTES:
+                if chunk.held >= chunk_bytes:
                     yield batch_of([*chunk.written(number)])
                     number, chunk = number + 1, _Chunk(buckets, spaces)
                     S.release_memory()
@@ -164,6 +165,7 @@ def _cut(kind: pa.DataType, buckets: int, spaces: bool):
 
 def _encode(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        S.release_memory()
         table = UnitIds(UnitEncoder(path, True, "<u4"))
         for batch in S.small_batches(batches, 100):
             out = []
@@ -269,7 +271,7 @@ def _worker_pieces(path: str) -> PieceTable:
     return _piece_tables[path]
 
 
-def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False, digests: bool = False) -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False, digests: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """id_col, n_tokens, ids (little-endian unsigned 32-bit) and, if asked for, the decoded text of every row.
 
     digests: SHA-256 of ids and decoded text in place of themselves.
@@ -280,7 +282,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     kind = dict(base.dtypes)["id"]
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     arrow = base.select("id").limit(0).toArrow().schema.field("id").type
-    written = materialize(base.mapInArrow(_cut(arrow, buckets, True), f"chunk long, bucket int, ids array<{kind}>, blob binary"), "bpe_chunks")
+    written = materialize(base.mapInArrow(_cut(arrow, buckets, True, chunk_bytes), f"chunk long, bucket int, ids array<{kind}>, blob binary"), "bpe_chunks")
     words = written.where("bucket >= 0").select("chunk", "bucket", "blob").repartition("bucket")
     answers = words.mapInArrow(_encode(path), "chunk long, bucket int, blob binary")
     parts = written.where("bucket < 0").unionByName(answers, allowMissingColumns=True)

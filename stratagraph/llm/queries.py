@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stratagraph.plans.scratch import shared_dir
 
 from . import common, pii, warc
-from .bpe_words import encode_texts
+from .bpe_words import CHUNK_BYTES, encode_texts
 from .exact_dedup import exact_dedup
 from .fill_in_middle import fill_in_middle, restored
 from .language_id import predict_languages, train_filters
@@ -75,8 +75,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (common.fold_of("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
-def bpe_digests(docs: DataFrame) -> DataFrame:
-    return encode_texts(docs, public_tokenizers.path("byte_bpe_50k.json"), decode=True, digests=True)
+def bpe_digests(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    return encode_texts(docs, public_tokenizers.path("byte_bpe_50k.json"), decode=True, digests=True, chunk_bytes=chunk_bytes)
 
 
 @query
