@@ -8,11 +8,12 @@ Reads take edges with (src, dst) and work on any graph.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratagraph.plans.scratch import materialize, small, spread
+from stratagraph.plans.scratch import TASK_ROWS, materialize, small, spread
 
 #: Label order of name lookups.
 LABELS = ("Class", "Function", "Method")
@@ -35,6 +36,18 @@ def _last(df: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("__v")).select(*keys, *[F.col(f"__v.{c}").alias(c) for c in rest])
 
 
+def _newest(df: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
+    """`_last` of many rows a key: the newest number of each key is written, as numbers combine by hash, and only rows that have it are sorted.
+
+    Keys that are too many to broadcast are merged at once. df is read twice.
+    """
+    top = materialize(df.groupBy(*keys).agg(F.max(order).alias(order)), "newest")
+    if top.count() <= TASK_ROWS:
+        held = F.broadcast(top.select(*[F.col(c).alias(f"__{c}") for c in (*keys, order)]))
+        df = df.join(held, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*keys, order)]), "left_semi")
+    return _last(df, keys, order)
+
+
 def callable_index(nodes: DataFrame) -> DataFrame:
     """Q18: one node for each (repository, file, name) among callables; functions win over methods, the first method is kept."""
     order = F.struct(F.when(F.col("node_type") == "Function", 0).otherwise(1), "start_line", "node_id")
@@ -66,11 +79,14 @@ def build_graph(entities: DataFrame, imports: DataFrame, calls: DataFrame, inher
     own = entities.withColumn("name", F.col("entity_name"))
     own = own.select(*[c for c in own.columns if c in {*cols, "parent_name", "entity_type", "seq"}])  # no source texts through the merge
     if given:
-        own = own.join(files.select("repository_id", "file_path"), ["repository_id", "file_path"], "left_semi")
-    of = lambda kind: own.where(F.col("entity_type") == kind).drop("entity_type")
-    methods = _last(of("method").where(F.col("parent_name").isNotNull()).withColumnRenamed("parent_name", "class_name"), ["repository_id", "file_path", "class_name", "name"])
-    classes = _last(of("class").drop("parent_name"), ["repository_id", "file_path", "name"])
-    functions = _last(of("function").drop("parent_name"), ["repository_id", "file_path", "name"])
+        own = own.join(few(files.select("repository_id", "file_path")), ["repository_id", "file_path"], "left_semi")
+    # Only methods are told apart by their class; one that names none is no node.
+    method = F.col("entity_type") == "method"
+    own = own.where(F.col("entity_type").isin("class", "function") | (method & F.col("parent_name").isNotNull()))
+    own = own.withColumn("class_name", F.when(method, F.col("parent_name"))).drop("parent_name")
+    merged = (_newest if write else _last)(own, ["repository_id", "file_path", "entity_type", "class_name", "name"])
+    of = lambda kind: merged.where(F.col("entity_type") == kind)
+    methods, classes, functions = of("method"), of("class"), of("function")
     repositories = files.select("repository_id").distinct()
     nodes = keep(
         shaped(repositories, "Repository", node_id("Repository", "repository_id"), name=F.col("repository_id"))
@@ -97,7 +113,8 @@ def build_graph(entities: DataFrame, imports: DataFrame, calls: DataFrame, inher
         imported = imported.join(known.withColumnRenamed("__f", c), ["repository_id", c], "left_semi")
     caller = index.select("repository_id", F.col("file_path").alias("caller_file"), F.col("name").alias("caller_name"), F.col("node_id").alias("src"), F.col("node_type").alias("st"))
     callee = index.select("repository_id", F.col("file_path").alias("callee_file"), F.col("name").alias("callee_name"), F.col("node_id").alias("dst"), F.col("node_type").alias("dt"))
-    called = calls.where(F.col("callee_file").isNotNull()).groupBy("repository_id", "caller_file", "caller_name", "callee_file", "callee_name").agg(F.max_by("line", "seq").alias("line"))
+    called = calls.where(F.col("callee_file").isNotNull()).join(known.withColumnRenamed("__f", "callee_file"), ["repository_id", "callee_file"], "left_semi")
+    called = called.groupBy("repository_id", "caller_file", "caller_name", "callee_file", "callee_name").agg(F.max_by("line", "seq").alias("line"))
     called = called.join(caller, ["repository_id", "caller_file", "caller_name"]).join(callee, ["repository_id", "callee_file", "callee_name"])
     both = F.when((F.col("st") == "Method") & (F.col("dt") == "Method"), "METHOD_CALLS_METHOD").otherwise("FUNCTION_CALLS_FUNCTION")
     child = class_keys.select("repository_id", F.col("file_path").alias("child_file"), F.col("class_name").alias("child_class"))
