@@ -74,3 +74,12 @@ def test_orders_meet_customers_once(spark, monkeypatch):
     monkeypatch.setattr(G, "build_graph", lambda *a: given.extend(a))
     tables.code_graph(spark, SF, write=True)
     assert not [f for df in given[1:3] for f in df.inputFiles() if "/orders" in f]
+
+
+def test_many_customers_are_not_broadcast(spark, monkeypatch):
+    want = sorted(map(repr, tables.code_rows(spark, SF)[3].collect()))
+    plans = []
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(tables, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or materialize(df, name))
+    assert sorted(map(repr, tables.code_rows(spark, SF, write=True)[3].collect())) == want
+    assert "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
