@@ -10,7 +10,7 @@ from stratagraph.plans import scratch
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["embedding_texts", "entity_chunks"])
+@pytest.mark.parametrize("name", ["embedding_texts", "entity_chunks", "all_chunks"])
 def test_chunks_are_dealt_out_by_methods(spark, monkeypatch, name):
     monkeypatch.setattr(scratch, "TASK_ROWS", 50)  # 1,500 orders are methods; 4 are the session's shuffle partitions
     assert entry.queries()[name](spark, SF).rdd.getNumPartitions() >= 30
