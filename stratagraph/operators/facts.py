@@ -288,14 +288,23 @@ def isolated(questions: DataFrame, run: Callable[[DataFrame], DataFrame], name:
     return done, bad
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, g: G.Graph, files: DataFrame | None = None, embed=None, limit: int = R.CONTEXT_LIMIT) -> Retrieved:
-    """H1 for questions(question_id, repository_id, question). Each retriever is written by itself: one that fails leaves the other's items."""
+def _whole(questions: DataFrame, run: Callable[[DataFrame], DataFrame], name: str) -> tuple[DataFrame, DataFrame]:
+    """What `isolated` gives where nothing fails; any failure is raised."""
+    return materialize(run(questions), f"{name}_found"), questions.sparkSession.createDataFrame([], _DEGRADED)
+
+
+def retrieve(questions: DataFrame, chunks: DataFrame, g: G.Graph, files: DataFrame | None = None, embed=None, limit: int = R.CONTEXT_LIMIT, partial: bool = True) -> Retrieved:
+    """H1 for questions(question_id, repository_id, question). Each retriever is written by itself: one that fails leaves the other's items.
+
+    partial: if False, a failure is raised, for callers that do not show `degraded`: without it a part looks like the whole.
+    """
     from stratagraph.functions.vectors import hashing_embedding
     from stratagraph.sources.repository import read_lines
 
     # Written once each: both feed several branches, whose plans would multiply.
     asked = materialize(analyse(questions), "asked")
-    hits, lost = isolated(asked.where("use_vector"), lambda some: vector_items(some, chunks, embed or hashing_embedding), "vector")
+    take = isolated if partial else _whole
+    hits, lost = take(asked.where("use_vector"), lambda some: vector_items(some, chunks, embed or hashing_embedding), "vector")
 
     def from_graph(some: DataFrame) -> DataFrame:
         found = graph_context(some, g)
@@ -303,7 +312,7 @@ def retrieve(questions: DataFrame, chunks: DataFrame, g: G.Graph, files: DataFra
             found = found.unionByName(expansion(hits.join(small(some.select("question_id")), "question_id", "left_semi"), g))
         return found.join(some.select("question_id", "repository_id"), "question_id")
 
-    found, missing = isolated(asked.where("wants_graph"), from_graph, "graph")
+    found, missing = take(asked.where("wants_graph"), from_graph, "graph")
     order = lambda k, *c: F.struct(F.lit(k).alias("k"), *[F.coalesce(x, F.lit(0)).cast("long").alias(f"o{n}") for n, x in enumerate(c)])
     items = []
     if hits is not None:

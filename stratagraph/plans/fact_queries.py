@@ -175,5 +175,5 @@ def hybrid_tables(spark: SparkSession, d: str) -> DataFrame:
     asked = vectors.where("vec_id % 100 = 0").withColumn("r", turn % 5).join(names, "r")
     text = F.concat(F.format_string("Explain how does `f%d` work ", turn % 101), F.to_json("embedding"))
     asked = asked.select(F.col("vec_id").cast("int").alias("question_id"), "repository_id", text.alias("question"))
-    out = H.retrieve(asked, chunks, _graph(spark, d), embed=lambda c: F.from_json(F.regexp_extract(c, r"(\[.*\])", 1), "array<double>"))
+    out = H.retrieve(asked, chunks, _graph(spark, d), embed=lambda c: F.from_json(F.regexp_extract(c, r"(\[.*\])", 1), "array<double>"), partial=False)
     return out.ranked.select("question_id", "file_path", "entity_name", "start_line", "end_line", "score", "source", "tier", "relationship", "weighted", "position")
