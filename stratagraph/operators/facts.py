@@ -332,8 +332,8 @@ def retrieve(questions: DataFrame, chunks: DataFrame, g: G.Graph, files: DataFra
 
 
 def hybrid(questions: DataFrame, chunks: DataFrame, g: G.Graph, files: DataFrame | None = None, embed=None, limit: int = R.CONTEXT_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """(ranked items, distinct facts) of `retrieve`."""
-    return retrieve(questions, chunks, g, files, embed, limit)[:2]
+    """(ranked items, distinct facts) of `retrieve`, which raises where a retriever fails."""
+    return retrieve(questions, chunks, g, files, embed, limit, partial=False)[:2]
 
 
 def vector_only(questions: DataFrame, chunks: DataFrame, embed=None, limit: int = R.CONTEXT_LIMIT) -> DataFrame:

@@ -139,17 +139,17 @@ class Engine:
         return out.join(F.broadcast(failed), "question_id", "left").withColumn("degraded", F.coalesce("degraded", F.array().cast("array<string>")))
 
     def retrieve(self, repository_id: str, asked: DataFrame, mode: str, limit: int = R.CONTEXT_LIMIT) -> tuple[DataFrame, DataFrame]:
-        """(ranked items, facts) of asked(question_id, question) in mode hybrid or vector, written."""
-        return self.retrieve_all(repository_id, asked, mode, limit)[:2]
+        """(ranked items, facts) of asked(question_id, question) in mode hybrid or vector, written; raises where a retriever fails, so that no metric is of a part."""
+        return self.retrieve_all(repository_id, asked, mode, limit, partial=False)[:2]
 
-    def retrieve_all(self, repository_id: str, asked: DataFrame, mode: str, limit: int = R.CONTEXT_LIMIT) -> H.Retrieved:
+    def retrieve_all(self, repository_id: str, asked: DataFrame, mode: str, limit: int = R.CONTEXT_LIMIT, partial: bool = True) -> H.Retrieved:
         asked = asked.select("question_id", F.lit(repository_id).alias("repository_id"), "question")
         version = self.store.versions.manifest(repository_id)["version"]
         chunks = self.store.read("chunks", repository_id, version=version or None)
         none = asked.select("question_id", F.array().cast("array<string>").alias("facts"))
         if mode == "vector":
             return H.Retrieved(materialize(H.vector_only(asked, chunks, self.embed, limit), "ranked"), none, self.spark.createDataFrame([], "question_id long, retriever string, error string"))
-        found = H.retrieve(asked, chunks, self.graph(repository_id), self.store.read("files", repository_id, version=version or None), self.embed, limit)
+        found = H.retrieve(asked, chunks, self.graph(repository_id), self.store.read("files", repository_id, version=version or None), self.embed, limit, partial)
         facts = none.select("question_id").join(found.facts, "question_id", "left").withColumn("facts", F.coalesce("facts", F.array().cast("array<string>")))
         return H.Retrieved(materialize(found.ranked, "ranked"), materialize(facts, "facts"), materialize(found.degraded, "degraded"))
 
